@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .near_dedup import OP5_SQL, op5_minhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL = {"op1_decontaminate": OP1_SQL, "op8_mixing": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_line_dedup": OP10_SQL}
