@@ -10,10 +10,16 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .near_dedup import OP5_SQL, op5_minhash_near_dedup
+from .quality import op7_quality_classifier
+from .secrets import op3_secret_scan
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
+    "op3_secret_scan": op3_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
