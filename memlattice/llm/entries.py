@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .language_model import op6_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .near_dedup import OP5_SQL, op5_minhash_near_dedup
+from .neighbours import OP9_SQL, op9_nearest_neighbours
 from .quality import op7_quality_classifier
 from .secrets import op3_secret_scan
 from .toxicity import op2_toxicity
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing": op8_mixing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL = {"op1_decontaminate": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}
