@@ -12,6 +12,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .near_dedup import OP5_SQL, op5_minhash_near_dedup
 from .neighbours import OP9_SQL, op9_nearest_neighbours
+from .preferences import OP4_SQL, op4_preference_format
 from .quality import op7_quality_classifier
 from .secrets import op3_secret_scan
 from .toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
+    "op4_preference_format": op4_preference_format,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
@@ -28,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL = {"op1_decontaminate": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op4_preference_format": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}
