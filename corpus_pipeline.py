@@ -1,5 +1,60 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, near-dedup, benchmark decontamination, mixing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlattice.llm.common import Scratch, broadcast_if_small
+from memlattice.llm.decontaminate import contamination
+from memlattice.llm.line_dedup import dedup_lines
+from memlattice.llm.mixing import mix_sources
+from memlattice.llm.near_dedup import near_duplicates
+from memlattice.llm.toxicity import drop_toxic
+
+
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """docs but for the given ids; their texts are shuffled only if there are too many ids to broadcast."""
+    gone = Scratch(docs.sparkSession, label).save(ids.select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten documents or more go."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group stays; shingles of five words, similarity 0.8."""
+    return _without(docs, near_duplicates(docs).filter(~F.col("kept")), "near-gone")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"), "contaminated")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+#: A learned lexicon can't be expressed in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES on documents; each stage's rows are written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs
