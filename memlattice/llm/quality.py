@@ -15,7 +15,9 @@ from .labelled import held_out, labelled_sample
 
 #: At most so many labelled documents are learned from.
 LABELLED = 12_000
-WORD_BUCKETS, RANK, EPOCHS, BATCH = 1 << 15, 8, 6, 256
+WORD_BUCKETS, RANK = 1 << 15, 8
+#: Passes over the sample, the largest minibatch, and the least number of steps.
+EPOCHS, BATCH, STEPS = 6, 256, 300
 #: Classes of bytes: 1 upper case, 2 lower case, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 bar, 8 other ASCII, 9 above ASCII.
 _CLASS = np.full(256, 8, np.int64)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 9
@@ -86,11 +88,13 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarr
     model.bias = float(np.log(mean / (1 - mean)))
     bounds = np.searchsorted(row, np.arange(len(label) + 1))
     linear_sum, factor_sum = np.full(FEATURES, 1e-2), np.full((FEATURES, RANK), 1e-2)
-    for epoch in range(EPOCHS):
-        step = 0.1 / (1 + 0.3 * epoch)
+    batch = min(BATCH, max(16, len(label) // 20))
+    epochs = max(EPOCHS, -(-STEPS * batch // len(label)))
+    for epoch in range(epochs):
+        step = 0.1 / (1 + 1.8 * epoch / epochs)
         order = rng.permutation(len(label))
-        for at in range(0, len(order), BATCH):
-            docs = order[at : at + BATCH]
+        for at in range(0, len(order), batch):
+            docs = order[at : at + batch]
             take = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
             r = np.repeat(np.arange(len(docs)), bounds[docs + 1] - bounds[docs])
             f, x = feature[take], value[take].astype(float)
