@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import graph_queries, temporal_queries, text_queries  # noqa: F401
+from . import belief_queries, graph_queries, temporal_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
