@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,21 +138,20 @@ def health(nodes: DataFrame, edges: DataFrame, decisions_type: str, provenance:
 # ---- iterative algorithms: each round is written to the shared folder, only counts reach the driver ------------------
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlattice-"))
         named = spark.sparkContext.getCheckpointDir()
-    return f"{named.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return named.rstrip("/")
 
 
 class Rounds:
     """Tables of an iteration."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, _folder(spark), 0
+        self.spark, self.folder, self.n = spark, f"{shared_root(spark)}/graph-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1

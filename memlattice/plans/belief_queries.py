@@ -35,9 +35,9 @@ def belief_decision_confidence(t: Tables) -> DataFrame:
     return t.decisions.select("decision_id", F.round(c, 6).alias("confidence"))
 
 
-@query("belief_decision_reinforce", "SELECT decision_id, round(1 - (1 - confidence) * pow(0.9::DOUBLE, supporting), 9) AS confidence FROM decisions", "decisions")
+@query("belief_decision_reinforce", "SELECT decision_id, round(1 - (1 - confidence) * pow(0.9::DOUBLE, supporting) + 1e-10::DOUBLE, 6) AS confidence FROM decisions", "decisions")
 def belief_decision_reinforce(t: Tables) -> DataFrame:
-    return t.decisions.select("decision_id", F.round(sc.reinforced(F.col("confidence"), F.col("supporting")), 9).alias("confidence"))
+    return t.decisions.select("decision_id", F.round(sc.reinforced(F.col("confidence"), F.col("supporting")) + 1e-10, 6).alias("confidence"))
 
 
 @query("belief_decision_contradict", "SELECT decision_id, round(confidence * pow(0.85::DOUBLE, contradicting), 6) AS confidence FROM decisions", "decisions")
@@ -71,7 +71,7 @@ def belief_retrieval_strengthening(t: Tables) -> DataFrame:
 @query("belief_hebbian", """
 WITH p AS (SELECT src, dst, count(*) AS n FROM (SELECT least(a.user_id, b.user_id) AS src, greatest(a.user_id, b.user_id) AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id) GROUP BY 1, 2 HAVING count(*) >= 3),
 top AS (SELECT * FROM p ORDER BY n DESC, src, dst LIMIT 500)
-SELECT item_id, round(max(least(0.3, (n - 3) * 0.02)), 6) AS boost FROM (SELECT src AS item_id, n FROM top UNION ALL SELECT dst, n FROM top) GROUP BY 1""")
+SELECT item_id, round(max(least(0.3, (n - 3) * 0.02))::DOUBLE, 6) AS boost FROM (SELECT src AS item_id, n FROM top UNION ALL SELECT dst, n FROM top) GROUP BY 1""")
 def belief_hebbian(t: Tables) -> DataFrame:
     after = t.events.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("other"))
     pairs = t.events.join(after, "event_id").filter("user_id <> other").select(F.least("user_id", "other").alias("src"), F.greatest("user_id", "other").alias("dst"))

@@ -39,7 +39,7 @@ def temporal_relationship_history(t: Tables) -> DataFrame:
     return t.edges.filter("dst = 'c:7' and edge_type = 'PLACED_BY'").select("src", "valid_from", "valid_to").orderBy(F.desc("valid_from"))
 
 
-@query("temporal_version_numbering", "SELECT event_id, row_number() OVER w AS version, CASE WHEN row_number() OVER w > 1 THEN row_number() OVER w - 1 END AS previous_version, lead(ts) OVER w AS tx_end FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+@query("temporal_version_numbering", "SELECT event_id, (row_number() OVER w)::INTEGER AS version, CASE WHEN row_number() OVER w > 1 THEN row_number() OVER w - 1 END::INTEGER AS previous_version, lead(ts) OVER w AS tx_end FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
 def temporal_version_numbering(t: Tables) -> DataFrame:
     return tp.number_versions(t.events, ["user_id", "event_type"], ["ts", "event_id"], "ts").select("event_id", "version", "previous_version", "tx_end")
 
@@ -78,7 +78,7 @@ def temporal_interval_join(t: Tables) -> DataFrame:
 
 
 @query("temporal_sessions", """
-SELECT user_id, session, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
+SELECT user_id, session, count(*) AS n FROM (SELECT user_id, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS session FROM
  (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL""")
 def temporal_sessions(t: Tables) -> DataFrame:
     return tp.sessions(t.events, ["user_id"], "ts", 6 * 3600, "event_id").groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))

@@ -132,7 +132,7 @@ UNION ALL SELECT DISTINCT 'o:'||l_orderkey, 'p:'||l_partkey, 'CONTAINS', NULL::T
 UNION ALL SELECT DISTINCT 'p:'||l_partkey, 's:'||l_suppkey, 'SUPPLIED_BY', NULL::TIMESTAMP, NULL::TIMESTAMP FROM lineitem"""),
     "links": ("", "SELECT DISTINCT a.user_id AS src, b.user_id AS dst, a.event_type AS edge_type FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id"),
     "versions": ("", """
-SELECT user_id AS item_id, event_type AS kind, row_number() OVER w AS version, props AS content, value, ts AS tx_start, lead(ts) OVER w AS tx_end
+SELECT user_id AS item_id, event_type AS kind, (row_number() OVER w)::INTEGER AS version, props AS content, value, ts AS tx_start, lead(ts) OVER w AS tx_end
 FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"""),
     "items": ("", "SELECT doc_id AS item_id, text AS content, ['semantic','episodic','procedural','zettel'][(doc_id % 4 + 1)::INT] AS memory_type, lang AS workspace, source FROM documents"),
     "decisions": ("", """
