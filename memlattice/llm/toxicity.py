@@ -55,11 +55,12 @@ def fold(text: str | None) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """entries: " word " or " beginning" to weight; exceptions: phrases whose hits don't count; slope and shift of the score."""
+    """entries: " word " or " beginning" to weight; exceptions: phrases whose hits don't count; the score's slopes by
+    density and by the sum of weights, and its shift."""
 
     entries: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     shift: float = 0.0
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -88,12 +89,15 @@ def find_hits(words: list[str], automaton: ahocorasick.Automaton) -> dict[int, f
     return {k: w for k, w in hits.items() if not any(a <= k < b for a, b in excused)}
 
 
-def density(words: list[str], hits: dict[int, float]) -> float:
-    return sum(hits.values()) / (len(words) + LENGTH_FLOOR)
+def evidence(words: list[str], hits: dict[int, float]) -> tuple[float, float]:
+    """Logarithms of the density of weighted hits, normalised by length, and of their sum."""
+    total = sum(hits.values())
+    return math.log1p(50 * total / (len(words) + LENGTH_FLOOR)), math.log1p(total)
 
 
-def _score(x: float, lexicon: Lexicon) -> float:
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, lexicon.slope * math.log1p(50 * x) + lexicon.shift))))
+def _score(words: list[str], hits: dict[int, float], lexicon: Lexicon) -> float:
+    x = sum(a * b for a, b in zip(lexicon.slopes, evidence(words, hits), strict=True)) + lexicon.shift
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +153,12 @@ def _entries(rows: list, toxic_docs: int, clean_docs: int, terms: int) -> dict[s
 
 
 def _observe(lexicon: Lexicon) -> Callable:
-    """For each document: label, density and the phrases of a hit with the word before and after it."""
+    """For each document: label, evidence and the phrases of a hit with the word before and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            densities, phrases = [], []
+            found, phrases = [], []
             for text in batch.column("text").to_pylist():
                 words = fold(text)
                 hits = find_hits(words, automaton)
@@ -163,27 +167,33 @@ def _observe(lexicon: Lexicon) -> Callable:
                     places = np.cumsum([0, *(len(w) + 1 for w in words)])
                     for at in np.searchsorted(places, sorted(hits)).tolist():
                         near.update(" ".join(words[a:b]) for a, b in ((at - 1, at + 1), (at, at + 2)) if a >= 0 and b <= len(words))
-                densities.append(density(words, hits))
+                found.append(evidence(words, hits))
                 phrases.append(sorted(near))
-            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(densities, pa.float64()), pa.array(phrases, pa.list_(pa.string()))], names=["label", "density", "phrases"])
+            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(found, pa.list_(pa.float64())), pa.array(phrases, pa.list_(pa.string()))], names=["label", "evidence", "phrases"])
 
     return run
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic score of log density, with a little regularisation, by Newton's steps."""
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Slopes and shift of a logistic score, with a little regularisation, by Newton's steps; no slope falls below 0."""
     if not len(y):
-        return 0.0, 0.0
-    design, beta = np.column_stack([np.log1p(50 * x), np.ones(len(x))]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -50, 50)))
-        gradient = design.T @ (p - y) + np.array([0.1, 0.01]) * beta
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([0.1, 0.01])
-        step = np.linalg.solve(hessian, gradient)
-        beta -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        return (0.0, 0.0), 0.0
+    design, ridge = np.column_stack([x, np.ones(len(x))]), np.array([0.1, 0.1, 0.01])
+    used = np.ones(3, bool)
+    for _ in range(3):
+        beta, d, r = np.zeros(int(used.sum())), design[:, used], ridge[used]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(d @ beta, -50, 50)))
+            step = np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + np.diag(r), d.T @ (p - y) + r * beta)
+            beta -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        whole = np.zeros(3)
+        whole[used] = beta
+        if (whole[:2] >= 0).all():
             break
-    return float(beta[0]), float(beta[1])
+        used[:2] &= whole[:2] >= 0
+    return (float(whole[0]), float(whole[1])), float(whole[2])
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Lexicon:
@@ -203,13 +213,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     ranked = terms.filter("toxic > 2").orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "term").limit(4 * ENTRIES).select("term", "clean", "toxic")
     rows = [tuple(r) for r in ranked.collect()]
     lexicon = Lexicon(_entries(rows, totals.get(1, 0), totals.get(0, 0), 100 * max(1000, sum(totals.values()))))
-    seen = sample.mapInArrow(_observe(lexicon), "label int, density double, phrases array<string>").toPandas()
+    seen = sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>").toPandas()
     by_label = {k: Counter(p for ps in part["phrases"] for p in ps) for k, part in seen.groupby(seen["label"] > 0)}
     clean, toxic = by_label.get(False, Counter()), by_label.get(True, Counter())
     lexicon.exceptions = sorted(p for p, n in clean.items() if n >= 3 and not toxic[p])
     if lexicon.exceptions:
-        seen = sample.mapInArrow(_observe(lexicon), "label int, density double, phrases array<string>").toPandas()
-    lexicon.slope, lexicon.shift = _calibrate(seen["density"].to_numpy(), (seen["label"] > 0).to_numpy(float))
+        seen = sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>").toPandas()
+    lexicon.slopes, lexicon.shift = _calibrate(np.array(seen["evidence"].tolist()).reshape(-1, 2), (seen["label"] > 0).to_numpy(float))
     return lexicon
 
 
@@ -223,7 +233,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = fold(text)
                 hits = find_hits(words, automaton)
-                out.append((_score(density(words, hits), lexicon), len(hits), len(words)))
+                out.append((_score(words, hits, lexicon), len(hits), len(words)))
             score, n_hits, n_words = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(score, pa.float64()), pa.array(n_hits, pa.int64()), pa.array(n_words, pa.int64())], names=["doc_id", "score", "n_hits", "n_words"])
 
@@ -240,7 +250,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             keep = []
             for text in batch.column("text").to_pylist():
                 words = fold(text)
-                keep.append(_score(density(words, find_hits(words, automaton)), lexicon) < threshold)
+                keep.append(_score(words, find_hits(words, automaton), lexicon) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
