@@ -15,6 +15,7 @@ from memlattice.sources.tables import Tables, days_before
 from memlattice.streaming import metrics as st
 
 from .registry import query
+from .temporal_queries import COALESCED
 
 
 @query("filter_scope_isolation", "SELECT item_id FROM items WHERE workspace = 'en' AND source = 'src1'", "items")
@@ -238,7 +239,7 @@ def stream_tumbling_metrics(t: Tables) -> DataFrame:
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("error_rate", 6).alias("error_rate"))
 
 
-@query("stream_coalesced_mutations")
+@query("stream_coalesced_mutations", COALESCED)
 def stream_coalesced_mutations(t: Tables) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("update")
     stream = st.read_events(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "ts", "event_id", op.alias("operation"))

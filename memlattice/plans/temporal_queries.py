@@ -89,11 +89,14 @@ def temporal_anchored_groups(t: Tables) -> DataFrame:
     return tp.anchored_groups(t.events, ["user_id"], "ts", 6 * 3600, "event_id")
 
 
-@query("temporal_coalesce_mutations", """
+COALESCED = """
 WITH RECURSIVE m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'update' END AS op FROM events),
 f AS (SELECT user_id, k, op AS acc FROM m WHERE k = 1 UNION ALL SELECT m.user_id, m.k, CASE WHEN acc = '' THEN op WHEN acc = 'add' AND op = 'delete' THEN '' WHEN acc = 'add' THEN 'add'
   WHEN acc = 'update' THEN CASE WHEN op = 'delete' THEN 'delete' ELSE 'update' END ELSE CASE WHEN op = 'add' THEN 'add' ELSE 'delete' END END FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1)
-SELECT user_id, arg_max(acc, k) AS operation FROM f GROUP BY 1 HAVING arg_max(acc, k) <> ''""")
+SELECT user_id, arg_max(acc, k) AS operation FROM f GROUP BY 1 HAVING arg_max(acc, k) <> ''"""
+
+
+@query("temporal_coalesce_mutations", COALESCED)
 def temporal_coalesce_mutations(t: Tables) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("update")
     return tp.coalesce_mutations(t.events.withColumn("operation", op), ["user_id"], ["ts", "event_id"])
