@@ -22,7 +22,7 @@ DENSE = 4
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Nodes of more documents branch further.
 NODE = 1024
-#: Levels of branching below the first; larger nodes left then are dealt into random nodes of about NODE documents.
+#: Levels of branching below the first; larger nodes left then are compared block by block, each block with each.
 DEPTH = 5
 #: How far below the threshold a sketch may lie: over three standard deviations of it.
 SLACK = 0.06
@@ -93,9 +93,9 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _first_level(trees: int, threshold: float) -> Callable:
-    """Rows of documents to rows of the first level's nodes of all trees."""
-    roots = mix(np.arange(trees, dtype=np.uint64) + np.uint64(77))
+def _first_level(trees: int, threshold: float, first: int = 0) -> Callable:
+    """Rows of documents to rows of the first level's nodes of so many trees from the first on."""
+    roots = mix(np.arange(first, first + trees, dtype=np.uint64) + np.uint64(77))
     tree, token = np.nonzero(_chosen(roots, 0, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +147,9 @@ def _comparer(least: float, partners: int | None) -> Callable:
     """Sorted members of small nodes to pairs a < b whose sketches reach `least` and whose labels differ.
 
     With partners, a document names that many best ones at most and `more` says that it had others.
-    Without, all pairs are named but for those which the round with PARTNERS names; if they are more than DENSE for each
-    document, the documents are named instead, as (node, document, more).
+    Without, all pairs are named but for those which the round with PARTNERS names (none in nodes that only this round
+    has, for which partners is 0); if they are more than DENSE for each document, the documents are named instead, as
+    (node, document, more).
     """
 
     def compare(name: int, node: list[tuple]) -> Iterator[tuple[int, int, bool]]:
@@ -162,14 +163,16 @@ def _comparer(least: float, partners: int | None) -> Callable:
         order = np.argsort(-near, axis=1, kind="stable")[:, :k]
         np.put_along_axis(best, order, True, axis=1)
         best &= near >= 0
-        if partners is None:
+        if not partners:
+            if partners == 0:
+                best[:] = False
             label = np.array([x[2] for x in node])
             chosen = (near >= 0) & ~(best | best.T) & (label[:, None] != label[None, :])
             more = np.zeros(len(node), bool)
         else:
             chosen, more = best | best.T, (near >= 0).sum(axis=1) > k
         a, b = np.nonzero(np.triu(chosen, 1))
-        if partners is None and len(a) > DENSE * len(node):
+        if not partners and len(a) > DENSE * len(node):
             yield from ((name, rep[x], True) for x in np.union1d(a, b))
             return
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -210,6 +213,32 @@ def _compare(members: DataFrame, sketches: DataFrame, least: float, partners: in
     return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def _block_pairs(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, rep, label) for all pairs of blocks of the large nodes(node, rep), but for those of one label alone.
+
+    A label with more than half a NODE of a node's members has blocks of its own; the other labels are dealt whole.
+    Every two members whose labels differ meet in a block or in a pair of blocks.
+    """
+    half = max(1, NODE // 2)
+    rows = scratch.save(large.select("node", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "large-labelled")
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
+    nodes = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("n_labels"), F.sum(F.when(F.col("k") <= half, F.col("k"))).alias("n_few")).filter("n_labels > 1")
+    alone = F.col("k") > half
+    dealt = rows.join(sizes, ["node", "label"]).join(nodes, "node").select(
+        "node",
+        "rep",
+        "label",
+        F.when(alone, F.col("label")).alias("whole"),
+        F.when(alone, F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / half))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n_few") / half))).alias("part"),
+    )
+    dealt = scratch.save(dealt.withColumn("block", F.xxhash64("node", "whole", "part")), "large-blocks")
+    blocks = scratch.save(dealt.select("node", "block", "whole").distinct(), "large-names")
+    side = lambda x: blocks.select("node", F.col("block").alias(f"b{x}"), F.col("whole").alias(f"w{x}"))
+    pairs = side(1).join(side(2), "node").filter("b1 <= b2 and (w1 is null or w2 is null or w1 <> w2)")
+    named = pairs.select("node", F.xxhash64("node", "b1", "b2").alias("pair"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    return scratch.save(dealt.join(named, ["node", "block"]).select(F.col("pair").alias("node"), "rep", "label"), "large-pairs")
+
+
 def _confirmer(width: int, threshold: float) -> Callable:
     top, bottom = round(threshold * 100), 100
 
@@ -290,9 +319,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 
     Documents with equal sets become one vertex.  In each of a number of independent trees, a document follows random
     choices among its minwise tokens; those in the same node share them.  Nodes of up to NODE documents are compared
-    exhaustively by sketches, larger ones branch on; what is still large after DEPTH levels is dealt into random nodes.
-    Pairs whose sketches come near the threshold are confirmed on full sets.  A first round confirms each document's
-    best partners in a node; a second one the other pairs across the components then known, so no pair is given up.
+    exhaustively by sketches.  Documents of nodes that are larger after two levels branch on in more trees, as many as
+    the recall takes at DEPTH further levels.  Pairs whose sketches come near the threshold are confirmed on full sets.
+    A first round confirms each document's best partners in a node, what is still large after DEPTH levels being dealt
+    into random nodes; a second one the other pairs across the components then known, in the same nodes and, block by
+    block, in the whole of the large ones.  Its work there is the number of a node's documents times that of those
+    outside its largest component.
     Nodes that are dense with such pairs are confirmed as wholes, and name no more links than join their documents.
 
     Texts without words, and null ones, have 0 shingles and no links; fewer words than `width` make one shingle.  A
@@ -311,17 +343,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     sketches = vertices.select("rep", "sketch")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    trees = trees_for(threshold, recall)
-    members = _sized(vertices.select("rep", "tokens").mapInArrow(_first_level(trees, threshold), "rep long, node long"), scratch, "level-0")
-    small, level = [members.filter(F.col("n") <= NODE)], 0
-    large = members.filter(F.col("n") > NODE)
-    while level < DEPTH and not large.isEmpty():
-        level += 1
-        rows = large.join(vertices.select("rep", "tokens"), "rep").select("rep", "node", "tokens")
-        members = _sized(rows.mapInArrow(_next_level(level, threshold), "rep long, node long"), scratch, f"level-{level}")
-        small.append(members.filter(F.col("n") <= NODE))
-        large = members.filter(F.col("n") > NODE)
-    if not large.isEmpty():
+    # either phase may miss half of what the recall allows
+    each = 1 - (1 - recall) / 2
+
+    def branch(docs: DataFrame, trees: int, first: int, depth: int, name: str) -> tuple[list[DataFrame], DataFrame]:
+        """Nodes of up to NODE documents, and those still larger `depth` levels below the first."""
+        members = _sized(docs.select("rep", "tokens").mapInArrow(_first_level(trees, threshold, first), "rep long, node long"), scratch, f"{name}-0")
+        small, large, level = [members.filter(F.col("n") <= NODE)], members.filter(F.col("n") > NODE), 0
+        while level < depth and not large.isEmpty():
+            level += 1
+            rows = large.join(docs.select("rep", "tokens"), "rep").select("rep", "node", "tokens")
+            members = _sized(rows.mapInArrow(_next_level(level, threshold), "rep long, node long"), scratch, f"{name}-{level}")
+            small.append(members.filter(F.col("n") <= NODE))
+            large = members.filter(F.col("n") > NODE)
+        return small, large
+
+    trees = trees_for(threshold, each)
+    small, large = branch(vertices, trees, 0, min(1, DEPTH), "level")
+    # a pair that two levels don't separate in any tree is in a large node there with both its documents
+    deep = not large.isEmpty()
+    if deep:
+        hot = scratch.save(vertices.join(large.select("rep").distinct(), "rep", "left_semi"), "hot")
+        more, large = branch(hot, trees_for(threshold, each, DEPTH + 1), trees, DEPTH, "hot-level")
+        small += more
+        deep = not large.isEmpty()
+    if deep:
         dealt = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / (NODE // 2)))
         small.append(large.select(F.xxhash64("node", dealt).alias("node"), "rep", "n"))
     nodes = small[0].select("node", "rep", "n")
@@ -332,10 +378,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     first = scratch.save(_compare(nodes.withColumn("label", F.col("rep")), sketches, least, PARTNERS, parts), "pairs-1")
     links = _confirm(first, docs, width, threshold, scratch, "links-1")
     found = scratch.save(components(links, scratch, "cc-1"), "found-1")
-    if not first.filter("more").isEmpty():
+    if deep or not first.filter("more").isEmpty():
         labels = found.select(F.col("id").alias("rep"), F.col("component").alias("label"))
         again = nodes.filter(F.col("n") > PARTNERS + 1).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        second = scratch.save(_compare(again, sketches, least, None, parts), "pairs-2")
+        second = _compare(again, sketches, least, None, parts)
+        if deep:
+            whole = _compare(_block_pairs(large, labels, scratch), sketches, least, 0, parts)
+            second = second.union(whole).groupBy("a", "b").agg(F.max("more").alias("more"))
+        second = scratch.save(second, "pairs-2")
         if not second.isEmpty():
             pairs = second.filter(~F.col("more")).join(first, ["a", "b"], "left_anti")
             links = links.union(_confirm(pairs, docs, width, threshold, scratch, "links-2"))

@@ -106,6 +106,26 @@ def test_second_round_finds_what_the_first_left(spark, monkeypatch, dense):
     assert len(near) > 40 and all(got[k] == 0 for k in near)
 
 
+def test_large_star_is_compared_whole(spark, monkeypatch):
+    """A hub of 300 spokes, each about 0.81 to it and 0.67 to the others, with nodes of 64."""
+    from memlattice.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "NODE", 64)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    rng = random.Random(5)
+    hub = [f"h{k}" for k in range(100)]
+    rows = [(0, " ".join(hub))]
+    for k in range(1, 301):
+        near = list(hub)
+        for at in (rng.randrange(5, 45), rng.randrange(55, 95)):
+            near[at] = f"z{k}-{at}"
+        rows.append((k, " ".join(near)))
+    sets = {k: shingles(t, 5) for k, t in rows}
+    near = {k for k in sets if 5 * len(sets[k] & sets[0]) >= 4 * len(sets[k] | sets[0])}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 250 and all(got[k] == 0 for k in near)
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
