@@ -1,4 +1,4 @@
-"""Language-model scores by a weighted backoff automaton over smoothed bigrams, with sharded counts for rare words."""
+"""Language-model scores by a weighted backoff automaton over smoothed bigrams, with sharded counts for rare words and pairs."""
 
 from __future__ import annotations
 
@@ -7,14 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, binaries, hash_batch, mix, remainder
 
-#: The automaton has a state for each of the CORE most frequent tokens, so its arcs fit a table of CORE * CORE counts
-#: at any size of corpus.  Counts of the HOT most frequent tokens travel with it; those of others are joined.
-CORE, HOT = 1024, 1 << 18
+#: None takes every token as a state of the automaton; a number only so many, the most frequent ones, of which pairs are counted.
+CORE: int | None = None
+#: Counts of the HOT most frequent tokens and the arcs of the ARCS most frequent pairs travel with the automaton, those
+#: among the DENSE most frequent tokens as a square table; all others are joined.
+HOT, ARCS, DENSE = 1 << 18, 1 << 20, 1024
+#: Bits of a hot token's place in the key of a pair of them.
+_BITS = 18
+#: What marks a token that is not hot, and a pair with one.
+_COLD = np.int64(np.iinfo(np.int64).min)
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 FOLDS, HELD_OUT = 5, 1
 #: Log probabilities are summed as integers of this unit, so that the order of rows doesn't change a sum.
@@ -55,10 +62,13 @@ def tokens(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np
 
 @dataclass
 class Model:
-    """Unigram statistics, the hot tokens (sorted) with their counts, and the automaton of the core.
+    """Unigram statistics, the hot tokens (sorted) with their counts, and the hot part of the automaton.
 
-    State s > 0 is the core token s - 1 just read; state 0, the root, is any other.  arcs[s, t] is log10 P(t | s)
-    where that pair was seen and 0 where a failure arc to the root, of weight failure[s], comes first.
+    State s > 0 is the dense token s - 1 just read; state 0, the root, is any other.  arcs[s, t] is log10 P(t | s)
+    where that pair was seen and 0 where a failure arc to the root, of weight failure[s], comes first.  hot_failure has
+    the weights of all hot tokens.  pair_keys (sorted) are further pairs, pair_gain what their arcs' log10 exceeds
+    failure and unigram by; `whole` says that no pair is elsewhere.  states marks the hot tokens that are states, and is
+    None where all tokens are.
     """
 
     total: int
@@ -69,6 +79,11 @@ class Model:
     core_of_hot: np.ndarray
     arcs: np.ndarray
     failure: np.ndarray
+    hot_failure: np.ndarray
+    pair_keys: np.ndarray
+    pair_gain: np.ndarray
+    whole: bool
+    states: np.ndarray | None
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -87,107 +102,197 @@ class Model:
         at[at == len(self.hot)] = 0
         return at, (self.hot[at] == token) if len(self.hot) else np.zeros(len(token), bool)
 
+    def pairs(self, token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, key, counted) of each token y after x: places of hot tokens, marked hashes of others."""
+        at, known = self.look_up(token)
+        y = np.where(known, at, token | _COLD)
+        at, known = self.look_up(np.array([END]))
+        x = np.roll(y, 1)
+        x[bounds[:-1]] = at[0] if known[0] else END | _COLD
+        cold = mix(mix(x.view(np.uint64)) ^ y.view(np.uint64)).view(np.int64) | _COLD
+        key = np.where((x >= 0) & (y >= 0), (x << _BITS) | y, cold)
+        if self.states is None:
+            return x, y, key, np.ones(len(y), bool)
+        state = lambda z: (z >= 0) & (self.states[np.maximum(z, 0)] if len(self.states) else False)
+        return x, y, key, state(x) & state(y)
+
 
 def _count_words(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     for _, _, token, _ in tokens(texts):
         yield token
 
 
-def _pairs(core: np.ndarray) -> Callable:
-    """Pairs of core tokens, and each core token as a context (successor CORE), as one key."""
-    order = np.argsort(core)
+def _count_pairs(model: Model) -> Callable:
+    """Pairs of texts as (key, x, y, n), summed within the task as far as memory allows; the key of hot ones holds x and y."""
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, x, y, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, first, place = np.unique(key, return_index=True, return_inverse=True)
+        return key, x[first], y[first], np.bincount(place, n).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-    def run(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        for _, _, token, bounds in tokens(texts):
-            at = np.minimum(np.searchsorted(core, token, sorter=order), len(core) - 1)
-            place = np.where(core[order[at]] == token, order[at], -1)
-            before = np.roll(place, 1)
-            before[bounds[:-1]] = np.flatnonzero(core == END)[0]
-            after_core = before >= 0
-            yield np.concatenate((before[after_core] * (CORE + 1) + CORE, (before * (CORE + 1) + place)[after_core & (place >= 0)]))
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["key", "x", "y", "n"])
+
+        for batch in batches:
+            for _, _, token, bounds in tokens(binaries(batch.column("text"))):
+                x, y, key, counted = model.pairs(token, bounds)
+                key, first, n = np.unique(key[counted], return_index=True, return_counts=True)
+                cold = key < 0
+                held.append((key, np.where(cold, x[counted][first], 0), np.where(cold, y[counted][first], 0), n))
+                size += len(key)
+                if size > _HOLD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > _HOLD // 2:
+                        yield give()
+                        held, size = [], 0
+        if held:
+            held = [summed(held)]
+            yield give()
 
     return run
 
 
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model and all token counts (token, n) of docs (text).
+def _cut(counts: DataFrame, room: int) -> Column | None:
+    """Which rows (n) to take so that there are `room` at most and none left has a greater n; None for no row."""
+    step = F.floor(F.log("n") * 64).cast("int")
+    steps = sorted(((r["step"], r["k"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    cut = None
+    for at, k in steps:
+        if k > room:
+            break
+        room, cut = room - k, at
+    return None if cut is None else step >= cut
+
+
+def learn(docs: DataFrame, scratch: Scratch) -> tuple[Model, tuple[DataFrame, DataFrame]]:
+    """The model, and its tables: rare tokens (token, n, fail) and the arcs (key, gain) that are not in the model.
 
-    Counts cover every document.  The counts stay a table in the shared folder; the driver sees sums, a
-    histogram of counts, the HOT most frequent tokens (fewer, where ties would exceed them) and at most CORE * (CORE + 1) pair counts.
+    Counts cover every token and every pair of every document, and stay tables in the shared folder; the driver sees
+    sums, histograms of counts, and the most frequent tokens and pairs (fewer than HOT and ARCS, where ties would exceed them).
     """
-    text = docs.select("text")
+    spark, text = docs.sparkSession, docs.select("text")
     counts = text.mapInArrow(_counted(_count_words), "key long, n long").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     row = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     total, distinct, once, twice = (int(x or 0) for x in row)
+    discount = lambda once, twice: min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
     # the cut is a count: at most HOT tokens lie above it, and none is ranked against all others in one task
-    step = F.floor(F.log("n") * 64).cast("int")
-    steps = sorted(((r["step"], r["k"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    room, cut = HOT, None
-    for at, k in steps:
-        if k > room:
-            break
-        room, cut = room - k, at
-    top = counts.filter(F.lit(False) if cut is None else (step >= cut) | (F.col("token") == END)).toArrow()
+    cut = _cut(counts, HOT)
+    top = counts.filter(F.lit(False) if cut is None else cut | (F.col("token") == END)).toArrow()
     by_n, n = top.column("token").to_numpy(), top.column("n").to_numpy()
     rank = np.lexsort((by_n, -n))
     by_n, n = by_n[rank], n[rank]
-    core = by_n[:CORE] if END in by_n[:CORE] or not len(by_n) else np.append(by_n[: CORE - 1], END)
+    first = lambda k: by_n[:k] if END in by_n[:k] or not len(by_n) else np.append(by_n[: k - 1], END)
+    core = first(DENSE if CORE is None else min(DENSE, CORE))
     order = np.argsort(by_n)
     place = dict(zip(core.tolist(), range(len(core)), strict=True))
     hot = by_n[order]
     core_of_hot = np.array([place.get(x, -1) for x in hot.tolist()], np.int32)
-    model = Model(total, distinct, min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5, hot, n[order], core_of_hot, np.zeros((1, CORE), np.float32), np.zeros(1))
-    if not len(core):
-        return model, counts
-    pairs = text.mapInArrow(_counted(_pairs(core)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = pairs.column("key").to_numpy(), pairs.column("n").to_numpy()
-    seen = np.zeros((len(core), CORE + 1))
-    seen[key // (CORE + 1), key % (CORE + 1)] = n
-    context, seen = seen[:, CORE], seen[:, :CORE]
-    once, twice = (seen == 1).sum(), (seen == 2).sum()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    known = np.zeros(CORE)
-    n_of = dict(zip(hot.tolist(), model.hot_n.tolist(), strict=True))
-    known[: len(core)] = 10 ** model.unigram(np.array([n_of.get(x, 0) for x in core.tolist()]))
-    p = np.where(seen > 0, (seen - discount) / np.maximum(context, 1)[:, None], 0)
-    # what the discounts free goes to all tokens by their unigrams; unseen successors, and those outside the core, fail
-    freed = discount * (seen > 0).sum(axis=1) / np.maximum(context, 1)
-    p = np.where(seen > 0, p + freed[:, None] * known, 0)
-    left, other = 1 - p.sum(axis=1), 1 - (known[None, :] * (seen > 0)).sum(axis=1)
-    model.failure = np.concatenate(([0.0], np.log10(np.clip(left, 1e-9, None) / np.clip(other, 1e-9, None))))
-    model.arcs = np.vstack((np.zeros((1, CORE)), np.where(p > 0, np.log10(np.maximum(p, 1e-300)), 0))).astype(np.float32)
-    return model, counts
-
-
-_TRACED = "doc_id long, row_hash long, held_out boolean, n_tokens long, n_known long, base long, score long, rare array<long>"
+    states = None if CORE is None else np.isin(hot, first(CORE))
+    none = np.zeros(0)
+    model = Model(total, distinct, discount(once, twice), hot, n[order], core_of_hot, np.zeros((1, max(1, len(core))), np.float32), np.zeros(1), np.zeros(len(hot)), none.astype(np.int64), none.astype(np.float32), True, states)
+
+    # statistics of tokens by their codes: hot ones are broadcast, others joined
+    uni = 10 ** model.unigram(model.hot_n)
+    hots = spark.createDataFrame(pa.table({"token": pa.array(hot, pa.int64()), "code": pa.array(np.arange(len(hot)), pa.int64()), "m": pa.array(model.hot_n, pa.int64()), "p": pa.array(uni, pa.float64())}))
+    unknown = 10 ** float(model.unigram(np.array([0]))[0])
+    scale = (1 - unknown) / max(1e-9, total - model.discount * distinct)
+    colds = counts.join(F.broadcast(hots.select("token")), "token", "left_anti").select("token", F.col("token").bitwiseOR(F.lit(int(_COLD))).alias("code"), F.col("n").alias("m"), ((F.col("n") - model.discount) * scale).alias("p"))
+
+    def joined(rows: DataFrame, code: str, hot_side: DataFrame, cold_side: DataFrame) -> DataFrame:
+        side = lambda x: x.withColumnRenamed("code", code)
+        return rows.filter(F.col(code) >= 0).join(F.broadcast(side(hot_side)), code).unionByName(rows.filter(F.col(code) < 0).join(side(cold_side), code))
+
+    pairs = text.mapInArrow(_count_pairs(model), "key long, x long, y long, n long").groupBy("key").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))
+    pairs = scratch.save(pairs, "pairs")
+    row = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    off = discount(*(int(x or 0) for x in row))
+    inner = F.col("key") >= 0
+    coded = pairs.select("key", F.when(inner, F.shiftright("key", _BITS)).otherwise(F.col("x")).alias("x"), F.when(inner, F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1))).otherwise(F.col("y")).alias("y"), "n")
+    rated = joined(coded, "y", hots.select("code", "p"), colds.select("code", "p"))
+    # a token is a context as often as it occurs: the end also precedes each text; sums are of integers, whatever their order
+    sums = rated.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), F.sum(F.round(F.col("p") * 1e18).cast("long")).alias("u"))
+    after = joined(sums, "x", hots.select("code", "m"), colds.select("code", "m"))
+    # what the discounts free goes to all tokens by their unigrams; unseen successors fail
+    freed, seen = off * F.col("k") / F.col("m"), F.col("u") * 1e-18
+    left = 1 - (F.col("s") - off * F.col("k")) / F.col("m") - freed * seen
+    fail = F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(1 - seen, F.lit(1e-9)))
+    contexts = scratch.save(after.select(F.col("x").alias("code"), "m", freed.alias("freed"), fail.alias("fail")), "contexts")
+    arcs = joined(rated, "x", contexts.filter("code >= 0"), contexts.filter("code < 0"))
+    gain = F.log10((F.col("n") - off) / F.col("m") + F.col("freed") * F.col("p")) - F.col("fail") - F.log10("p")
+    arcs = scratch.save(arcs.select("key", "n", gain.alias("gain")), "arcs")
+    scratch.drop("pairs")
+
+    known = contexts.filter("code >= 0").toArrow()
+    model.hot_failure[known.column("code").to_numpy()] = known.column("fail").to_numpy()
+    cut = _cut(arcs, ARCS)
+    kept = arcs.filter(F.lit(False) if cut is None else cut).select("key", "gain").toArrow()
+    key, value = kept.column("key").to_numpy(), kept.column("gain").to_numpy()
+    order = np.argsort(key)
+    model.pair_keys, model.pair_gain = key[order], value[order].astype(np.float32)
+    rest = arcs.filter(F.lit(True) if cut is None else ~cut).select("key", "gain")
+    model.whole = rest.isEmpty()
+    # the square of the dense tokens, for which no search is needed
+    model.failure = np.zeros(len(core) + 1)
+    model.failure[core_of_hot[core_of_hot >= 0] + 1] = model.hot_failure[core_of_hot >= 0]
+    model.arcs = np.zeros((len(core) + 1, max(1, len(core))), np.float32)
+    inside = key[key >= 0]
+    x, y = inside >> _BITS, inside & ((1 << _BITS) - 1)
+    both = (core_of_hot[x] >= 0) & (core_of_hot[y] >= 0)
+    log_uni = model.unigram(model.hot_n)
+    x, y = x[both], y[both]
+    model.arcs[core_of_hot[x] + 1, core_of_hot[y]] = value[key >= 0][both] + model.hot_failure[x] + log_uni[y]
+    rare = colds.join(contexts.filter("code < 0").select("code", "fail"), "code", "left").select("token", F.col("m").alias("n"), F.coalesce("fail", F.lit(0.0)).alias("fail"))
+    return model, (scratch.save(rare, "rare"), rest)
+
+
+_TRACED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base long, score long, rare array<long>, pairs array<long>"
 
 
 def _trace(model: Model) -> Callable:
-    """One pass over each text's tokens: states, arcs and failures; tokens whose counts are elsewhere are listed as rare."""
+    """One pass over each text's tokens: arcs and failures; tokens and pairs whose counts are elsewhere are listed."""
     unigram, base = model.unigram(model.hot_n), model.base(model.hot_n)
 
+    def of(values: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.where(code >= 0, values[np.maximum(code, 0)], 0.0) if len(values) else np.zeros(len(code))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n_tokens, n_known, base_sum, score_sum, rare = [], [], [], [], []
+            n_tokens, n_known, base_sum, score_sum, rare, pairs = [], [], [], [], [], []
             for _, _, token, bounds in tokens(binaries(batch.column("text"))):
-                at, known = model.look_up(token)
-                core = np.where(known, model.core_of_hot[at] if len(at) and len(model.hot) else -1, -1)
-                state = np.roll(core, 1) + 1
-                state[bounds[:-1]] = model.core_of_hot[model.look_up(np.array([END]))[0][0]] + 1 if len(model.hot) else 0
-                arc = np.where(core >= 0, model.arcs[np.minimum(state, len(model.arcs) - 1), np.maximum(core, 0)], 0.0)
-                fail = model.failure[np.minimum(state, len(model.failure) - 1)]
-                step = np.where(arc != 0, arc, fail + (np.where(known, unigram[at], 0.0) if len(unigram) else 0.0))
-                plain = np.where(known, base[at], 0.0) if len(base) else np.zeros(len(token))
-                for out, x in ((base_sum, plain), (score_sum, step)):
-                    out.append(np.add.reduceat(np.round(x / UNIT).astype(np.int64), bounds[:-1]))
+                x, y, key, counted = model.pairs(token, bounds)
+                known = y >= 0
+                state = np.where(x >= 0, model.core_of_hot[np.maximum(x, 0)], -1) if len(model.hot) else np.full(len(x), -1)
+                core = np.where(known, model.core_of_hot[np.maximum(y, 0)], -1) if len(model.hot) else np.full(len(y), -1)
+                inside = (state >= 0) & (core >= 0)
+                arc = np.where(inside, model.arcs[np.where(inside, state + 1, 0), np.where(inside, core, 0)], 0.0)
+                step = np.where(arc != 0, arc, of(model.hot_failure, x) + of(unigram, y))
+                open_ = np.flatnonzero((arc == 0) & counted)
+                if len(model.pair_keys):
+                    at = np.minimum(np.searchsorted(model.pair_keys, key[open_]), len(model.pair_keys) - 1)
+                    found = model.pair_keys[at] == key[open_]
+                    step[open_[found]] += model.pair_gain[at[found]]
+                    open_ = open_[~found]
+                if model.whole:
+                    open_ = open_[:0]
+                for out, z in ((base_sum, of(base, y)), (score_sum, step)):
+                    out.append(np.add.reduceat(np.round(z / UNIT).astype(np.int64), bounds[:-1]))
                 n_tokens.append(np.diff(bounds))
                 n_known.append(np.add.reduceat(known.astype(np.int64), bounds[:-1]))
                 missing = np.flatnonzero(~known)
                 rare += np.split(token[missing], np.searchsorted(missing, bounds[1:-1]))
-            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n_tokens, n_known, base_sum, score_sum)]
-            lists = pa.array(rare, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row_hash"), batch.column("held_out"), *flat, lists], names=["doc_id", "row_hash", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                pairs += np.split(key[open_], np.searchsorted(open_, bounds[1:-1]))
+            flat = [pa.array(np.concatenate(z) if z else np.zeros(0, np.int64)) for z in (n_tokens, n_known, base_sum, score_sum)]
+            lists = [pa.array(z, pa.list_(pa.int64())) for z in (rare, pairs)]
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), rows, batch.column("held_out"), *flat, *lists], names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
 
     return run
 
@@ -204,20 +309,24 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     out_of_sample = F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_hash"), out_of_sample.alias("held_out"))
-    model, counts = learn(rows.filter(~F.col("held_out")), scratch)
-    traced = scratch.save(rows.select("doc_id", "row_hash", "held_out", "text").mapInArrow(_trace(model), _TRACED), "traced")
-    # rare tokens: as many rows as a document has distinct ones, joined to the counts' table
-    rare = traced.filter(F.size("rare") > 0).dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "row_hash", F.explode("rare").alias("token"))
-    held = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out_of_sample.alias("held_out"))
+    model, (counts, arcs) = learn(rows.filter(~F.col("held_out")), scratch)
+    traced = scratch.save(rows.select("doc_id", "held_out", "text").mapInArrow(_trace(model), _TRACED), "traced")
+    # rare tokens, which are contexts too, and rare pairs: joined to the tables of them
+    rare = traced.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("token"))
+    held = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("fail", F.coalesce("fail", F.lit(0.0)))
     log_base = F.log10((F.col("n") + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
     unknown = float(model.unigram(np.array([0]))[0])
     scale = (1 - 10**unknown) / max(1e-9, model.total - model.discount * model.distinct)
     log_one = F.when(F.col("n") > 0, F.log10((F.col("n") - model.discount) * scale)).otherwise(unknown)
     unit = lambda x: F.round(x / UNIT).cast("long")
-    more = held.groupBy("doc_id", "row_hash").agg(F.sum(unit(log_base)).alias("m_base"), F.sum(unit(log_one)).alias("m_score"), F.count_if(F.col("n") > 0).alias("m_known"))
-    more = more.select(F.col("doc_id").alias("m_doc"), F.col("row_hash").alias("m_hash"), "m_base", "m_score", "m_known")
-    found = traced.drop("rare").join(more, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("row_hash") == F.col("m_hash")), "left")
+    zero = F.lit(0).cast("long")
+    more = held.select("row", unit(log_base).alias("b"), (unit(log_one) + unit(F.col("fail"))).alias("s"), (F.col("n") > 0).cast("long").alias("k"))
+    if not model.whole:
+        open_pairs = traced.filter(F.size("pairs") > 0).select("row", F.explode("pairs").alias("key"))
+        more = more.union(open_pairs.join(arcs, "key").select("row", zero, unit(F.col("gain")), zero))
+    more = more.groupBy("row").agg(F.sum("b").alias("m_base"), F.sum("s").alias("m_score"), F.sum("k").alias("m_known"))
+    found = traced.drop("rare", "pairs").join(more, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return found.select("doc_id", "held_out", "n_tokens", plus("n_known", "m_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (plus("base", "m_base") * UNIT).alias("base_score"), (plus("score", "m_score") * UNIT).alias("score"))
 

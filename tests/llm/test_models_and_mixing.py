@@ -141,6 +141,41 @@ def test_language_model_matches_brute_force(spark, monkeypatch, hot):
         assert r.score == pytest.approx(sum(log_p(x, y) for x, y in zip(w, w[1:], strict=False)), abs=1e-3)
 
 
+@pytest.mark.parametrize(("hot", "arcs", "dense"), [(1 << 18, 1 << 20, 8), (12, 30, 4)])
+def test_language_model_counts_pairs_of_all_words(spark, monkeypatch, hot, arcs, dense):
+    """Pairs far beyond the most frequent 1024 words, with all of them in the model or most of them joined."""
+    for name, value in (("HOT", hot), ("ARCS", arcs), ("DENSE", dense)):
+        monkeypatch.setattr(language_model, name, value, raising=False)
+    rng = random.Random(6)
+    docs = [(k, " ".join(f"{x} then-{x}" for x in (rng.choice([f"w{j}" for j in range(1500)]) for _ in range(30)))) for k in range(300)]
+    docs += [(900, "the the the"), (901, None), (902, "unseen then-w1 w2"), (902, "unseen then-w1 w2")]
+    train = [["END", *lm_tokens(t)] for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    c = Counter(y for w in train for y in w[1:])
+    total, distinct = sum(c.values()), len(c)
+    discount = lambda n: min(0.95, max(0.05, n.count(1) / (n.count(1) + 2 * n.count(2))))
+    d1 = discount(list(c.values()))
+    unknown = max(d1 * distinct / total, 0.5 / (total + 1))
+    uni = lambda x: (1 - unknown) * (c[x] - d1) / (total - d1 * distinct) if c[x] else unknown
+    after = defaultdict(Counter)
+    for w in train:
+        for x, y in zip(w, w[1:], strict=False):
+            after[x][y] += 1
+    d2 = discount([n for f in after.values() for n in f.values()])
+
+    def log_p(x, y):
+        if x not in after:
+            return math.log10(uni(y))
+        f, n = after[x], sum(after[x].values())
+        arc = {z: (f[z] - d2) / n + d2 * len(f) / n * uni(z) for z in f}
+        return math.log10(arc[y] if y in arc else (1 - sum(arc.values())) / (1 - sum(uni(z) for z in f)) * uni(y))
+
+    want = {k: sum(log_p(x, y) for x, y in zip(["END", *lm_tokens(t)], lm_tokens(t), strict=False)) for k, t in docs}
+    got = score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs) and distinct > 2000
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-3)
+
+
 def test_language_model_learns_word_order(spark):
     rng = random.Random(9)
     docs = [(k, " ".join(f"{x} then-{x}" for x in rng.choices(WORDS[:30], k=20))) for k in range(200)]
