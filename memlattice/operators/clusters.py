@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,37 +12,45 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block that one task folds.
+#: Rows of a block that are compared with its seeds at a time.
 BLOCK = 2000
 
 
 def greedy(rows: DataFrame, block: list[str], text: str, order: str, threshold: float) -> DataFrame:
     """(block..., order, cluster): in order, each row joins the first seed whose words are similar enough, or becomes one.
 
-    A fold over a block; blocks of over BLOCK rows are dealt into parts by hash, each folded by itself.
+    A fold over a block in its order, whatever its size, that keeps only the seeds: rows come BLOCK at a time, and an
+    inverted index of the seeds' words names those that share any with a row.  One block is one task's work.
     """
-    sizes = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    dealt = rows.join(sizes, block).withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts"))).select(*block, "_part", order, text)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        seeds: list[tuple[frozenset, object]] = []
-        out = []
-        for value, key in zip(frame[text], frame[order], strict=True):
-            words = frozenset((value or "").lower().split())
-            for seed, name in seeds:
-                either = len(words | seed)
-                if either and len(words & seed) / either >= threshold:
-                    out.append(name)
-                    break
-            else:
-                seeds.append((words, key))
-                out.append(key)
-        return frame[[*block, order]].assign(cluster=out)
-
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*block, order]) + f", cluster {kinds[order]}"
-    return dealt.groupBy(*block, "_part").applyInPandas(fold, schema)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        seeds: list[tuple[int, object]] = []
+        index: dict[str, list[int]] = {}
+        for frame in batches:
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK]
+                out = []
+                for *name, value, key in part[[*block, text, order]].itertuples(index=False, name=None):
+                    name = tuple(None if pd.isna(x) else x for x in name)
+                    if held is None or name != held:
+                        held, seeds, index = name, [], {}
+                    words = frozenset((value or "").lower().split())
+                    shared = Counter(k for w in words for k in index.get(w, ())) if threshold > 0 else dict.fromkeys(range(len(seeds)), 0)
+                    fits = [k for k, n in shared.items() if (either := len(words) + seeds[k][0] - n) and n / either >= threshold]
+                    if fits:
+                        out.append(seeds[min(fits)][1])
+                        continue
+                    for w in words:
+                        index.setdefault(w, []).append(len(seeds))
+                    seeds.append((len(words), key))
+                    out.append(key)
+                yield part[[*block, order]].assign(cluster=out)
+
+    parts = rows.select(*block, order, text).repartition(*block).sortWithinPartitions(*block, order)
+    return parts.mapInPandas(fold, schema)
 
 
 def kmeans(vectors: DataFrame, size: int, seed: int = 7) -> DataFrame:

@@ -161,3 +161,8 @@ def test_plugins(spark):
     assert plugins.order_stages({"c": ["a", "b"], "b": ["a"], "a": []}) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         plugins.order_stages({"a": ["b"], "b": ["a"]})
+
+
+def test_greedy_clusters_of_a_large_block(spark):
+    df = spark.createDataFrame([("b", k, f"w{k % 2100} x{k % 2100}") for k in range(4200)], "block string, id long, t string")
+    assert all(r.cluster == r.id % 2100 for r in clusters.greedy(df, ["block"], "t", "id", 0.5).collect())
