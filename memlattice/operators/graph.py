@@ -251,21 +251,52 @@ def transitive_closure(edges: DataFrame, kind: str, max_rounds: int = 64) -> Dat
     return all_pairs.filter("src <> dst").join(e, ["src", "dst"], "left_anti")
 
 
+#: Edges of an adjacency that may travel to every task.
+ADJACENCY = 1_000_000
+
+
+def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(item_id, part): Brandes' sums by a join a level for all sources at once; a row for each source and node it reaches."""
+    rounds = Rounds(pairs.sparkSession)
+    ways = rounds.save(pairs)
+    levels = [rounds.save(nodes.select(F.col("item_id").alias("s"), F.col("item_id").alias("v"), F.lit(1.0).alias("paths")).distinct())]
+    seen = levels[0].select("s", "v")
+    while True:
+        step = levels[-1].join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        new = rounds.save(step.join(seen, ["s", "v"], "left_anti"))
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.union(new.select("s", "v"))
+    lean = levels[-1].withColumn("lean", F.lit(0.0))
+    total = lean.select("v", "lean").limit(0)
+    for k in range(len(levels) - 1, 0, -1):
+        total = total.union(lean.select("v", "lean"))
+        share = lean.join(ways, F.col("v") == F.col("dst")).groupBy("s", F.col("src").alias("v")).agg(F.sum((1 + F.col("lean")) / F.col("paths")).alias("share"))
+        lean = rounds.save(levels[k - 1].join(share, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("share", F.lit(0.0)) * F.col("paths")).alias("lean")))
+    return total.groupBy(F.col("v").alias("item_id")).agg(F.sum("lean").alias("part"))
+
+
 def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(item_id, betweenness) of a directed graph, normalised: Brandes' method over partitions of the source nodes.
 
-    The adjacency travels to every task, so it must be small: 1,000,000 edges at most, else ValueError.
+    An adjacency of at most ADJACENCY edges travels to every task; a larger one is joined, level by level.
     """
     pairs = edges.select("src", "dst").distinct()
-    if pairs.limit(1_000_001).count() > 1_000_000:
-        raise ValueError("betweenness holds the adjacency in every task; this graph has over 1,000,000 edges")
+    small = pairs.limit(ADJACENCY + 1).count() <= ADJACENCY
     spark = edges.sparkSession
+    n = nodes.count()
+    scale = 1.0 / max(1, (n - 1) * (n - 2))
+    parts = _betweenness_in_tasks(spark, pairs, nodes) if small else _betweenness_by_joins(pairs, nodes)
+    return nodes.select("item_id").join(parts, "item_id", "left").select("item_id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _betweenness_in_tasks(spark: SparkSession, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     out: dict = {}
     for r in pairs.collect():
         out.setdefault(r["src"], []).append(r["dst"])
     shared = spark.sparkContext.broadcast(out)
-    n = nodes.count()
-    kind = edges.schema["src"].dataType.simpleString()
+    kind = pairs.schema["src"].dataType.simpleString()
 
     def run(frames):
         import pandas as pd
@@ -292,9 +323,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                         total[w] = total.get(w, 0.0) + lean[w]
         yield pd.DataFrame({"item_id": list(total), "part": list(total.values())})
 
-    parts = nodes.select("item_id").distinct().mapInPandas(run, f"item_id {kind}, part double").groupBy("item_id").agg(F.sum("part").alias("part"))
-    scale = 1.0 / max(1, (n - 1) * (n - 2))
-    return nodes.select("item_id").join(parts, "item_id", "left").select("item_id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+    return nodes.select("item_id").distinct().mapInPandas(run, f"item_id {kind}, part double").groupBy("item_id").agg(F.sum("part").alias("part"))
 
 
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:

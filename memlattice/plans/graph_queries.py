@@ -300,10 +300,15 @@ def graph_simple_paths(t: Tables) -> DataFrame:
     return g.simple_paths(t.edges.filter("edge_type = 'LOCATED_IN'"), "c:1", HUB, 3)
 
 
+@query("graph_simple_paths_all")
+def graph_simple_paths_all(t: Tables) -> DataFrame:
+    """As graph_simple_paths, over every edge and to the reference's cutoff of five hops."""
+    return g.simple_paths(t.edges, "c:1", HUB, 5)
+
+
 @query("graph_betweenness")
 def graph_betweenness(t: Tables) -> DataFrame:
-    places = t.nodes.filter("memory_type in ('nation', 'region')")
-    return g.betweenness(g.both_ways(g.insert_edges(t.edges, places)), places)
+    return g.betweenness(t.edges, t.nodes)
 
 
 @query("graph_communities")

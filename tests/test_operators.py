@@ -166,3 +166,36 @@ def test_plugins(spark):
 def test_greedy_clusters_of_a_large_block(spark):
     df = spark.createDataFrame([("b", k, f"w{k % 2100} x{k % 2100}") for k in range(4200)], "block string, id long, t string")
     assert all(r.cluster == r.id % 2100 for r in clusters.greedy(df, ["block"], "t", "id", 0.5).collect())
+
+
+@pytest.mark.parametrize("adjacency", [0, 1_000_000])
+def test_betweenness_of_any_size(spark, monkeypatch, adjacency):
+    """A>B>D, A>C>D, D>F and D>A: B and C lie on half of what passes them, with the adjacency in tasks and joined."""
+    monkeypatch.setattr(graph, "ADJACENCY", adjacency, raising=False)
+    edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "F"), ("D", "A")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "ABCDEF"], "item_id string")
+    got = {r.item_id: r.betweenness * 20 for r in graph.betweenness(edges, nodes).collect()}
+    assert got == pytest.approx({"A": 4.0, "B": 1.0, "C": 1.0, "D": 7.0, "E": 0.0, "F": 0.0})
+
+
+def test_graph_queries_take_the_whole_graph(spark):
+    from memlattice.plans import catalogue
+    from memlattice.sources.tables import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    nodes = {r.item_id for r in t.nodes.collect()}
+    got = catalogue.QUERIES["graph_betweenness"](spark, sf).collect()
+    assert len(got) == len(nodes) and {r.item_id for r in got} == nodes
+    assert any(r.betweenness > 0 for r in got if r.item_id.startswith("p:"))
+    ways = {}
+    for r in t.edges.collect():
+        ways.setdefault(r.src, set()).add(r.dst)
+        ways.setdefault(r.dst, set()).add(r.src)
+    found, open_ = set(), [("c:1",)]
+    for _ in range(5):
+        open_ = [(*p, x) for p in open_ for x in ways[p[-1]] if x not in p]
+        found |= {">".join(p) for p in open_ if p[-1] == "n:7"}
+        open_ = [p for p in open_ if p[-1] != "n:7"]
+    paths = [r.path for r in catalogue.QUERIES["graph_simple_paths_all"](spark, sf).collect()]
+    assert len(paths) == len(set(paths)) and set(paths) == found
