@@ -329,6 +329,13 @@ def graph_tag_link_build(t: Tables) -> DataFrame:
     return pairs.select("src", "dst", F.lit("SHARED_TAG").alias("edge_type")).distinct()
 
 
+@query("graph_tag_hubs", "SELECT item_id, tag, n FROM (SELECT item_id, tag, count(*) OVER (PARTITION BY tag) AS n FROM tags) WHERE n >= 2", "tags")
+def graph_tag_hubs(t: Tables) -> DataFrame:
+    """The links by every shared tag, however many items hold it: each item's link to the tag; items of one tag are linked."""
+    shared = t.tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return t.tags.join(shared, "tag").select("item_id", "tag", "n")
+
+
 @query("graph_tag_subgraph", "SELECT src, dst FROM edges WHERE edge_type = 'CONTAINS' AND dst IN (SELECT 'p:'||item_id FROM tags WHERE tag = (SELECT max(tag) FROM tags))", "edges tags")
 def graph_tag_subgraph(t: Tables) -> DataFrame:
     tagged = t.tags.join(t.tags.agg(F.max("tag").alias("tag")), "tag", "left_semi").select(F.concat(F.lit("p:"), F.col("item_id").cast("string")).alias("dst"))

@@ -199,3 +199,13 @@ def test_graph_queries_take_the_whole_graph(spark):
         open_ = [p for p in open_ if p[-1] != "n:7"]
     paths = [r.path for r in catalogue.QUERIES["graph_simple_paths_all"](spark, sf).collect()]
     assert len(paths) == len(set(paths)) and set(paths) == found
+
+
+def test_tag_hubs_link_all_items_of_a_tag(spark, tmp_path):
+    from memlattice.plans import catalogue
+
+    spark.createDataFrame([(k, f"hot w{k % 40}" if k < 60 else f"own{k}") for k in range(61)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    held = {}
+    for r in catalogue.QUERIES["graph_tag_hubs"](spark, str(tmp_path)).collect():
+        held.setdefault(r.tag, set()).add(r.item_id)
+    assert held["hot"] == set(range(60)) and held["w3"] == {3, 43} and "own60" not in held and "w30" not in held
