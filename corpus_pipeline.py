@@ -35,8 +35,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"), "contaminated")
+    """Documents that hold passages of the benchmark go, by doc_id (null too) and text."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed=True).filter("contaminated")
+    gone = Scratch(spark, "contaminated").save(found.select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_text")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & F.xxhash64("text").eqNullSafe(F.col("g_text"))
+    return docs.join(broadcast_if_small(gone), same, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

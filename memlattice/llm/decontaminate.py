@@ -96,13 +96,13 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, l
     return near.filter(F.col("n_terms") >= least)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keyed: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (sorted item_ids as text), contaminated.
 
     Words are lower-cased by A-Z only.  n_hit counts the words inside any occurrence of a window; a document is
     contaminated if a twentieth of its words or more are hit.  Null and empty texts have no words; null items none
     either; items with a null item_id hit words but are not listed.  Rows that repeat doc_id and text get equal
-    results; other columns are ignored.
+    results; other columns are ignored.  keyed adds text_hash, which tells rows of one doc_id apart.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     matches = scratch.save(exact_matches(docs, benchmark, window, scratch), "matches")
@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     words = docs.select(*text_key(), F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = words.join(found, words["doc_id"].eqNullSafe(F.col("f_doc")) & (words["text_hash"] == F.col("f_text")), "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", *(["text_hash"] if keyed else []), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

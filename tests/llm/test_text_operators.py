@@ -175,6 +175,16 @@ def test_contamination_of_awkward_tables(spark):
     assert contamination(docs.limit(0), one).count() == 0
 
 
+def test_pipeline_removes_contaminated_rows_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (7, item), (7, "also clean"), (8, None)], "doc_id long, text string")
+    left = {tuple(r) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert left == {(None, "clean"), (7, "also clean"), (8, None)}
+
+
 def test_exact_and_proximity_matches_give_places(spark):
     bench = spark.createDataFrame([(7, " ".join(f"term{k}" for k in range(20)))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b " + " ".join(f"term{k}" for k in range(15))), (2, " ".join(f"term{k}" for k in reversed(range(20))))], "doc_id long, text string")
