@@ -47,8 +47,8 @@ def temporal_proximity(seconds: Column) -> Column:
         F.when(seconds < 60, 0.95)
         .when(seconds < 3600, 0.8 * F.exp(-seconds / 1800.0))
         .when(seconds < 86400, 0.6 * F.exp(-(seconds - 3600.0) / 7200.0))
-        .when(seconds < 604800, 0.3 * F.exp(-(seconds - 86400.0) / 86400.0))
-        .otherwise(0.1 * F.exp(-(seconds - 604800.0) / 604800.0))
+        .when(seconds < 604800, 0.3 * F.exp(-(seconds - 86400.0) / 172800.0))
+        .otherwise(0.1 * F.exp(-(seconds - 604800.0) / 1209600.0))
     )
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .literals import LITERALS
+
 #: The instant that ages are measured from; the events end the day before.
 AS_OF = "2024-01-31 00:00:00"
 
@@ -33,7 +35,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = LITERALS[name].frame(self.spark) if name in LITERALS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         self.__dict__[name] = df
         return df
 
@@ -110,6 +112,19 @@ class Tables:
         """Words of part names as tags of parts."""
         return self.part.select(F.col("p_partkey").alias("item_id"), F.explode(F.filter(F.split(F.lower("p_name"), r"\s+"), lambda x: x != "")).alias("tag")).distinct()
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pairs of memories: told ones, and parts with the next part."""
+        p = self.part
+        q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), *[F.col(c).alias(f"q_{c[2:]}") for c in ("p_name", "p_type", "p_brand", "p_size", "p_retailprice")])
+        at = lambda c: F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col(c))
+        made = p.join(q, "p_partkey").select(
+            (F.col("p_partkey") + 1000).alias("pair_id"), F.col("p_name").alias("a"), F.col("q_name").alias("b"), at("p_size").alias("ta"), at("q_size").alias("tb"), F.col("p_type").alias("type_a"), F.col("q_type").alias("type_b"),
+            F.split("p_name", " ").alias("tags_a"), F.split("q_name", " ").alias("tags_b"), F.col("p_brand").alias("cat_a"), F.col("q_brand").alias("cat_b"), (F.col("p_retailprice") / 3000).alias("conf_a"), (F.col("q_retailprice") / 3000).alias("conf_b"),
+            F.array("p_brand").alias("near_a"), F.array("q_brand").alias("near_b"),
+        )
+        return self.told_pairs.unionByName(made)
+
     @cached_property
     def retrievals(self) -> DataFrame:
         return self.events.select("user_id", F.date_trunc("day", "ts").alias("day"), "event_type", "value", "ts", "event_id")
@@ -140,5 +155,10 @@ SELECT o_orderkey AS decision_id, o_custkey AS owner, o_orderpriority AS domain,
        CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'superseded' ELSE 'pending' END AS status,
        least(1.0::DOUBLE, o_totalprice / 500000.0::DOUBLE) AS confidence, (o_orderkey % 4)::INT AS supporting, (o_orderkey % 3)::INT AS contradicting, o_orderdate AS created_at FROM orders"""),
     "tags": ("", r"SELECT DISTINCT p_partkey AS item_id, unnest(list_filter(regexp_split_to_array(lower(p_name), '\s+'), lambda x: x <> '')) AS tag FROM part"),
+    "pairs": ("told_pairs", """
+SELECT * FROM told_pairs UNION ALL SELECT p.p_partkey + 1000, p.p_name, q.p_name, TIMESTAMP '2024-01-01' + p.p_size * INTERVAL 1 HOUR, TIMESTAMP '2024-01-01' + q.p_size * INTERVAL 1 HOUR, p.p_type, q.p_type,
+  string_split(p.p_name, ' '), string_split(q.p_name, ' '), p.p_brand, q.p_brand, p.p_retailprice / 3000, q.p_retailprice / 3000, [p.p_brand], [q.p_brand] FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1"""),
     "retrievals": ("", "SELECT user_id, date_trunc('day', ts) AS day, event_type, value, ts, event_id FROM events"),
 }
+
+PRELUDE |= {name: ("", table.sql) for name, table in LITERALS.items()}
