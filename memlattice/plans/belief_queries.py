@@ -51,7 +51,7 @@ def belief_stability(t: Tables) -> DataFrame:
 
 
 @query("belief_temporal_proximity", """
-SELECT user_id, event_id, round(CASE WHEN s < 60 THEN 0.95 WHEN s < 3600 THEN 0.8 * exp(-s / 1800) WHEN s < 86400 THEN 0.6 * exp(-(s - 3600) / 7200) WHEN s < 604800 THEN 0.3 * exp(-(s - 86400) / 86400) ELSE 0.1 * exp(-(s - 604800) / 604800) END, 6) AS score
+SELECT user_id, event_id, round(CASE WHEN s < 60 THEN 0.95 WHEN s < 3600 THEN 0.8 * exp(-s / 1800) WHEN s < 86400 THEN 0.6 * exp(-(s - 3600) / 7200) WHEN s < 604800 THEN 0.3 * exp(-(s - 86400) / 172800) ELSE 0.1 * exp(-(s - 604800) / 1209600) END, 6) AS score
 FROM (SELECT user_id, event_id, epoch(ts)::DOUBLE - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS s FROM events) WHERE s IS NOT NULL""")
 def belief_temporal_proximity(t: Tables) -> DataFrame:
 

@@ -104,36 +104,15 @@ def text_character_chunks(t: Tables) -> DataFrame:
 POS, NEG = (", ".join(f"'{x}'" for x in xs) for xs in (tx.POSITIVE, tx.NEGATIVE))
 
 
-@query("text_sentiment", f"""
-SELECT turn_id, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 6) ELSE 0.0 END AS score FROM (
- SELECT conv_id * 1000 + turn AS turn_id, len(list_filter(w, lambda x: x IN ({POS}))) AS p, len(list_filter(w, lambda x: x IN ({NEG}))) AS n
- FROM (SELECT conv_id, turn, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM conversations))""")
+@query("text_sentiment", rf"""
+SELECT turn_id, score, CASE WHEN score >= 0.05 THEN 'positive' WHEN score <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM (
+SELECT turn_id, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 6) ELSE 0.0 END::DOUBLE AS score FROM (
+ SELECT turn_id, len(list_filter(w, lambda x: x IN ({POS}))) AS p, len(list_filter(w, lambda x: x IN ({NEG}))) AS n
+ FROM (SELECT turn_id, list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: trim(x, '.,!?;:''()[]{{}}-')) AS w FROM (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations UNION ALL SELECT -note_id, content FROM notes))))""", "notes")
 def text_sentiment(t: Tables) -> DataFrame:
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.round(tx.sentiment(F.col("text")), 6).alias("score"))
-
-
-@query("text_should_challenge", r"""
-SELECT item_id, CASE WHEN memory_type NOT IN ('semantic', 'episodic') THEN FALSE WHEN regexp_matches(content, '(?i)^\s*(maybe|perhaps|i think)') THEN FALSE
-  WHEN regexp_matches(content, '(?i)\b(is|was|are|has)\b') THEN TRUE WHEN len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) < 4 THEN FALSE ELSE source = 'src0' END AS challenge FROM items""", "items")
-def text_should_challenge(t: Tables) -> DataFrame:
-    c = F.col("content")
-    out = (
-        F.when(~F.col("memory_type").isin("semantic", "episodic"), False)
-        .when(c.rlike(r"(?i)^\s*(maybe|perhaps|i think)"), False)
-        .when(c.rlike(r"(?i)\b(is|was|are|has)\b"), True)
-        .when(F.size(tx.words(c)) < 4, False)
-        .otherwise(F.col("source") == "src0")
-    )
-    return t.items.select("item_id", out.alias("challenge"))
-
-
-@query("text_query_type", r"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(^|\s)(and|y|und|et)\s.*\s(or|o|oder|ou)\s') THEN 'hybrid' WHEN regexp_matches(text, '(?i)(^|\s)(about|like|similar|with|mit)\s') THEN 'semantic'
-  WHEN regexp_matches(text, '(?i)(^|\s)(id|type|tag|count|of|de)\s') THEN 'symbolic' ELSE 'semantic' END AS query_type FROM conversations""")
-def text_query_type(t: Tables) -> DataFrame:
-    c = F.col("text")
-    kind = F.when(c.rlike(r"(?i)(^|\s)(and|y|und|et)\s.*\s(or|o|oder|ou)\s"), "hybrid").when(c.rlike(r"(?i)(^|\s)(about|like|similar|with|mit)\s"), "semantic").when(c.rlike(r"(?i)(^|\s)(id|type|tag|count|of|de)\s"), "symbolic").otherwise("semantic")
-    return t.conversations.select("conv_id", "turn", kind.alias("query_type"))
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text").union(t.notes.select(-F.col("note_id"), "content"))
+    scored = rows.select("turn_id", F.round(tx.sentiment(F.col("text")), 6).alias("score"))
+    return scored.withColumn("label", F.when(F.col("score") >= 0.05, "positive").when(F.col("score") <= -0.05, "negative").otherwise("neutral"))
 
 
 @query("text_topics", r"""
