@@ -94,3 +94,28 @@ def route(events: DataFrame, triggers: DataFrame) -> DataFrame:
     exact = events.join(t.filter("t_type is not null"), (F.col("memory_type") == F.col("t_type")) & (F.col("operation") == F.col("t_op")))
     every = events.join(t.filter("t_type is null"), F.col("operation") == F.col("t_op"))
     return exact.select("event_id", "evolver").union(every.select("event_id", "evolver")).distinct()
+
+
+def governance_violations(entities: DataFrame, relations: DataFrame, needs: DataFrame, known: DataFrame) -> DataFrame:
+    """(item_id, violation, severity, fixable) of entities (item_id, entity_type, props) by needs (entity_type, property) and of
+    relations (item_id, relation) by known (relation); the ontology's tables are joined by equality, whatever their size."""
+    kinds = needs.select("entity_type").distinct()
+    unknown = entities.join(kinds, "entity_type", "left_anti").select("item_id", F.lit("unknown_entity_type").alias("violation"), F.lit("medium").alias("severity"), F.lit(False).alias("fixable"))
+    lacking = entities.join(needs, "entity_type").filter(F.try_element_at("props", F.col("property")).isNull())
+    lacking = lacking.select("item_id", F.concat(F.lit("missing_property:"), "property"), F.lit("high"), F.lit(True))
+    strange = relations.join(known, "relation", "left_anti").select("item_id", F.concat(F.lit("unknown_relation:"), "relation"), F.lit("medium"), F.lit(False))
+    return unknown.union(lacking).union(strange)
+
+
+# The types of memory.
+MEMORY_TYPES = ["semantic", "episodic", "procedural", "zettel", "working", "decision", "reasoning"]
+
+
+def item_issues(content: Column, memory_type: Column, confidence: Column, decision_id: Column, trace_id: Column) -> Column:
+    """array<struct<severity, field>>: blank content, unknown type, confidence out of range, a missing id of a decision or trace."""
+    issue = lambda when, severity, field: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(field).alias("field")))
+    kind = F.coalesce(memory_type, F.lit(""))
+    return F.array_compact(F.array(
+        issue(F.coalesce(F.trim(content), F.lit("")) == "", "error", "content"), issue(~kind.isin(MEMORY_TYPES), "warning", "memory_type"), issue(~confidence.between(0, 1), "error", "confidence"),
+        issue((kind == "decision") & decision_id.isNull(), "warning", "decision_id"), issue((kind == "reasoning") & trace_id.isNull(), "warning", "trace_id"),
+    ))

@@ -120,7 +120,7 @@ LITERALS: dict[str, Literal] = {
     ),
     # cases around the merging of properties
     "records": Literal(
-        "rec_id string, props map<string,string>, at timestamp_ntz",
+        "rec_id string, props map<string,string>, seen timestamp_ntz",
         (
             ("a", {"name": "alpha", "size": "1", "tag": "x"}, "2024-01-01 00:00:00"), ("a", {"size": "2", "colour": "red"}, "2024-01-02 00:00:00"), ("a", {"colour": "blue", "tag": "y"}, "2024-01-03 00:00:00"), ("b", {"name": "beta"}, "2024-01-01 00:00:00"), ("c", {}, "2024-01-01 00:00:00"), ("c", {"k": "v"}, "2024-01-05 00:00:00"),
         ),
