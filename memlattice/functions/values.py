@@ -83,25 +83,24 @@ def flatten_json(doc: Column, depth: int = 5, sep: str = "__") -> Column:
     return flat
 
 
-def unflatten_json(flat: Column, sep: str = "__") -> Column:
-    """The JSON text of nested objects, keys in order, from a map of joined keys and string leaves; Arrow-batched, as depths are open."""
+def unflatten_json(rows: DataFrame, key: str, flat: str, sep: str = "__") -> DataFrame:
+    """(key, doc): the JSON text of nested objects, keys in order, from a JSON text of joined keys and string leaves; Arrow-batched."""
 
-    def nested(pairs: dict[str, str] | list[tuple[str, str]]) -> str:
+    def nested(text: str) -> str:
         out: dict = {}
-        for key, value in sorted(dict(pairs).items()):
-            *path, leaf = key.split(sep)
+        for name, value in sorted(json.loads(text).items()):
+            *path, leaf = name.split(sep)
             at = out
             for part in path:
                 at = at.setdefault(part, {})
             at[leaf] = value
         return json.dumps(out, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(nested, na_action="ignore")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({key: frame[key], "doc": frame[flat].map(nested, na_action="ignore")})
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(flat)
+    return rows.select(key, flat).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, doc string")
 
 
 def merge_metadata(base: Column, more: Column) -> Column:

@@ -78,11 +78,11 @@ def page_metadata(t: Tables) -> DataFrame:
     return rows.select("page_id", pg.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
 
 
-@query("page_titles", r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages WHERE NOT regexp_matches(html, '(?i)og:title|twitter:title|&[a-z#0-9]+;') AND len(regexp_extract_all(html, '(?i)<title')) <= 1  AND NOT regexp_matches(html, '(?i)<svg')")
+@query("page_titles", r"SELECT page_id, trim(regexp_extract(html, '<title>([^<&]+)</title>', 1)) AS title FROM pages WHERE regexp_matches(html, '<head>.*<title>[^<&]+</title>') AND NOT regexp_matches(html, '(?i)<meta[^>]*(og|twitter):title')")
 def page_titles(t: Tables) -> DataFrame:
-    """The head's title of the pages whose title SQL can read too."""
-    plain = t.pages.filter(~F.col("html").rlike("(?i)og:title|twitter:title|&[a-z#0-9]+;") & (F.regexp_count("html", F.lit("(?i)<title")) <= 1) & ~F.col("html").rlike("(?i)<svg"))
-    return plain.select("page_id", pg.metadata(F.col("html"), F.col("url"))["title"].alias("title"))
+    """The titles of the pages whose head SQL can read too: without entities and without Open Graph or Twitter ones."""
+    plain = t.pages.filter(F.col("html").rlike("<head>.*<title>[^<&]+</title>") & ~F.col("html").rlike("(?i)<meta[^>]*(og|twitter):title"))
+    return plain.select("page_id", F.trim(pg.metadata(F.col("html"), F.col("url"))["title"]).alias("title"))
 
 
 @query("page_entities", "SELECT * FROM (VALUES (2::BIGINT, 'PERSON:Ada'), (2, 'ORG:Acme'), (2, 'ORG:Pub'), (3, 'PERSON:Bob')) v(page_id, entity)")
@@ -144,7 +144,8 @@ def value_flatten(t: Tables) -> DataFrame:
 
 @query("value_unflatten", "SELECT * FROM (VALUES (1::BIGINT, '{\"a\":\"1\",\"b\":{\"c\":\"x\",\"d\":{\"e\":\"true\"}}}'), (3, '{\"k\":\"[1,2]\",\"m\":{\"n\":\"0.5\"}}')) v(id, doc)")
 def value_unflatten(t: Tables) -> DataFrame:
-    return t.folded.filter("id <> 2").select("id", vl.unflatten_json(vl.flatten_json(F.col("doc"))).alias("doc"))
+    flat = t.folded.filter("id <> 2").select("id", F.to_json(vl.flatten_json(F.col("doc"))).alias("flat"))
+    return vl.unflatten_json(flat, "id", "flat")
 
 
 @query("value_metadata_merge", """
