@@ -44,11 +44,11 @@ def upsert_latest(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New edges replace old ones of the same (src, dst, edge_type); null validity keeps the old value."""
+    """New edges replace old ones of the same (src, dst, edge_type); null validity keeps the old value.  One shuffle, no join."""
     key = ["src", "dst", "edge_type"]
-    n = new.select(*key, F.col("valid_from").alias("nf"), F.col("valid_to").alias("nt"), F.lit(True).alias("hit"))
-    both = old.join(n, key, "full")
-    return both.select(*key, F.coalesce("nf", "valid_from").alias("valid_from"), F.coalesce("nt", "valid_to").alias("valid_to"))
+    rows = old.select(*key, "valid_from", "valid_to", F.lit(0).alias("k")).unionByName(new.select(*key, "valid_from", "valid_to", F.lit(1).alias("k")))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("k", c))).alias(c)
+    return rows.groupBy(*key).agg(latest("valid_from"), latest("valid_to"))
 
 
 def insert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def write_upsert_node(t: Tables) -> DataFrame:
 
 
 @query("write_upsert_edge", """
-SELECT src, dst, edge_type, coalesce(n.valid_from, o.valid_from) AS valid_from, coalesce(n.valid_to, o.valid_to) AS valid_to
-FROM edges o FULL JOIN (SELECT src, dst, edge_type, CASE WHEN edge_type = 'PLACED_BY' THEN valid_to END AS valid_from, NULL::TIMESTAMP AS valid_to FROM edges WHERE edge_type = 'PLACED_BY') n USING (src, dst, edge_type)""", "edges")
+WITH legs AS (SELECT *, 0 AS k FROM edges UNION ALL SELECT src, dst, edge_type, valid_to, NULL, 1 FROM edges WHERE edge_type = 'PLACED_BY')
+SELECT src, dst, edge_type, coalesce(max(valid_from) FILTER (WHERE k = 1), max(valid_from) FILTER (WHERE k = 0)) AS valid_from, coalesce(max(valid_to) FILTER (WHERE k = 1), max(valid_to) FILTER (WHERE k = 0)) AS valid_to FROM legs GROUP BY 1, 2, 3""", "edges")
 def write_upsert_edge(t: Tables) -> DataFrame:
     new = t.edges.filter("edge_type = 'PLACED_BY'").withColumn("valid_from", F.col("valid_to")).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
     return g.upsert_edges(t.edges, new)
