@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, binaries, broadcast_if_small, hash_batch, hash_words, mix, shingle_hashes
+from .common import BROADCAST_ROWS, Scratch, binaries, broadcast_if_small, hash_batch, hash_words, mix, shingle_hashes
 from .components import components
 
 #: Minwise tokens of a document; paths choose among them.
@@ -21,11 +23,15 @@ BINS = 512
 DENSE = 4
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Nodes of more documents branch further.
-NODE = 1024
+NODE = 2048
 #: Levels of branching below the first; larger nodes left then are compared block by block, each block with each.
 DEPTH = 5
-#: How far below the threshold a sketch may lie: over three standard deviations of it.
-SLACK = 0.06
+#: Levels that documents of large nodes branch on at once, before nodes are counted again.
+STRIDE = 3
+#: How far below the threshold a sketch may lie: four standard deviations of it at 0.8, so 3 in 100,000 pairs there are lost.
+SLACK = 0.07
+#: Times that a large node's documents are linked to one of them, and the documents that stand for a node in choosing it.
+STARS, SAMPLE = 2, 256
 #: Best partners that a document names in a node in the first round; the second round takes the rest.
 PARTNERS = 4
 
@@ -93,41 +99,117 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _first_level(trees: int, threshold: float, first: int = 0) -> Callable:
-    """Rows of documents to rows of the first level's nodes of so many trees from the first on."""
+def _first_level(trees: int, threshold: float, first: int = 0, levels: int = 1) -> Callable:
+    """Rows of documents to rows of their nodes, `levels` down, of so many trees from the first on."""
     roots = mix(np.arange(first, first + trees, dtype=np.uint64) + np.uint64(77))
     tree, token = np.nonzero(_chosen(roots, 0, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
-            nodes = _children(roots[tree][None, :], token[None, :], values[:, token])
-            rep = np.repeat(batch.column("rep").to_numpy(), len(token))
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(nodes.ravel().view(np.int64))], names=["rep", "node"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                values = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
+                nodes = _children(roots[tree][None, :], token[None, :], values[:, token]).ravel()
+                yield _branched(batch, np.repeat(np.arange(batch.num_rows), len(token)), nodes, values, 1, levels - 1, threshold)
 
     return run
 
 
-def _next_level(level: int, threshold: float) -> Callable:
+#: Documents that branch at once.
+_ROWS = 2048
+
+
+def _branched(batch: pa.RecordBatch, row: np.ndarray, node: np.ndarray, values: np.ndarray, level: int, levels: int, threshold: float) -> pa.RecordBatch:
+    for k in range(level, level + levels):
+        of, token = np.nonzero(_chosen(node, k, threshold))
+        row = row[of]
+        node = _children(node[of], token, values[row, token])
+    return pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[row]), pa.array(node.view(np.int64))], names=["rep", "node"])
+
+
+def _next_level(level: int, threshold: float, levels: int = 1) -> Callable:
+    """Rows of nodes with their documents' tokens to rows of the nodes `levels` further down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8 * _ROWS):
+                batch = whole.slice(at, 8 * _ROWS)
+                values = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
+                yield _branched(batch, np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64), values, level, levels, threshold)
+
+    return run
+
+
+def _split(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of 2 to NODE documents as (node, reps), and rows (node, rep) of larger ones.
+
+    The names of large nodes are fewer by NODE than the rows; once their rows are set aside, no node fills a task.
+    """
+    rows = scratch.save(nodes, f"{name}-rows")
+    names = scratch.save(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NODE).select("node"), f"{name}-names")
+    crowded = broadcast_if_small(names)
+    large = scratch.save(rows.join(crowded, "node", "left_semi"), f"{name}-large")
+    packed = rows.join(crowded, "node", "left_anti").groupBy("node").agg(F.collect_list("rep").alias("reps")).filter(F.size("reps") > 1)
+    small = scratch.save(packed, f"{name}-small")
+    scratch.drop(f"{name}-rows", f"{name}-names")
+    return small, large
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (node, rep) with the label of the component that each document is known to be in: itself, if none."""
+    if labels is None:
+        return rows.select("node", "rep", F.col("rep").alias("label"))
+    return rows.select("node", "rep").join(broadcast_if_small(labels), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+
+
+def _census(rows: DataFrame) -> DataFrame:
+    """(node, outside, top): nodes with several labels, their commonest one, and how many documents have another."""
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
+    nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
+    return nodes.select("node", (F.col("n") - F.col("most.k")).alias("outside"), F.col("most.label").alias("top")).filter("outside > 0")
+
+
+def _common_sketch(rows: pa.Table) -> pa.Table:
+    """What most of a node's sketches hold in each bin."""
+    sketch = _matrix(rows.column("sketch").combine_chunks(), np.uint8)
+    common = np.array([np.bincount(column).argmax() for column in sketch.T], np.uint8)
+    return pa.table({"node": rows.column("node").slice(0, 1), "common": pa.array([common.tobytes()], pa.binary())})
+
+
+def _agreement(name_a: str, name_b: str, keep: tuple[str, ...]) -> Callable:
+    """Rows with two sketches to the columns to keep and the estimated similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column("node").to_numpy().view(np.uint64)
-            row, token = np.nonzero(_chosen(node, level, threshold))
-            values = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
-            nodes = _children(node[row], token, values[row, token])
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[row]), pa.array(nodes.view(np.int64))], names=["rep", "node"])
+            if batch.num_rows:
+                a, b = (_matrix(batch.column(k), np.uint8) for k in (name_a, name_b))
+                same, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(same / np.maximum(1, either))], names=[*keep, "similarity"])
 
     return run
 
 
-def _sized(nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Members of nodes with two documents or more, with the node's size n."""
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return scratch.save(nodes.join(counts, "node"), name)
+def _star_pairs(large: DataFrame, labels: DataFrame | None, sketches: DataFrame, least: float, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs a < b of a large node's documents with the one that is nearest to what most of its sketches hold.
+
+    Documents of the node's commonest label take no part, once there are labels.  In a crowd of near copies that one is
+    the original, or near all others; linked to it, they need no comparison with each other.
+    """
+    rows = _labelled(large, labels)
+    if labels is not None:
+        rows = rows.join(broadcast_if_small(scratch.save(_census(rows), f"{name}-census")), "node").filter("label <> top")
+    rows = scratch.save(rows.select("node", "rep").join(sketches, "rep"), f"{name}-members")
+    nth = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("rep"), "rep"))
+    common = rows.withColumn("nth", nth).filter(F.col("nth") <= SAMPLE).groupBy("node").applyInArrow(_common_sketch, "node long, common binary")
+    common = broadcast_if_small(scratch.save(common, f"{name}-common"), BROADCAST_ROWS // 16)
+    nearness = rows.join(common, "node").mapInArrow(_agreement("sketch", "common", ("node", "rep")), "node long, rep long, similarity double")
+    centre = nearness.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("rep")).alias("least"))).alias("best")).select("node", (-F.col("best.least")).alias("centre"))
+    centre = scratch.save(centre, f"{name}-centres")
+    of_centre = sketches.select(F.col("rep").alias("centre"), F.col("sketch").alias("of_centre"))
+    known = scratch.save(of_centre.join(broadcast_if_small(centre.select("centre").distinct()), "centre", "left_semi"), f"{name}-centre-sketches")
+    pairs = rows.join(broadcast_if_small(centre), "node").filter("rep <> centre").select("centre", "rep", "sketch").dropDuplicates(["centre", "rep"])
+    pairs = pairs.join(broadcast_if_small(known, BROADCAST_ROWS // 16), "centre").mapInArrow(_agreement("sketch", "of_centre", ("centre", "rep")), "centre long, rep long, similarity double")
+    return scratch.save(pairs.filter(F.col("similarity") >= least).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), f"{name}-pairs")
 
 
 def _similar(sketch: np.ndarray) -> np.ndarray:
@@ -153,6 +235,9 @@ def _comparer(least: float, partners: int | None) -> Callable:
     """
 
     def compare(name: int, node: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+        label = np.array([x[2] for x in node])
+        if (label == label[0]).all():
+            return
         rep = np.array([x[0] for x in node])
         sketch = np.frombuffer(b"".join(x[1] for x in node), np.uint8).reshape(len(node), -1)
         near = _similar(sketch)
@@ -166,11 +251,10 @@ def _comparer(least: float, partners: int | None) -> Callable:
         if not partners:
             if partners == 0:
                 best[:] = False
-            label = np.array([x[2] for x in node])
             chosen = (near >= 0) & ~(best | best.T) & (label[:, None] != label[None, :])
             more = np.zeros(len(node), bool)
         else:
-            chosen, more = best | best.T, (near >= 0).sum(axis=1) > k
+            chosen, more = (best | best.T) & (label[:, None] != label[None, :]), (near >= 0).sum(axis=1) > k
         a, b = np.nonzero(np.triu(chosen, 1))
         if not partners and len(a) > DENSE * len(node):
             yield from ((name, rep[x], True) for x in np.union1d(a, b))
@@ -220,10 +304,11 @@ def _block_pairs(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
     Every two members whose labels differ meet in a block or in a pair of blocks.
     """
     half = max(1, NODE // 2)
-    rows = scratch.save(large.select("node", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "large-labelled")
+    rows = scratch.save(_labelled(large.distinct(), labels), "large-labelled")
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
     nodes = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("n_labels"), F.sum(F.when(F.col("k") <= half, F.col("k"))).alias("n_few")).filter("n_labels > 1")
     alone = F.col("k") > half
+    sizes, nodes = (broadcast_if_small(scratch.save(x, f"large-{k}")) for k, x in (("sizes", sizes), ("nodes", nodes)))
     dealt = rows.join(sizes, ["node", "label"]).join(nodes, "node").select(
         "node",
         "rep",
@@ -295,6 +380,14 @@ def _whole_nodes(width: int, threshold: float) -> Callable:
     return run
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+def _as_labels(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+
+
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(doc_id, text) of ids(doc_id); the texts are shuffled only if there are too many ids to broadcast."""
     named = broadcast_if_small(scratch.save(ids.distinct(), f"{name}-ids"))
@@ -319,13 +412,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 
     Documents with equal sets become one vertex.  In each of a number of independent trees, a document follows random
     choices among its minwise tokens; those in the same node share them.  Nodes of up to NODE documents are compared
-    exhaustively by sketches.  Documents of nodes that are larger after two levels branch on in more trees, as many as
-    the recall takes at DEPTH further levels.  Pairs whose sketches come near the threshold are confirmed on full sets.
-    A first round confirms each document's best partners in a node, what is still large after DEPTH levels being dealt
-    into random nodes; a second one the other pairs across the components then known, in the same nodes and, block by
-    block, in the whole of the large ones.  Its work there is the number of a node's documents times that of those
-    outside its largest component.
-    Nodes that are dense with such pairs are confirmed as wholes, and name no more links than join their documents.
+    exhaustively by sketches.  The documents of nodes that are larger after two levels are first linked to a centre of
+    the node, which makes one component of most crowds; nodes that still have over NODE documents outside their largest
+    component branch on in more trees, as many as the recall takes at DEPTH further levels.  Pairs whose sketches come
+    near the threshold are confirmed on full sets.
+
+    A first round confirms each document's best partners in a node; a second one the other pairs across the components
+    then known, in the same nodes and, block by block, in the whole of the large ones.  Its work there is the number of
+    a node's documents times that of those outside its largest component.  Nodes that are dense with such pairs are
+    confirmed as wholes, and name no more links than join their documents.
 
     Texts without words, and null ones, have 0 shingles and no links; fewer words than `width` make one shingle.  A
     row with null doc_id can't be named: it has no links, a null component, and is kept.  Rows that repeat a doc_id
@@ -337,53 +432,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     sketched = scratch.save(docs.select("doc_id", "text").mapInArrow(_sketcher(width), _SKETCH), "sketched")
     same = ["h1", "h2", "n_shingles"]
     filled = sketched.filter("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy(*same).agg(F.min(F.struct("doc_id", "tokens", "sketch")).alias("m"))
-    vertices = scratch.save(reps.select(*same, F.col("m.doc_id").alias("rep"), "m.tokens", "m.sketch"), "vertices")
-    reps = vertices.select(*same, "rep")
+    reps = filled.groupBy(*same).agg(F.min(F.struct("doc_id", "tokens", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    vertices = scratch.save(reps.select(*same, F.col("m.doc_id").alias("rep"), "m.tokens", "m.sketch", "copies"), "vertices")
+    reps = vertices.select(*same, "rep", "copies")
     sketches = vertices.select("rep", "sketch")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # either phase may miss half of what the recall allows
     each = 1 - (1 - recall) / 2
 
-    def branch(docs: DataFrame, trees: int, first: int, depth: int, name: str) -> tuple[list[DataFrame], DataFrame]:
-        """Nodes of up to NODE documents, and those still larger `depth` levels below the first."""
-        members = _sized(docs.select("rep", "tokens").mapInArrow(_first_level(trees, threshold, first), "rep long, node long"), scratch, f"{name}-0")
-        small, large, level = [members.filter(F.col("n") <= NODE)], members.filter(F.col("n") > NODE), 0
+    least = threshold - SLACK
+    labels, stars, left = None, [], []
+
+    def sort_out(large: DataFrame, name: str) -> DataFrame:
+        """Rows of the large nodes that must branch on; those with few documents outside one component are left as they are."""
+        rows = _labelled(large, labels)
+        census = scratch.save(_census(rows), f"{name}-census")
+        few, many = (broadcast_if_small(census.filter(x).select("node")) for x in (F.col("outside") <= NODE, F.col("outside") > NODE))
+        left.append(large.join(few, "node", "left_semi"))
+        return scratch.save(large.join(many, "node", "left_semi"), f"{name}-many")
+
+    def branch(docs: DataFrame, trees: int, first: int, depth: int, name: str, stride: int) -> tuple[list[DataFrame], DataFrame]:
+        """Nodes of up to NODE documents, and those still larger `depth` levels below the first; counted every `stride` levels."""
+        level = min(stride - 1, depth)
+        part, large = _split(docs.select("rep", "tokens").mapInArrow(_first_level(trees, threshold, first, level + 1), "rep long, node long"), scratch, f"{name}-{level}")
+        small = [part]
         while level < depth and not large.isEmpty():
-            level += 1
+            if stride > 1:
+                large = sort_out(large, f"{name}-{level}")
+            more = min(stride, depth - level)
             rows = large.join(docs.select("rep", "tokens"), "rep").select("rep", "node", "tokens")
-            members = _sized(rows.mapInArrow(_next_level(level, threshold), "rep long, node long"), scratch, f"{name}-{level}")
-            small.append(members.filter(F.col("n") <= NODE))
-            large = members.filter(F.col("n") > NODE)
+            part, large = _split(rows.mapInArrow(_next_level(level + 1, threshold, more), "rep long, node long"), scratch, f"{name}-{level + more}")
+            small.append(part)
+            level += more
         return small, large
 
     trees = trees_for(threshold, each)
-    small, large = branch(vertices, trees, 0, min(1, DEPTH), "level")
+    small, large = branch(vertices, trees, 0, min(1, DEPTH), "level", 1)
     # a pair that two levels don't separate in any tree is in a large node there with both its documents
-    deep = not large.isEmpty()
-    if deep:
-        hot = scratch.save(vertices.join(large.select("rep").distinct(), "rep", "left_semi"), "hot")
-        more, large = branch(hot, trees_for(threshold, each, DEPTH + 1), trees, DEPTH, "hot-level")
-        small += more
-        deep = not large.isEmpty()
-    if deep:
-        dealt = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / (NODE // 2)))
-        small.append(large.select(F.xxhash64("node", dealt).alias("node"), "rep", "n"))
-    nodes = small[0].select("node", "rep", "n")
-    for more in small[1:]:
-        nodes = nodes.union(more.select("node", "rep", "n"))
-
-    least = threshold - SLACK
-    first = scratch.save(_compare(nodes.withColumn("label", F.col("rep")), sketches, least, PARTNERS, parts), "pairs-1")
-    links = _confirm(first, docs, width, threshold, scratch, "links-1")
+    if not large.isEmpty():
+        for k in range(STARS):
+            pairs = _star_pairs(large, labels, sketches, least, scratch, f"star-{k}")
+            if not pairs.isEmpty():
+                stars.append(_confirm(pairs, docs, width, threshold, scratch, f"links-star-{k}"))
+                labels = scratch.save(_as_labels(components(_union(stars), scratch, f"cc-star-{k}")), f"labels-star-{k}")
+            large = sort_out(large, f"sift-{k}")
+            if large.isEmpty():
+                break
+        else:
+            hot = scratch.save(vertices.join(large.select("rep").distinct(), "rep", "left_semi"), "hot")
+            more, large = branch(hot, trees_for(threshold, each, DEPTH + 1), trees, DEPTH, "hot-level", STRIDE)
+            small += more
+            left.append(large)
+    nodes = _union(small).select("node", F.explode("reps").alias("rep"), F.size("reps").alias("n"))
+    crowded = scratch.save(_union(left), "crowded") if left else None
+    deep = crowded is not None and not crowded.isEmpty()
+
+    first = scratch.save(_compare(_labelled(nodes, labels), sketches, least, PARTNERS, parts), "pairs-1")
+    links = _union([*stars, _confirm(first, docs, width, threshold, scratch, "links-1")])
     found = scratch.save(components(links, scratch, "cc-1"), "found-1")
     if deep or not first.filter("more").isEmpty():
-        labels = found.select(F.col("id").alias("rep"), F.col("component").alias("label"))
-        again = nodes.filter(F.col("n") > PARTNERS + 1).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        second = _compare(again, sketches, least, None, parts)
+        labels = _as_labels(found)
+        second = _compare(_labelled(nodes.filter(F.col("n") > PARTNERS + 1), labels), sketches, least, None, parts)
         if deep:
-            whole = _compare(_block_pairs(large, labels, scratch), sketches, least, 0, parts)
+            whole = _compare(_block_pairs(crowded, labels, scratch), sketches, least, 0, parts)
             second = second.union(whole).groupBy("a", "b").agg(F.max("more").alias("more"))
         second = scratch.save(second, "pairs-2")
         if not second.isEmpty():
@@ -397,8 +509,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
                 links = links.union(scratch.save(whole, "links-dense"))
             found = scratch.save(components(links, scratch, "cc-2"), "found-2")
 
-    named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    named = scratch.save(named, "named")
+    # a document alone in its class and component is its own; only the others are looked up, by the class they are in
+    named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
+    named = broadcast_if_small(scratch.save(named.filter("copies > 1 or component_id <> rep").select(*same, "component_id"), "named"))
+    scratch.keep_only("sketched", "named")
     out = sketched.select("doc_id", *same).join(named, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
