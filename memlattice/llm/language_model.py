@@ -1,334 +1,232 @@
-"""Language-model scores by a weighted backoff automaton over smoothed bigrams, with sharded counts for rare words and pairs."""
+"""Language-model scores by a weighted backoff automaton over smoothed n-grams, cut to what each block of texts can reach.
+
+The automaton's states are the n-grams seen in training; a state's arc on a token weighs (count + BETA * shorter) / (total +
+BETA), and its failure arc, to the state that forgets the oldest token, weighs BETA / (total + BETA).  No machine holds
+it whole: a block of texts asks shards of the counts for the n-grams that it contains, gets their totals back in the
+order it asked in, and walks its texts once, left to right.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, binaries, hash_batch, mix, remainder
 
-#: None takes every token as a state of the automaton; a number only so many, the most frequent ones, of which pairs are counted.
-CORE: int | None = None
-#: Counts of the HOT most frequent tokens and the arcs of the ARCS most frequent pairs travel with the automaton, those
-#: among the DENSE most frequent tokens as a square table; all others are joined.
-HOT, ARCS, DENSE = 1 << 18, 1 << 20, 1024
-#: Bits of a hot token's place in the key of a pair of them.
-_BITS = 18
-#: What marks a token that is not hot, and a pair with one.
-_COLD = np.int64(np.iinfo(np.int64).min)
+#: Tokens of the longest n-grams, and the pseudo-counts of the shorter history by order (from the second on).
+ORDER, BETA = 3, (512.0, 8.0)
+#: Tokens of a block: what one task counts and walks at once.
+BLOCK = 1 << 20
+#: Bytes of text whose n-grams make one shard of the counts.
+SHARD = 1 << 22
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 FOLDS, HELD_OUT = 5, 1
-#: Log probabilities are summed as integers of this unit, so that the order of rows doesn't change a sum.
-UNIT = 1e-12
-#: Distinct tokens or pairs that a task holds before it hands them on.
-_HOLD = 2_000_000
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(place, np.concatenate(counts)).astype(np.int64)
-
-
-def _counted(keys_of: Callable[[list[bytes | None]], Iterator[np.ndarray]]) -> Callable:
-    """Keys of texts to (key, n), summed within the task as far as memory allows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["key", "n"])
-        for batch in batches:
-            for keys in keys_of(binaries(batch.column("text"))):
-                key, n = np.unique(keys, return_counts=True)
-                held = _merge([held[0], key], [held[1], n])
-                if len(held[0]) > _HOLD:
-                    yield give(held)
-                    held = held[0][:0], held[1][:0]
-        if len(held[0]):
-            yield give(held)
-
-    return run
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, equal places of its items together."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    raw = pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
+    item = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(item, -1).T.copy().view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+class Block:
+    """Tokens of pieces of texts.  Each piece starts with `skip` tokens of history that are walked elsewhere."""
+
+    def __init__(self, token: np.ndarray, size: np.ndarray, skip: np.ndarray, held_out: np.ndarray):
+        self.token, self.size = token, size
+        self.start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        self.place = np.arange(len(token)) - np.repeat(self.start, size)
+        self.walked = self.place >= np.repeat(skip, size)
+        self.trained = self.walked & ~np.repeat(held_out, size)
+
+    def n_grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order: the hash of the n-gram that ends at each token, and whether the piece is long enough for it."""
+        key = self.token.view(np.uint64)
+        for order in range(1, ORDER + 1):
+            if order > 1:
+                key = mix(np.concatenate((key[:1], key[:-1])) * _STEP + self.token.view(np.uint64))
+            yield key, self.place >= order - 1
+
+    def walk(self, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
+        """For each piece: tokens, known ones, failure arcs taken, log10 base and score.
+
+        counts: of each order, the training count of the n-gram that ends at each token (0 where there is none).  The
+        state before a token is the longest history with a count; from it, each order without an arc on the token
+        costs a failure arc.
+        """
+        base = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
+        p, failed = 10.0**base, np.zeros(len(self.token), np.int64)
+        for order in range(2, ORDER + 1):
+            history = np.concatenate(([0], counts[order - 2][:-1]))
+            state = (self.place >= order - 1) & (history > 0)
+            arc, beta = counts[order - 1], BETA[order - 2]
+            p = np.where(state, (arc + beta * p) / (history + beta), p)
+            failed += state & (arc == 0)
+        sums = lambda x: np.add.reduceat(np.where(self.walked, x, 0), self.start)
+        return sums(1), sums(counts[0] > 0), sums(failed), sums(base), sums(np.log10(p))
+
+
+_BLOCKS = "block long, row array<long>, doc_id array<long>, held_out array<boolean>, part array<int>, parts array<int>, size array<int>, skip array<int>, words binary, codes binary"
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held_out, text) to blocks of about BLOCK tokens; longer texts are cut into pieces."""
+    block = row = TaskContext.get().partitionId() << 33
+    pieces: list[tuple] = []
+    tokens: list[np.ndarray] = []
+    room = BLOCK
+
+    def give() -> pa.RecordBatch:
+        words, code = np.unique(np.concatenate(tokens), return_inverse=True)
+        rank = np.argsort(-np.bincount(code), kind="stable")
+        place = np.empty(len(rank), np.int32)
+        place[rank] = np.arange(len(rank), dtype=np.int32)
+        columns = [[x] for x in zip(*pieces, strict=True)]
+        values = [pa.array(x, kind) for x, kind in zip(columns, _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *values, pa.array([pack(words[rank])], pa.binary()), pa.array([pack(place[code])], pa.binary())], names=_NAMES)
+
+    for batch in batches:
+        ids, held, texts = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), binaries(batch.column("text"))
+        for at, end, words, bounds in hash_batch(texts):
+            for k in range(end - at):
+                token = np.concatenate(([END], words[bounds[k] : bounds[k + 1]].view(np.int64), [END]))
+                cuts = list(range(1, len(token), BLOCK))
+                for part, first in enumerate(cuts):
+                    skip = min(first, ORDER - 1)
+                    piece = token[first - skip : first + BLOCK]
+                    pieces.append((row, ids[at + k], held[at + k], part, len(cuts), len(piece), skip))
+                    tokens.append(piece)
+                    room -= len(piece)
+                    if room <= 0:
+                        yield give()
+                        block, room = block + 1, BLOCK
+                        pieces.clear()
+                        tokens.clear()
+                row += 1
+    if pieces:
+        yield give()
 
 
-def tokens(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end text, token hashes, offsets): every text's words, then one end."""
-    for at, end, words, bounds in hash_batch(texts):
-        yield at, end, np.insert(words.view(np.int64), bounds[1:], END), bounds + np.arange(len(bounds))
+_NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
+_KINDS = [pa.list_(x) for x in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
 
 
-@dataclass
-class Model:
-    """Unigram statistics, the hot tokens (sorted) with their counts, and the hot part of the automaton.
+def _read_block(size: list[int], skip: list[int], held_out: list[bool], words: bytes, codes: bytes) -> Block:
+    return Block(unpack(words, np.int64)[unpack(codes, np.int32)], np.array(size), np.array(skip), np.array(held_out))
 
-    State s > 0 is the dense token s - 1 just read; state 0, the root, is any other.  arcs[s, t] is log10 P(t | s)
-    where that pair was seen and 0 where a failure arc to the root, of weight failure[s], comes first.  hot_failure has
-    the weights of all hot tokens.  pair_keys (sorted) are further pairs, pair_gain what their arcs' log10 exceeds
-    failure and unigram by; `whole` says that no pair is elsewhere.  states marks the hot tokens that are states, and is
-    None where all tokens are.
-    """
 
-    total: int
-    distinct: int
-    discount: float
-    hot: np.ndarray
-    hot_n: np.ndarray
-    core_of_hot: np.ndarray
-    arcs: np.ndarray
-    failure: np.ndarray
-    hot_failure: np.ndarray
-    pair_keys: np.ndarray
-    pair_gain: np.ndarray
-    whole: bool
-    states: np.ndarray | None
-
-    def base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-    def unigram(self, n: np.ndarray) -> np.ndarray:
-        """Absolute discounting; what is taken off all tokens is the unknown token's."""
-        if not self.total:
-            return np.zeros(len(n))
-        unknown = max(self.discount * self.distinct / self.total, 0.5 / (self.total + 1))
-        known = (1 - unknown) * (n - self.discount) / max(1e-9, self.total - self.discount * self.distinct)
-        return np.log10(np.where(n > 0, np.maximum(known, 1e-300), unknown))
-
-    def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the hot tokens, and whether it is one."""
-        at = np.searchsorted(self.hot, token)
-        at[at == len(self.hot)] = 0
-        return at, (self.hot[at] == token) if len(self.hot) else np.zeros(len(token), bool)
-
-    def pairs(self, token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(x, y, key, counted) of each token y after x: places of hot tokens, marked hashes of others."""
-        at, known = self.look_up(token)
-        y = np.where(known, at, token | _COLD)
-        at, known = self.look_up(np.array([END]))
-        x = np.roll(y, 1)
-        x[bounds[:-1]] = at[0] if known[0] else END | _COLD
-        cold = mix(mix(x.view(np.uint64)) ^ y.view(np.uint64)).view(np.int64) | _COLD
-        key = np.where((x >= 0) & (y >= 0), (x << _BITS) | y, cold)
-        if self.states is None:
-            return x, y, key, np.ones(len(y), bool)
-        state = lambda z: (z >= 0) & (self.states[np.maximum(z, 0)] if len(self.states) else False)
-        return x, y, key, state(x) & state(y)
-
-
-def _count_words(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    for _, _, token, _ in tokens(texts):
-        yield token
-
-
-def _count_pairs(model: Model) -> Callable:
-    """Pairs of texts as (key, x, y, n), summed within the task as far as memory allows; the key of hot ones holds x and y."""
-
-    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        key, x, y, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        key, first, place = np.unique(key, return_index=True, return_inverse=True)
-        return key, x[first], y[first], np.bincount(place, n).astype(np.int64)
+def _ask(shards: int) -> Callable:
+    """Blocks to (shard, block, keys, n): distinct n-grams, sorted, and how often each occurs in training texts."""
+    edges = (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["key", "x", "y", "n"])
-
         for batch in batches:
-            for _, _, token, bounds in tokens(binaries(batch.column("text"))):
-                x, y, key, counted = model.pairs(token, bounds)
-                key, first, n = np.unique(key[counted], return_index=True, return_counts=True)
-                cold = key < 0
-                held.append((key, np.where(cold, x[counted][first], 0), np.where(cold, y[counted][first], 0), n))
-                size += len(key)
-                if size > _HOLD:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > _HOLD // 2:
-                        yield give()
-                        held, size = [], 0
-        if held:
-            held = [summed(held)]
-            yield give()
+            for x in batch.to_pylist():
+                block = _read_block(x["size"], x["skip"], x["held_out"], x["words"], x["codes"])
+                out: list[tuple] = []
+                for order, (key, there) in enumerate(block.n_grams()):
+                    keys, place = np.unique(key[there], return_inverse=True)
+                    n = np.bincount(place, block.trained[there], len(keys)).astype(np.uint32)
+                    bounds = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+                    out += [(s * ORDER + order, x["block"], pack_sorted(keys[a:b]), pack(n[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+                shard, name, keys, n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(name, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["shard", "block", "keys", "n"])
 
     return run
 
 
-def _cut(counts: DataFrame, room: int) -> Column | None:
-    """Which rows (n) to take so that there are `room` at most and none left has a greater n; None for no row."""
-    step = F.floor(F.log("n") * 64).cast("int")
-    steps = sorted(((r["step"], r["k"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    cut = None
-    for at, k in steps:
-        if k > room:
-            break
-        room, cut = room - k, at
-    return None if cut is None else step >= cut
-
-
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[Model, tuple[DataFrame, DataFrame]]:
-    """The model, and its tables: rare tokens (token, n, fail) and the arcs (key, gain) that are not in the model.
-
-    Counts cover every token and every pair of every document, and stay tables in the shared folder; the driver sees
-    sums, histograms of counts, and the most frequent tokens and pairs (fewer than HOT and ARCS, where ties would exceed them).
-    """
-    spark, text = docs.sparkSession, docs.select("text")
-    counts = text.mapInArrow(_counted(_count_words), "key long, n long").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
-    counts = scratch.save(counts, "counts")
-    row = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    total, distinct, once, twice = (int(x or 0) for x in row)
-    discount = lambda once, twice: min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    # the cut is a count: at most HOT tokens lie above it, and none is ranked against all others in one task
-    cut = _cut(counts, HOT)
-    top = counts.filter(F.lit(False) if cut is None else cut | (F.col("token") == END)).toArrow()
-    by_n, n = top.column("token").to_numpy(), top.column("n").to_numpy()
-    rank = np.lexsort((by_n, -n))
-    by_n, n = by_n[rank], n[rank]
-    first = lambda k: by_n[:k] if END in by_n[:k] or not len(by_n) else np.append(by_n[: k - 1], END)
-    core = first(DENSE if CORE is None else min(DENSE, CORE))
-    order = np.argsort(by_n)
-    place = dict(zip(core.tolist(), range(len(core)), strict=True))
-    hot = by_n[order]
-    core_of_hot = np.array([place.get(x, -1) for x in hot.tolist()], np.int32)
-    states = None if CORE is None else np.isin(hot, first(CORE))
-    none = np.zeros(0)
-    model = Model(total, distinct, discount(once, twice), hot, n[order], core_of_hot, np.zeros((1, max(1, len(core))), np.float32), np.zeros(1), np.zeros(len(hot)), none.astype(np.int64), none.astype(np.float32), True, states)
-
-    # statistics of tokens by their codes: hot ones are broadcast, others joined
-    uni = 10 ** model.unigram(model.hot_n)
-    hots = spark.createDataFrame(pa.table({"token": pa.array(hot, pa.int64()), "code": pa.array(np.arange(len(hot)), pa.int64()), "m": pa.array(model.hot_n, pa.int64()), "p": pa.array(uni, pa.float64())}))
-    unknown = 10 ** float(model.unigram(np.array([0]))[0])
-    scale = (1 - unknown) / max(1e-9, total - model.discount * distinct)
-    colds = counts.join(F.broadcast(hots.select("token")), "token", "left_anti").select("token", F.col("token").bitwiseOR(F.lit(int(_COLD))).alias("code"), F.col("n").alias("m"), ((F.col("n") - model.discount) * scale).alias("p"))
-
-    def joined(rows: DataFrame, code: str, hot_side: DataFrame, cold_side: DataFrame) -> DataFrame:
-        side = lambda x: x.withColumnRenamed("code", code)
-        return rows.filter(F.col(code) >= 0).join(F.broadcast(side(hot_side)), code).unionByName(rows.filter(F.col(code) < 0).join(side(cold_side), code))
-
-    pairs = text.mapInArrow(_count_pairs(model), "key long, x long, y long, n long").groupBy("key").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))
-    pairs = scratch.save(pairs, "pairs")
-    row = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    off = discount(*(int(x or 0) for x in row))
-    inner = F.col("key") >= 0
-    coded = pairs.select("key", F.when(inner, F.shiftright("key", _BITS)).otherwise(F.col("x")).alias("x"), F.when(inner, F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1))).otherwise(F.col("y")).alias("y"), "n")
-    rated = joined(coded, "y", hots.select("code", "p"), colds.select("code", "p"))
-    # a token is a context as often as it occurs: the end also precedes each text; sums are of integers, whatever their order
-    sums = rated.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), F.sum(F.round(F.col("p") * 1e18).cast("long")).alias("u"))
-    after = joined(sums, "x", hots.select("code", "m"), colds.select("code", "m"))
-    # what the discounts free goes to all tokens by their unigrams; unseen successors fail
-    freed, seen = off * F.col("k") / F.col("m"), F.col("u") * 1e-18
-    left = 1 - (F.col("s") - off * F.col("k")) / F.col("m") - freed * seen
-    fail = F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(1 - seen, F.lit(1e-9)))
-    contexts = scratch.save(after.select(F.col("x").alias("code"), "m", freed.alias("freed"), fail.alias("fail")), "contexts")
-    arcs = joined(rated, "x", contexts.filter("code >= 0"), contexts.filter("code < 0"))
-    gain = F.log10((F.col("n") - off) / F.col("m") + F.col("freed") * F.col("p")) - F.col("fail") - F.log10("p")
-    arcs = scratch.save(arcs.select("key", "n", gain.alias("gain")), "arcs")
-    scratch.drop("pairs")
-
-    known = contexts.filter("code >= 0").toArrow()
-    model.hot_failure[known.column("code").to_numpy()] = known.column("fail").to_numpy()
-    cut = _cut(arcs, ARCS)
-    kept = arcs.filter(F.lit(False) if cut is None else cut).select("key", "gain").toArrow()
-    key, value = kept.column("key").to_numpy(), kept.column("gain").to_numpy()
-    order = np.argsort(key)
-    model.pair_keys, model.pair_gain = key[order], value[order].astype(np.float32)
-    rest = arcs.filter(F.lit(True) if cut is None else ~cut).select("key", "gain")
-    model.whole = rest.isEmpty()
-    # the square of the dense tokens, for which no search is needed
-    model.failure = np.zeros(len(core) + 1)
-    model.failure[core_of_hot[core_of_hot >= 0] + 1] = model.hot_failure[core_of_hot >= 0]
-    model.arcs = np.zeros((len(core) + 1, max(1, len(core))), np.float32)
-    inside = key[key >= 0]
-    x, y = inside >> _BITS, inside & ((1 << _BITS) - 1)
-    both = (core_of_hot[x] >= 0) & (core_of_hot[y] >= 0)
-    log_uni = model.unigram(model.hot_n)
-    x, y = x[both], y[both]
-    model.arcs[core_of_hot[x] + 1, core_of_hot[y]] = value[key >= 0][both] + model.hot_failure[x] + log_uni[y]
-    rare = colds.join(contexts.filter("code < 0").select("code", "fail"), "code", "left").select("token", F.col("m").alias("n"), F.coalesce("fail", F.lit(0.0)).alias("fail"))
-    return model, (scratch.save(rare, "rare"), rest)
-
-
-_TRACED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base long, score long, rare array<long>, pairs array<long>"
-
-
-def _trace(model: Model) -> Callable:
-    """One pass over each text's tokens: arcs and failures; tokens and pairs whose counts are elsewhere are listed."""
-    unigram, base = model.unigram(model.hot_n), model.base(model.hot_n)
-
-    def of(values: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return np.where(code >= 0, values[np.maximum(code, 0)], 0.0) if len(values) else np.zeros(len(code))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            n_tokens, n_known, base_sum, score_sum, rare, pairs = [], [], [], [], [], []
-            for _, _, token, bounds in tokens(binaries(batch.column("text"))):
-                x, y, key, counted = model.pairs(token, bounds)
-                known = y >= 0
-                state = np.where(x >= 0, model.core_of_hot[np.maximum(x, 0)], -1) if len(model.hot) else np.full(len(x), -1)
-                core = np.where(known, model.core_of_hot[np.maximum(y, 0)], -1) if len(model.hot) else np.full(len(y), -1)
-                inside = (state >= 0) & (core >= 0)
-                arc = np.where(inside, model.arcs[np.where(inside, state + 1, 0), np.where(inside, core, 0)], 0.0)
-                step = np.where(arc != 0, arc, of(model.hot_failure, x) + of(unigram, y))
-                open_ = np.flatnonzero((arc == 0) & counted)
-                if len(model.pair_keys):
-                    at = np.minimum(np.searchsorted(model.pair_keys, key[open_]), len(model.pair_keys) - 1)
-                    found = model.pair_keys[at] == key[open_]
-                    step[open_[found]] += model.pair_gain[at[found]]
-                    open_ = open_[~found]
-                if model.whole:
-                    open_ = open_[:0]
-                for out, z in ((base_sum, of(base, y)), (score_sum, step)):
-                    out.append(np.add.reduceat(np.round(z / UNIT).astype(np.int64), bounds[:-1]))
-                n_tokens.append(np.diff(bounds))
-                n_known.append(np.add.reduceat(known.astype(np.int64), bounds[:-1]))
-                missing = np.flatnonzero(~known)
-                rare += np.split(token[missing], np.searchsorted(missing, bounds[1:-1]))
-                pairs += np.split(key[open_], np.searchsorted(open_, bounds[1:-1]))
-            flat = [pa.array(np.concatenate(z) if z else np.zeros(0, np.int64)) for z in (n_tokens, n_known, base_sum, score_sum)]
-            lists = [pa.array(z, pa.list_(pa.int64())) for z in (rare, pairs)]
-            rows = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), rows, batch.column("held_out"), *flat, *lists], names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
+def _sum_shard(asked: pa.Table) -> pa.Table:
+    """One shard's questions to (shard, block, totals), totals in the order of the keys asked for, and a row of its sums."""
+    keys = [unpack_sorted(x) for x in asked.column("keys").to_pylist()]
+    n = [unpack(x, np.uint32) for x in asked.column("n").to_pylist()]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(place, np.concatenate(n), len(distinct)).astype(np.int64)
+    parts = np.split(sums[place], np.cumsum([len(k) for k in keys])[:-1])
+    rows = len(parts) + 1
+    shard = asked.column("shard")[0].as_py()
+    return pa.table({
+        "shard": pa.array([shard] * rows, pa.int64()),
+        "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
+        "totals": pa.array([*map(pack, parts), None], pa.binary()),
+        "total": pa.array([0] * (rows - 1) + [int(sums.sum())], pa.int64()),
+        "distinct": pa.array([0] * (rows - 1) + [int((sums > 0).sum())], pa.int64()),
+    })
+
+
+_SCORED = "row long, part int, parts int, doc_id long, held_out boolean, n_tokens long, n_known long, n_failed long, base double, score double"
+
+
+def _walk(total: int, distinct: int) -> Callable:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        x = blocks.to_pylist()[0]
+        block = _read_block(x["size"], x["skip"], x["held_out"], x["words"], x["codes"])
+        by_shard = sorted(zip(answers.column("shard").to_pylist(), answers.column("totals").to_pylist(), strict=True))
+        counts = []
+        for order, (key, there) in enumerate(block.n_grams()):
+            totals = np.concatenate([unpack(t, np.int64) for s, t in by_shard if s % ORDER == order] or [np.zeros(0, np.int64)])
+            at = np.zeros(len(key), np.int64)
+            at[there] = totals[np.unique(key[there], return_inverse=True)[1]]
+            counts.append(at)
+        n_tokens, n_known, n_failed, base, score = block.walk(counts, total, distinct)
+        columns = [x["row"], x["part"], x["parts"], x["doc_id"], x["held_out"], n_tokens, n_known, n_failed, base, score]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SCORED.split(", ")])
 
     return run
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+    """doc_id, held_out, n_tokens, n_known, n_failed, train_tokens, base_score, score of every whole text.
+
+    Tokens are words (A-Z lower-cased), then one end, which is also what precedes the first word.  The model counts all
+    n-grams of up to ORDER tokens of the rows that are not held out; score is the log10 probability that it gives the
+    text, unknown words being one token.  base_score adds a half to unigram counts instead, which is also the root of
+    the automaton.  n_failed counts the failure arcs taken.
 
-    Tokens are words (A-Z lower-cased), then one end, which is also what precedes the first word.  The model learns
-    from the rows that are not held out; score is the log10 probability that it gives the text, unknown words being one
-    token.  base_score adds a half to unigram counts instead.  Null and empty texts are one end.  A null doc_id is held
-    in.  Rows that repeat doc_id and text have equal scores.  With nothing to learn from, score and base_score are 0
-    for known tokens and as the formula says for others.
+    Null and empty texts are one end.  A null doc_id is held in.  Rows that repeat doc_id and text have equal scores.
+    Texts of more than BLOCK tokens are walked in pieces that know the history before them.  With nothing to learn
+    from, every token has the unknown token's probability.  Other columns are ignored; no rows give none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     out_of_sample = F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out_of_sample.alias("held_out"))
-    model, (counts, arcs) = learn(rows.filter(~F.col("held_out")), scratch)
-    traced = scratch.save(rows.select("doc_id", "held_out", "text").mapInArrow(_trace(model), _TRACED), "traced")
-    # rare tokens, which are contexts too, and rare pairs: joined to the tables of them
-    rare = traced.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("token"))
-    held = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("fail", F.coalesce("fail", F.lit(0.0)))
-    log_base = F.log10((F.col("n") + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
-    unknown = float(model.unigram(np.array([0]))[0])
-    scale = (1 - 10**unknown) / max(1e-9, model.total - model.discount * model.distinct)
-    log_one = F.when(F.col("n") > 0, F.log10((F.col("n") - model.discount) * scale)).otherwise(unknown)
-    unit = lambda x: F.round(x / UNIT).cast("long")
-    zero = F.lit(0).cast("long")
-    more = held.select("row", unit(log_base).alias("b"), (unit(log_one) + unit(F.col("fail"))).alias("s"), (F.col("n") > 0).cast("long").alias("k"))
-    if not model.whole:
-        open_pairs = traced.filter(F.size("pairs") > 0).select("row", F.explode("pairs").alias("key"))
-        more = more.union(open_pairs.join(arcs, "key").select("row", zero, unit(F.col("gain")), zero))
-    more = more.groupBy("row").agg(F.sum("b").alias("m_base"), F.sum("s").alias("m_score"), F.sum("k").alias("m_known"))
-    found = traced.drop("rare", "pairs").join(more, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return found.select("doc_id", "held_out", "n_tokens", plus("n_known", "m_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (plus("base", "m_base") * UNIT).alias("base_score"), (plus("score", "m_score") * UNIT).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out_of_sample.alias("held_out"), "text")
+    blocks = scratch.save(rows.mapInArrow(_to_blocks, _BLOCKS), "blocks")
+    sizes = blocks.select(F.explode("size").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, -(-8 * sizes // SHARD))
+    asked = blocks.select("block", "size", "skip", "held_out", "words", "codes").mapInArrow(_ask(shards), "shard long, block long, keys binary, n binary")
+    answers = scratch.save(asked.groupBy("shard").applyInArrow(_sum_shard, "shard long, block long, totals binary, total long, distinct long"), "answers")
+    total, distinct = (int(x or 0) for x in answers.filter(f"block is null and shard % {ORDER} = 0").agg(F.sum("total"), F.sum("distinct")).first())
+    answers = answers.filter("block is not null").select("block", "shard", "totals")
+    scored = scratch.save(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_walk(total, distinct), _SCORED), "scored")
+    scratch.drop("blocks", "answers")
+    whole = scored.filter("parts = 1").select("doc_id", "held_out", "n_tokens", "n_known", "n_failed", "base", "score")
+    pieces = scored.filter("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.array_sort(F.collect_list(F.struct("part", "n_tokens", "n_known", "n_failed", "base", "score"))).alias("p"))
+    # in the order of the pieces, so that sums don't depend on how tasks end
+    added = lambda c, zero: F.aggregate("p", F.lit(zero).cast("double" if zero == 0.0 and isinstance(zero, float) else "long"), lambda a, x: a + x[c]).alias(c)
+    pieces = pieces.select("doc_id", "held_out", added("n_tokens", 0), added("n_known", 0), added("n_failed", 0), added("base", 0.0), added("score", 0.0))
+    return whole.union(pieces).select("doc_id", "held_out", "n_tokens", "n_known", "n_failed", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
