@@ -77,32 +77,44 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, scrat
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, least: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, text_hash, item, item_id, block, n_terms): half-overlapping stretches of 2 * within words that hold `least` distinct words of an item.
+    """(doc_id, text_hash, item, item_id, block, n_terms): half-overlapping stretches of 2 * within words that hold enough distinct words of an item.
 
-    Looser than exact_matches: word order is free.  Only the rarer half of an item's words count, so that function words
-    alone never match.
+    Looser than exact_matches: word order is free.  Only the rarer half of an item's distinct words counts (by postings,
+    then by the word; at least three), so that function words alone never match; `least` of them, or all if they are
+    fewer, are enough.  Words that no document has make an item's half unreachable only if they are needed.  With the
+    scratch of exact_matches its index is read again.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "proximity")
-    terms = scratch.save(benchmark_terms(benchmark), "terms")
-    vocabulary = scratch.save(terms.select("term").distinct().withColumn("term_id", F.xxhash64("term")), "vocabulary")
-    index = scratch.save(postings(docs, vocabulary), "index")
-    rarity = index.groupBy("term_id").agg(F.count(F.lit(1)).alias("places"))
-    distinct = terms.select("item", "item_id", F.xxhash64("term").alias("term_id")).distinct().join(rarity, "term_id")
-    rank = F.percent_rank().over(W.partitionBy("item").orderBy("places", "term_id"))
-    rare = scratch.save(distinct.withColumn("share", rank).filter("share <= 0.5").drop("share", "places"), "rare")
+    spark = docs.sparkSession
+    fresh = scratch is None
+    scratch = scratch or Scratch(spark, "proximity")
+    if fresh:
+        terms = scratch.save(benchmark_terms(benchmark), "terms")
+        vocabulary = scratch.save(terms.select("term").distinct().withColumn("term_id", F.xxhash64("term")), "vocabulary")
+        index = scratch.save(postings(docs, vocabulary), "index")
+        rarity = scratch.save(index.groupBy("term_id").agg(F.count(F.lit(1)).alias("places")), "rarity")
+    else:
+        terms, index, rarity = (scratch.read(x) for x in ("terms", "index", "rarity"))
+    distinct = terms.select("item", "item_id", "term", F.xxhash64("term").alias("term_id")).distinct().join(rarity, "term_id")
+    by_item = W.partitionBy("item")
+    ranked = distinct.withColumn("nth", F.row_number().over(by_item.orderBy("places", "term"))).withColumn("half", F.ceil(F.count(F.lit(1)).over(by_item) / 2))
+    rare = ranked.filter("nth <= half and half >= 3").withColumn("enough", F.least(F.lit(least), F.col("half")))
+    rare = scratch.save(rare.select("term_id", "item", "item_id", "enough"), "rare")
     block = F.floor(F.col("pos") / within)
-    placed = index.join(broadcast_if_small(rare), "term_id").withColumn("block", F.explode(F.array(block, block - 1))).filter("block >= 0 or pos < %d" % within)
-    near = placed.groupBy(*_KEY, "item", "item_id", "block").agg(F.count_distinct("term_id").alias("n_terms"))
-    return near.filter(F.col("n_terms") >= least)
+    placed = index.join(broadcast_if_small(rare), "term_id").withColumn("block", F.explode(F.array(block, block - 1)))
+    # a word counts once a stretch: distinct in the map-side sum, then counted
+    words = placed.groupBy(*_KEY, "item", "item_id", "block", "term_id").agg(F.max("enough").alias("enough"))
+    near = words.groupBy(*_KEY, "item", "item_id", "block").agg(F.count(F.lit(1)).alias("n_terms"), F.max("enough").alias("enough"))
+    return near.filter(F.col("n_terms") >= F.col("enough")).drop("enough")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keyed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keyed: bool = False, near: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (sorted item_ids as text), contaminated.
 
     Words are lower-cased by A-Z only.  n_hit counts the words inside any occurrence of a window; a document is
     contaminated if a twentieth of its words or more are hit.  Null and empty texts have no words; null items none
     either; items with a null item_id hit words but are not listed.  Rows that repeat doc_id and text get equal
-    results; other columns are ignored.  keyed adds text_hash, which tells rows of one doc_id apart.
+    results; other columns are ignored.  keyed adds text_hash, which tells rows of one doc_id apart; near adds n_near,
+    the items whose rarer words stand close together in the document, in any order.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     matches = scratch.save(exact_matches(docs, benchmark, window, scratch), "matches")
@@ -113,14 +125,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keyed
     found = broadcast_if_small(scratch.save(found, "found"), 100_000)
     words = docs.select(*text_key(), F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = words.join(found, words["doc_id"].eqNullSafe(F.col("f_doc")) & (words["text_hash"] == F.col("f_text")), "left")
+    if near:
+        close = proximity_matches(docs, benchmark, scratch=scratch).select(*_KEY, "item").distinct().groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_near"))
+        close = broadcast_if_small(scratch.save(close.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_text"), "n_near"), "close"))
+        out = out.join(close, words["doc_id"].eqNullSafe(F.col("c_doc")) & (words["text_hash"] == F.col("c_text")), "left")
+    scratch.keep_only("found", "close")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", *(["text_hash"] if keyed else []), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    more = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")] if near else []
+    return out.select("doc_id", *(["text_hash"] if keyed else []), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *more)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "benchmark"))
-    out = contamination(docs.select("doc_id", "text"), bench)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    out = contamination(docs.select("doc_id", "text"), bench, near=True)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 OP1_SQL = r"""
@@ -143,8 +161,18 @@ WITH bench AS (
   SELECT doc_id, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM found) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
-)
+), terms AS (
+  SELECT DISTINCT item_id, unnest(words) AS term FROM bench
+), places AS (
+  SELECT doc_id, unnest(range(0, len(parts))) AS pos, unnest(parts) AS term FROM (SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS parts FROM documents WHERE text IS NOT NULL)
+), used AS (
+  SELECT * FROM places WHERE term IN (SELECT term FROM terms)
+), rarity AS (SELECT term, count(*) AS places FROM used GROUP BY term), ranked AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY places, term) AS nth, ceil(count(*) OVER (PARTITION BY item_id) / 2) AS half FROM terms JOIN rarity USING (term)
+), stretches AS (
+  SELECT u.doc_id, r.item_id, any_value(half) AS half, block, count(DISTINCT r.term) AS n FROM (SELECT *, unnest([pos // 20, pos // 20 - 1]) AS block FROM used) u JOIN ranked r ON u.term = r.term AND nth <= half AND half >= 3 GROUP BY u.doc_id, r.item_id, block
+), near AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_near FROM stretches WHERE n >= least(8, half) GROUP BY doc_id)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated
-FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated, coalesce(n.n_near, 0)::BIGINT AS n_near
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN near n USING (doc_id)
 """
