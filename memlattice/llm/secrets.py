@@ -1,4 +1,4 @@
-"""Secret scans: Boolean trigram queries from each rule, answered by an inverted index of every block of documents."""
+"""Secret scans: Boolean trigram queries from each rule, answered by intersecting the postings of every block of documents."""
 
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ MORE = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("url_login", r"[a-z]{3,12}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[^\s/]+"),
@@ -103,15 +103,32 @@ def trigram_query(pattern: str) -> Query:
     return frozenset(frozenset(x[k : k + 3] for k in range(len(x) - 2)) for x in best)
 
 
+def _codes(trigrams: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(t.encode("ascii"), "big") for t in trigrams], np.int64)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def build_index(texts: list[str], wanted: list[str]) -> dict[str, np.ndarray]:
-    """Postings of the wanted trigrams: sorted rows of the block whose lower-cased text holds each."""
-    rows: dict[str, list[int]] = {t: [] for t in wanted}
-    for k, text in enumerate(texts):
-        low = text.lower()
-        for t in wanted:
-            if t in low:
-                rows[t].append(k)
-    return {t: np.array(r, np.int64) for t, r in rows.items()}
+    """Postings of the wanted trigrams: sorted rows of the block whose lower-cased text holds each.
+
+    One pass over the block's bytes: every three make a code, wanted codes are looked up in a table of all, and their
+    (trigram, row) pairs, sorted and grouped, are the postings.  Texts are parted by a byte that no trigram has.
+    """
+    raw = [x.encode() for x in texts]
+    a = _LOWER[np.frombuffer(b"\0".join(raw), np.uint8)].astype(np.int32)
+    codes = _codes(wanted)
+    table = np.zeros(1 << 24, np.int16)
+    table[codes] = np.arange(1, len(wanted) + 1)
+    found = table[(a[:-2] << 16) | (a[1:-1] << 8) | a[2:]] if len(a) > 2 else np.zeros(0, np.int16)
+    at = np.flatnonzero(found)
+    starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    pairs = np.unique(found[at].astype(np.int64) * (len(texts) + 1) + np.searchsorted(starts, at, "right") - 1)
+    kind, row = pairs // (len(texts) + 1), pairs % (len(texts) + 1)
+    bounds = np.searchsorted(kind, np.arange(1, len(wanted) + 2))
+    return {t: row[bounds[k] : bounds[k + 1]] for k, t in enumerate(wanted)}
 
 
 def candidates(query: Query, index: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -130,6 +147,8 @@ def candidates(query: Query, index: dict[str, np.ndarray], n: int) -> np.ndarray
     return np.unique(np.concatenate(found))
 
 
+#: Characters of the texts that are indexed together.
+_BLOCK = 1 << 22
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -139,7 +158,17 @@ def _scan(rules: tuple[Rule, ...]) -> Callable:
     # maximal runs of one class: only those long enough are found, the same ones
     patterns = [re.compile(r.pattern.replace("[0-9a-f]+", f"[0-9a-f]{{{r.least},}}") if r.kind == "hex" else r.pattern, re.ASCII) for r in rules]
 
-    def scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    def scan(texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
+        at = 0
+        while at < len(texts):
+            end, room = at, _BLOCK
+            while end < len(texts) and (end == at or room > 0):
+                room -= len(texts[end])
+                end += 1
+            yield from scan_block(texts[at:end])
+            at = end
+
+    def scan_block(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         index = build_index(texts, wanted)
         spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, query, pattern) in enumerate(zip(rules, queries, patterns, strict=True)):
@@ -156,8 +185,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     """(doc_id, spans array of struct(kind, start, end)) of every whole text, by start, then by the rules' order.
 
     Offsets are code points, end exclusive.  Matches of a rule are leftmost and don't overlap; those whose counting
-    group is too short are dropped.  Spans of different rules may overlap.  Null and empty texts have no spans;
-    repeated rows are rows of their own.
+    group is too short are dropped.  Spans of different rules may overlap.  Null and empty texts have no spans, and
+    no rows give none; repeated rows are rows of their own, a null doc_id stays null, other columns are ignored.  A very
+    long text is a block by itself; every rule's pattern takes time in proportion to it.
+
+    The inverted index is dealt by documents: each task indexes the blocks that it reads, intersects postings there and
+    verifies the candidates, so that nothing is shuffled.
     """
     scan = _scan(rules)
 
