@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,12 @@ _BIN = (1 << 32) - _BIN_STEP
 PART_ROWS = 256
 
 
+def golden_point(j: Column) -> Column:
+    """j * GOLDEN modulo 2^32, by halves of j, so that no product leaves 64 bits."""
+    low, high = j.bitwiseAND(F.lit(0xFFFF)), F.shiftright(j, 16).bitwiseAND(F.lit(0xFFFF))
+    return (low * F.lit(GOLDEN) + (high * F.lit(GOLDEN)).bitwiseAND(F.lit(0xFFFF)) * F.lit(0x10000)).bitwiseAND(F.lit(2**32 - 1))
+
+
 def ranked_sources(sized: DataFrame) -> DataFrame:
     """(source, source_size, rank, weight): sources by code point, null last, weigh 1, 2, 3, repeating."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -105,13 +111,18 @@ def slots(spark: SparkSession, goal: DataFrame, n_slots: int, block: int, scratc
     scale = F.lit(float(2**32))
     edges = edges.select("rank", "need", "n_blocks", "passes", "rest", F.floor((F.col("upto") - F.col("need")) * scale / F.col("all")).alias("lo"), F.floor(F.col("upto") * scale / F.col("all")).alias("hi"))
     edges = scratch.save(edges, "edges")
-    # an interval of width w is hit within 2.62 / w points of such a sequence, so three times the need is enough
-    points = spark.range(3 * n_slots + 64 * max(1, goal.count())).withColumn("point", F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(2**32)))
     bins = edges.filter("hi > lo").withColumn("bin", F.explode(F.sequence(F.col("lo").bitwiseAND(_BIN), (F.col("hi") - 1).bitwiseAND(_BIN), F.lit(_BIN_STEP))))
-    dealt = points.join(bins, (F.col("point").bitwiseAND(_BIN) == F.col("bin")) & (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    # ranks of a source's slots in two steps, as one source may hold most of them
-    step = 4096
-    dealt = scratch.save(dealt.select("id", "rank").withColumn("run", F.floor(F.col("id") / step)), "slots")
+    # an interval of width w is hit within 2.62 / w points of such a sequence, so three times the need is enough; more, should it not be
+    step, n_points = 4096, 3 * n_slots + 64 * max(1, goal.count())
+    while True:
+        points = spark.range(n_points).withColumn("point", golden_point(F.col("id")))
+        dealt = points.join(bins, (F.col("point").bitwiseAND(_BIN) == F.col("bin")) & (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
+        # ranks of a source's slots in two steps, as one source may hold most of them
+        dealt = scratch.save(dealt.select("id", "rank").withColumn("run", F.floor(F.col("id") / step)), f"slots-{n_points}")
+        got = dealt.groupBy("rank").agg(F.count(F.lit(1)).alias("got"))
+        if edges.filter("hi > lo").join(got, "rank", "left").filter("got is null or got < need").isEmpty():
+            break
+        n_points *= 2
     runs = dealt.groupBy("rank", "run").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("rank").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     nth = dealt.withColumn("inside", F.row_number().over(W.partitionBy("rank", "run").orderBy("id")) - 1).join(runs, ["rank", "run"]).select("rank", "id", (F.col("before") + F.col("inside")).alias("nth"))
     nth = nth.join(edges.select("rank", "need", "n_blocks", "passes", "rest"), "rank").filter("nth < need")
