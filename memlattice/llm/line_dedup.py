@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, text_key
+from .common import Scratch, ascii_lower, broadcast_if_small, text_key
 
 _STRIP = " \t\n\x0b\x0c\r"
 #: Line positions in one word of a bitmap.
@@ -25,34 +25,37 @@ def _key(line: Column) -> Column:
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key: int = 1, keep_first: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """Drop bitmaps of the documents that lose lines: (doc_id, text_hash, n_dropped, words array<struct<at,bits>>).
+    """Keep bitmaps of the documents that lose lines: (doc_id, text_hash, n_dropped, keep array<struct<at,bits>>).
 
     A line whose key (stripped, A-Z lower-cased) has min_key code points or more and stands in min_docs documents or
     more is dropped everywhere, or, with keep_first, everywhere but at its first place by (doc_id, position).  The
-    bitmap is sparse: bit p % 32 of the word at p // 32 is set for a dropped position p; other lines stay.
+    bitmap is compressed: bit p % 32 of the word at p // 32 is set for a line p that stays; words that keep all their
+    lines are left out, as are documents that do.
 
-    Hashes are range-partitioned together with document and position, so that a very common line spreads over several
-    ranges; each range streams its sorted rows into one partial row a hash, and those are summed.
-    Null doc_ids sort first; null or empty texts have one empty line; rows that repeat doc_id and text count as one document.
+    Hashes are range-partitioned together with document, so that a very common line spreads over several ranges, and
+    sorted by document and position; each range streams its rows into one partial row a hash, and those are summed.
+
+    A document is a doc_id: rows that repeat one count once, whatever their texts, and lose lines each by itself.  Rows
+    with null doc_id lose lines too, but count for no line, and sort first.  Null or empty texts have one empty line.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     line = docs.select(*text_key(), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     line = line.select("doc_id", "text_hash", "pos", _key(F.col("line")).alias("key")).filter(F.length("key") >= min_key)
     hashed = line.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos")
-    order = ["h1", "h2", "doc_id", "text_hash"]
-    sorted_rows = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    sorted_rows = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
     ranges = scratch.save(sorted_rows, "ranges")
     runs = ranges.mapInArrow(_stream_runs, _RUN)
     seen = runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
     common = scratch.save(seen.filter(F.col("n_docs") >= min_docs), "common")
-    dropped = ranges.join(common, ["h1", "h2"])
+    # narrow rows, a line that ten documents hold each: broadcast after a count, so that a very common line's rows stay in their ranges
+    dropped = ranges.join(broadcast_if_small(common), ["h1", "h2"])
     if keep_first:
         dropped = dropped.filter(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % _BITS).cast("int"))
-    word = dropped.groupBy("doc_id", "text_hash", F.floor(F.col("pos") / _BITS).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
-    word = word.withColumn("n", F.bit_count("bits"))
-    return word.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
+    word = dropped.groupBy("doc_id", "text_hash", F.floor(F.col("pos") / _BITS).cast("int").alias("at")).agg(F.bit_or(bit).alias("gone"))
+    word = word.select("doc_id", "text_hash", "at", F.bit_count("gone").alias("n"), F.bitwise_not("gone").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("bits"))
+    return word.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("keep"))
 
 
 _RUN = "h1 long, h2 long, doc_id long, text_hash long, pos int, n_docs long"
@@ -64,46 +67,46 @@ def _stream_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2, text = (batch.column(k).to_numpy() for k in ("h1", "h2", "text_hash"))
+        h1, h2 = (batch.column(k).to_numpy() for k in ("h1", "h2"))
         ids = batch.column("doc_id")
         doc, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
         line_new = np.ones(len(h1), bool)
         line_new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         doc_new = line_new.copy()
-        doc_new[1:] |= (doc[1:] != doc[:-1]) | (known[1:] != known[:-1]) | (text[1:] != text[:-1])
-        if (h1[0], h2[0]) == last_line and (doc[0], known[0], text[0]) == last_doc:
+        doc_new[1:] |= (doc[1:] != doc[:-1]) | (known[1:] != known[:-1])
+        if (h1[0], h2[0]) == last_line and (doc[0], known[0]) == last_doc:
             doc_new[0] = False  # this document was counted at the end of the batch before
-        last_line, last_doc = (h1[-1], h2[-1]), (doc[-1], known[-1], text[-1])
+        last_line, last_doc = (h1[-1], h2[-1]), (doc[-1], known[-1])
         at = np.flatnonzero(line_new)
         first = batch.take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([*(first.column(k) for k in ("h1", "h2", "doc_id", "text_hash", "pos")), pa.array(np.add.reduceat(doc_new.astype(np.int64), at))], names=["h1", "h2", "doc_id", "text_hash", "pos", "n_docs"])
+        yield pa.RecordBatch.from_arrays([*(first.column(k) for k in ("h1", "h2", "doc_id", "text_hash", "pos")), pa.array(np.add.reduceat((doc_new & known).astype(np.int64), at))], names=["h1", "h2", "doc_id", "text_hash", "pos", "n_docs"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _lines (count), _dropped (count) and _kept (the lines that stay, joined by a newline)."""
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.col("n_dropped").alias("_n"), F.map_from_entries("words").alias("_words"))
-    joined = hashed.join(maps.hint("shuffle_hash"), hashed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bit = lambda p: F.coalesce(F.try_element_at("_words", F.floor(p / _BITS).cast("int")), F.lit(0).cast("long"))
-    gone = lambda x, p: F.getbit(bit(p), (p % _BITS).cast("int")) == 1
-    kept = F.when(F.col("_n").isNull(), text).otherwise(F.array_join(F.filter(_lines(F.col("text")), lambda x, p: ~gone(x, p)), "\n"))
-    out = joined.withColumns({"_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), "_dropped": F.coalesce(F.col("_n"), F.lit(0)).cast("long"), "_kept": kept})
-    return out.drop("_hash", "_doc", "_text", "_n", "_words")
+    """(row, n_lines, n_dropped, kept): each row of docs as a struct, and the lines that stay, joined by a newline."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_hash"))
+    maps = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("text_hash").alias("b_text"), F.col("n_dropped").alias("b_n"), F.map_from_entries("keep").alias("b_keep"))
+    joined = rows.join(maps.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("b_doc")) & (F.col("text_hash") == F.col("b_text")), "left")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    bit = lambda p: F.coalesce(F.try_element_at("b_keep", F.floor(p / _BITS).cast("int")), F.lit(-1).cast("long"))
+    stays = lambda x, p: F.getbit(bit(p), (p % _BITS).cast("int")) == 1
+    kept = F.when(F.col("b_n").isNull(), text).otherwise(F.array_join(F.filter(_lines(F.col("row.text")), stays), "\n"))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return joined.select("row", n_lines.alias("n_lines"), F.coalesce("b_n", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, keep_first: bool = False) -> DataFrame:
-    """docs with the text that remains, and n_chars counted anew where that column exists."""
-    out = apply_bitmaps(docs, line_bitmaps(docs, min_docs, min_key, keep_first)).withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs with the text that remains, and n_chars counted anew where that column exists; null texts stay null."""
+    out = apply_bitmaps(docs, line_bitmaps(docs, min_docs, min_key, keep_first))
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    new = {"text": text} | ({"n_chars": F.when(text.isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_bitmaps(docs, line_bitmaps(docs))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""
