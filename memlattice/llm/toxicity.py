@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, binaries, hash_words, mix, shingle_hashes
 from .labelled import held_out, labelled_sample
 
-#: At most so many labelled documents are learned from, and so many lexicon entries kept, those with the most evidence.
-LABELLED, ENTRIES = 20_000, 5_000
+#: At most so many labelled documents are learned from.
+LABELLED = 20_000
 #: Word beginnings of these lengths are entries beside whole words.
 PREFIXES = range(4, 9)
 #: Words added to a text's length, so that one hit in a few words isn't taken for a high density.
@@ -86,7 +87,18 @@ def find_hits(words: list[str], automaton: ahocorasick.Automaton) -> dict[int, f
             excused.append((start, end))
         else:
             hits[start] = max(weight, hits.get(start, 0.0))
-    return {k: w for k, w in hits.items() if not any(a <= k < b for a, b in excused)}
+    if not excused:
+        return hits
+    # the union of the excused stretches, so that each hit is looked up once
+    starts, ends = [], []
+    for a, b in sorted(excused):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    inside = lambda k: (at := bisect_right(starts, k) - 1) >= 0 and k < ends[at]
+    return {k: w for k, w in hits.items() if not inside(k)}
 
 
 def evidence(words: list[str], hits: dict[int, float]) -> tuple[float, float]:
@@ -144,12 +156,11 @@ def _entries(rows: list, toxic_docs: int, clean_docs: int, terms: int) -> dict[s
             weight = math.log((toxic + 0.5) / (toxic_docs + 1)) - math.log((clean + 0.5) / (clean_docs + 1))
             found[term] = (strong, weight, toxic / (toxic + clean))
     kept: dict[str, float] = {}
-    for term in sorted(found, key=len):  # a beginning makes what it covers superfluous, unless that is purer
+    for term in sorted(found, key=lambda x: (len(x), x)):  # a beginning makes what it covers superfluous, unless that is purer
         shorter = [term[:n] for n in range(5, len(term)) if term[:n] in kept]
         if not any(found[x][2] >= found[term][2] - 1e-9 for x in shorter):
             kept[term] = min(8.0, found[term][1])
-    best = sorted(kept, key=lambda x: (-found[x][0], x))[:ENTRIES]
-    return {x: kept[x] for x in best}
+    return kept
 
 
 def _observe(lexicon: Lexicon) -> Callable:
@@ -205,14 +216,18 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     """
     sample = labelled_sample(docs, labels, "toxic", limit)
     # copies of a toxic document are no further evidence against its words
-    sample = sample.mapInArrow(_signed, "text string, label int, s1 long, s2 long").dropDuplicates(["label", "s1"]).dropDuplicates(["label", "s2"])
+    sample = sample.mapInArrow(_signed, "text string, label int, s1 long, s2 long")
+    for s in ("s1", "s2"):  # of each the text with the least hash, so that reruns agree
+        sample = sample.groupBy("label", s).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", *[x for x in ("s2",) if x != s])).alias("m")).select("label", "m.*")
     sample = Scratch(docs.sparkSession, "toxicity").save(sample.select("text", "label"), "sample")
     terms = sample.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = {r["label"]: r["n"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    # 4 * ENTRIES rows of the strongest: more than _entries can keep
-    ranked = terms.filter("toxic > 2").orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "term").limit(4 * ENTRIES).select("term", "clean", "toxic")
-    rows = [tuple(r) for r in ranked.collect()]
-    lexicon = Lexicon(_entries(rows, totals.get(1, 0), totals.get(0, 0), 100 * max(1000, sum(totals.values()))))
+    n_toxic, n_clean, n_terms = totals.get(1, 0), totals.get(0, 0), 100 * max(1000, sum(totals.values()))
+    share, p = n_toxic / max(1, n_toxic + n_clean), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    # the terms whose evidence may suffice; as many as the sample's toxic documents support
+    strong = F.col("toxic") * F.log(p / F.lit(share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / F.lit(1 - share))).otherwise(0.0)
+    enough = terms.filter("toxic > 2").filter((p > F.lit(share)) & (strong >= F.lit(math.log(2 * n_terms) - 1e-6))) if 0 < share < 1 else terms.limit(0)
+    lexicon = Lexicon(_entries([tuple(r) for r in enough.select("term", "clean", "toxic").collect()], n_toxic, n_clean, n_terms))
     seen = sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>").toPandas()
     by_label = {k: Counter(p for ps in part["phrases"] for p in ps) for k, part in seen.groupby(seen["label"] > 0)}
     clean, toxic = by_label.get(False, Counter()), by_label.get(True, Counter())
@@ -224,7 +239,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score, n_hits, n_words of every whole text; null and empty texts score as texts without hits."""
+    """doc_id, score, n_hits, n_words of every whole text.
+
+    Null and empty texts score as texts without hits; a very long text is one text.  Repeated rows score alike, a null
+    doc_id stays null, no rows give none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
