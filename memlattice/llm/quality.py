@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import binaries, hash_batch
 from .labelled import held_out, labelled_sample
 
-#: At most so many labelled documents are learned from.
-LABELLED = 12_000
+#: At most so many labelled documents are learned from, and so many bytes of their texts.
+LABELLED, LEARNED_BYTES = 12_000, 1 << 28
 WORD_BUCKETS, RANK = 1 << 15, 8
 #: Passes over the sample, the largest minibatch, and the least number of steps.
 EPOCHS, BATCH, STEPS = 6, 256, 300
@@ -123,12 +123,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.cumsum(np.bincount(row - row.min()))[:-1]
             feature += np.split(f[order].astype(np.int32), cuts)
             value += np.split(x[order], cuts)
-        yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(feature, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["label", "feature", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label").cast(pa.int32()), pa.array(feature, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["h", "label", "feature", "value"])
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> FactorisationMachine:
-    """A machine fitted on at most `limit` labelled documents outside the held-out fold."""
-    rows = labelled_sample(docs, labels, "quality", limit).mapInArrow(_extract, "label int, feature array<int>, value array<float>").toArrow()
+    """A machine fitted on at most `limit` labelled documents outside the held-out fold, of LEARNED_BYTES at most in all.
+
+    Documents come in the order of a hash of their text, which is also what decides where the bytes end, so that
+    reruns agree.
+    """
+    sample = labelled_sample(docs, labels, "quality", limit).withColumn("h", F.xxhash64("text", "label"))
+    sizes = sample.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toPandas().sort_values(["h", "n"])
+    fits = sizes["h"][sizes["n"].cumsum() <= LEARNED_BYTES]
+    if len(fits) < len(sizes):
+        sample = sample.filter(F.col("h") <= F.lit(int(fits.max()) if len(fits) else -(2**63)))
+    rows = sample.mapInArrow(_extract, "h long, label int, feature array<int>, value array<float>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     feature, value = (rows.column(k).combine_chunks() for k in ("feature", "value"))
     sizes = np.array([len(x) for x in feature], np.int64) if len(rows) else np.zeros(0, np.int64)
     flat = lambda x: x.flatten().to_numpy() if len(rows) else np.zeros(0)
@@ -136,7 +145,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """doc_id and score of every whole text; null and empty texts score by their statistics alone."""
+    """doc_id and score of every whole text.
+
+    Null and empty texts score by their statistics alone; a very long text is one text.  Repeated rows score alike, a
+    null doc_id stays null, no rows give none; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
