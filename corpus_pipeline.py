@@ -13,38 +13,53 @@ from memlattice.llm.near_dedup import near_duplicates
 from memlattice.llm.toxicity import drop_toxic
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """docs but for the given ids; their texts are shuffled only if there are too many ids to broadcast."""
-    gone = Scratch(docs.sparkSession, label).save(ids.select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents whose whole text scores as toxic go.
+
+    Null and empty texts score as texts without hits and stay; a null doc_id is no label's; repeated rows share their
+    fate, and no rows give none.  All columns pass, whatever their names.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go."""
+    """Lines that stand in ten documents (doc_ids) or more go; every document stays, with the text that remains.
+
+    Null texts stay null, n_chars is counted anew.  Rows with null doc_id lose lines but make none common; repeated rows
+    count once.  Other columns pass as they are, whatever their names.
+    """
     return dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays; shingles of five words, similarity 0.8."""
-    return _without(docs, near_duplicates(docs).filter(~F.col("kept")), "near-gone")
+    """The document with the least id of each group stays; shingles of five words, similarity 0.8.
+
+    Texts without words, null ones and rows with null doc_id are in no group and stay.  A doc_id names one document: rows
+    that repeat it are kept or go together.  The texts are shuffled only if there are too many ids to broadcast.
+    """
+    found = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept"))
+    gone = broadcast_if_small(Scratch(spark, "near-gone").save(found.select("doc_id").distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go, by doc_id (null too) and text."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed=True).filter("contaminated")
-    gone = Scratch(spark, "contaminated").save(found.select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_text")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & F.xxhash64("text").eqNullSafe(F.col("g_text"))
-    return docs.join(broadcast_if_small(gone), same, "left_anti").select(*docs.columns)
+    """Documents that hold passages of the benchmark go, by doc_id (null too) and text.
+
+    Null and empty texts, on either side, hold nothing and stay; so does everything if there is no benchmark.  Of rows
+    that repeat a doc_id only those with a contaminated text go.
+    """
+    found = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed=True).filter("contaminated")
+    gone = broadcast_if_small(Scratch(spark, "contaminated").save(found.select("doc_id", "text_hash").distinct(), "gone"))
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken.
+
+    Null sources are one source; null and empty texts have size 0 and nothing taken; repeated rows are rows of their own.
+    """
+    return mix_sources(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
