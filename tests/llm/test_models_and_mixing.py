@@ -93,116 +93,106 @@ def lm_tokens(text):
     return [*(text or "").encode().lower().split(), "END"]
 
 
-@pytest.mark.parametrize("hot", [8, 1 << 18])
-def test_language_model_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(language_model, "HOT", hot)
-    monkeypatch.setattr(language_model, "CORE", 5)
+class BruteAutomaton:
+    """States, arcs and failure arcs in dictionaries, walked token by token."""
+
+    def __init__(self, texts):
+        self.n = Counter()
+        for text in texts:
+            w = ["END", *lm_tokens(text)]
+            for k in range(1, len(w)):
+                for order in range(1, language_model.ORDER + 1):
+                    if k - order + 1 >= 0:
+                        self.n[tuple(w[k - order + 1 : k + 1])] += 1
+        self.total = sum(n for x, n in self.n.items() if len(x) == 1)
+        self.distinct = sum(len(x) == 1 for x in self.n)
+
+    def root(self, y):
+        return (self.n[(y,)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    def arc(self, state, y):
+        if not state:
+            return self.root(y)
+        beta = language_model.BETA[len(state) - 1]
+        return (self.n[(*state, y)] + beta * self.arc(state[1:], y)) / (self.n[state] + beta)
+
+    def walk(self, text):
+        w, score, failed = ["END", *lm_tokens(text)], 0.0, 0
+        for k in range(1, len(w)):
+            state = tuple(w[max(0, k - language_model.ORDER + 1) : k])
+            while state and not self.n[state]:
+                state = state[1:]
+            while state and not self.n[(*state, w[k])]:  # failure arcs
+                score += math.log10(language_model.BETA[len(state) - 1] / (self.n[state] + language_model.BETA[len(state) - 1]))
+                state, failed = state[1:], failed + 1
+            score += math.log10(self.arc(state, w[k]))
+        return score, failed
+
+
+@pytest.mark.parametrize(("block", "shard", "order"), [(1 << 20, 1 << 22, 3), (16, 64, 3), (50, 1000, 2), (64, 512, 4)])
+def test_language_model_matches_a_walked_automaton(spark, monkeypatch, block, shard, order):
+    monkeypatch.setattr(language_model, "BLOCK", block)
+    monkeypatch.setattr(language_model, "SHARD", shard)
+    monkeypatch.setattr(language_model, "ORDER", order)
+    monkeypatch.setattr(language_model, "BETA", (3.0, 1.5, 0.7))
     rng = random.Random(3)
     docs = [(k, " ".join(rng.choices(["The", "the", "cat", "sat", "on", *WORDS[:40]], weights=[9, 9, 5, 5, 5, *[1] * 40], k=rng.randint(0, 40)))) for k in range(150)]
-    docs += [(900, None), (901, ""), (902, "unseen unheard the"), (902, "unseen unheard the")]
-    rows = score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    docs += [(k, " ".join(f"{x} then-{x}" for x in rng.choices([f"w{j}" for j in range(1500)], k=30))) for k in range(150, 200)]
+    docs += [(900, None), (901, ""), (902, "unseen unheard the"), (902, "unseen unheard the"), (903, "the cat sat " * 70)]
+    rows = score_texts(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, n_tokens string, row int").repartition(3)).collect()
     assert len(rows) == len(docs)
-    train = [t for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
-    c = Counter(w for t in train for w in lm_tokens(t))
-    total, distinct = sum(c.values()), len(c)
+    brute = BruteAutomaton([t for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1])
     texts = dict(docs)
     for r in rows:
         w = lm_tokens(texts[r.doc_id])
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), abs=1e-6)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-    # the model itself, from its definition
-    once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
-    d1 = min(0.95, max(0.05, once / (once + 2 * twice)))
-    unknown = max(d1 * distinct / total, 0.5 / (total + 1))
-    uni = lambda x: (1 - unknown) * (c[x] - d1) / (total - d1 * distinct) if c[x] else unknown
-    assert sum(uni(x) for x in c) + unknown == pytest.approx(1)
-    core = sorted(c, key=lambda x: -c[x])[:5]
-    assert set(core) == {"END", b"the", b"cat", b"sat", b"on"}
-    pairs, context = Counter(), Counter()
-    for t in train:
-        w = ["END", *lm_tokens(t)]
-        for x, y in zip(w, w[1:], strict=False):
-            context[x] += 1
-            pairs[x, y] += x in core and y in core
-    pairs = Counter({k: n for k, n in pairs.items() if n})
-    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
-    d2 = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-
-    def log_p(x, y):
-        if x not in core:
-            return math.log10(uni(y))
-        after = [z for z in core if pairs[x, z]]
-        arc = {z: (pairs[x, z] - d2) / context[x] + d2 * len(after) / context[x] * uni(z) for z in after}
-        return math.log10(arc[y] if y in arc else (1 - sum(arc.values())) / (1 - sum(uni(z) for z in after)) * uni(y))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(brute.n[(x,)] > 0 for x in w), brute.total)
+        assert r.base_score == pytest.approx(sum(math.log10(brute.root(x)) for x in w), abs=1e-9)
+        score, failed = brute.walk(texts[r.doc_id])
+        assert r.score == pytest.approx(score, abs=1e-9) and r.n_failed == failed
+    assert brute.root("unheard of") + sum(brute.root(x[0]) for x in brute.n if len(x) == 1) == pytest.approx(1)
+    state = (b"the",) if order == 2 else (b"the", b"cat")
+    assert brute.n[state] and brute.arc(state, "unheard of") + sum(brute.arc(state, x[0]) for x in brute.n if len(x) == 1) == pytest.approx(1)
 
-    for r in rows:
-        w = ["END", *lm_tokens(texts[r.doc_id])]
-        assert r.score == pytest.approx(sum(log_p(x, y) for x, y in zip(w, w[1:], strict=False)), abs=1e-3)
-
-
-@pytest.mark.parametrize(("hot", "arcs", "dense"), [(1 << 18, 1 << 20, 8), (12, 30, 4)])
-def test_language_model_counts_pairs_of_all_words(spark, monkeypatch, hot, arcs, dense):
-    """Pairs far beyond the most frequent 1024 words, with all of them in the model or most of them joined."""
-    for name, value in (("HOT", hot), ("ARCS", arcs), ("DENSE", dense)):
-        monkeypatch.setattr(language_model, name, value, raising=False)
-    rng = random.Random(6)
-    docs = [(k, " ".join(f"{x} then-{x}" for x in (rng.choice([f"w{j}" for j in range(1500)]) for _ in range(30)))) for k in range(300)]
-    docs += [(900, "the the the"), (901, None), (902, "unseen then-w1 w2"), (902, "unseen then-w1 w2")]
-    train = [["END", *lm_tokens(t)] for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
-    c = Counter(y for w in train for y in w[1:])
+
+def test_language_model_base_columns_match_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    sql = f"""
+    WITH words AS (SELECT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end')) AS w FROM '{sf}/documents.parquet')
+    SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL"""
+    import duckdb
+
+    rows = duckdb.sql(sql).fetchall()
+    c = Counter()
+    for doc, w, n in rows:
+        c[w] += n * (zlib.crc32(str(doc).encode()) % 5 != 1)
+    c = Counter({w: n for w, n in c.items() if n})
     total, distinct = sum(c.values()), len(c)
-    discount = lambda n: min(0.95, max(0.05, n.count(1) / (n.count(1) + 2 * n.count(2))))
-    d1 = discount(list(c.values()))
-    unknown = max(d1 * distinct / total, 0.5 / (total + 1))
-    uni = lambda x: (1 - unknown) * (c[x] - d1) / (total - d1 * distinct) if c[x] else unknown
-    after = defaultdict(Counter)
-    for w in train:
-        for x, y in zip(w, w[1:], strict=False):
-            after[x][y] += 1
-    d2 = discount([n for f in after.values() for n in f.values()])
-
-    def log_p(x, y):
-        if x not in after:
-            return math.log10(uni(y))
-        f, n = after[x], sum(after[x].values())
-        arc = {z: (f[z] - d2) / n + d2 * len(f) / n * uni(z) for z in f}
-        return math.log10(arc[y] if y in arc else (1 - sum(arc.values())) / (1 - sum(uni(z) for z in f)) * uni(y))
-
-    want = {k: sum(log_p(x, y) for x, y in zip(["END", *lm_tokens(t)], lm_tokens(t), strict=False)) for k, t in docs}
-    got = score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert len(got) == len(docs) and distinct > 2000
+    want = defaultdict(lambda: [0, 0, 0.0])
+    for doc, w, n in rows:
+        want[doc][0] += n
+        want[doc][1] += n * (c[w] > 0)
+        want[doc][2] += n * math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1)))
+    got = language_model.op6_lm_scoring(spark, sf).collect()
+    assert len(got) == len(want)
     for r in got:
-        assert r.score == pytest.approx(want[r.doc_id], abs=1e-3)
+        assert [r.n_tokens, r.n_known] == want[r.doc_id][:2] and r.train_tokens == total
+        assert r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9)
 
 
-def test_language_model_learns_word_order(spark):
+def test_language_model_learns_word_order(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BETA", (1.0, 1.0))
     rng = random.Random(9)
     docs = [(k, " ".join(f"{x} then-{x}" for x in rng.choices(WORDS[:30], k=20))) for k in range(200)]
     held = [r for r in score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.held_out]
     assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
-def test_language_model_probabilities_sum_to_one(spark, monkeypatch):
-    from memlattice.llm.common import Scratch
-
-    rng = random.Random(4)
-    docs = spark.createDataFrame([(k, " ".join(rng.choices(WORDS[:20], k=30))) for k in range(50)], "doc_id long, text string")
-    model, _ = language_model.learn(docs, Scratch(spark, "test"))
-    p1 = 10 ** model.unigram(model.hot_n)
-    assert p1.sum() + 10 ** model.unigram(np.array([0]))[0] == pytest.approx(1)
-    for state in range(1, len(model.arcs)):
-        row = np.zeros(len(p1))
-        inside = model.core_of_hot >= 0
-        arc = np.where(inside, model.arcs[state][np.maximum(model.core_of_hot, 0)], 0)
-        if not arc.any():
-            continue
-        row = np.where(arc != 0, 10.0**arc, 10 ** model.failure[state] * p1)
-        assert row.sum() + 10 ** (model.failure[state] + model.unigram(np.array([0]))[0]) == pytest.approx(1, abs=1e-5)
-        break
-
-
-def test_language_model_of_nothing(spark):
+def test_language_model_of_very_long_texts_and_of_nothing(spark):
+    """Three million equal tokens: sums neither wrap nor lose the pieces."""
+    docs = spark.createDataFrame([(1, "a " * 3_000_000), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in score_texts(docs).collect()}
+    assert rows[1].n_tokens == 3_000_001 and -10 < rows[1].base_score < 0 and -10 < rows[1].score < 0
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -231,13 +221,17 @@ def test_mixing(spark):
     assert {r.taken for r in mix_sources(frame.filter("text is null")).collect()} == {0}
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAST", 40)
+@pytest.mark.parametrize(("least", "block", "chunk"), [(32, 8192, 1 << 24), (8, 200, 512)])
+def test_neighbours(spark, monkeypatch, least, block, chunk):
+    """With production settings a third of 500 vectors is reranked; smaller ones use many blocks and chunks."""
+    for name, value in (("LEAST", least), ("BLOCK", block), ("CHUNK", chunk)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 16)).astype(np.float32)
     x[7] = x[100]
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [1.0]), (1100, [None] * 16), (None, [1.0] * 16)]
-    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    frame = spark.createDataFrame([(*r, 1, None) for r in rows], "vec_id long, embedding array<float>, v int, score double")
+    got = nearest(frame, F.col("vec_id") % 50 == 0).collect()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
     for q in range(0, 500, 50):
@@ -248,10 +242,40 @@ def test_neighbours(spark, monkeypatch):
         assert [r.rank for r in mine] == [1, 2, 3, 4, 5]
         hits += len({r.vec_id for r in mine} & set(want))
         assert all(r.score == pytest.approx(score[r.vec_id]) for r in mine)
-    assert hits >= 45 and {r.query_id for r in got} == set(range(0, 500, 50))
+    assert hits >= 45
+    assert {r.query_id for r in got} == set(range(0, 500, 50))
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_copies_and_repeated_ids(spark):
+    """Equal vectors tie to the smaller id; a repeated id is one query and as many candidates."""
+    rows = [(k, [1.0, 2.0]) for k in range(60)] + [(0, [1.0, 2.0]), (7, [1.0, 2.0]), (100, [-1.0, 0.5])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50, 100)}
+    assert found == {0: [1, 2, 3, 4, 5], 50: [0, 0, 1, 2, 3], 100: [0, 0, 1, 2, 3]}
+    two = spark.createDataFrame([(0, [1.0]), (1, [-3.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, -1.0)]
+
+
+def test_neighbours_recall_by_the_index_alone(spark):
+    """At ten times the size, a tenth of each block is reranked."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    x = {i: np.array(v, float) for i, v in duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()}
+    ids = np.array(sorted(x))
+    unit = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+    got = defaultdict(set)
+    for r in neighbours.op9_nearest_neighbours(spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in got:
+        score = unit @ unit[np.searchsorted(ids, q)]
+        score[ids == q] = -9
+        hits += len(got[q] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert len(got) == sum(ids % 50 == 0) and hits >= 0.95 * 5 * len(got)
+
+
 def test_preferences(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "and"), (1, 3, "assistant", "bétter"), (1, 3, "assistant", "bétter"), (2, 0, "user", "hi"), (2, 1, "assistant", "bad"), (3, 0, None, None), (None, 0, "user", "x")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -280,3 +304,85 @@ def test_pipeline_stages(spark):
     stage = dict(corpus_pipeline.STAGES)
     kept = stage["toxicity"](spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() > 0.8 * docs.count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, no rows, and columns whose names the operators use themselves."""
+    import corpus_pipeline
+
+    docs, labels = corpus(120)
+    item = " ".join(f"q{k}" for k in range(20))
+    common = "\n".join(["a line that all share", "own"])
+    rows = [(*d[:2], "src") for d in docs] + [(200, None, "src"), (201, "", None), (201, "", None), (None, "no id " * 9, "x"), (202, "word " * 60_000, "x"), (203, item, "x"), (None, item, "x"), *((300 + k, f"{common} {k}", "y") for k in range(12))]
+    frame = spark.createDataFrame([(*r, k, k, "g", "n") for k, r in enumerate(rows)], "doc_id long, text string, source string, rank int, row int, gone string, node string")
+    spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "line_dedup", "near_dedup", "decontamination"):
+        out = stages[name](spark, frame, str(tmp_path))
+        assert out.columns == frame.columns and out.dtypes == frame.dtypes
+        left = out.collect()
+        ids = {r.doc_id for r in left}
+        assert {200, 201, 202} <= ids and sum(r.doc_id == 201 for r in left) >= (1 if name == "near_dedup" else 2)
+        assert stages[name](spark, frame.limit(0), str(tmp_path)).count() == 0
+        if name == "toxicity":
+            assert 0 not in ids and 1 in ids
+        elif name == "line_dedup":
+            assert len(left) == len(rows) and all(r.text == f"own {r.doc_id - 300}" for r in left if (r.doc_id or 0) >= 300)
+        elif name == "near_dedup":
+            assert sum(r.doc_id is None for r in left) == 2
+        else:
+            assert 203 not in ids and sum(r.doc_id is None for r in left) == 1 and len(left) == len(rows) - 2
+    mixed = stages["mixing"](spark, frame, str(tmp_path)).collect()
+    assert len(mixed) == len(rows) and all(r.taken <= 3 * r.size for r in mixed)
+
+
+def test_lexicon_follows_its_counts(spark):
+    """Terms, their evidence and weights against a plain count over the sample."""
+    from memlattice.llm import toxicity as tox
+
+    docs, labels = corpus(300, seed=8)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    lexicon = learn_lexicon(d, y)
+    held_in = {k for k, _, _ in labels if zlib.crc32(str(k).encode()) % 3 != 1}
+    counts = {0: Counter(), 1: Counter()}
+    totals = Counter()
+    for (k, text, *_), (_, _, label) in zip(docs, labels, strict=True):
+        if k in held_in:
+            totals[label] += 1
+            words = set(fold(text))
+            counts[label].update({f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in tox.PREFIXES if len(w) >= n})
+    share = totals[1] / (totals[0] + totals[1])
+    assert lexicon.entries
+    for term, weight in lexicon.entries.items():
+        t, c = counts[1][term], counts[0][term]
+        assert t > 2 and t / (t + c) > share
+        assert weight == pytest.approx(min(8.0, math.log((t + 0.5) / (totals[1] + 1)) - math.log((c + 0.5) / (totals[0] + 1))))
+    again = learn_lexicon(d.repartition(5), y.repartition(3))
+    assert again == lexicon
+    text = "a loser and w1 w2"
+    words = fold(text)
+    hits = find_hits(words, lexicon.automaton())
+    x = sum(s * e for s, e in zip(lexicon.slopes, tox.evidence(words, hits), strict=True)) + lexicon.shift
+    one = score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), lexicon).first()
+    assert one.score == pytest.approx(1 / (1 + math.exp(-x))) and one.n_words == len(words) and one.n_hits == len(hits)
+
+
+def test_quality_fits_agree(spark, monkeypatch):
+    """Reruns agree whatever the order of rows; a bound on bytes leaves fewer rows."""
+    from memlattice.llm import quality
+
+    docs, labels = corpus(200, seed=4)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    one, two = learn_quality(d, y), learn_quality(d.repartition(7), y.repartition(2))
+    assert one.bias == two.bias and (one.linear == two.linear).all() and (one.factors == two.factors).all()
+    monkeypatch.setattr(quality, "LEARNED_BYTES", 2000)
+    assert learn_quality(d, y).bias != one.bias
+
+
+def test_golden_points_are_exact(spark):
+    from memlattice.llm.mixing import GOLDEN, golden_point
+
+    ids = [0, 1, 12345, 2**31, 4_000_000_000, 2**40 + 77, 2**62 - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "j long").select(golden_point(F.col("j")).alias("p")).collect()
+    assert [r.p for r in got] == [i * GOLDEN % 2**32 for i in ids]

@@ -4,12 +4,13 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from memlattice.llm.common import hash_words, shingle_hashes
 from memlattice.llm.decontaminate import contamination, exact_matches, proximity_matches
 from memlattice.llm.line_dedup import apply_bitmaps, dedup_lines, line_bitmaps
 from memlattice.llm.near_dedup import near_duplicates, trees_for
-from memlattice.llm.secrets import BASE, build_index, candidates, find_secrets, trigram_query
+from memlattice.llm.secrets import BASE, MORE, build_index, candidates, find_secrets, trigram_query
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}" for k in range(400)]
@@ -126,6 +127,27 @@ def test_large_star_is_compared_whole(spark, monkeypatch):
     assert len(near) > 250 and all(got[k] == 0 for k in near)
 
 
+def test_pairs_in_a_crowd_with_common_boilerplate(spark, monkeypatch):
+    """300 pairs of similarity over 0.8 among 600 documents of about 0.7 to each other, with nodes of 16."""
+    from memlattice.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    rng = random.Random(12)
+    common = [f"b{k}" for k in range(170)]
+    rows = []
+    for k in range(300):
+        own = [f"o{k}-{j}" for j in range(20)]
+        for copy in range(2):
+            tail = [f"t{k}-{copy}-{j}" for j in range(14)]
+            rows.append((2 * k + copy, " ".join(common + own + tail)))
+    rng.shuffle(rows)
+    sets = {k: shingles(t, 5) for k, t in rows}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert all(near(2 * k, 2 * k + 1) for k in range(300)) and not near(0, 2)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(600)}
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -189,25 +211,50 @@ def test_exact_and_proximity_matches_give_places(spark):
     bench = spark.createDataFrame([(7, " ".join(f"term{k}" for k in range(20)))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b " + " ".join(f"term{k}" for k in range(15))), (2, " ".join(f"term{k}" for k in reversed(range(20))))], "doc_id long, text string")
     assert [(r.doc_id, r.item_id, r.first, r.last) for r in exact_matches(docs, bench).collect()] == [(1, 7, 2, 16)]
-    near = {r.doc_id for r in proximity_matches(docs, bench, least=5).collect()}
-    assert near >= {2}
+    # the rarer half are the five words that the first document lacks, and five others
+    assert {r.doc_id for r in proximity_matches(docs, bench).collect()} == {2}
+    assert {(r.doc_id, r.n_near) for r in contamination(docs, bench, near=True).collect()} == {(1, 0), (2, 1)}
+
+
+def test_proximity_matches_follow_their_definition(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(rng.choices(WORDS[:60], k=rng.choice([1, 4, 7, 20, 40])))) for k in range(8)] + [(8, None), (9, "neverseen words only here today ok")]
+    docs = [(k, "," * (k % 2) + " ".join(rng.choices(WORDS[:60], k=rng.randint(0, 120)))) for k in range(40)] + [(50, None), (51, "")]
+    places = {}
+    for doc, text in docs:
+        for pos, w in enumerate(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)) if text is not None else ():
+            places.setdefault(w, []).append((doc, pos))
+    want = set()
+    for item, text in items:
+        known = sorted((len(places[w]), w) for w in set(bench_words(text)) if w in places)
+        half = -(-len(known) // 2)
+        if half < 3:
+            continue
+        seen = {}
+        for _, w in known[:half]:
+            for doc, pos in places[w]:
+                for block in (pos // 20, pos // 20 - 1):
+                    seen.setdefault((doc, block), set()).add(w)
+        want |= {(doc, item) for (doc, _), ws in seen.items() if len(ws) >= min(8, half)}
+    got = proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 5
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_line_dedup_matches_brute_force(spark, keep_first):
     rng = random.Random(6)
     rows = [(k, "\n".join(rng.choice(["common", " Common\t", f"own {k}", "", "rare" + str(k % 9), "a" * 40]) for _ in range(rng.randint(0, 70)))) for k in range(40)]
-    rows += [(50, None), (51, ""), (52, "\n"), (None, "common\nx"), rows[3]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(50, None), (51, ""), (52, "\n"), (None, "common\nx"), rows[3], *((7, f"twice\nown text {k}") for k in range(12)), *((None, f"nameless\n{k}") for k in range(12))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_lines int, b_keep string")
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     distinct = list(dict.fromkeys(rows))
     holders = {}
     for r in distinct:
         for x in {key(y) for y in (r[1] or "").split("\n")}:
-            holders.setdefault(x, []).append(r)
-    common = {x for x, who in holders.items() if x and len(who) >= 10}
+            holders.setdefault(x, set()).add(r[0])
+    common = {x for x, who in holders.items() if x and len(who - {None}) >= 10}
     seen, kept = set(), {}
-    for doc, text in sorted(distinct, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for doc, text in sorted(distinct, key=lambda r: (r[0] is not None, r[0] or 0)):  # (equal ids share no common line here)
         stay = []
         for line in (text or "").split("\n"):
             if key(line) not in common or (keep_first and key(line) not in seen):
@@ -217,13 +264,15 @@ def test_line_dedup_matches_brute_force(spark, keep_first):
         kept[doc, text] = ((text or "").count("\n") + 1, (text or "").count("\n") + 1 - len(stay), "\n".join(stay))
     got = apply_bitmaps(docs, line_bitmaps(docs, keep_first=keep_first)).collect()
     assert len(got) == len(rows)
-    assert {(r.doc_id, r.text): (r["_lines"], r["_dropped"], r["_kept"]) for r in got} == kept
+    assert {(r["row"].doc_id, r["row"].text): (r.n_lines, r.n_dropped, r.kept) for r in got} == kept
 
 
 def test_line_dedup_keeps_columns(spark):
     docs = spark.createDataFrame(awkward(random.Random(7)), SCHEMA)
+    docs = docs.withColumnRenamed("source", "_n").withColumn("keep", F.lit(1)).withColumn("text_hash", F.lit("x"))
     out = dedup_lines(docs, min_docs=2)
     assert out.columns == docs.columns and out.count() == docs.count()
+    assert {r.doc_id: r.n_chars for r in out.collect() if r.doc_id is not None} == {r.doc_id: None if r.text is None else len(r.text) for r in out.collect() if r.doc_id is not None}
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -239,8 +288,11 @@ def brute_spans(text):
 def test_secrets_match_brute_force(spark):
     rng = random.Random(8)
     parts = ["password", "PASSWD", "Token", "api_key", "apikey", "APIKEY", "=", ": ", '"', " ", "é", "\n", "AKIA", "ABCDEFGH12345678", "deadbeef01234567", "abc", "x.y-z_w+q/r=", "secret", "K"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)] + [None, "", "a" * 100_000, "AKIA" * 9, "ſecret=abcdefghijklmnop", "toKen=abcdefghijklmnop"]
-    got = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    parts += ["eyJ", "eyJhbGciOi.eyJzdWIiOi.sig-nature"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)] + ["eyJ" * 200_000, None, "", "a" * 100_000, "AKIA" * 9, "ſecret=abcdefghijklmnop", "toKen=abcdefghijklmnop"]
+    frame = spark.createDataFrame([(k, t, [1]) for k, t in enumerate(texts)], "doc_id long, text string, spans array<int>")
+    got = find_secrets(frame).collect()
+    assert find_secrets(frame.limit(0)).count() == 0
     base = {r.kind for r in BASE}
     found = 0
     for r in got:
@@ -253,7 +305,10 @@ def test_secrets_match_brute_force(spark):
 def test_trigram_queries_never_lose_a_match():
     assert trigram_query(r"[0-9a-f]+") is None
     assert trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
-    texts = ["xx api_key=1", "apikey", "nothing", "akia", "PassWord"]
+    texts = ["xx api_key=1", "apikey", "nothing", "akia", "PassWord", "", "ä", "ap", "i_key"]
+    wanted = sorted({t for r in BASE + MORE if (q := trigram_query(r.pattern)) for x in q for t in x})
+    assert {t: r.tolist() for t, r in build_index(texts, wanted).items()} == {t: [k for k, x in enumerate(texts) if t in x.lower()] for t in wanted}
+    assert all(len(r) == 0 for r in build_index([], wanted).values())
     query = trigram_query(BASE[0].pattern)
     index = build_index(texts, sorted({t for q in query for t in q}))
     assert {k for k, t in enumerate(texts) if re.search(BASE[0].pattern, t)} <= set(candidates(query, index, len(texts)).tolist())
