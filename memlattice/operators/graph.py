@@ -159,16 +159,25 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
 
+#: Labels that may travel to every task.
+LABELS = 1_000_000
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(item_id, component): the least item_id that is weakly connected with each node, by least labels and pointer jumps."""
+    """(item_id, component): the least item_id that is weakly connected with each node, by least labels and pointer jumps.
+
+    As labels become few, the table of their own labels does too, and is broadcast after a count: no task gets all the
+    rows of one label.
+    """
     rounds = Rounds(nodes.sparkSession)
     ways = rounds.save(both_ways(edges).select("src", "dst").distinct())
     labels = rounds.save(nodes.select("item_id", F.col("item_id").alias("component")).distinct())
     while True:
         near = ways.join(labels.withColumnRenamed("item_id", "src"), "src").groupBy(F.col("dst").alias("item_id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "item_id", "left").select("item_id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
+        hooked = rounds.save(labels.join(near, "item_id", "left").select("item_id", "component", F.least("component", F.coalesce("near", "component")).alias("next")))
         # the label's own label, so that chains shorten by half
-        jumped = hooked.join(hooked.select(F.col("item_id").alias("next"), F.col("next").alias("jump")), "next", "left")
+        jumps = rounds.save(hooked.select(F.col("item_id").alias("next"), F.col("next").alias("jump")).join(hooked.select("next").distinct(), "next", "left_semi"))
+        jumped = hooked.join(F.broadcast(jumps) if jumps.limit(LABELS + 1).count() <= LABELS else jumps, "next", "left")
         step = rounds.save(jumped.select("item_id", "component", F.least("next", F.coalesce("jump", "next")).alias("next")))
         changed = step.filter("component <> next").limit(1).count()
         labels = step.select("item_id", F.col("next").alias("component"))
@@ -192,16 +201,19 @@ def reach(edges: DataFrame, start: str, max_depth: int, kinds: list[str] | None
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 10) -> DataFrame:
-    """(length, path) of the undirected shortest path, the least by its nodes among equals; no row if there is none."""
+def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None = None) -> DataFrame:
+    """(length, path) of the undirected shortest path, the least by its nodes among equals; no row if there is none, or none
+    of max_depth hops at most."""
     rounds = Rounds(edges.sparkSession)
     ways = rounds.save(both_ways(edges).select("src", "dst").distinct())
     kind = edges.schema["src"].dataType
     seen = edges.sparkSession.createDataFrame([(start,)], ["item_id"]).select(F.col("item_id").cast(kind).alias("item_id"))
     frontier = seen.select("item_id", F.array("item_id").alias("path"))
-    for _ in range(max_depth + 1):
-        if not frontier.filter(F.col("item_id") == end).isEmpty():
-            break
+    hops = 0
+    while frontier.filter(F.col("item_id") == end).isEmpty():
+        if frontier.isEmpty() or hops == max_depth:
+            return frontier.limit(0).select(F.lit(0).alias("length"), F.lit("").alias("path"))
+        hops += 1
         new = ways.join(frontier.withColumnRenamed("item_id", "src"), "src").groupBy(F.col("dst").alias("item_id")).agg(F.min("path").alias("path"))
         frontier = rounds.save(new.join(seen, "item_id", "left_anti").select("item_id", F.concat("path", F.array("item_id")).alias("path")))
         seen = seen.union(frontier.select("item_id"))
@@ -237,20 +249,41 @@ def simple_paths(edges: DataFrame, start: str, end: str, cutoff: int = 5) -> Dat
     return found.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def transitive_closure(edges: DataFrame, kind: str, max_rounds: int = 64) -> DataFrame:
-    """(src, dst) reachable by `kind` without a direct edge, src <> dst; semi-naive rounds to the fixpoint."""
+def transitive_closure(edges: DataFrame, kind: str) -> DataFrame:
+    """(src, dst) reachable by `kind` without a direct edge, src <> dst.
+
+    To the fixpoint: each round joins the pairs it found last with all pairs, on either side, so that lengths double.
+    """
     rounds = Rounds(edges.sparkSession)
     e = rounds.save(edges.filter(F.col("edge_type") == kind).select("src", "dst").distinct())
     all_pairs, new = e, e
-    for _ in range(max_rounds):
-        step = new.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+    while not new.isEmpty():
+        join = lambda a, b: a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        step = join(new, all_pairs).union(join(all_pairs, new)).distinct()
         new = rounds.save(step.join(all_pairs, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            break
-        all_pairs = all_pairs.union(new)
+        all_pairs = rounds.save(all_pairs.union(new))
     return all_pairs.filter("src <> dst").join(e, ["src", "dst"], "left_anti")
 
 
+def paths_from(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
+    """(path, depth): all directed paths from start of max_depth edges at most that meet no node twice, start itself first."""
+    rounds = Rounds(edges.sparkSession)
+    kind = edges.schema["src"].dataType
+    level = edges.sparkSession.createDataFrame([(start,)], ["at"]).select(F.col("at").cast(kind).alias("at")).select("at", F.array("at").alias("nodes"))
+    levels = [level]
+    for _ in range(max_depth):
+        last = levels[-1]
+        grown = last.join(edges.select("src", "dst"), F.col("at") == F.col("src")).filter(~F.array_contains("nodes", F.col("dst")))
+        level = rounds.save(grown.select(F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), (F.size("nodes") - 1).alias("depth"))
+
+
 #: Edges of an adjacency that may travel to every task.
 ADJACENCY = 1_000_000
 

@@ -290,7 +290,7 @@ d AS (SELECT item_id, min(depth) AS depth FROM bfs GROUP BY 1),
 p AS (SELECT 1::BIGINT AS item_id, [1::BIGINT] AS path, 0 AS depth UNION ALL SELECT b.dst, list_append(path, b.dst), p.depth + 1 FROM p JOIN ways b ON b.src = p.item_id JOIN d ON d.item_id = b.dst AND d.depth = p.depth + 1 WHERE p.depth < (SELECT depth FROM d WHERE item_id = 2))
 SELECT depth AS length, array_to_string(path, '>') AS path FROM p WHERE item_id = 2 ORDER BY p.path LIMIT 1""", "links")
 def graph_shortest_path(t: Tables) -> DataFrame:
-    return g.shortest_path(t.links, 1, 2)
+    return g.shortest_path(t.links, 1, 2, max_depth=10)
 
 
 @query("graph_simple_paths", """

@@ -155,15 +155,6 @@ def join_entity_merge(t: Tables) -> DataFrame:
     return a.join(b, "k", "full").select("k", F.when(second, "supplier").otherwise("customer").alias("kind"))
 
 
-@query("join_repetition_rate", """
-SELECT round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = e.event_type AND p.props = e.props AND p.ts <= e.ts - INTERVAL 30 MINUTE)) / count(*), 6) AS rate FROM events e""")
-def join_repetition_rate(t: Tables) -> DataFrame:
-    # the earliest equal query decides: no pairs are formed
-    first = F.min("ts").over(W.partitionBy("user_id", "event_type", "props"))
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
-    return t.events.withColumn("again", F.when(gap >= 30 * 60 * 1_000_000, 1.0).otherwise(0.0)).agg(F.round(F.avg("again"), 6).alias("rate"))
-
-
 @query("join_missing_connections", """
 WITH p AS (SELECT b.item_id, count(*) AS shared FROM tags a JOIN tags b ON a.tag = b.tag AND a.item_id = 1 AND b.item_id <> 1 GROUP BY 1)
 SELECT item_id, shared FROM p ORDER BY shared DESC, item_id LIMIT 10""", "tags")
