@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -84,3 +86,57 @@ def order_stages(needs: dict[str, list[str]]) -> list[str]:
         out.append(free[0])
         del left[free[0]]
     return out
+
+
+def problem(kind: str, name: str, f: object) -> str | None:
+    """What keeps a plugin from being registered, or None."""
+    if kind not in KINDS:
+        return "unknown kind"
+    if not re.fullmatch(r"[A-Za-z][\w-]*", name):
+        return "no name"
+    return None if callable(f) else "not callable"
+
+
+def load(registry: Registry, offers: dict[str, tuple[str, str, Callable[[], Callable]]], wanted: str) -> dict[str, str]:
+    """Registers what offers (name: kind, version, loader) give; the state of each: loaded, incompatible or failed."""
+    out: dict[str, str] = {}
+    for name, (kind, version, loader) in offers.items():
+        if not compatible(version, wanted):
+            out[name] = "incompatible"
+            continue
+        try:
+            f = loader()
+            if why := problem(kind, name, f):
+                raise ValueError(why)
+            registry.register(kind, name, f)
+        except Exception:  # a plugin may fail in any way; the others load
+            out[name] = "failed"
+        else:
+            out[name] = "loaded"
+    return out
+
+
+def guarded(f: Callable[[], object], seconds: float) -> str:
+    """What a plugin returns as text, the name of its exception, or timeout; it runs in a thread of its own."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return str(pool.submit(f).result(seconds))
+    except TimeoutError:
+        return "timeout"
+    except Exception as e:
+        return type(e).__name__
+    finally:
+        pool.shutdown(wait=False)
+
+
+def retried(stage: Callable[[DataFrame], DataFrame], df: DataFrame, tries: int = 3, wait: float = 1.0, skip: bool = True) -> tuple[DataFrame, str, int]:
+    """(frame, outcome, tries) of a stage that may fail: tried again after twice as long each time, then skipped, or the error raised."""
+    for k in range(1, tries + 1):
+        try:
+            return stage(df), "done", k
+        except Exception:
+            if k == tries and not skip:
+                raise
+            if k < tries:
+                time.sleep(wait * 2 ** (k - 1))
+    return df, "skipped", tries

@@ -69,3 +69,9 @@ def hebbian_boost(n: Column) -> Column:
 def entropy(p: Column) -> Column:
     """A term of the entropy, to be summed."""
     return F.when(p > 0, -p * F.log(p)).otherwise(0.0)
+
+
+def opinion_confidence(n: Column, scepticism: float) -> Column:
+    """Strength of a pattern seen n times, less for a sceptical disposition, more for evidence."""
+    strength = F.least(F.lit(1.0), n / 10.0)
+    return strength * (1 - 0.3 * scepticism) * (0.5 + 0.5 * strength)

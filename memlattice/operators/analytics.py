@@ -67,3 +67,22 @@ def precision_recall(found: DataFrame, truth: DataFrame, key: list[str], label:
     given, real = F.col("correct") + F.col("wrong_type") + F.col("spurious"), F.col("correct") + F.col("wrong_type") + F.col("missing")
     p, r = F.when(given > 0, F.col("correct") / given).otherwise(0.0), F.when(real > 0, F.col("correct") / real).otherwise(0.0)
     return n.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+
+
+def topic_divergence(rows: DataFrame, topics: int, seed: int = 7) -> DataFrame:
+    """(a, b, divergence): Jensen-Shannon divergence of the mean topic mixes of each two values, by online LDA of rows (value, text).
+
+    Values are an attribute's, so their pairs are few; the mixes are summed before they are paired.
+    """
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = rows.withColumn("words", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
+    counted = CountVectorizer(inputCol="words", outputCol="features").fit(words).transform(words)
+    mixed = LDA(k=topics, seed=seed, optimizer="online", maxIter=5).fit(counted).transform(counted)
+    p = mixed.select("value", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p")).groupBy("value", "topic").agg(F.avg("p").alias("p"))
+    pairs = p.select(F.col("value").alias("a"), "topic", F.col("p").alias("pa")).join(p.select(F.col("value").alias("b"), "topic", F.col("p").alias("pb")), "topic").filter("a < b")
+    middle = (F.col("pa") + F.col("pb")) / 2
+    part = 0.5 * (F.col("pa") * F.log(F.col("pa") / middle) + F.col("pb") * F.log(F.col("pb") / middle))
+    return pairs.groupBy("a", "b").agg(F.round(F.sum(part), 6).alias("divergence"))

@@ -83,3 +83,84 @@ def list_changes(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "op", "old_from", "old_to", "new_from", "new_to"])
 
     return rows.select(key, old, new).mapInPandas(run, f"{key} {kind}, op string, old_from int, old_to int, new_from int, new_to int")
+
+
+#: Vectors of a block that are compared at once.
+VECTORS = 2048
+
+
+def near_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, kept): the least id within `cosine` of each vector, itself included; exact.
+
+    Vectors are dealt into packed blocks, and each block is compared with those of lower ids block by block: the work
+    is that of all pairs, in matrix products, and a task holds two blocks.  Zero vectors are near none.
+    """
+    n = vectors.count()
+    parts = max(1, -(-n // VECTORS))
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    ranked = vectors.select("vec_id", unit.alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    packed = ranked.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    left = packed.select(F.col("block").alias("b1"), F.col("rows").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("block"))
+    both = left.join(packed, "block").select("r1", "rows")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        def matrix(rows: object) -> tuple:
+            ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], float)
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            return ids, x / np.where(size > 0, size, 1.0)
+
+        for frame in frames:
+            for a, b in zip(frame["r1"], frame["rows"], strict=True):
+                (i, x), (j, y) = matrix(a), matrix(b)
+                near = (x @ y.T >= cosine) | (i[:, None] == j[None, :])
+                yield pd.DataFrame({"vec_id": i, "kept": np.where(near, j[None, :], np.iinfo(np.int64).max).min(axis=1)})
+
+    return both.mapInPandas(run, "vec_id long, kept long").groupBy("vec_id").agg(F.min("kept").alias("kept"))
+
+
+def greedy_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, cluster): in order of ids, each vector joins the first cluster whose first member is near enough, or begins one.
+
+    A fold in one order: only the first members are kept, and one task does it, as labels are few.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        names: list[int] = []
+        firsts: list = []
+        for frame in frames:
+            out = []
+            for key, v in zip(frame["vec_id"], frame["v"], strict=True):
+                x = np.asarray(v, float)
+                x = x / (np.linalg.norm(x) or 1.0)
+                near = np.flatnonzero(np.array(firsts) @ x >= cosine) if firsts else []
+                if not len(near):
+                    names.append(key)
+                    firsts.append(x)
+                out.append(names[near[0]] if len(near) else key)
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "cluster": out})
+
+    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.repartition(1).sortWithinPartitions("vec_id").mapInPandas(fold, "vec_id long, cluster long")
+
+
+def semantic_temporal(rows: DataFrame, key: str, order: str, text: str, alike: float = 0.3, scale: float = 1.0) -> DataFrame:
+    """(key, order, cluster): in each key's order, an item joins the first cluster whose first item shares enough words and
+    stands near enough (exp(-distance / scale) over 0.5), or begins one."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        seeds: list[tuple[int, frozenset]] = []
+        out = []
+        for at, value in part.sort_values(order)[[order, text]].itertuples(index=False, name=None):
+            words = frozenset(value.lower().split())
+            fit = next((k for k, w in seeds if words and w and len(words & w) / len(words | w) > alike and 2.718281828459045 ** (-(at - k) / scale) > 0.5), None)
+            if fit is None:
+                seeds.append((at, words))
+            out.append((part[key].iloc[0], at, at if fit is None else fit))
+        return pd.DataFrame(out, columns=[key, order, "cluster"])
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, cluster {kinds[order]}")

@@ -45,3 +45,10 @@ def map_diff(a: Column, b: Column) -> dict[str, Column]:
     ka, kb = F.map_keys(a), F.map_keys(b)
     shared = F.array_intersect(ka, kb)
     return {"added": F.sort_array(F.array_except(kb, ka)), "removed": F.sort_array(F.array_except(ka, kb)), "changed": F.sort_array(F.filter(shared, lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k))))}
+
+
+def provenance(base: DataFrame, overlay: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
+    """(key, layer): hidden, base, local (of the overlay alone) or override."""
+    both = base.select(key, F.lit(True).alias("b")).join(overlay.select(key, F.lit(True).alias("o")), key, "full").join(hidden.select(key, F.lit(True).alias("h")), key, "left")
+    layer = F.when(F.col("h"), "hidden").when(F.col("o").isNull(), "base").when(F.col("b").isNull(), "local").otherwise("override")
+    return both.select(key, layer.alias("layer"))

@@ -92,3 +92,30 @@ def matches_any(fields: list[Column], terms: list[str]) -> Column:
         for x in terms:
             out = out | F.lower(f).contains(x.lower())
     return out
+
+
+def traverse(vectors: DataFrame, links: DataFrame, query: list[float], most: int = 8, by_centroid: bool = False, near: int = 10) -> DataFrame:
+    """(place, vec_id): a walk from the vector nearest to the query, each step to the best neighbour not visited yet.
+
+    Neighbours are up to `near` linked ones (links src, dst; the least first) and the `near` nearest vectors.  Best is
+    most similar to the query or, by_centroid, what puts the centroid of query, current and candidate nearest to the
+    query.  A step is one scan that hands 2 * near rows to the driver, which keeps the path; ties go to the smaller id.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    first = rows.select("vec_id", "v", F.round(sc.cosine(F.col("v"), q), 6).alias("s")).orderBy(F.desc("s"), "vec_id").first()
+    path: list[int] = []
+    now = first
+    while now is not None and len(path) < most:
+        path.append(now["vec_id"])
+        here = F.array(*[F.lit(float(x)) for x in now["v"]])
+        linked = links.filter(F.col("src") == now["vec_id"]).select(F.col("dst").alias("vec_id")).distinct().orderBy("vec_id").limit(near)
+        alike = rows.filter(F.col("vec_id") != now["vec_id"]).select("vec_id", F.round(sc.cosine(F.col("v"), here), 6).alias("c")).orderBy(F.desc("c"), "vec_id").limit(near).select("vec_id")
+        if by_centroid:
+            gap = F.zip_with(F.zip_with("v", here, lambda a, b: a + b), q, lambda a, b: (a + b) / 3 - b)
+            worth = -F.round(F.sqrt(sc.dot(gap, gap)), 6)
+        else:
+            worth = F.round(sc.cosine(F.col("v"), q), 6)
+        left = rows.join(F.broadcast(linked.union(alike).distinct()), "vec_id", "left_semi").filter(~F.col("vec_id").isin(path))
+        now = left.select("vec_id", "v", worth.alias("s")).orderBy(F.desc("s"), "vec_id").first()
+    return vectors.sparkSession.createDataFrame(list(enumerate(path)), "place int, vec_id long")

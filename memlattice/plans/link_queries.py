@@ -31,14 +31,19 @@ def join_opinion_evidence(t: Tables) -> DataFrame:
     return hit.select("opinion_id", "claim_id", low.rlike("not|never|stopped|changed|no longer|unlike").alias("contradicts"))
 
 
+_DECISIONS = [(1, "small widget", "tools", ["x"]), (2, "zzz", "PROMO", []), (3, "", "", ["bolt", "gear"]), (4, "nothing at all", "nowhere", [])]
+
+
 @query("join_decision_evidence", """
-SELECT o.o_orderkey AS decision_id, p_partkey, regexp_matches(lower(p_name), 'cold|small') AS contradicts FROM (SELECT * FROM orders WHERE o_orderkey < 40) o JOIN part ON contains(lower(p_name), ['bolt', 'widget', 'gear', 'valve'][(o_orderkey % 4 + 1)::INT]) OR (p_size = o_orderkey AND p_type = 'PROMO') WHERE p_partkey < 200""")
+SELECT decision_id, p_partkey, regexp_matches(e, 'cold|not') AS contradicts FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS e FROM part) JOIN (VALUES (1, 'small widget', 'tools', ['x']), (2, 'zzz', 'promo', []), (3, '', '', ['bolt', 'gear']), (4, 'nothing at all', 'nowhere', [])) d(decision_id, content, domain, tags)
+ON (content <> '' AND contains(e, content)) OR (domain <> '' AND contains(e, domain)) OR len(list_filter(tags, lambda x: contains(e, x))) > 0""")
 def join_decision_evidence(t: Tables) -> DataFrame:
-    """Evidence by keyword or tag for a few pending decisions, which are broadcast."""
-    words = F.array(*[F.lit(x) for x in ("bolt", "widget", "gear", "valve")])
-    few = t.orders.filter("o_orderkey < 40").select(F.col("o_orderkey").alias("decision_id"), F.element_at(words, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("word"))
-    on = F.lower("p_name").contains(F.col("word")) | ((F.col("p_size") == F.col("decision_id")) & (F.col("p_type") == "PROMO"))
-    return t.part.filter("p_partkey < 200").join(F.broadcast(few), on).select("decision_id", "p_partkey", F.lower("p_name").rlike("cold|small").alias("contradicts"))
+    """Evidence that holds a decision's content, domain or one of its tags; the decisions, a few, are broadcast."""
+    few = t.spark.createDataFrame(_DECISIONS, "decision_id int, content string, domain string, tags array<string>")
+    e = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    named = lambda c: (F.col(c) != "") & e.contains(F.lower(F.col(c)))
+    on = named("content") | named("domain") | F.exists("tags", lambda x: e.contains(F.lower(x)))
+    return t.part.join(F.broadcast(few), on).select("decision_id", "p_partkey", e.rlike("cold|not").alias("contradicts"))
 
 
 @query("evolve_opinion_reinforcement", f"""
@@ -179,22 +184,28 @@ def graph_episode_facts(t: Tables) -> DataFrame:
     return t.edges.join(one, "src", "left_semi").join(t.nodes.select(F.col("item_id").alias("dst"), "name"), "dst").select("edge_type", "name")
 
 
+_MENTIONED = [("Brand#5", "MENTIONS"), ("Brand#13", None), ("Brand#99", None)]
+
+
 @query("join_link_new_item", """
-SELECT 'new' AS src, 'entity:' || lower(p_brand) AS dst, CASE WHEN p_size > 25 THEN 'MENTIONS' ELSE 'RELATED' END AS edge_type FROM part WHERE p_partkey < 3 UNION SELECT 'entity:' || lower(p_brand), 'new', 'MENTIONED_IN' FROM part WHERE p_partkey < 3""")
+WITH e AS (SELECT * FROM (VALUES ('Brand#5', 'MENTIONS'), ('Brand#13', NULL), ('Brand#99', NULL)) v(name, kind)), k AS (SELECT DISTINCT p_brand FROM part)
+SELECT 'new' AS src, 'entity:' || lower(name) AS dst, coalesce(kind, 'RELATED') AS edge_type, p_brand IS NOT NULL AS known FROM e LEFT JOIN k ON p_brand = name UNION ALL SELECT 'entity:' || lower(name), 'new', 'MENTIONED_IN', p_brand IS NOT NULL FROM e LEFT JOIN k ON p_brand = name""")
 def join_link_new_item(t: Tables) -> DataFrame:
-    """Edges of a new item and its entities, RELATED unless typed, in both directions."""
-    e = t.part.filter("p_partkey < 3").select(F.concat(F.lit("entity:"), F.lower("p_brand")).alias("entity"), F.when(F.col("p_size") > 25, "MENTIONS").alias("kind"))
-    out = e.select(F.lit("new").alias("src"), F.col("entity").alias("dst"), F.coalesce("kind", F.lit("RELATED")).alias("edge_type"))
-    return out.union(e.select("entity", F.lit("new"), F.lit("MENTIONED_IN"))).distinct()
+    """Edges of a new item and its entities, RELATED unless typed, in both directions; whether the entity was known."""
+    known = t.part.select(F.col("p_brand").alias("name")).distinct().withColumn("known", F.lit(True))
+    e = t.spark.createDataFrame(_MENTIONED, "name string, kind string").join(known, "name", "left")
+    e = e.select(F.concat(F.lit("entity:"), F.lower("name")).alias("entity"), "kind", F.coalesce("known", F.lit(False)).alias("known"))
+    out = e.select(F.lit("new").alias("src"), F.col("entity").alias("dst"), F.coalesce("kind", F.lit("RELATED")).alias("edge_type"), "known")
+    return out.union(e.select("entity", F.lit("new"), F.lit("MENTIONED_IN"), "known"))
 
 
 @query("join_procedure_steps", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'inline' ELSE steps END AS steps FROM orders JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, '>' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey < 500""")
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'inline' ELSE steps END AS steps FROM orders JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, '>' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def join_procedure_steps(t: Tables) -> DataFrame:
     """Steps that a procedure holds itself, else those its HAS_STEP edges lead to, in order."""
-    made = t.lineitem.filter("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ">").alias("made"))
-    own = F.when(F.col("o_orderkey") % 3 == 0, "inline")
-    return t.orders.filter("o_orderkey < 500").join(made, "o_orderkey").select("o_orderkey", F.coalesce(own, "made").alias("steps"))
+    made = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ">").alias("made"))
+    own = F.when(F.col("o_orderstatus") == "O", "inline")
+    return t.orders.join(made, "o_orderkey").select("o_orderkey", F.coalesce(own, "made").alias("steps"))
 
 
 @query("join_class_ids", "SELECT * FROM (VALUES ('Person', 'Q5'), ('LOCATION', 'Q515'), ('LOCATION', 'Q6256'), ('org', 'Q43229')) v(entity_type, qid)")

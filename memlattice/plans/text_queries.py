@@ -244,3 +244,28 @@ def search_history_page(t: Tables) -> DataFrame:
 @query("search_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
 def search_recent(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(25)
+
+
+def _walk_sql(worth: str, start: int) -> str:
+    return f"""
+WITH RECURSIVE q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {start}), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings),
+pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_inner_product(a.e, b.e) / (a.size * b.size), 6) AS c, round({worth}, 6) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id, q),
+n AS (SELECT src, dst, s FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS k FROM pairs) WHERE k <= 10
+  UNION SELECT p.src, p.dst, p.s FROM pairs p JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT src, dst FROM links)) l ON l.src = p.src AND l.dst = p.dst WHERE k <= 10),
+w AS (SELECT 0 AS place, {start}::BIGINT AS vec_id, [{start}::BIGINT] AS seen UNION ALL
+  SELECT w.place + 1, x.dst, list_append(w.seen, x.dst) FROM w, LATERAL (SELECT dst FROM n WHERE n.src = w.vec_id AND NOT list_contains(w.seen, n.dst) ORDER BY s DESC, dst LIMIT 1) x WHERE w.place < 7)
+SELECT place, vec_id FROM w"""
+
+
+def _query_vector(t: Tables, key: int) -> list[float]:
+    return [float(x) for x in t.embeddings.filter(F.col("vec_id") == key).first()["embedding"]]
+
+
+@query("search_query_traversal", _walk_sql("list_inner_product(b.e, q) / (b.size * sqrt(list_inner_product(q, q)))", 4), "links")
+def search_query_traversal(t: Tables) -> DataFrame:
+    return s.traverse(t.embeddings, t.links, _query_vector(t, 4))
+
+
+@query("search_triangulation", _walk_sql("-sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: pow((a.e[i] + b.e[i] + q[i]) / 3 - q[i], 2))))", 6), "links")
+def search_triangulation(t: Tables) -> DataFrame:
+    return s.traverse(t.embeddings, t.links, _query_vector(t, 6), by_centroid=True)
