@@ -21,7 +21,7 @@ from .common import Scratch, binaries, hash_batch, mix, remainder
 #: Tokens of the longest n-grams, and the pseudo-counts of the shorter history by order (from the second on).
 ORDER, BETA = 3, (512.0, 8.0)
 #: Tokens of a block: what one task counts and walks at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Bytes of text whose n-grams make one shard of the counts.
 SHARD = 1 << 22
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
