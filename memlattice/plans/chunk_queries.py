@@ -210,9 +210,9 @@ def value_schema_hash(t: Tables) -> DataFrame:
     return vl.schema_hashes(t.current_tools)
 
 
-@query("value_drift_confidence", "SELECT decision_id, round(confidence * CASE WHEN status = 'superseded' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS confidence FROM decisions", "decisions")
+@query("value_drift_confidence", "SELECT decision_id, round(confidence * CASE WHEN status = 'superseded' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END + 1e-9, 6) AS confidence FROM decisions", "decisions")
 def value_drift_confidence(t: Tables) -> DataFrame:
-    return t.decisions.select("decision_id", F.round(vl.drift_confidence(F.col("confidence"), F.col("status") == "superseded", 0.5), 6).alias("confidence"))
+    return t.decisions.select("decision_id", F.round(vl.drift_confidence(F.col("confidence"), F.col("status") == "superseded", 0.5) + 1e-9, 6).alias("confidence"))
 
 
 @query("value_entity_name", r"SELECT name, trim(regexp_replace(name, '\s+', ' ', 'g')) AS clean FROM vocabulary", "vocabulary")

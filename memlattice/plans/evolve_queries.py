@@ -139,11 +139,12 @@ def stream_co_retrieval(t: Tables) -> DataFrame:
 
 
 @query("stream_two_tier_extraction", """
-SELECT lower(p_name) AS name, min(p_type) AS kind FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size < 10) GROUP BY 1""")
+SELECT lower(p_name || ' ' || p_brand) AS name, min(p_type) AS kind FROM part WHERE lower(p_name || ' ' || p_brand) NOT IN (SELECT lower(p_name || ' ' || p_brand) FROM part WHERE p_size < 10) GROUP BY 1""")
 def stream_two_tier_extraction(t: Tables) -> DataFrame:
     """What the second tier found and the first had not."""
-    ruler = t.part.filter("p_size < 10").select(F.lower("p_name").alias("name")).distinct()
-    return t.part.select(F.lower("p_name").alias("name"), "p_type").join(ruler, "name", "left_anti").groupBy("name").agg(F.min("p_type").alias("kind"))
+    name = F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("name")
+    ruler = t.part.filter("p_size < 10").select(name).distinct()
+    return t.part.select(name, "p_type").join(ruler, "name", "left_anti").groupBy("name").agg(F.min("p_type").alias("kind"))
 
 
 @query("infer_run", """

@@ -324,13 +324,13 @@ b AS (SELECT item_id, round(raw / max(raw) OVER (), 6) AS bm FROM raw)"""
 
 @query("search_bm25_hybrid", f"""
 WITH {_BM}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 2), v AS (SELECT vec_id AS item_id, {_COS} AS c FROM embeddings, qv)
-SELECT item_id, round(0.5 * coalesce(bm, 0) + 0.5 * coalesce(c, 0), 6) AS score FROM b FULL JOIN v USING (item_id) ORDER BY score DESC, item_id LIMIT 10""", "items")
+SELECT item_id, round(0.5 * coalesce(bm, 0) + 0.5 * coalesce(c, 0) + 1e-9, 6) AS score FROM b FULL JOIN v USING (item_id) ORDER BY score DESC, item_id LIMIT 10""", "items")
 def search_bm25_hybrid(t: Tables) -> DataFrame:
     """Half of the normalised BM25, half of the cosine."""
     q = t.embeddings.filter("vec_id = 2").select(F.col("embedding").alias("q"))
     v = t.embeddings.join(F.broadcast(q.limit(1)), F.lit(True)).select(F.col("vec_id").alias("item_id"), F.round(sc.cosine(F.col("embedding"), F.col("q")), 6).alias("c"))
     both = s.bm25(t.items, "der the thin").withColumnRenamed("score", "bm").join(v, "item_id", "full")
-    return s.top_k(both.select("item_id", F.round(0.5 * F.coalesce("bm", F.lit(0.0)) + 0.5 * F.coalesce("c", F.lit(0.0)), 6).alias("score")), 10)
+    return s.top_k(both.select("item_id", F.round(0.5 * F.coalesce("bm", F.lit(0.0)) + 0.5 * F.coalesce("c", F.lit(0.0)) + 1e-9, 6).alias("score")), 10)
 
 
 @query("search_stage", f"""

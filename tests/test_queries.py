@@ -9,7 +9,8 @@ import pytest
 from memlattice.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["search_keyword", "agg_health", "temporal_tumbling_metrics", "stream_tumbling_metrics", "set_schema_diff", "belief_hebbian", "graph_transitive_closure", "relation_pair_validation"]
+#: Every registered query; those without SQL must give rows.
+ALL = sorted(catalogue.QUERIES)
 
 
 def tidy(columns, rows):
@@ -18,12 +19,20 @@ def tidy(columns, rows):
     return sorted(tuple(cell(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_query_matches_sql(spark, name):
+@pytest.fixture(scope="module")
+def con():
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_query_matches_sql(spark, con, name):
     out = catalogue.QUERIES[name](spark, SF)
+    if name not in catalogue.ORACLES:
+        assert out.count() > 0
+        return
     want = con.sql(catalogue.ORACLES[name])
     assert sorted(out.columns) == sorted(want.columns)
     assert tidy(out.columns, [tuple(r) for r in out.collect()]) == tidy(want.columns, want.fetchall())
