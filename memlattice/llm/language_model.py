@@ -56,8 +56,8 @@ class Block:
     def __init__(self, token: np.ndarray, size: np.ndarray, skip: np.ndarray, held_out: np.ndarray):
         self.token, self.size = token, size
         self.start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-        self.place = np.arange(len(token)) - np.repeat(self.start, size)
-        self.walked = self.place >= np.repeat(skip, size)
+        self.place = np.arange(len(token), dtype=np.int32) - np.repeat(self.start.astype(np.int32), size)
+        self.walked = self.place >= np.repeat(skip.astype(np.int32), size)
         self.trained = self.walked & ~np.repeat(held_out, size)
 
     def n_grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,20 +73,42 @@ class Block:
 
         counts: of each order, the training count of the n-gram that ends at each token (0 where there is none).  The
         state before a token is the longest history with a count; from it, each order without an arc on the token
-        costs a failure arc.
+        costs a failure arc.  Some pieces are walked at a time, so that little memory is held beside the counts.
         """
+        out, at = [], 0
+        while at < len(self.size):
+            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + _STRETCH)))
+            stretch = slice(self.start[at], self.start[end] if end < len(self.start) else len(self.token))
+            out.append(self._walk(stretch, self.start[at:end] - self.start[at], [c[stretch] for c in counts], total, distinct))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _walk(self, stretch: slice, start: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
+        place, walked = self.place[stretch], self.walked[stretch]
         base = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
-        p, failed = 10.0**base, np.zeros(len(self.token), np.int64)
+        p, failed = 10.0**base, np.zeros(len(place), np.int64)
         for order in range(2, ORDER + 1):
             history = np.concatenate(([0], counts[order - 2][:-1]))
-            state = (self.place >= order - 1) & (history > 0)
+            state = (place >= order - 1) & (history > 0)
             arc, beta = counts[order - 1], BETA[order - 2]
             p = np.where(state, (arc + beta * p) / (history + beta), p)
             failed += state & (arc == 0)
-        sums = lambda x: np.add.reduceat(np.where(self.walked, x, 0), self.start)
+        sums = lambda x: np.add.reduceat(np.where(walked, x, 0), start)
         return sums(1), sums(counts[0] > 0), sums(failed), sums(base), sums(np.log10(p))
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, keys, starts): the order that sorts the keys, the distinct ones, and where each starts in that order."""
+    order = np.argsort(key).astype(np.int32)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    starts = np.flatnonzero(new)
+    return order, ranked[starts], starts
+
+
+#: Tokens that are walked at once.
+_STRETCH = 1 << 18
 _BLOCKS = "block long, row array<long>, doc_id array<long>, held_out array<boolean>, part array<int>, parts array<int>, size array<int>, skip array<int>, words binary, codes binary"
 
 
@@ -146,8 +168,10 @@ def _ask(shards: int) -> Callable:
                 block = _read_block(x["size"], x["skip"], x["held_out"], x["words"], x["codes"])
                 out: list[tuple] = []
                 for order, (key, there) in enumerate(block.n_grams()):
-                    keys, place = np.unique(key[there], return_inverse=True)
-                    n = np.bincount(place, block.trained[there], len(keys)).astype(np.uint32)
+                    if not there.any():
+                        continue
+                    rank, keys, starts = _distinct(key[there])
+                    n = np.add.reduceat(block.trained[there][rank], starts, dtype=np.uint32)
                     bounds = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
                     out += [(s * ORDER + order, x["block"], pack_sorted(keys[a:b]), pack(n[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
                 shard, name, keys, n = zip(*out, strict=True)
@@ -186,7 +210,9 @@ def _walk(total: int, distinct: int) -> Callable:
         for order, (key, there) in enumerate(block.n_grams()):
             totals = np.concatenate([unpack(t, np.int64) for s, t in by_shard if s % ORDER == order] or [np.zeros(0, np.int64)])
             at = np.zeros(len(key), np.int64)
-            at[there] = totals[np.unique(key[there], return_inverse=True)[1]]
+            if len(totals):
+                rank, _, starts = _distinct(key[there])
+                at[np.flatnonzero(there)[rank]] = np.repeat(totals, np.diff(starts, append=len(rank)))
             counts.append(at)
         n_tokens, n_known, n_failed, base, score = block.walk(counts, total, distinct)
         columns = [x["row"], x["part"], x["parts"], x["doc_id"], x["held_out"], n_tokens, n_known, n_failed, base, score]
