@@ -139,9 +139,11 @@ def health(nodes: DataFrame, edges: DataFrame, decisions_type: str, provenance:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlattice-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -5,6 +5,9 @@ Intervals are half-open; a null end is unbounded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,21 +81,31 @@ def sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int, tie:
 
 
 def anchored_groups(events: DataFrame, keys: list[str], ts: str, window_seconds: int, tie: str) -> DataFrame:
-    """Groups of events within window_seconds of the group's first one (not of the one before); groups of one go.
+    """(keys..., group, size, first_id): events within window_seconds of the group's first one (not of the one before); groups
+    of one go.
 
-    A fold over each key's sorted events: a key's events must fit a task, as for any per-key sequence.
+    A stream over each partition's sorted rows that holds one open group, however many events a key has.
     """
-    rows = events.select(*keys, F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).cast("long").alias("id")).alias("e"))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    zero = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("g"), F.array().cast("array<struct<g:bigint,id:bigint>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        new = acc["anchor"].isNull() | (e["t"] - acc["anchor"] > window_seconds * 1_000_000)
-        g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(F.when(new, e["t"]).otherwise(acc["anchor"]).alias("anchor"), g.alias("g"), F.concat(acc["out"], F.array(F.struct(g.alias("g"), e["id"].alias("id")))).alias("out"))
-
-    out = listed.select(*keys, F.explode(F.aggregate("es", zero, step, lambda a: a["out"])).alias("o")).select(*keys, F.col("o.g").alias("group"), F.col("o.id").alias("id"))
-    return out.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id")).filter("size > 1")
+    kinds = dict(events.dtypes)
+    rows = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).cast("long").alias("id"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, anchor, group, size, first = None, 0, 0, 0, 0
+        for frame in frames:
+            out = []
+            for *key, t, i in frame.itertuples(index=False, name=None):
+                if key != name or t - anchor > window_seconds * 1_000_000:
+                    if size > 1:
+                        out.append((*name, group, size, first))
+                    group = group + 1 if key == name else 1
+                    name, anchor, size, first = key, t, 0, i
+                size, first = size + 1, min(first, i)
+            yield pd.DataFrame(out, columns=[*keys, "group", "size", "first_id"])
+        if size > 1:
+            yield pd.DataFrame([(*name, group, size, first)], columns=[*keys, "group", "size", "first_id"])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "group long, size long, first_id long"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "id").mapInPandas(fold, schema)
 
 
 def timeline(events: DataFrame, ts: str, grain: str) -> DataFrame:

@@ -311,7 +311,12 @@ def graph_betweenness(t: Tables) -> DataFrame:
     return g.betweenness(t.edges, t.nodes)
 
 
-@query("graph_communities")
+_ROUND = """l{1} AS (SELECT l.item_id, coalesce(b.c, l.c) AS c FROM l{0} l LEFT JOIN (SELECT dst, arg_min(c, (-n, c)) AS c FROM (SELECT dst, x.c, count(*) AS n FROM ways JOIN l{0} x ON x.item_id = src GROUP BY 1, 2) GROUP BY 1) b ON b.dst = l.item_id)"""
+
+
+@query("graph_communities", f"""
+WITH ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT item_id, item_id AS c FROM nodes), {_ROUND.format(0, 1)}, {_ROUND.format(1, 2)}, {_ROUND.format(2, 3)}
+SELECT item_id, c AS community FROM l3""", "nodes edges")
 def graph_communities(t: Tables) -> DataFrame:
     return g.label_communities(t.nodes, t.edges, 3)
 

@@ -38,6 +38,13 @@ def filter_node_search(t: Tables) -> DataFrame:
     return t.nodes.filter((F.col("memory_type") == "part") & F.col("name").contains("red")).select("item_id")
 
 
+@query("filter_scoped_search", "SELECT item_id FROM items WHERE memory_type = 'semantic' AND workspace = 'en' UNION ALL SELECT -item_id FROM items WHERE memory_type = 'semantic' AND source IS NULL", "items")
+def filter_scoped_search(t: Tables) -> DataFrame:
+    """Equality and the scope's filters; a global search wants rows of no one in their place (negative ids here)."""
+    hits = t.items.filter("memory_type = 'semantic'")
+    return hits.filter("workspace = 'en'").select("item_id").union(hits.filter("source is null").select(-F.col("item_id")))
+
+
 @query("filter_json_property", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '1'")
 def filter_json_property(t: Tables) -> DataFrame:
     return t.events.filter(F.get_json_object("props", "$.k") == "1").select("event_id")

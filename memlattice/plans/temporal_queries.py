@@ -84,7 +84,10 @@ def temporal_sessions(t: Tables) -> DataFrame:
     return tp.sessions(t.events, ["user_id"], "ts", 6 * 3600, "event_id").groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("temporal_anchored_groups")
+@query("temporal_anchored_groups", """
+WITH RECURSIVE m AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, k, event_id, t AS anchor, 1::BIGINT AS g FROM m WHERE k = 1 UNION ALL SELECT m.user_id, m.k, m.event_id, CASE WHEN m.t - anchor > 21600000000 THEN m.t ELSE anchor END, CASE WHEN m.t - anchor > 21600000000 THEN g + 1 ELSE g END FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1)
+SELECT user_id, g AS "group", count(*) AS size, min(event_id) AS first_id FROM f GROUP BY 1, 2 HAVING count(*) > 1""")
 def temporal_anchored_groups(t: Tables) -> DataFrame:
     return tp.anchored_groups(t.events, ["user_id"], "ts", 6 * 3600, "event_id")
 
