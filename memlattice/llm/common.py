@@ -183,3 +183,63 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column's UTF-8 without decoding it."""
     return column.cast(pa.large_binary()).to_pylist()
+
+
+# ---- byte spans of words in Arrow buffers ----------------------------------------------------------------------
+
+#: Bytes looked at together, so that working memory does not grow with a batch or a text.
+BLOCK = 1 << 21
+#: Word bytes of `[^\x20\x09-\x0D]+`, and of letters, digits and everything above ASCII.
+NOT_BLANK_BYTES = ~_IS_BLANK
+ALNUM_BYTES = np.zeros(256, bool)
+ALNUM_BYTES[48:58] = ALNUM_BYTES[97:123] = ALNUM_BYTES[65:91] = ALNUM_BYTES[128:] = True
+CASED, FOLDED = mix(np.arange(256, dtype=np.uint64)), _BYTES
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's bytes and its row bounds in them, without a copy of the texts; nulls are empty."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), bounds
+
+
+def word_spans(a: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): the words of all rows of a buffer, and each row's first word (with one entry more)."""
+    starts, ends = [], []
+    for low in range(int(bounds[0]), int(bounds[-1]), BLOCK):
+        high = min(low + BLOCK, int(bounds[-1]))
+        word = is_word[a[low:high]]
+        # a word begins after a blank or at its row's border, and ends likewise
+        inner = bounds[np.searchsorted(bounds, low) : np.searchsorted(bounds, high)] - low
+        before = np.concatenate(([low > bounds[0] and is_word[a[low - 1]]], word[:-1]))
+        before[inner] = False
+        starts.append(np.flatnonzero(word & ~before) + low)
+        after = np.concatenate((word[1:], [high < bounds[-1] and is_word[a[high]]]))
+        closing = bounds[np.searchsorted(bounds, low, "right") : np.searchsorted(bounds, high, "right")] - low - 1
+        after[closing[closing >= 0]] = False
+        ends.append(np.flatnonzero(word & ~after) + low + 1)
+    none = np.zeros(0, np.int64)
+    starts, ends = np.concatenate(starts or [none]), np.concatenate(ends or [none])
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def hash_spans(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the words between starts and ends by a table of byte values."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    done = np.concatenate(([0], np.cumsum(size)))
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(done, done[low] + BLOCK, "right")) - 1)
+        n = size[low:high]
+        first = done[low:high] - done[low]
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = table[a[np.repeat(starts[low:high], n) + at]] * _powers_to(int(n.max()))[at]
+        out[low:high] = mix(np.add.reduceat(values, first) + n.astype(np.uint64))
+        low = high
+    return out
