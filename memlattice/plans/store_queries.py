@@ -233,12 +233,3 @@ def stream_events_after(t: Tables) -> DataFrame:
     """Events after an id, as they come."""
     stream = st.read_events(t.spark, f"{t.sf_dir}/events.parquet").filter("event_id > 500 and event_type = 'click'").select("event_id")
     return st.latest_table(stream, st.new_folder(g.shared_root(t.spark)), ["event_id"], "append")
-
-
-@query("stream_dead_letters", "SELECT * FROM (VALUES (1::BIGINT, 'done', 1::BIGINT), (2, 'dead', NULL), (3, 'done', 3), (4, 'retry', NULL), (5, 'dead', NULL)) v(job_id, state, n)")
-def stream_dead_letters(t: Tables) -> DataFrame:
-    """Jobs of a queue: those that can be read are done; others are tried again, unless their text is broken or they were tried three times."""
-    n = F.get_json_object("payload", "$.n").cast("long")
-    broken = F.get_json_object("payload", "$").isNull()
-    state = F.when(n.isNotNull(), "done").when(broken | (F.col("attempts") >= 3), "dead").otherwise("retry")
-    return t.queue.select("job_id", state.alias("state"), n.alias("n"))
