@@ -33,7 +33,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key: int = 1, keep_fir
     lines are left out, as are documents that do.
 
     Hashes are range-partitioned together with document, so that a very common line spreads over several ranges, and
-    sorted by document and position; each range streams its rows into one partial row a hash, and those are summed.
+    sorted by document and position; a stream over each sorted range marks where a document first has a line.  Those
+    marks, which no later reading of the table in other parts can change, are summed.
 
     A document is a doc_id: rows that repeat one count once, whatever their texts, and lose lines each by itself.  Rows
     with null doc_id lose lines too, but count for no line, and sort first.  Null or empty texts have one empty line.
@@ -44,12 +45,10 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key: int = 1, keep_fir
     line = line.select("doc_id", "text_hash", "pos", _key(F.col("line")).alias("key")).filter(F.length("key") >= min_key)
     hashed = line.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos")
     sorted_rows = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
-    ranges = scratch.save(sorted_rows, "ranges")
-    runs = ranges.mapInArrow(_stream_runs, _RUN)
-    seen = runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
+    ranges = scratch.save(sorted_rows.mapInArrow(_mark_firsts, _RANGE), "ranges")
+    seen = ranges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("opens").alias("n_docs"), *([F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")] if keep_first else []))
     common = scratch.save(seen.filter(F.col("n_docs") >= min_docs), "common")
-    # narrow rows, a line that ten documents hold each: broadcast after a count, so that a very common line's rows stay in their ranges
-    dropped = ranges.join(broadcast_if_small(common), ["h1", "h2"])
+    dropped = _rows_of(ranges.drop("opens"), common)
     if keep_first:
         dropped = dropped.filter(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % _BITS).cast("int"))
@@ -58,28 +57,45 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key: int = 1, keep_fir
     return word.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("keep"))
 
 
-_RUN = "h1 long, h2 long, doc_id long, text_hash long, pos int, n_docs long"
+#: Lines of more than this share of all common rows are at most as many as its inverse.
+_HOT = 1e-5
 
 
-def _stream_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of (hash, document, position) to one row a hash and batch: its first place and number of documents."""
-    last_line, last_doc = None, None
+def _rows_of(ranges: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of ranges whose line is in common, a materialised table of lines and their numbers of rows.
+
+    Common lines are broadcast while they are few.  Beyond that only those are which hold more than the share _HOT of
+    the rows, 1 / _HOT at most, so that their rows stay where they are; the other lines are joined by a shuffle.
+    """
+    small = broadcast_if_small(common)
+    if small is not common:
+        return ranges.join(small.drop("n_rows", "n_docs"), ["h1", "h2"])
+    least = common.select(F.sum("n_rows") * F.lit(_HOT)).first()[0]
+    lines = common.drop("n_rows", "n_docs")
+    hot = F.broadcast(lines.filter(common["n_rows"] > least))
+    cold = ranges.join(F.broadcast(common.filter(common["n_rows"] > least).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    return ranges.join(hot, ["h1", "h2"]).unionByName(cold.join(lines.filter(common["n_rows"] <= least), ["h1", "h2"]))
+
+
+_RANGE = "h1 long, h2 long, doc_id long, text_hash long, pos int, opens boolean"
+
+
+def _mark_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks, in one range's sorted rows of (line, document, position), each known document's first row of each line.
+
+    All rows of a line and document are in one range, which one task streams.
+    """
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2 = (batch.column(k).to_numpy() for k in ("h1", "h2"))
         ids = batch.column("doc_id")
-        doc, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-        line_new = np.ones(len(h1), bool)
-        line_new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        doc_new = line_new.copy()
-        doc_new[1:] |= (doc[1:] != doc[:-1]) | (known[1:] != known[:-1])
-        if (h1[0], h2[0]) == last_line and (doc[0], known[0]) == last_doc:
-            doc_new[0] = False  # this document was counted at the end of the batch before
-        last_line, last_doc = (h1[-1], h2[-1]), (doc[-1], known[-1])
-        at = np.flatnonzero(line_new)
-        first = batch.take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([*(first.column(k) for k in ("h1", "h2", "doc_id", "text_hash", "pos")), pa.array(np.add.reduceat((doc_new & known).astype(np.int64), at))], names=["h1", "h2", "doc_id", "text_hash", "pos", "n_docs"])
+        keys = [batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)]
+        opens = np.ones(batch.num_rows, bool)
+        opens[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        opens[0] = tuple(k[0] for k in keys) != last
+        last = tuple(k[-1] for k in keys)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opens & keys[3])], names=[*batch.schema.names, "opens"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

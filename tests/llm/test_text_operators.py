@@ -312,3 +312,38 @@ def test_trigram_queries_never_lose_a_match():
     query = trigram_query(BASE[0].pattern)
     index = build_index(texts, sorted({t for q in query for t in q}))
     assert {k for k, t in enumerate(texts) if re.search(BASE[0].pattern, t)} <= set(candidates(query, index, len(texts)).tolist())
+
+
+@pytest.mark.parametrize("n", [9, 10])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeated_line_over_many_splits(spark, n, keep_first):
+    """A document's repeated line counts once, however the intermediate tables are split when they are read."""
+    hadoop, was = spark.sparkContext._jsc.hadoopConfiguration(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hadoop.set("parquet.block.size", "4096")
+    hadoop.set("parquet.page.size", "1024")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        docs = spark.createDataFrame([(k, "\n".join(["x"] * 20_000 + [f"own {k}"])) for k in range(n)], "doc_id long, text string")
+        out = apply_bitmaps(docs, line_bitmaps(docs, keep_first=keep_first)).select("row.doc_id", "n_dropped", "kept").collect()
+    finally:
+        hadoop.unset("parquet.block.size")
+        hadoop.unset("parquet.page.size")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    for r in out:
+        gone = 0 if n < 10 else 20_000 - (keep_first and r.doc_id == 0)
+        assert r.n_dropped == gone and r.kept == "\n".join(["x"] * (20_000 - gone) + [f"own {r.doc_id}"])
+    assert len(out) == n
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_many_common_lines_without_a_broadcast_of_all(spark, monkeypatch, keep_first):
+    from memlattice.llm import line_dedup
+
+    rng = random.Random(12)
+    rows = [(k, "\n".join(["hot"] * rng.randint(1, 5) + rng.choices([f"line {j}" for j in range(60)], k=12))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, apply_bitmaps(docs, line_bitmaps(docs, keep_first=keep_first)).select("row.doc_id", "n_dropped", "kept").collect()))
+    monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(line_dedup, "_HOT", 0.05)
+    assert sorted(map(tuple, apply_bitmaps(docs, line_bitmaps(docs, keep_first=keep_first)).select("row.doc_id", "n_dropped", "kept").collect())) == want
+    assert sum(n for _, n, _ in want) > 300
