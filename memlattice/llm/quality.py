@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import binaries, hash_batch
 from .labelled import held_out, labelled_sample
 
-#: At most so many labelled documents are learned from, and so many bytes of their texts.
-LABELLED, LEARNED_BYTES = 12_000, 1 << 28
+#: At most so many labelled documents are learned from, so many bytes of their texts in all, and of one text.
+LABELLED, LEARNED_BYTES, LONGEST = 12_000, 1 << 28, 1 << 20
 WORD_BUCKETS, RANK = 1 << 15, 8
 #: Passes over the sample, the largest minibatch, and the least number of steps.
 EPOCHS, BATCH, STEPS = 6, 256, 300
@@ -129,14 +129,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> FactorisationMachine:
     """A machine fitted on at most `limit` labelled documents outside the held-out fold, of LEARNED_BYTES at most in all.
 
-    Documents come in the order of a hash of their text, which is also what decides where the bytes end, so that
-    reruns agree.
+    Documents come in the order of a hash of their text, so that reruns agree.  A text of more than LONGEST bytes, or of
+    more than the documents before it have left, is not learned from; those behind it are.
     """
     sample = labelled_sample(docs, labels, "quality", limit).withColumn("h", F.xxhash64("text", "label"))
     sizes = sample.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toPandas().sort_values(["h", "n"])
-    fits = sizes["h"][sizes["n"].cumsum() <= LEARNED_BYTES]
-    if len(fits) < len(sizes):
-        sample = sample.filter(F.col("h") <= F.lit(int(fits.max()) if len(fits) else -(2**63)))
+    room, left_out = LEARNED_BYTES, set()
+    for h, n in zip(sizes["h"].tolist(), sizes["n"].tolist(), strict=True):
+        if n > min(LONGEST, room):
+            left_out.add(h)
+        else:
+            room -= n
+    if left_out:
+        names = docs.sparkSession.createDataFrame([(h,) for h in sorted(left_out)], "h long")
+        sample = sample.join(F.broadcast(names), "h", "left_anti").select("text", "label", "h")
     rows = sample.mapInArrow(_extract, "h long, label int, feature array<int>, value array<float>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     feature, value = (rows.column(k).combine_chunks() for k in ("feature", "value"))
     sizes = np.array([len(x) for x in feature], np.int64) if len(rows) else np.zeros(0, np.int64)
