@@ -228,12 +228,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     strong = F.col("toxic") * F.log(p / F.lit(share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / F.lit(1 - share))).otherwise(0.0)
     enough = terms.filter("toxic > 2").filter((p > F.lit(share)) & (strong >= F.lit(math.log(2 * n_terms) - 1e-6))) if 0 < share < 1 else terms.limit(0)
     lexicon = Lexicon(_entries([tuple(r) for r in enough.select("term", "clean", "toxic").collect()], n_toxic, n_clean, n_terms))
-    seen = sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>").toPandas()
-    by_label = {k: Counter(p for ps in part["phrases"] for p in ps) for k, part in seen.groupby(seen["label"] > 0)}
-    clean, toxic = by_label.get(False, Counter()), by_label.get(True, Counter())
-    lexicon.exceptions = sorted(p for p, n in clean.items() if n >= 3 and not toxic[p])
-    if lexicon.exceptions:
-        seen = sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>").toPandas()
+    observed = lambda: sample.mapInArrow(_observe(lexicon), "label int, evidence array<double>, phrases array<string>")
+    phrase = observed().select((F.col("label") > 0).alias("toxic"), F.explode("phrases").alias("phrase")).groupBy("phrase")
+    harmless = phrase.agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic")).filter("clean >= 3 and toxic = 0")
+    lexicon.exceptions = [r["phrase"] for r in harmless.select("phrase").orderBy("phrase").collect()]
+    # two numbers for each document of the sample
+    seen = observed().select("label", "evidence").toPandas()
     lexicon.slopes, lexicon.shift = _calibrate(np.array(seen["evidence"].tolist()).reshape(-1, 2), (seen["label"] > 0).to_numpy(float))
     return lexicon
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.llm import language_model, neighbours, preferences
+from memlattice.llm import language_model, neighbours, preferences, quality
 from memlattice.llm.labelled import labelled_sample
 from memlattice.llm.language_model import score_texts
 from memlattice.llm.mixing import mix_sources
@@ -65,7 +65,7 @@ def test_learned_scores_of_awkward_rows(spark):
     for scored in (score_toxicity(d, learn_lexicon(d, y)), score_quality(d, learn_quality(d, y))):
         rows = scored.collect()
         assert len(rows) == len(docs) + len(extra) and all(0 <= r.score <= 1 for r in rows)
-    assert labelled_sample(d, y, "toxic", 10).count() <= 12
+    assert labelled_sample(d, y, "toxic", 10).count() <= 10
     assert score_toxicity(d.limit(0), learn_lexicon(d.limit(0), y)).count() == 0
     assert all(0 <= r.score <= 1 for r in score_quality(d, learn_quality(d, y.limit(0))).collect())
 
@@ -387,3 +387,24 @@ def test_golden_points_are_exact(spark):
     ids = [0, 1, 12345, 2**31, 4_000_000_000, 2**40 + 77, 2**62 - 1]
     got = spark.createDataFrame([(i,) for i in ids], "j long").select(golden_point(F.col("j")).alias("p")).collect()
     assert [r.p for r in got] == [i * GOLDEN % 2**32 for i in ids]
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    docs, labels = corpus(60)
+    more = [(k, f"copy {n} of a text", "en", "s", 1) for k in range(0, 60, 5) for n in range(200)]
+    y = spark.createDataFrame(labels, LABELS)
+    sample = labelled_sample(spark.createDataFrame([*docs, *more], DOCS), y, "toxic", 1000).collect()
+    assert len(sample) == len(labelled_sample(spark.createDataFrame(docs, DOCS), y, "toxic", 1000).collect())
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, labelled_sample(spark.createDataFrame([*more, *docs], DOCS), y, "toxic", 1000).collect()))
+
+
+def test_one_large_text_leaves_the_others_to_learn_from(spark, monkeypatch):
+    """Texts that come first in the order of the hash and don't fit are left out, and only they."""
+    docs, labels = corpus(200)
+    plain = learn_quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    monkeypatch.setattr(quality, "LEARNED_BYTES", 200_000)
+    monkeypatch.setattr(quality, "LONGEST", 50_000)
+    large = [(1000 + k, f"{k} " * 30_000, "en", "s", 1) for k in range(8)]
+    known = [(1000 + k, 0, 0) for k in range(8)]
+    model = learn_quality(spark.createDataFrame([*docs, *large], DOCS), spark.createDataFrame([*labels, *known], LABELS))
+    assert np.array_equal(model.linear, plain.linear) and np.array_equal(model.factors, plain.factors) and np.abs(model.linear).max() > 0
