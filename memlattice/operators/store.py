@@ -95,20 +95,6 @@ def page(rows: DataFrame, order: list[Column], skip: int, limit: int) -> DataFra
     return rows.orderBy(*order).offset(skip).limit(limit)
 
 
-def import_lines(lines: DataFrame, schema: str, domain: str | None = None, after: int = -1) -> tuple[DataFrame, DataFrame]:
-    """(records, stats) of corpus lines (line, value) after a checkpoint: headers and blank lines don't count, malformed ones are
-    errors, those without content or outside the domain are skipped."""
-    rows = lines.filter((F.col("line") > after) & (F.trim("value") != "")).withColumn("r", F.from_json("value", schema)).withColumn("header", F.get_json_object("value", "$._type") == "header")
-    broken = F.get_json_object("value", "$").isNull()
-    outside = F.lit(False) if domain is None else ~F.coalesce(F.col("r")["metadata"]["domain"].contains(domain), F.lit(False))
-    empty = F.coalesce(F.col("r")["content"], F.lit("")) == ""
-    state = F.when(F.coalesce("header", F.lit(False)), "header").when(broken, "error").when(empty | outside, "skipped").otherwise("imported")
-    rows = rows.withColumn("state", state)
-    n = lambda s: F.count_if(F.col("state") == s)
-    stats = rows.agg(n("imported").alias("imported"), n("skipped").alias("skipped"), n("error").alias("errors"), F.coalesce(F.max("line"), F.lit(after)).alias("last_line"))
-    return rows.filter("state = 'imported'").select("line", "r.*"), stats
-
-
 def export_corpus(items: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(item_id, content, memory_type, entities) of items with content that are no versions, with the names that
     CONTAINS_ENTITY edges (src, dst) lead to."""

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import belief_queries, chunk_queries, evolve_queries, graph_queries, link_queries, memory_queries, pair_queries, reason_queries, score_queries, store_queries, stream_queries, temporal_queries, text_queries  # noqa: F401
+from . import belief_queries, chunk_queries, corpus_queries, evolve_queries, graph_queries, link_queries, memory_queries, pair_queries, reason_queries, score_queries, store_queries, stream_queries, temporal_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -115,20 +115,6 @@ def sink_corpus_header(t: Tables) -> DataFrame:
     return corpus.write_corpus(rows, so.folder(t.spark, "corpus"), "test").select("_type", "_version", "_source", "item_count")
 
 
-_KIND = "content string, memory_type string, metadata map<string,string>"
-
-
-@query("write_corpus_import", "SELECT * FROM (VALUES (1::BIGINT, 'alpha'), (4, 'beta')) v(line, content)")
-def write_corpus_import(t: Tables) -> DataFrame:
-    return so.import_lines(t.corpus_lines, _KIND, "tech")[0].select("line", "content")
-
-
-@query("write_corpus_import_stats", "SELECT 2::BIGINT AS imported, 1::BIGINT AS skipped, 0::BIGINT AS errors, 7::BIGINT AS last_line UNION ALL SELECT 4::BIGINT, 1::BIGINT, 1::BIGINT, 7::BIGINT")
-def write_corpus_import_stats(t: Tables) -> DataFrame:
-    """Two runs: resumed after line 4, and of everything."""
-    return so.import_lines(t.corpus_lines.filter("line <> 3 or line > 4").withColumn("value", F.when(F.col("line") == 6, '{"content": ""}').otherwise(F.col("value"))), _KIND, after=4)[1].union(so.import_lines(t.corpus_lines, _KIND)[1])
-
-
 @query("sink_corpus_export", """
 SELECT p_partkey AS item_id, p_name AS content, 'semantic' AS memory_type, array_to_string(list_sort(list_distinct([p_brand, p_type])), ',') AS entities FROM part WHERE p_size > 5""")
 def sink_corpus_export(t: Tables) -> DataFrame:
@@ -138,15 +124,6 @@ def sink_corpus_export(t: Tables) -> DataFrame:
     return so.export_corpus(items, edge("p_brand").union(edge("p_type")), names).withColumn("entities", F.array_join("entities", ","))
 
 
-@query("write_seed_pack", "SELECT 'imported' AS part, 4::BIGINT AS n UNION ALL SELECT 'entities', 4 UNION ALL SELECT 'aliases', 9")
-def write_seed_pack(t: Tables) -> DataFrame:
-    """What installing a pack of a corpus and a knowledge snapshot brings."""
-    records, _ = so.import_lines(t.corpus_lines, _KIND)
-    entities, aliases = so.knowledge(t.knowledge)
-    n = lambda df, part: df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"))
-    return n(records, "imported").union(n(entities, "entities")).union(n(aliases, "aliases"))
-
-
 @query("scan_dataset_samples", "SELECT * FROM (VALUES (1::BIGINT, 'Rome', 'country', 'Italy'), (3, 'Ada', 'wrote', 'code'), (3, 'Ada', 'employer', 'Babbage')) v(sample_id, head, relation, tail)")
 def scan_dataset_samples(t: Tables) -> DataFrame:
     """Samples with a text as corpus records, a row for each relation; blank texts give nothing."""

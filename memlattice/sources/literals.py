@@ -128,13 +128,6 @@ LITERALS: dict[str, Literal] = {
     "stamps": Literal("note_id long, stamp string", ((1, "2023-12-01T00:00:00"), (2, "2024-01-30"), (3, "not a date"), (4, None), (5, "2024-01-01 12:30:00"), (6, "2023-02-30"), (7, "2023-11-11T11:11:11"))),
     "vocabulary": Literal("name string, kind string", (("Acme  Inc.", "Company"), ("acme inc.", "organization"), ("ACME Inc.", "business"), ("Ada", "human"), ("Rome", "City"), ("Rome", "place"), ("Zeal", None), ("Thing", "gadget"), (" Ada ", "person"), ("Cats", "concept"), ("cat", "idea"))),
     "samples": Literal("sample_id long, title string, context string, triplets string", ((1, "Rome", "Rome is in Italy.", "<triplet> Rome <subj> Italy <obj> country"), (2, "None", "No triplets here", ""), (3, "Two", "Ada wrote code for Babbage", "<triplet> Ada <subj> code <obj> wrote <triplet> Ada <subj> Babbage <obj> employer"), (4, "Blank", " ", "<triplet> a <subj> b <obj> c"))),
-    "corpus_lines": Literal(
-        "line long, value string",
-        (
-            (0, '{"_type": "header", "_version": 1, "_source": "demo", "domain": "tech"}'), (1, '{"content": "alpha", "memory_type": "semantic", "metadata": {"domain": "tech"}}'), (2, "{broken"), (3, '{"content": "", "memory_type": "semantic"}'),
-            (4, '{"content": "beta", "memory_type": "episodic", "metadata": {"domain": "biotech"}, "entities": [{"name": "Beta", "type": "concept"}]}'), (5, '{"content": "gamma", "metadata": {"domain": "law"}}'), (6, ""), (7, '{"content": "delta", "memory_type": "zettel"}'),
-        ),
-    ),
     "knowledge": Literal(
         "value string, line long",
         (
