@@ -2,8 +2,9 @@
 
 The automaton's states are the n-grams seen in training; a state's arc on a token weighs (count + BETA * shorter) / (total +
 BETA), and its failure arc, to the state that forgets the oldest token, weighs BETA / (total + BETA).  No machine holds
-it whole: a block of texts asks shards of the counts for the n-grams that it contains, gets their totals back in the
-order it asked in, and walks its texts once, left to right.
+it whole: a block of texts asks shards of the counts for the n-grams that it contains and gets their totals back in the
+order it asked in.  From those it builds the states and arcs that a stretch of its texts can reach, and one traversal,
+left to right, carries each text's state over them and adds up the weights of the arcs it takes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ ORDER, BETA = 3, (512.0, 8.0)
 BLOCK = 1 << 21
 #: Bytes of text whose n-grams make one shard of the counts.
 SHARD = 1 << 22
+#: Tokens of the texts that share an automaton, and of one walk.
+_STRETCH, _WALK = 1 << 18, 1 << 10
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 FOLDS, HELD_OUT = 5, 1
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -53,8 +56,9 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 class Block:
     """Tokens of pieces of texts.  Each piece starts with `skip` tokens of history that are walked elsewhere."""
 
-    def __init__(self, token: np.ndarray, size: np.ndarray, skip: np.ndarray, held_out: np.ndarray):
-        self.token, self.size = token, size
+    def __init__(self, words: np.ndarray, code: np.ndarray, size: np.ndarray, skip: np.ndarray, held_out: np.ndarray):
+        token = words[code]
+        self.token, self.code, self.size, self.skip = token, code, size, skip
         self.start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
         self.place = np.arange(len(token), dtype=np.int32) - np.repeat(self.start.astype(np.int32), size)
         self.walked = self.place >= np.repeat(skip.astype(np.int32), size)
@@ -71,30 +75,104 @@ class Block:
     def walk(self, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
         """For each piece: tokens, known ones, failure arcs taken, log10 base and score.
 
-        counts: of each order, the training count of the n-gram that ends at each token (0 where there is none).  The
-        state before a token is the longest history with a count; from it, each order without an arc on the token
-        costs a failure arc.  Some pieces are walked at a time, so that little memory is held beside the counts.
+        counts: of each order, the training count of the n-gram that ends at each token (0 where there is none).  Pieces
+        are cut into walks of _WALK tokens, each of which reads the history before it first; an automaton is built for
+        some walks at a time, so that little memory is held beside the counts.
         """
-        out, at = [], 0
-        while at < len(self.size):
-            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + _STRETCH)))
-            stretch = slice(self.start[at], self.start[end] if end < len(self.start) else len(self.token))
-            out.append(self._walk(stretch, self.start[at:end] - self.start[at], [c[stretch] for c in counts], total, distinct))
-            at = end
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def _walk(self, stretch: slice, start: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
-        place, walked = self.place[stretch], self.walked[stretch]
-        base = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
-        p, failed = 10.0**base, np.zeros(len(place), np.int64)
+        begin = self.start + self.skip
+        n = -(-(self.size - self.skip) // _WALK)
+        of = np.repeat(np.arange(len(n)), n)
+        first = begin[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * _WALK
+        end = np.minimum(first + _WALK, (self.start + self.size)[of])
+        warm = np.minimum(ORDER - 1, first - self.start[of])
+        failed, base, score, known = np.zeros(len(of), np.int64), np.zeros(len(of)), np.zeros(len(of)), np.zeros(len(of), np.int64)
+        at = 0
+        while at < len(of):
+            upto = max(at + 1, int(np.searchsorted(first, first[at] + _STRETCH)))
+            low, high = int(first[at] - warm[at]), int(end[upto - 1])
+            piece, some = slice(low, high), slice(at, upto)
+            machine = Automaton(self.code[piece], self.place[piece], [c[piece] for c in counts], total, distinct)
+            score[some], failed[some] = machine.walk(first[some] - low, end[some] - low, warm[some])
+            one = np.log10((counts[0][piece] + 0.5) / (total + 0.5 * (distinct + 1)))
+            sums = lambda x: np.concatenate(([0], np.cumsum(x)))
+            for out, x in ((base, sums(one)), (known, sums(counts[0][piece] > 0))):
+                out[some] = x[end[some] - low] - x[first[some] - low]
+            at = upto
+        whole = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
+        return self.size - self.skip, whole(known), whole(failed), whole(base), whole(score)
+
+
+class Automaton:
+    """The part of the backoff automaton that a stretch of tokens can reach.
+
+    State 0 is the empty history, the others are the n-grams of fewer than ORDER tokens that training has.  Arcs are
+    sorted by state * codes + code; state 0 has one on every code.  A state without an arc on a code goes to fail_to, for
+    fail_weight, and tries again there.  Weights are log10.
+    """
+
+    def __init__(self, code: np.ndarray, place: np.ndarray, counts: list[np.ndarray], total: int, distinct: int):
+        _, some, self.code = np.unique(code, return_index=True, return_inverse=True)
+        self.codes = n = len(some)
+        seen = counts[0][some]
+        p = (seen + 0.5) / (total + 0.5 * (distinct + 1))
+        name = np.arange(1, n + 1)
+        keys, weights, dests = [np.arange(n)], [np.log10(p)], [np.where(seen > 0, name, 0)]
+        fail_to, fail_weight = [np.zeros(n + 1, np.int64)], [np.concatenate(([0.0], _log_share(BETA[0], seen)))]
+        states, state, p = n + 1, np.where(counts[0] > 0, name[self.code], 0), p[self.code]
         for order in range(2, ORDER + 1):
-            history = np.concatenate(([0], counts[order - 2][:-1]))
-            state = (place >= order - 1) & (history > 0)
-            arc, beta = counts[order - 1], BETA[order - 2]
-            p = np.where(state, (arc + beta * p) / (history + beta), p)
-            failed += state & (arc == 0)
-        sums = lambda x: np.add.reduceat(np.where(walked, x, 0), start)
-        return sums(1), sums(counts[0] > 0), sums(failed), sums(base), sums(np.log10(p))
+            before = np.concatenate(([0], state[:-1]))
+            there = np.flatnonzero((place >= order - 1) & (before > 0) & (counts[order - 1] > 0))
+            key, some, arc = np.unique(before[there] * n + self.code[there], return_index=True, return_inverse=True)
+            at = there[some]
+            beta, count = BETA[order - 2], counts[order - 1][at]
+            shorter = (count + beta * p[at]) / (counts[order - 2][at - 1] + beta)
+            keys.append(key)
+            weights.append(np.log10(shorter))
+            if order < ORDER:
+                name = states + np.arange(len(key))
+                dests.append(name)
+                fail_to.append(state[at])
+                fail_weight.append(_log_share(BETA[order - 1], count))
+                p, longer = p.copy(), np.zeros(len(state), np.int64)
+                p[there], longer[there] = shorter[arc], name[arc]
+                states, state = states + len(key), longer
+            else:
+                dests.append(state[at])
+        self.key, self.weight, self.dest = (np.concatenate(x) for x in (keys, weights, dests))
+        self.fail_to, self.fail_weight = np.concatenate(fail_to), np.concatenate(fail_weight)
+
+    def walk(self, first: np.ndarray, end: np.ndarray, warm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, failure arcs) of the tokens from each first to its end, after a history of warm tokens.
+
+        All walks go left to right together, a token a step, each with its own state; those that have ended drop out.
+        """
+        order = np.argsort(first - warm - end, kind="stable")
+        start, steps, warm = (first - warm)[order], (end - first + warm)[order], warm[order]
+        state = np.zeros(len(order), np.int64)
+        score, failed = np.zeros(len(order)), np.zeros(len(order), np.int64)
+        active = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), "left")
+        for step, m in enumerate(active.tolist()):
+            code, counted = self.code[start[:m] + step], step >= warm[:m]
+            now = state[:m].copy()
+            key = now * self.codes + code
+            at = np.searchsorted(self.key, key)
+            missing = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != key)
+            while len(missing):  # failure arcs, down to a state that knows the token
+                score[missing] += np.where(counted[missing], self.fail_weight[now[missing]], 0.0)
+                failed[missing] += counted[missing]
+                now[missing] = self.fail_to[now[missing]]
+                key = now[missing] * self.codes + code[missing]
+                at[missing] = found = np.searchsorted(self.key, key)
+                missing = missing[self.key[np.minimum(found, len(self.key) - 1)] != key]
+            score[:m] += np.where(counted, self.weight[at], 0.0)
+            state[:m] = self.dest[at]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return score[back], failed[back]
+
+
+def _log_share(beta: float, count: np.ndarray) -> np.ndarray:
+    return np.log10(beta / (count + beta))
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +185,6 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, ranked[starts], starts
 
 
-#: Tokens that are walked at once.
-_STRETCH = 1 << 18
 _BLOCKS = "block long, row array<long>, doc_id array<long>, held_out array<boolean>, part array<int>, parts array<int>, size array<int>, skip array<int>, words binary, codes binary"
 
 
@@ -155,7 +231,7 @@ _KINDS = [pa.list_(x) for x in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(),
 
 
 def _read_block(size: list[int], skip: list[int], held_out: list[bool], words: bytes, codes: bytes) -> Block:
-    return Block(unpack(words, np.int64)[unpack(codes, np.int32)], np.array(size), np.array(skip), np.array(held_out))
+    return Block(unpack(words, np.int64), unpack(codes, np.int32), np.array(size), np.array(skip), np.array(held_out))
 
 
 def _ask(shards: int) -> Callable:

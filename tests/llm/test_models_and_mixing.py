@@ -134,6 +134,7 @@ def test_language_model_matches_a_walked_automaton(spark, monkeypatch, block, sh
     monkeypatch.setattr(language_model, "BLOCK", block)
     monkeypatch.setattr(language_model, "SHARD", shard)
     monkeypatch.setattr(language_model, "_STRETCH", 4 * block)
+    monkeypatch.setattr(language_model, "_WALK", max(2, block // 3))
     monkeypatch.setattr(language_model, "ORDER", order)
     monkeypatch.setattr(language_model, "BETA", (3.0, 1.5, 0.7))
     rng = random.Random(3)
