@@ -1,8 +1,7 @@
-"""Clusters: greedy seeds within blocks, k-means with a capacity, near neighbours by locality-sensitive hashing."""
+"""Clusters: greedy seeds in parallel rounds, k-means with a capacity, near neighbours by locality-sensitive hashing."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,55 +11,43 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block that are compared with its seeds at a time.
-BLOCK = 2000
+from .graph import Rounds
+from .simjoin import capacity_clusters, cosine_pairs, first_fit, jaccard_pairs, near_vectors, set_classes, words
+
+__all__ = ["close_pairs", "greedy", "greedy_vectors", "kmeans", "list_changes", "near_vectors", "semantic_temporal"]
 
 
 def greedy(rows: DataFrame, block: list[str], text: str, order: str, threshold: float) -> DataFrame:
-    """(block..., order, cluster): in order, each row joins the first seed whose words are similar enough, or becomes one.
+    """(block..., order, cluster): in order, each row joins the first seed of its block whose words are similar enough, or
+    becomes one.
 
-    A fold over a block in its order, whatever its size, that keeps only the seeds: rows come BLOCK at a time, and an
-    inverted index of the seeds' words names those that share any with a row.  One block is one task's work.
+    The similar pairs come from a set-similarity join of the distinct texts, and seeds are decided in parallel rounds;
+    equal sets of words follow the first of them.  order is unique over all rows.  Texts without words and null ones are
+    seeds; a null block is a block; no rows give none.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*block, order]) + f", cluster {kinds[order]}"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None
-        seeds: list[tuple[int, object]] = []
-        index: dict[str, list[int]] = {}
-        for frame in batches:
-            for at in range(0, len(frame), BLOCK):
-                part = frame.iloc[at : at + BLOCK]
-                out = []
-                for *name, value, key in part[[*block, text, order]].itertuples(index=False, name=None):
-                    name = tuple(None if pd.isna(x) else x for x in name)
-                    if held is None or name != held:
-                        held, seeds, index = name, [], {}
-                    words = frozenset((value or "").lower().split())
-                    shared = Counter(k for w in words for k in index.get(w, ())) if threshold > 0 else dict.fromkeys(range(len(seeds)), 0)
-                    fits = [k for k, n in shared.items() if (either := len(words) + seeds[k][0] - n) and n / either >= threshold]
-                    if fits:
-                        out.append(seeds[min(fits)][1])
-                        continue
-                    for w in words:
-                        index.setdefault(w, []).append(len(seeds))
-                    seeds.append((len(words), key))
-                    out.append(key)
-                yield part[[*block, order]].assign(cluster=out)
-
-    parts = rows.select(*block, order, text).repartition(*block).sortWithinPartitions(*block, order)
-    return parts.mapInPandas(fold, schema)
-
-
-def kmeans(vectors: DataFrame, size: int, seed: int = 7) -> DataFrame:
-    """(vec_id, cluster) by k-means with n // size clusters, seeded."""
-    n = vectors.count()
-    rows = vectors.select("vec_id", array_to_vector("embedding").alias("features"))
-    if n == 0:
-        return vectors.select("vec_id", F.lit(0).alias("cluster"))
-    model = KMeans(k=max(2, n // size), seed=seed, maxIter=10).fit(rows)
-    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    rounds = Rounds(rows.sparkSession)
+    tokens = rounds.save(rows.select(*block, order, words(F.col(text)).alias("tokens")))
+    classes = rounds.save(set_classes(tokens, order, "tokens", block).select(F.col(order).alias("o"), F.when(F.size("tokens") > 0, F.col("first")).otherwise(F.col(order)).alias("first")))
+    keys = classes.select(F.col("first").alias("key")).distinct()
+    seeds = first_fit(keys, jaccard_pairs(tokens, order, "tokens", threshold, block), rounds.save)
+    found = classes.join(seeds, F.col("first") == F.col("key")).select("o", "cluster")
+    return tokens.join(found, F.col(order) == F.col("o")).select(*block, order, "cluster")
+
+
+def kmeans(vectors: DataFrame, size: int, seed: int = 7, most: int = 1024) -> DataFrame:
+    """(vec_id, cluster) by k-means, seeded, with n // size clusters (`most` at most) of `size` members each at most.
+
+    Vectors bid for their nearest centroids in rounds, see capacity_clusters; those that none had room for share one
+    more cluster.  Null vectors are left out; fewer than two clusters are one.
+    """
+    known = vectors.filter("embedding is not null").select("vec_id", "embedding")
+    n = known.count()
+    k = min(n // size, most)
+    if k < 2:
+        return known.select("vec_id", F.lit(0).cast("long").alias("cluster"))
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(known.select(array_to_vector("embedding").alias("features")))
+    centroids = {c: [float(x) for x in v] for c, v in enumerate(model.clusterCenters())}
+    return capacity_clusters(known, centroids, size, Rounds(vectors.sparkSession).save).select("vec_id", F.coalesce("cluster", F.lit(len(centroids)).cast("long")).alias("cluster"))
 
 
 def close_pairs(vectors: DataFrame, distance: float, width: float = 0.5, seed: int = 7) -> DataFrame:
@@ -85,66 +72,19 @@ def list_changes(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return rows.select(key, old, new).mapInPandas(run, f"{key} {kind}, op string, old_from int, old_to int, new_from int, new_to int")
 
 
-#: Vectors of a block that are compared at once.
-VECTORS = 2048
-
-
-def near_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, kept): the least id within `cosine` of each vector, itself included; exact.
-
-    Vectors are dealt into packed blocks, and each block is compared with those of lower ids block by block: the work
-    is that of all pairs, in matrix products, and a task holds two blocks.  Zero vectors are near none.
-    """
-    n = vectors.count()
-    parts = max(1, -(-n // VECTORS))
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    ranked = vectors.select("vec_id", unit.alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    packed = ranked.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    left = packed.select(F.col("block").alias("b1"), F.col("rows").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("block"))
-    both = left.join(packed, "block").select("r1", "rows")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        def matrix(rows: object) -> tuple:
-            ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], float)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            return ids, x / np.where(size > 0, size, 1.0)
-
-        for frame in frames:
-            for a, b in zip(frame["r1"], frame["rows"], strict=True):
-                (i, x), (j, y) = matrix(a), matrix(b)
-                near = (x @ y.T >= cosine) | (i[:, None] == j[None, :])
-                yield pd.DataFrame({"vec_id": i, "kept": np.where(near, j[None, :], np.iinfo(np.int64).max).min(axis=1)})
-
-    return both.mapInPandas(run, "vec_id long, kept long").groupBy("vec_id").agg(F.min("kept").alias("kept"))
-
-
 def greedy_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
     """(vec_id, cluster): in order of ids, each vector joins the first cluster whose first member is near enough, or begins one.
 
-    A fold in one order: only the first members are kept, and one task does it, as labels are few.
+    The near pairs are found by cells of blocks, and the first members in parallel rounds; equal vectors follow the
+    least id of them.  Null vectors and zero ones begin clusters of their own.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        names: list[int] = []
-        firsts: list = []
-        for frame in frames:
-            out = []
-            for key, v in zip(frame["vec_id"], frame["v"], strict=True):
-                x = np.asarray(v, float)
-                x = x / (np.linalg.norm(x) or 1.0)
-                near = np.flatnonzero(np.array(firsts) @ x >= cosine) if firsts else []
-                if not len(near):
-                    names.append(key)
-                    firsts.append(x)
-                out.append(names[near[0]] if len(near) else key)
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "cluster": out})
-
-    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rows.repartition(1).sortWithinPartitions("vec_id").mapInPandas(fold, "vec_id long, cluster long")
+    rounds = Rounds(vectors.sparkSession)
+    zero = F.coalesce(F.forall("embedding", lambda x: x == 0), F.lit(True))
+    known = rounds.save(vectors.filter(~zero).select("vec_id", "embedding"))
+    least = known.groupBy("embedding").agg(F.min("vec_id").alias("key"))
+    classes = rounds.save(known.join(least, "embedding").select("vec_id", "key"))
+    seeds = first_fit(classes.select("key").distinct(), cosine_pairs(known, cosine), rounds.save)
+    return classes.join(seeds, "key").select("vec_id", "cluster").union(vectors.filter(zero).select("vec_id", F.col("vec_id").alias("cluster")))
 
 
 def semantic_temporal(rows: DataFrame, key: str, order: str, text: str, alike: float = 0.3, scale: float = 1.0) -> DataFrame:

@@ -199,16 +199,6 @@ def seq_adaptive_threshold(t: Tables) -> DataFrame:
     return t.conversations.agg(F.greatest(F.lit(10), F.floor(40 * (1 - 0.3 * (F.least(F.lit(1.5), size) + recent) / 2)).cast("int")).alias("threshold"))
 
 
-@query("seq_greedy_clusters")
-def seq_greedy_clusters(t: Tables) -> DataFrame:
-    return cl.greedy(t.part.select("p_brand", "p_partkey", "p_name"), ["p_brand"], "p_name", "p_partkey", 0.5)
-
-
-@query("set_kmeans_clusters")
-def set_kmeans_clusters(t: Tables) -> DataFrame:
-    return cl.kmeans(t.embeddings, 50)
-
-
 @query("set_close_vectors")
 def set_close_vectors(t: Tables) -> DataFrame:
     return cl.close_pairs(t.embeddings, 1.15)

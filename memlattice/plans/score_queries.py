@@ -382,37 +382,3 @@ def set_provenance_map(t: Tables) -> DataFrame:
 def set_semantic_dedup(t: Tables) -> DataFrame:
     """Vectors within a cosine of 0.95 of an earlier one are its copies; here there are none."""
     return cl.near_vectors(t.embeddings, 0.95)
-
-
-_TOLD = [(k, [1.0 + 0.001 * k, float(k % 3), 0.0]) for k in range(9)]
-
-
-def _told(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_TOLD, "vec_id long, embedding array<double>")
-
-
-@query("set_semantic_dedup_small", "SELECT k::BIGINT AS vec_id, (k % 3)::BIGINT AS kept FROM range(0, 9) r(k)")
-def set_semantic_dedup_small(t: Tables) -> DataFrame:
-    return cl.near_vectors(_told(t), 0.95)
-
-
-@query("set_global_clusters", "SELECT k::BIGINT AS vec_id, CASE k % 3 WHEN 0 THEN 'name 6' WHEN 1 THEN 'name 7' ELSE 'name 8 is long' END AS canonical FROM range(0, 9) r(k)")
-def set_global_clusters(t: Tables) -> DataFrame:
-    """Near vectors' clusters, each named by its longest name (ties: the last)."""
-    names = _told(t).select("vec_id", F.concat(F.lit("name "), F.col("vec_id").cast("string"), F.when(F.col("vec_id") == 8, " is long").otherwise("")).alias("name"))
-    rows = cl.near_vectors(_told(t), 0.95).join(names, "vec_id")
-    top = rows.groupBy("kept").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("canonical"))
-    return rows.join(top, "kept").select("vec_id", "canonical")
-
-
-@query("set_label_clusters_embedding", "SELECT k::BIGINT AS vec_id, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS cluster FROM range(0, 9) r(k)")
-def set_label_clusters_embedding(t: Tables) -> DataFrame:
-    """Labels joined to the first cluster whose first member is within a cosine of 0.75, in order."""
-    return cl.greedy_vectors(_told(t).withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i == 1, x * 3).otherwise(x))), 0.75)
-
-
-@query("set_hybrid_dedup", r"""
-SELECT key, min(name) AS kept, count(*) AS n FROM (SELECT name, regexp_replace(regexp_replace(lower(trim(name)), '\s+', ' ', 'g'), '([^s])s$', '\1') AS key FROM vocabulary) GROUP BY key HAVING count(*) > 1""", "vocabulary")
-def set_hybrid_dedup(t: Tables) -> DataFrame:
-    """Names that string keys make one; what is left apart would go to near vectors."""
-    return t.vocabulary.groupBy(vl.singular_key(F.col("name")).alias("key")).agg(F.min("name").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
