@@ -149,6 +149,7 @@ def stated_decisions(text: Column, least: int = 20) -> Column:
     """array<struct<content, kind>>: sentences with the keywords of a decision, each content once, at its first kind."""
 
     def of(words: str, kind: str) -> Column:
+        # fixed value: the frame of a sentence with keywords
         raw = F.regexp_extract_all(text, F.lit(rf"(?i)(?:^|[.!?]\s+)([^.!?]*\b(?:{words})\b[^.!?]*[.!?]?)"), 1)
         bare = F.transform(raw, lambda x: F.trim(F.rtrim(F.trim(x), F.lit(".!?"))))
         return F.transform(F.filter(bare, lambda x: F.length(x) >= least), lambda x: F.struct(x.alias("content"), F.lit(kind).alias("kind")))

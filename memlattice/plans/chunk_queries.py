@@ -12,7 +12,7 @@ from memlattice.functions import values as vl
 from memlattice.operators import relations as rl
 from memlattice.sources.tables import Tables, days_before
 
-from .registry import query
+from .registry import fixture, query
 
 # ---- chunks: what the strategies make of one text, worked out by hand -------------------------------------------------
 _ONE = "One two three. Four five six! Seven eight? Nine ten eleven twelve.\n\nA second paragraph that is rather long, so that it must be cut.\n\nThird."
@@ -29,31 +29,46 @@ def _cut(t: Tables, text: str, strategy: str, size: int, lap: int) -> DataFrame:
     return one.select(F.posexplode(ch.chunks(F.col("text"), strategy, size, lap)).alias("place", "chunk"))
 
 
-@query("chunk_sentence", _expected("One two three. Four five six!", "Four five six! Seven eight?", "Seven eight? Nine ten eleven twelve."))
-def chunk_sentence(t: Tables) -> DataFrame:
+@fixture("chunk_sentence_told", _expected("One two three. Four five six!", "Four five six! Seven eight?", "Seven eight? Nine ten eleven twelve."))
+def chunk_sentence_told(t: Tables) -> DataFrame:
     return _cut(t, _ONE.split("\n")[0], "sentence", 30, 15)
 
 
-@query("chunk_paragraph", _expected("One two three. Four five six! Seven eight? Nine ten eleven twelve.", "A second paragraph that is rather long, so that it must be cut.\n\nThird."))
-def chunk_paragraph(t: Tables) -> DataFrame:
+@fixture("chunk_paragraph_told", _expected("One two three. Four five six! Seven eight? Nine ten eleven twelve.", "A second paragraph that is rather long, so that it must be cut.\n\nThird."))
+def chunk_paragraph_told(t: Tables) -> DataFrame:
     return _cut(t, _ONE, "paragraph", 75, 0)
 
 
-@query("chunk_recursive", _expected("One two three. Four five six!", "Seven eight? Nine ten eleven twelve.", "A second paragraph that is rather long, ", "her long, so that it must be cut.", "ut.", "Third."))
-def chunk_recursive(t: Tables) -> DataFrame:
+@fixture("chunk_recursive_told", _expected("One two three. Four five six!", "Seven eight? Nine ten eleven twelve.", "A second paragraph that is rather long, ", "her long, so that it must be cut.", "ut.", "Third."))
+def chunk_recursive_told(t: Tables) -> DataFrame:
     return _cut(t, _ONE, "recursive", 40, 10)
 
 
-@query("chunk_markdown", _expected("# Title\n\n\nIntro words here.\n\n## Part", "## Part\n\n\nBody of the part with `code # not header` in it.\n\n```\n# comment\ncode\n```\n\nTail."))
-def chunk_markdown(t: Tables) -> DataFrame:
+@fixture("chunk_markdown_told", _expected("# Title\n\n\nIntro words here.\n\n## Part", "## Part\n\n\nBody of the part with `code # not header` in it.\n\n```\n# comment\ncode\n```\n\nTail."))
+def chunk_markdown_told(t: Tables) -> DataFrame:
     return _cut(t, _MARKED, "markdown", 60, 0)
 
 
-@query("chunk_semantic", _expected("Red cats run fast.", "Red cats run fast again.", "Blue dogs sleep. Blue dogs sleep."))
-def chunk_semantic(t: Tables) -> DataFrame:
+@fixture("chunk_semantic_told", _expected("Red cats run fast.", "Red cats run fast again.", "Blue dogs sleep. Blue dogs sleep."))
+def chunk_semantic_told(t: Tables) -> DataFrame:
     return _cut(t, "Red cats run fast. Red cats run fast again. Blue dogs sleep. Blue dogs sleep.", "semantic", 60, 0)
 
 
+def _document_chunks(name: str, strategy: str, size: int, lap: int) -> None:
+    """Registers whole documents cut by a strategy: chunks, their longest, and a digest of them all, in order."""
+
+    def run(t: Tables) -> DataFrame:
+        cut = t.documents.select("doc_id", ch.chunks(F.coalesce("text", F.lit("")), strategy, size, lap).alias("c"))
+        longest = F.array_max(F.transform("c", lambda x: F.length(x)))
+        return cut.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.coalesce(longest, F.lit(0)).alias("longest"), F.md5(F.array_join("c", "\x1e").cast("binary")).alias("digest"))
+
+    query(name)(run)
+
+
+for _name, _size, _lap in (("sentence", 400, 80), ("paragraph", 600, 0), ("recursive", 500, 50), ("markdown", 800, 0), ("semantic", 600, 0)):
+    _document_chunks(f"chunk_{_name}", _name, _size, _lap)
+
+
 @query("chunk_extraction", r"""
 WITH c AS (SELECT item_id, unnest(range(0, greatest(1, ceil((length(content) - 100) / 400.0)::INT))) AS k, content FROM items WHERE content IS NOT NULL),
 w AS (SELECT item_id, k, unnest(list_distinct(regexp_extract_all(substr(content, k * 400 + 1, 500), '[A-Z][a-z]{6,}'))) AS name FROM c)
@@ -67,15 +82,14 @@ def chunk_extraction(t: Tables) -> DataFrame:
 
 # ---- pages ----------------------------------------------------------------------------------------------------------
 _META = lambda k: rf"""nullif(regexp_extract(html, '<meta (?:property|name)="{k}" content="([^"]*)"', 1), '')"""
-_PAGES = "(SELECT page_id, html, 'https://a.example/' || page_id AS url FROM linked_pages)"
+_PAGES = "linked_pages"
 
 
 @query("page_metadata", rf"""
-SELECT page_id, coalesce({_META("og:title")}, {_META("twitter:title")}, nullif(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), ''), url) AS title, coalesce({_META("og:description")}, {_META("description")}) AS description, {_META("og:image")} AS og_image, {_META("og:type")} AS og_type,
-  {_META("author")} AS author, {_META("article:published_time")} AS published_date, 'a.example' AS domain, coalesce(nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), ''), url) AS canonical_url FROM {_PAGES}""", "linked_pages")
+SELECT page_id, trim(left(coalesce({_META("og:title")}, {_META("twitter:title")}, nullif(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), ''), url), 500)) AS title, coalesce({_META("og:description")}, {_META("description")}) AS description, {_META("og:image")} AS og_image, {_META("og:type")} AS og_type,
+  {_META("author")} AS author, {_META("article:published_time")} AS published_date, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS domain, coalesce(nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), ''), url) AS canonical_url FROM {_PAGES}""", "linked_pages")
 def page_metadata(t: Tables) -> DataFrame:
-    rows = t.linked_pages.withColumn("url", F.concat(F.lit("https://a.example/"), F.col("page_id").cast("string")))
-    return rows.select("page_id", pg.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
+    return t.linked_pages.select("page_id", pg.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
 
 
 @query("page_titles", r"SELECT page_id, trim(regexp_extract(html, '<title>([^<&]+)</title>', 1)) AS title FROM pages WHERE regexp_matches(html, '<head>.*<title>[^<&]+</title>') AND NOT regexp_matches(html, '(?i)<meta[^>]*(og|twitter):title')")
@@ -101,7 +115,7 @@ def text_skills_tools(t: Tables) -> DataFrame:
 
 @query("text_regex_entities", r"""
 SELECT note_id, name, CASE WHEN regexp_matches(name, 'Inc|Corp|LLC|Ltd|Company') OR name IN ('Google', 'Google Inc', 'Microsoft', 'Amazon', 'OpenAI', 'Apple') THEN 'organization' WHEN len(regexp_split_to_array(name, '\s+')) = 2 THEN 'person' WHEN len(regexp_split_to_array(name, '\s+')) = 1 THEN 'organization' ELSE 'concept' END AS kind
-FROM (SELECT DISTINCT note_id, unnest(list_concat(regexp_extract_all(coalesce(content, ''), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1), list_filter(['Microsoft', 'Google', 'Python', 'TensorFlow', 'Seattle'], lambda x: contains(content, x)))) AS name FROM notes WHERE content IS NOT NULL)""", "notes")
+FROM (SELECT DISTINCT note_id, unnest(list_concat(regexp_extract_all(regexp_replace(coalesce(content, ''), '[\x{C0}-\x{24F}]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1), list_filter(['Microsoft', 'Google', 'Python', 'TensorFlow', 'Seattle'], lambda x: contains(content, x)))) AS name FROM notes WHERE content IS NOT NULL)""", "notes")
 def text_regex_entities(t: Tables) -> DataFrame:
     names = t.notes.filter("content is not null").select("note_id", F.explode(vl.named_entities(F.col("content"))).alias("name"))
     return names.select("note_id", "name", vl.guessed_kind(F.col("name")).alias("kind"))
@@ -137,18 +151,18 @@ def score_dummy_embedding(t: Tables) -> DataFrame:
     return e.select("item_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("e")[0], 6).alias("first"), F.size("e").alias("dims"))
 
 
-@query("value_flatten", "SELECT * FROM (VALUES (1::BIGINT, 'a', '1'), (1, 'b__c', 'x'), (1, 'b__d__e', 'true'), (2, 'z', NULL), (3, 'k', '[1,2]'), (3, 'm__n', '0.5')) v(id, key, value)")
+@fixture("value_flatten", "SELECT * FROM (VALUES (1::BIGINT, 'a', '1'), (1, 'b__c', 'x'), (1, 'b__d__e', 'true'), (2, 'z', NULL), (3, 'k', '[1,2]'), (3, 'm__n', '0.5')) v(id, key, value)")
 def value_flatten(t: Tables) -> DataFrame:
     return t.folded.select("id", F.explode(vl.flatten_json(F.col("doc"))).alias("key", "value"))
 
 
-@query("value_unflatten", "SELECT * FROM (VALUES (1::BIGINT, '{\"a\":\"1\",\"b\":{\"c\":\"x\",\"d\":{\"e\":\"true\"}}}'), (3, '{\"k\":\"[1,2]\",\"m\":{\"n\":\"0.5\"}}')) v(id, doc)")
+@fixture("value_unflatten", "SELECT * FROM (VALUES (1::BIGINT, '{\"a\":\"1\",\"b\":{\"c\":\"x\",\"d\":{\"e\":\"true\"}}}'), (3, '{\"k\":\"[1,2]\",\"m\":{\"n\":\"0.5\"}}')) v(id, doc)")
 def value_unflatten(t: Tables) -> DataFrame:
     flat = t.folded.filter("id <> 2").select("id", F.to_json(vl.flatten_json(F.col("doc"))).alias("flat"))
     return vl.unflatten_json(flat, "id", "flat")
 
 
-@query("value_metadata_merge", """
+@fixture("value_metadata_merge", """
 SELECT rec_id, k AS key, CASE WHEN coalesce(b[k], '') <> '' THEN b[k] ELSE a[k] END AS value FROM (SELECT rec_id, b, a, unnest(list_distinct(list_concat(map_keys(b), map_keys(a)))) AS k FROM (SELECT rec_id, arg_min(props, seen) AS b, arg_max(props, seen) AS a FROM records GROUP BY 1))""", "records")
 def value_metadata_merge(t: Tables) -> DataFrame:
     """The base value of a key stays unless it is empty."""
@@ -156,12 +170,12 @@ def value_metadata_merge(t: Tables) -> DataFrame:
     return ends.select("rec_id", F.explode(vl.merge_metadata(F.col("b"), F.col("a"))).alias("key", "value"))
 
 
-@query("value_parse_time", "SELECT note_id, try_cast(stamp AS TIMESTAMP) AS at FROM stamps", "stamps")
+@fixture("value_parse_time", "SELECT note_id, try_cast(stamp AS TIMESTAMP) AS at FROM stamps", "stamps")
 def value_parse_time(t: Tables) -> DataFrame:
     return t.stamps.select("note_id", vl.parse_time(F.col("stamp")).alias("at"))
 
 
-@query("filter_old_notes", "SELECT note_id FROM stamps WHERE try_cast(stamp AS TIMESTAMP) < TIMESTAMP '2024-01-31' - INTERVAL 30 DAY", "stamps")
+@fixture("filter_old_notes", "SELECT note_id FROM stamps WHERE try_cast(stamp AS TIMESTAMP) < TIMESTAMP '2024-01-31' - INTERVAL 30 DAY", "stamps")
 def filter_old_notes(t: Tables) -> DataFrame:
     return t.stamps.filter(days_before(vl.parse_time(F.col("stamp"))) > 30).select("note_id")
 
@@ -170,12 +184,12 @@ _PRICE = "(VALUES " + ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in vl.PRICES.
 _COSTED = f"SELECT c.*, (SELECT arg_max(prompt / 1000 * inward + completion / 1000 * outward, length(name)) FROM {_PRICE} WHERE starts_with(coalesce(model, ''), name) OR name = '') AS cost FROM models_used c".replace("prompt / 1000", "prompt / 1000.0::DOUBLE").replace("completion / 1000", "completion / 1000.0::DOUBLE")
 
 
-@query("value_token_cost", f"SELECT call_id, round(cost::DOUBLE, 9) AS cost FROM ({_COSTED})", "models_used")
+@fixture("value_token_cost", f"SELECT call_id, round(cost::DOUBLE, 9) AS cost FROM ({_COSTED})", "models_used")
 def value_token_cost(t: Tables) -> DataFrame:
     return t.models_used.select("call_id", F.round(vl.token_cost(F.col("model"), F.col("prompt"), F.col("completion")), 9).alias("cost"))
 
 
-@query("agg_token_savings", f"""
+@fixture("agg_token_savings", f"""
 SELECT stage, (sum(prompt + completion) FILTER (WHERE kind = 'spent'))::BIGINT AS spent, coalesce((sum(prompt + completion) FILTER (WHERE kind = 'avoided'))::BIGINT, 0) AS avoided, count(*) AS calls, round(sum(CASE WHEN kind = 'spent' THEN cost ELSE 0 END)::DOUBLE, 9) AS cost,
   round(100 * coalesce(sum(prompt + completion) FILTER (WHERE kind = 'avoided'), 0)::DOUBLE / greatest(1, sum(prompt + completion)), 6) AS savings_pct FROM ({_COSTED}) GROUP BY ROLLUP (stage)""", "models_used")
 def agg_token_savings(t: Tables) -> DataFrame:
@@ -188,24 +202,24 @@ def agg_token_savings(t: Tables) -> DataFrame:
     )
 
 
-@query("agg_token_maps", "SELECT stage, coalesce(model, '') AS model, coalesce(reason, '') AS reason, count(*) AS n, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion FROM models_used GROUP BY ALL", "models_used")
+@fixture("agg_token_maps", "SELECT stage, coalesce(model, '') AS model, coalesce(reason, '') AS reason, count(*) AS n, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion FROM models_used GROUP BY ALL", "models_used")
 def agg_token_maps(t: Tables) -> DataFrame:
     return t.models_used.groupBy("stage", F.coalesce("model", F.lit("")).alias("model"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
 
 
-@query("agg_usage_totals", "SELECT sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(prompt + completion)::BIGINT AS total, count(*) AS calls FROM models_used", "models_used")
+@fixture("agg_usage_totals", "SELECT sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(prompt + completion)::BIGINT AS total, count(*) AS calls FROM models_used", "models_used")
 def agg_usage_totals(t: Tables) -> DataFrame:
     return t.models_used.agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum(F.col("prompt") + F.col("completion")).alias("total"), F.count(F.lit(1)).alias("calls"))
 
 
-@query("value_plan_score", """
+@fixture("value_plan_score", """
 SELECT plan_id, (CASE WHEN len(steps) = 0 THEN 0 ELSE least(len(steps), 10) + len(list_distinct(steps)) - CASE WHEN len(list_distinct(steps)) < len(steps) THEN 2 ELSE 0 END
   + coalesce(list_sum(list_transform(feedback, lambda x: CASE WHEN contains(lower(x), 'good') THEN 2 WHEN contains(lower(x), 'bad') THEN -2 ELSE 0 END)), 0) END)::INTEGER AS score FROM plans_made""", "plans_made")
 def value_plan_score(t: Tables) -> DataFrame:
     return t.plans_made.select("plan_id", vl.plan_score(F.col("steps"), F.col("feedback")).alias("score"))
 
 
-@query("value_schema_hash", """SELECT tool, sha256('{' || string_agg('"' || property || '":{"required":' || required::VARCHAR || ',"type":"' || type || '"}', ',' ORDER BY property) || '}') AS digest FROM current_tools GROUP BY 1""", "current_tools")
+@fixture("value_schema_hash", """SELECT tool, sha256('{' || string_agg('"' || property || '":{"required":' || required::VARCHAR || ',"type":"' || type || '"}', ',' ORDER BY property) || '}') AS digest FROM current_tools GROUP BY 1""", "current_tools")
 def value_schema_hash(t: Tables) -> DataFrame:
     return vl.schema_hashes(t.current_tools)
 
@@ -215,7 +229,7 @@ def value_drift_confidence(t: Tables) -> DataFrame:
     return t.decisions.select("decision_id", F.round(vl.drift_confidence(F.col("confidence"), F.col("status") == "superseded", 0.5) + 1e-9, 6).alias("confidence"))
 
 
-@query("value_entity_name", r"SELECT name, trim(regexp_replace(name, '\s+', ' ', 'g')) AS clean FROM vocabulary", "vocabulary")
+@fixture("value_entity_name", r"SELECT name, trim(regexp_replace(name, '\s+', ' ', 'g')) AS clean FROM vocabulary", "vocabulary")
 def value_entity_name(t: Tables) -> DataFrame:
     return t.vocabulary.select("name", tx.clean(F.col("name")).alias("clean"))
 
@@ -225,12 +239,12 @@ def value_label(t: Tables) -> DataFrame:
     return t.part.select("p_type", vl.safe_label(F.concat("p_type", F.lit("-1"))).alias("label")).distinct()
 
 
-@query("set_type_normalisation", "SELECT DISTINCT kind, CASE " + " ".join(f"WHEN lower(trim(kind)) = '{k}' THEN '{v}'" for k, v in vl.TYPE_NAMES.items()) + " ELSE 'concept' END AS type FROM vocabulary", "vocabulary")
+@fixture("set_type_normalisation", "SELECT DISTINCT kind, CASE " + " ".join(f"WHEN lower(trim(kind)) = '{k}' THEN '{v}'" for k, v in vl.TYPE_NAMES.items()) + " ELSE 'concept' END AS type FROM vocabulary", "vocabulary")
 def set_type_normalisation(t: Tables) -> DataFrame:
     return t.vocabulary.select("kind", vl.entity_type(F.col("kind")).alias("type")).distinct()
 
 
-@query("set_string_dedup", r"""
+@fixture("set_string_dedup", r"""
 SELECT key, min(name) AS kept, count(*) AS n FROM (SELECT name, regexp_replace(regexp_replace(lower(trim(name)), '\s+', ' ', 'g'), '([^s])s$', '\1') AS key FROM vocabulary) GROUP BY key""", "vocabulary")
 def set_string_dedup(t: Tables) -> DataFrame:
     """Names that are equal in lower case, with single blanks, without a plural s: the least of them stays."""
@@ -249,13 +263,13 @@ def agg_procedure_name(t: Tables) -> DataFrame:
 
 
 # ---- validation -----------------------------------------------------------------------------------------------------
-@query("filter_ontology_constraints", "SELECT * FROM (VALUES (3::BIGINT, 'born', 'none', FALSE)) v(entity_id, property, problem, hard) WHERE FALSE UNION ALL SELECT item_id, 'born', CASE WHEN props['born'] IS NULL THEN 'missing' ELSE 'type' END, TRUE FROM entity_rows WHERE entity_type = 'person' AND (props['born'] IS NULL OR try_cast(props['born'] AS DOUBLE) IS NULL) UNION ALL SELECT item_id, 'size', 'type', FALSE FROM entity_rows WHERE entity_type = 'location' AND props['size'] NOT IN ('small')", "entity_rows")
+@fixture("filter_ontology_constraints", "SELECT * FROM (VALUES (3::BIGINT, 'born', 'none', FALSE)) v(entity_id, property, problem, hard) WHERE FALSE UNION ALL SELECT item_id, 'born', CASE WHEN props['born'] IS NULL THEN 'missing' ELSE 'type' END, TRUE FROM entity_rows WHERE entity_type = 'person' AND (props['born'] IS NULL OR try_cast(props['born'] AS DOUBLE) IS NULL) UNION ALL SELECT item_id, 'size', 'type', FALSE FROM entity_rows WHERE entity_type = 'location' AND props['size'] NOT IN ('small')", "entity_rows")
 def filter_ontology_constraints(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame([("person", "born", True, "number", None, "one", True), ("location", "size", False, "enum", ["small"], "one", False), ("location", "country", True, "text", None, "one", True)], "entity_type string, property string, required boolean, kind string, allowed array<string>, cardinality string, hard boolean")
     return rl.constraint_violations(t.entity_rows.select(F.col("item_id").alias("entity_id"), "entity_type", "props"), rules)
 
 
-@query("filter_governance", """
+@fixture("filter_governance", """
 SELECT item_id, 'unknown_entity_type' AS violation, 'medium' AS severity, FALSE AS fixable FROM entity_rows WHERE entity_type NOT IN ('person', 'org', 'location')
 UNION ALL SELECT item_id, 'missing_property:' || p, 'high', TRUE FROM entity_rows JOIN (VALUES ('person', 'born'), ('org', 'founded'), ('location', 'country')) r(k, p) ON k = entity_type WHERE props[p] IS NULL
 UNION ALL SELECT item_id, 'unknown_relation:' || relation, 'medium', FALSE FROM relation_rows WHERE relation NOT IN ('works_for', 'located_in')""", "entity_rows relation_rows")
@@ -274,7 +288,7 @@ def filter_node_schema(t: Tables) -> DataFrame:
     return rows.groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("filter_item_validation", """
+@fixture("filter_item_validation", """
 SELECT claim_id, severity, field FROM (SELECT claim_id, 'error' AS severity, 'content' AS field FROM rows WHERE coalesce(trim(content), '') = '' UNION ALL SELECT claim_id, 'warning', 'memory_type' FROM rows WHERE coalesce(memory_type, '') NOT IN ('semantic', 'episodic', 'procedural', 'zettel', 'working', 'decision', 'reasoning')
   UNION ALL SELECT claim_id, 'error', 'confidence' FROM rows WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT claim_id, 'warning', 'decision_id' FROM rows WHERE memory_type = 'decision' AND flag IS NULL UNION ALL SELECT claim_id, 'warning', 'trace_id' FROM rows WHERE memory_type = 'reasoning' AND flag IS NULL)""".replace("SELECT claim_id, severity", "WITH rows AS (SELECT claim_id, CASE claim_id WHEN 3 THEN ' ' WHEN 4 THEN NULL ELSE content END AS content, CASE claim_id WHEN 5 THEN 'decision' WHEN 6 THEN 'reasoning' ELSE memory_type END AS memory_type, flag, claim_id / 15.0 AS confidence FROM claims) SELECT claim_id, severity", 1), "claims")
 def filter_item_validation(t: Tables) -> DataFrame:

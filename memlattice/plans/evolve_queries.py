@@ -15,7 +15,7 @@ from memlattice.operators import temporal as tp
 from memlattice.sources.tables import Tables, as_of, days_before
 from memlattice.streaming import metrics as st
 
-from .registry import query
+from .registry import fixture, query
 
 # ---- evolvers -------------------------------------------------------------------------------------------------------
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -219,7 +219,7 @@ def temporal_batch_relationships(t: Tables) -> DataFrame:
     return held.join(ids, "src", "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("temporal_join_strategy", "SELECT * FROM (VALUES (50::BIGINT, 'nested loop'), (500, 'hash'), (5000, 'sort merge')) v(n, strategy)")
+@fixture("temporal_join_strategy", "SELECT * FROM (VALUES (50::BIGINT, 'nested loop'), (500, 'hash'), (5000, 'sort merge')) v(n, strategy)")
 def temporal_join_strategy(t: Tables) -> DataFrame:
     """The label that the size of a join would get; the plan itself is left to the optimiser."""
     n = F.col("n")
@@ -239,7 +239,7 @@ def _registry() -> pl.Registry:
     return r
 
 
-@query("plugin_registry", "SELECT * FROM (VALUES ('embedder', 'digest'), ('enricher', 'size'), ('enricher', 'summary'), ('evolver', 'archive'), ('extractor', 'words'), ('grounder', 'ids'), ('metric', 'size')) v(kind, name)")
+@fixture("plugin_registry", "SELECT * FROM (VALUES ('embedder', 'digest'), ('enricher', 'size'), ('enricher', 'summary'), ('evolver', 'archive'), ('extractor', 'words'), ('grounder', 'ids'), ('metric', 'size')) v(kind, name)")
 def plugin_registry(t: Tables) -> DataFrame:
     r = _registry()
     return t.spark.createDataFrame([(k, n) for k in pl.KINDS for n in r.names(k)], "kind string, name string")
@@ -267,18 +267,18 @@ def plugin_embed_metric(t: Tables) -> DataFrame:
     return out.select("note_id", F.col("vector")[0].alias("dim"), F.round("score", 6).alias("score"))
 
 
-@query("plugin_validation", "SELECT * FROM (VALUES ('words', 'ok'), ('nameless', 'no name'), ('7up', 'no name'), ('lost', 'unknown kind'), ('still', 'not callable')) v(name, problem)")
+@fixture("plugin_validation", "SELECT * FROM (VALUES ('words', 'ok'), ('nameless', 'no name'), ('7up', 'no name'), ('lost', 'unknown kind'), ('still', 'not callable')) v(name, problem)")
 def plugin_validation(t: Tables) -> DataFrame:
     tried = [("words", "extractor", "words", len), ("nameless", "extractor", "", len), ("7up", "extractor", "7up", len), ("lost", "nothing", "lost", len), ("still", "metric", "still", 5)]
     return t.spark.createDataFrame([(label, pl.problem(kind, name, f) or "ok") for label, kind, name, f in tried], "name string, problem string")
 
 
-@query("plugin_compatibility", "SELECT * FROM (VALUES ('1.2.0', '>=1.0,<2', TRUE), ('2.0', '>=1.0,<2', FALSE), ('0.9', '>=1.0', FALSE), ('x', '>=1.0', TRUE), ('1.0', '', TRUE)) v(version, wanted, ok)")
+@fixture("plugin_compatibility", "SELECT * FROM (VALUES ('1.2.0', '>=1.0,<2', TRUE), ('2.0', '>=1.0,<2', FALSE), ('0.9', '>=1.0', FALSE), ('x', '>=1.0', TRUE), ('1.0', '', TRUE)) v(version, wanted, ok)")
 def plugin_compatibility(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(v, w, pl.compatible(v, w)) for v, w in (("1.2.0", ">=1.0,<2"), ("2.0", ">=1.0,<2"), ("0.9", ">=1.0"), ("x", ">=1.0"), ("1.0", ""))], "version string, wanted string, ok boolean")
 
 
-@query("plugin_manager", "SELECT * FROM (VALUES ('words', 'loaded'), ('old', 'incompatible'), ('broken', 'failed')) v(name, state)")
+@fixture("plugin_manager", "SELECT * FROM (VALUES ('words', 'loaded'), ('old', 'incompatible'), ('broken', 'failed')) v(name, state)")
 def plugin_manager(t: Tables) -> DataFrame:
     """What becomes of plugins on offer: loaded, refused for their version, or failed while loading."""
 
@@ -289,7 +289,7 @@ def plugin_manager(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(sorted(pl.load(pl.Registry(), offers, ">=1.0").items()), "name string, state string")
 
 
-@query("plugin_executor", "SELECT * FROM (VALUES ('fine', '3'), ('wrong', 'ValueError'), ('slow', 'timeout')) v(name, outcome)")
+@fixture("plugin_executor", "SELECT * FROM (VALUES ('fine', '3'), ('wrong', 'ValueError'), ('slow', 'timeout')) v(name, outcome)")
 def plugin_executor(t: Tables) -> DataFrame:
     """Plugins under a time limit: a result, the name of what went wrong, or timeout."""
     import time
@@ -313,15 +313,15 @@ def stage_pipeline_run(t: Tables) -> DataFrame:
     return pl.Pipeline(_stages()).run(t.notes.filter("content is not null")).select("note_id", "kind", "size", "stored")
 
 
-@query("stage_breakpoint_resume", "SELECT 'until clean' AS step, 'content,kind,note_id' AS columns UNION ALL SELECT 'resumed', 'content,kind,note_id,size,stored' UNION ALL SELECT 'undone', 'content,kind,note_id,size'")
+@fixture("stage_breakpoint_resume", "SELECT 'until clean' AS step, 'content,kind,note_id' AS columns UNION ALL SELECT 'resumed', 'content,kind,note_id,size,stored' UNION ALL SELECT 'undone', 'content,kind,note_id,size'")
 def stage_breakpoint_resume(t: Tables) -> DataFrame:
     """The columns after a run to a stage, its resumption, and the undoing of the last stage."""
     p = pl.Pipeline(_stages())
-    steps = [("until clean", p.run(t.notes, "clean")), ("resumed", p.resume()), ("undone", p.undo())]
+    steps = [("until clean", p.run(t.told_notes, "clean")), ("resumed", p.resume()), ("undone", p.undo())]
     return t.spark.createDataFrame([(k, ",".join(sorted(df.columns))) for k, df in steps], "step string, columns string")
 
 
-@query("stage_retry", "SELECT * FROM (VALUES ('twice', 'done', 3), ('always', 'skipped', 3), ('never', 'done', 1)) v(stage, outcome, tries)")
+@fixture("stage_retry", "SELECT * FROM (VALUES ('twice', 'done', 3), ('always', 'skipped', 3), ('never', 'done', 1)) v(stage, outcome, tries)")
 def stage_retry(t: Tables) -> DataFrame:
     """A stage is tried three times, longer apart each time; then it is skipped or the run ends."""
 
@@ -338,12 +338,12 @@ def stage_retry(t: Tables) -> DataFrame:
 
     out = []
     for name, n in (("twice", 2), ("always", 9), ("never", 0)):
-        _, outcome, tries = pl.retried(failing(n), t.notes, wait=0.01)
+        _, outcome, tries = pl.retried(failing(n), t.told_notes, wait=0.01)
         out.append((name, outcome, tries))
     return t.spark.createDataFrame(out, "stage string, outcome string, tries int")
 
 
-@query("stage_order", "SELECT * FROM (VALUES (0, 'classify'), (1, 'simplify'), (2, 'extract'), (3, 'link'), (4, 'store')) v(place, stage)")
+@fixture("stage_order", "SELECT * FROM (VALUES (0, 'classify'), (1, 'simplify'), (2, 'extract'), (3, 'link'), (4, 'store')) v(place, stage)")
 def stage_order(t: Tables) -> DataFrame:
     order = pl.order_stages({"store": ["link"], "link": ["extract"], "extract": ["simplify", "classify"], "simplify": ["classify"], "classify": []})
     return t.spark.createDataFrame(list(enumerate(order)), "place int, stage string")
@@ -396,7 +396,7 @@ def stage_enrich(t: Tables) -> DataFrame:
     return out.select("note_id", "size", "summary")
 
 
-@query("stage_ground", "SELECT name, CASE lower(trim(name)) WHEN 'rome' THEN 'Q220' WHEN 'ada' THEN 'Q7259' END AS qid FROM vocabulary", "vocabulary")
+@fixture("stage_ground", "SELECT name, CASE lower(trim(name)) WHEN 'rome' THEN 'Q220' WHEN 'ada' THEN 'Q7259' END AS qid FROM vocabulary", "vocabulary")
 def stage_ground(t: Tables) -> DataFrame:
     """Ids of public knowledge by alias; the alias table may be of any size."""
     aliases = t.spark.createDataFrame([("rome", "Q220"), ("ada", "Q7259")], "surface string, qid string")
@@ -417,7 +417,7 @@ def filter_prune_by_age(t: Tables) -> DataFrame:
     return t.orders.filter((age > 10000) | (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))).select("o_orderkey")
 
 
-@query("set_schema_drift_event", "SELECT * FROM (VALUES ('p1', 'confidence_reduced', 0.45::DOUBLE), ('p2', 'flagged', 0.9::DOUBLE)) v(proc_id, event, confidence)")
+@fixture("set_schema_drift_event", "SELECT * FROM (VALUES ('p1', 'confidence_reduced', 0.45::DOUBLE), ('p2', 'flagged', 0.9::DOUBLE)) v(proc_id, event, confidence)")
 def set_schema_drift_event(t: Tables) -> DataFrame:
     """Procedures whose tools have changed: a breaking change halves the confidence, another only flags it."""
     from memlattice.operators import dedup as dd

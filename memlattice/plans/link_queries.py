@@ -12,7 +12,7 @@ from memlattice.operators import graph as g
 from memlattice.operators import search as s
 from memlattice.sources.tables import Tables
 
-from .registry import query
+from .registry import fixture, query
 
 # ---- evidence -------------------------------------------------------------------------------------------------------
 _OPINIONS = "(VALUES (1, 'paris', 'Paris is lovely'), (2, 'box', 'the box'), (3, 'sleep', 'sleeping'), (4, 'nowhere', 'x')) o(opinion_id, subject, content)"
@@ -22,7 +22,7 @@ def _opinions(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(1, "paris", "Paris is lovely"), (2, "box", "the box"), (3, "sleep", "sleeping"), (4, "nowhere", "x")], "opinion_id int, subject string, content string")
 
 
-@query("join_opinion_evidence", f"""
+@fixture("join_opinion_evidence", f"""
 SELECT opinion_id, claim_id, regexp_matches(lower(c.content), 'not|never|stopped|changed|no longer|unlike') AS contradicts FROM {_OPINIONS} JOIN claims c ON contains(lower(c.content), subject)""", "claims")
 def join_opinion_evidence(t: Tables) -> DataFrame:
     """Evidence that names an opinion's subject; signal words make it a contradiction.  The opinions, a few, are broadcast."""
@@ -46,7 +46,7 @@ def join_decision_evidence(t: Tables) -> DataFrame:
     return t.part.join(F.broadcast(few), on).select("decision_id", "p_partkey", e.rlike("cold|not").alias("contradicts"))
 
 
-@query("evolve_opinion_reinforcement", f"""
+@fixture("evolve_opinion_reinforcement", f"""
 WITH ev AS (SELECT opinion_id, count(*) FILTER (WHERE NOT x) AS s, count(*) FILTER (WHERE x) AS c FROM (SELECT opinion_id, regexp_matches(lower(c.content), 'not|never|stopped|changed|no longer|unlike') AS x FROM {_OPINIONS} JOIN claims c ON contains(lower(c.content), subject)) GROUP BY 1),
 sc AS (SELECT opinion_id, CASE WHEN s IS NULL THEN 0.22 - 0.05 ELSE (1 - (1 - 0.22) * pow(0.9, s)) * pow(0.85, c) END AS confidence FROM {_OPINIONS} LEFT JOIN ev USING (opinion_id))
 SELECT opinion_id, round(confidence::DOUBLE, 6) AS confidence, confidence < 0.2 AS archived FROM sc""", "claims")
@@ -208,7 +208,7 @@ def join_procedure_steps(t: Tables) -> DataFrame:
     return t.orders.join(made, "o_orderkey").select("o_orderkey", F.coalesce(own, "made").alias("steps"))
 
 
-@query("join_class_ids", "SELECT * FROM (VALUES ('Person', 'Q5'), ('LOCATION', 'Q515'), ('LOCATION', 'Q6256'), ('org', 'Q43229')) v(entity_type, qid)")
+@fixture("join_class_ids", "SELECT * FROM (VALUES ('Person', 'Q5'), ('LOCATION', 'Q515'), ('LOCATION', 'Q6256'), ('org', 'Q43229')) v(entity_type, qid)")
 def join_class_ids(t: Tables) -> DataFrame:
     """Classes of public knowledge of each type, whatever its case."""
     classes = t.spark.createDataFrame([("person", "Q5"), ("location", "Q515"), ("location", "Q6256"), ("org", "Q43229"), ("event", "Q1656682")], "type string, qid string")
@@ -259,7 +259,7 @@ def join_concurrent(t: Tables) -> DataFrame:
     return running.filter("n = 3 and starts").select("t")
 
 
-@query("join_repetition_rate", """
+@fixture("join_repetition_rate", """
 WITH e AS (SELECT ask_id, query, list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')) AS w, ask_id * 20 AS minute FROM (SELECT ask_id, query FROM asked UNION ALL SELECT ask_id + 100, query || ' please' FROM asked WHERE ask_id < 6 UNION ALL SELECT ask_id + 200, query FROM asked))
 SELECT round((count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e p WHERE p.minute <= e.minute - 30 AND len(p.w) > 0 AND len(e.w) > 0 AND len(list_intersect(p.w, e.w)) / len(list_distinct(list_concat(p.w, e.w))) >= 0.85)) / count(*))::DOUBLE, 6) AS rate FROM e""", "asked")
 def join_repetition_rate(t: Tables) -> DataFrame:
@@ -321,18 +321,18 @@ def _between(t: Tables) -> DataFrame:
     return g.betweenness(e, nodes).select("item_id", F.round("betweenness", 6).alias("score"))
 
 
-@query("graph_betweenness_small", _BETWEEN)
+@fixture("graph_betweenness_small", _BETWEEN)
 def graph_betweenness_small(t: Tables) -> DataFrame:
     """The same operator as graph_betweenness on a graph that SQL can search whole."""
     return _between(t)
 
 
-@query("graph_bridges", f"SELECT item_id, score FROM ({_BETWEEN}) WHERE score > 0.05")
+@fixture("graph_bridges", f"SELECT item_id, score FROM ({_BETWEEN}) WHERE score > 0.05")
 def graph_bridges(t: Tables) -> DataFrame:
     return _between(t).filter("score > 0.05")
 
 
-@query("graph_knowledge_paths", f"""
+@fixture("graph_knowledge_paths", f"""
 WITH RECURSIVE u AS (SELECT src, dst, 0.5 AS w FROM {_SMALL} UNION SELECT dst, src, 0.5 FROM {_SMALL}), p AS (SELECT 'a' AS here, ['a'] AS path UNION ALL SELECT u.dst, list_append(p.path, u.dst) FROM p JOIN u ON u.src = p.here WHERE len(p.path) <= 4 AND NOT list_contains(p.path, u.dst) AND p.here <> 'e')
 SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS length, CASE WHEN len(path) <= 3 THEN 'direct' WHEN len(path) <= 5 THEN 'indirect' ELSE 'serendipitous' END AS kind FROM p WHERE here = 'e'""")
 def graph_knowledge_paths(t: Tables) -> DataFrame:
@@ -341,7 +341,7 @@ def graph_knowledge_paths(t: Tables) -> DataFrame:
     return p.select("path", "length", F.when(F.col("length") <= 2, "direct").when(F.col("length") <= 4, "indirect").otherwise("serendipitous").alias("kind"))
 
 
-@query("graph_components_small", f"""
+@fixture("graph_components_small", f"""
 WITH RECURSIVE u AS (SELECT src, dst FROM {_SMALL} UNION SELECT dst, src FROM {_SMALL}), r AS (SELECT src AS item_id, src AS seen FROM u UNION SELECT r.item_id, u.dst FROM r JOIN u ON u.src = r.seen) SELECT item_id, min(seen) AS component FROM r GROUP BY 1 UNION ALL SELECT 'z', 'z'""")
 def graph_components_small(t: Tables) -> DataFrame:
     e = _small(t)
@@ -349,27 +349,27 @@ def graph_components_small(t: Tables) -> DataFrame:
     return g.connected_components(nodes, e)
 
 
-@query("graph_closure_chain", "SELECT i AS src, j AS dst FROM range(1, 81) a(i), range(1, 82) b(j) WHERE j > i + 1")
+@fixture("graph_closure_chain", "SELECT i AS src, j AS dst FROM range(1, 81) a(i), range(1, 82) b(j) WHERE j > i + 1")
 def graph_closure_chain(t: Tables) -> DataFrame:
     """The closure of a chain of 80 edges."""
     e = t.spark.range(1, 81).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("L").alias("edge_type"))
     return g.transitive_closure(e, "L")
 
 
-@query("graph_long_path", "SELECT 15::INTEGER AS length, '1>2>3>4>5>6>7>8>9>10>11>12>13>14>15>16' AS path")
+@fixture("graph_long_path", "SELECT 15::INTEGER AS length, '1>2>3>4>5>6>7>8>9>10>11>12>13>14>15>16' AS path")
 def graph_long_path(t: Tables) -> DataFrame:
     e = t.spark.range(1, 40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("L").alias("edge_type"))
     return g.shortest_path(e, 1, 16, max_depth=None)
 
 
-@query("graph_orphans_small", "SELECT 'z' AS item_id")
+@fixture("graph_orphans_small", "SELECT 'z' AS item_id")
 def graph_orphans_small(t: Tables) -> DataFrame:
     e = _small(t)
     nodes = e.select(F.col("src").alias("item_id")).union(t.spark.createDataFrame([("z",)], "item_id string")).distinct()
     return g.orphans(nodes, e).select("item_id")
 
 
-@query("score_path_relevance", f"""
+@fixture("score_path_relevance", f"""
 WITH RECURSIVE u AS (SELECT src, dst FROM {_SMALL} UNION SELECT dst, src FROM {_SMALL}), r AS (SELECT 'a' AS at, 0 AS k UNION SELECT u.dst, k + 1 FROM r JOIN u ON u.src = r.at WHERE k < 8)
 SELECT v AS item_id, round(coalesce(1.0 / (min(k) + 1), 0)::DOUBLE, 6) AS score FROM (VALUES ('a'), ('d'), ('h'), ('g')) t(v) LEFT JOIN r ON r.at = v GROUP BY 1""")
 def score_path_relevance(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from memlattice.functions import reasoning as rs
 from memlattice.functions import text as tx
 from memlattice.sources.tables import Tables, days_before
 
-from .registry import query
+from .registry import fixture, query
 
 
 def _quoted(x: str) -> str:
@@ -96,22 +96,22 @@ def _of_facts(t: Tables, f, *columns: str) -> DataFrame:
     return t.facts.select("fact_id", f(*(F.col(c) for c in columns)).alias("confidence"))
 
 
-@query("conflict_negation", f"SELECT fact_id, {_HEURISTIC} AS confidence FROM facts", "facts")
+@fixture("conflict_negation", f"SELECT fact_id, {_HEURISTIC} AS confidence FROM facts", "facts")
 def conflict_negation(t: Tables) -> DataFrame:
     return _of_facts(t, rs.negation_conflict, "existing", "fresh")
 
 
-@query("conflict_functional", f"SELECT fact_id, {_FUNCTIONAL} AS confidence FROM facts", "facts")
+@fixture("conflict_functional", f"SELECT fact_id, {_FUNCTIONAL} AS confidence FROM facts", "facts")
 def conflict_functional(t: Tables) -> DataFrame:
     return _of_facts(t, rs.functional_conflict, "existing", "fresh")
 
 
-@query("conflict_embedding", f"SELECT fact_id, {_EMBEDDING} AS confidence FROM facts", "facts")
+@fixture("conflict_embedding", f"SELECT fact_id, {_EMBEDDING} AS confidence FROM facts", "facts")
 def conflict_embedding(t: Tables) -> DataFrame:
     return _of_facts(t, rs.embedding_conflict, "existing", "fresh", "similarity")
 
 
-@query("conflict_recency_resolution", f"SELECT fact_id, CASE WHEN seen_at IS NOT NULL AND {_holds('lower(fresh)', rs.RECENT)} THEN 0.65::DOUBLE END AS confidence FROM facts", "facts")
+@fixture("conflict_recency_resolution", f"SELECT fact_id, CASE WHEN seen_at IS NOT NULL AND {_holds('lower(fresh)', rs.RECENT)} THEN 0.65::DOUBLE END AS confidence FROM facts", "facts")
 def conflict_recency_resolution(t: Tables) -> DataFrame:
     return _of_facts(t, rs.newer_wins, "fresh", "seen_at")
 
@@ -119,12 +119,12 @@ def conflict_recency_resolution(t: Tables) -> DataFrame:
 _DETECTED = f"SELECT *, {_FUNCTIONAL} AS g, {_EMBEDDING} AS e, {_HEURISTIC} AS h FROM facts"
 
 
-@query("conflict_detection", f"SELECT fact_id, CASE WHEN g IS NOT NULL THEN 'graph' WHEN e IS NOT NULL THEN 'embedding' WHEN h IS NOT NULL THEN 'heuristic' END AS method, coalesce(g, e, h) AS confidence FROM ({_DETECTED})", "facts")
+@fixture("conflict_detection", f"SELECT fact_id, CASE WHEN g IS NOT NULL THEN 'graph' WHEN e IS NOT NULL THEN 'embedding' WHEN h IS NOT NULL THEN 'heuristic' END AS method, coalesce(g, e, h) AS confidence FROM ({_DETECTED})", "facts")
 def conflict_detection(t: Tables) -> DataFrame:
     return t.facts.select("fact_id", rs.detect_conflict(F.col("existing"), F.col("fresh"), F.col("similarity")).alias("c")).select("fact_id", "c.*")
 
 
-@query("conflict_challenge_result", f"""
+@fixture("conflict_challenge_result", f"""
 SELECT part, count(coalesce(g, e, h)) AS n_conflicts, round(CASE WHEN count(coalesce(g, e, h)) = 0 THEN 1.0 ELSE greatest(0, 1 - 0.5 * sum(coalesce(g, e, h)) / count(coalesce(g, e, h))) END::DOUBLE, 3) AS confidence
 FROM (SELECT *, fact_id % 4 AS part FROM ({_DETECTED})) GROUP BY part""", "facts")
 def conflict_challenge_result(t: Tables) -> DataFrame:
@@ -163,9 +163,9 @@ def belief_confidence_history(t: Tables) -> DataFrame:
 _KIND = "CASE " + " ".join(f"WHEN {_holds('lower(content)', p)} THEN '{k}'" for k, p in rs.DECISION_KINDS.items()) + " ELSE 'inference' END"
 
 
-@query("text_decision_kind", f"SELECT note_id, {_KIND} AS kind FROM (SELECT * FROM notes WHERE content IS NOT NULL UNION ALL SELECT 1000 + item_id, content FROM items WHERE content IS NOT NULL)", "notes items")
+@query("text_decision_kind", f"SELECT note_id, {_KIND} AS kind FROM notes WHERE content IS NOT NULL", "notes")
 def text_decision_kind(t: Tables) -> DataFrame:
-    rows = t.notes.union(t.items.select(F.col("item_id") + 1000, "content")).filter("content is not null")
+    rows = t.notes.filter("content is not null")
     return rows.select("note_id", rs.decision_kind(F.col("content")).alias("kind"))
 
 
@@ -198,7 +198,7 @@ def stage_reasoning_detect(t: Tables) -> DataFrame:
     return t.items.filter("content is not null").select("item_id", ((F.length(c) >= 50) & F.lower(c).rlike("because|therefore|step")).alias("reasons"))
 
 
-@query("text_query_tokens", rf"""
+@fixture("text_query_tokens", rf"""
 SELECT ask_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '''s$', ''), '[^0-9a-z_]', '', 'g'))), lambda x: x <> '' AND NOT list_contains({_list(tx.STOP_WORDS)}, x))), ',') AS tokens FROM asked""", "asked")
 def text_query_tokens(t: Tables) -> DataFrame:
     return t.asked.select("ask_id", F.array_join(F.sort_array(tx.query_tokens(F.col("query"))), ",").alias("tokens"))

@@ -10,16 +10,27 @@ from memlattice.sources.tables import PRELUDE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Operators over literal rows that reach their branches: for the tests, as their work does not grow with any table.
+FIXTURES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FIXTURE_ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, using: str = "") -> Callable:
     """Registers f(tables) under name; `using` names the derived tables that the SQL reads."""
+    return _register(name, sql, using, QUERIES, ORACLES)
 
+
+def fixture(name: str, sql: str | None = None, using: str = "") -> Callable:
+    """The same for an operator that the tests alone run."""
+    return _register(name, sql, using, FIXTURES, FIXTURE_ORACLES)
+
+
+def _register(name: str, sql: str | None, using: str, runs: dict, oracles: dict) -> Callable:
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        assert name not in QUERIES and name not in FIXTURES, name
+        runs[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[name] = with_tables(sql, using)
+            oracles[name] = with_tables(sql, using)
         return f
 
     return register

@@ -14,7 +14,7 @@ from memlattice.operators import dedup as dd
 from memlattice.operators import search as s
 from memlattice.sources.tables import Tables, days_before
 
-from .registry import query
+from .registry import fixture, query
 
 
 # ---- aggregates -----------------------------------------------------------------------------------------------------
@@ -142,12 +142,12 @@ def agg_pipeline_metrics(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value") + 1e-9, 2).alias("avg_total_ms"), F.round(F.avg(F.col("event_id") % 5 + 1) + 1e-9, 1).alias("avg_stages"))
 
 
-@query("agg_mean_latency", "SELECT session_id, round(avg(latency_ms), 6) AS latency FROM judged GROUP BY 1", "judged")
+@fixture("agg_mean_latency", "SELECT session_id, round(avg(latency_ms), 6) AS latency FROM judged GROUP BY 1", "judged")
 def agg_mean_latency(t: Tables) -> DataFrame:
     return t.judged.groupBy("session_id").agg(F.round(F.avg("latency_ms"), 6).alias("latency"))
 
 
-@query("search_evaluation_run", "SELECT count(*) AS interactions, count(DISTINCT session_id) AS sessions, round(avg(score), 2) AS relevance, round(avg(CASE WHEN score >= 2 THEN 1.0 ELSE 0 END), 2)::DOUBLE AS hit_rate, round(avg(CASE WHEN redundant THEN 1.0 ELSE 0 END), 2)::DOUBLE AS redundancy, round(avg(latency_ms), 1) AS latency FROM judged", "judged")
+@fixture("search_evaluation_run", "SELECT count(*) AS interactions, count(DISTINCT session_id) AS sessions, round(avg(score), 2) AS relevance, round(avg(CASE WHEN score >= 2 THEN 1.0 ELSE 0 END), 2)::DOUBLE AS hit_rate, round(avg(CASE WHEN redundant THEN 1.0 ELSE 0 END), 2)::DOUBLE AS redundancy, round(avg(latency_ms), 1) AS latency FROM judged", "judged")
 def search_evaluation_run(t: Tables) -> DataFrame:
     """One row of an evaluation's metrics; zeros if nothing was asked."""
     share = lambda c: F.round(F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0)), 2)
@@ -355,7 +355,7 @@ def search_facade(t: Tables) -> DataFrame:
 
 
 # ---- set operations -------------------------------------------------------------------------------------------------
-@query("set_version_compare", """
+@fixture("set_version_compare", """
 WITH v AS (SELECT rec_id, arg_min(props, seen) AS a, arg_max(props, seen) AS b FROM records GROUP BY 1)
 SELECT rec_id, array_to_string(list_sort(list_filter(map_keys(b), lambda k: NOT list_contains(map_keys(a), k))), ',') AS added, array_to_string(list_sort(list_filter(map_keys(a), lambda k: NOT list_contains(map_keys(b), k))), ',') AS removed,
   array_to_string(list_sort(list_filter(map_keys(a), lambda k: list_contains(map_keys(b), k) AND a[k] <> b[k])), ',') AS changed FROM v""", "records")

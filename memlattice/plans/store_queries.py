@@ -11,14 +11,14 @@ from memlattice.sources import corpus
 from memlattice.sources.tables import Tables
 from memlattice.streaming import metrics as st
 
-from .registry import query
+from .registry import fixture, query
 
 
 def _pairs(c: str):
     return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
 
 
-@query("write_set_properties", """
+@fixture("write_set_properties", """
 WITH e AS (SELECT rec_id, seen, unnest(map_entries(props)) AS e FROM records), last AS (SELECT rec_id, e.key AS k, arg_max(e.value, seen) AS v FROM e GROUP BY 1, 2)
 SELECT r.rec_id, coalesce(string_agg(k || '=' || v, ',' ORDER BY k || '=' || v), '') AS props FROM (SELECT DISTINCT rec_id FROM records) r LEFT JOIN last USING (rec_id) GROUP BY 1""", "records")
 def write_set_properties(t: Tables) -> DataFrame:
@@ -51,7 +51,7 @@ def write_server_nodes(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy(F.col("memory_type").cast("string").alias("memory_type"), "workspace_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_scope_context", "SELECT claim_id, 't1' AS tenant_id, 'w1' AS workspace_id, 'u1' AS user_id, 'team' AS team_id FROM claims", "claims")
+@fixture("write_scope_context", "SELECT claim_id, 't1' AS tenant_id, 'w1' AS workspace_id, 'u1' AS user_id, 'team' AS team_id FROM claims", "claims")
 def write_scope_context(t: Tables) -> DataFrame:
     return so.stamp(t.claims.select("claim_id"), {"tenant_id": "t1", "workspace_id": "w1", "user_id": "u1", "team_id": "team"})
 
@@ -124,24 +124,24 @@ def sink_corpus_export(t: Tables) -> DataFrame:
     return so.export_corpus(items, edge("p_brand").union(edge("p_type")), names).withColumn("entities", F.array_join("entities", ","))
 
 
-@query("scan_dataset_samples", "SELECT * FROM (VALUES (1::BIGINT, 'Rome', 'country', 'Italy'), (3, 'Ada', 'wrote', 'code'), (3, 'Ada', 'employer', 'Babbage')) v(sample_id, head, relation, tail)")
+@fixture("scan_dataset_samples", "SELECT * FROM (VALUES (1::BIGINT, 'Rome', 'country', 'Italy'), (3, 'Ada', 'wrote', 'code'), (3, 'Ada', 'employer', 'Babbage')) v(sample_id, head, relation, tail)")
 def scan_dataset_samples(t: Tables) -> DataFrame:
     """Samples with a text as corpus records, a row for each relation; blank texts give nothing."""
     kept = t.samples.filter(F.trim("context") != "")
     return kept.select("sample_id", F.explode(corpus.triplets(F.col("triplets"))).alias("x")).select("sample_id", "x.head", "x.relation", "x.tail")
 
 
-@query("scan_knowledge_snapshot", "SELECT * FROM (VALUES ('Q1', 'universe'), ('Q1', 'cosmos'), ('Q1', 'space'), ('Q2', 'earth'), ('Q2', 'world'), ('Q2', 'space'), ('Q10', 'spaceflight'), ('Q10', 'space'), ('Q3', 'moon')) v(qid, surface)")
+@fixture("scan_knowledge_snapshot", "SELECT * FROM (VALUES ('Q1', 'universe'), ('Q1', 'cosmos'), ('Q1', 'space'), ('Q2', 'earth'), ('Q2', 'world'), ('Q2', 'space'), ('Q10', 'spaceflight'), ('Q10', 'space'), ('Q3', 'moon')) v(qid, surface)")
 def scan_knowledge_snapshot(t: Tables) -> DataFrame:
     return so.knowledge(t.knowledge)[1]
 
 
-@query("seq_alias_dictionary", "SELECT * FROM (VALUES ('universe', 'Q1'), ('cosmos', 'Q1'), ('space', 'Q1'), ('earth', 'Q2'), ('world', 'Q2'), ('spaceflight', 'Q10'), ('moon', 'Q3')) v(surface, qid)")
+@fixture("seq_alias_dictionary", "SELECT * FROM (VALUES ('universe', 'Q1'), ('cosmos', 'Q1'), ('space', 'Q1'), ('earth', 'Q2'), ('world', 'Q2'), ('spaceflight', 'Q10'), ('moon', 'Q3')) v(surface, qid)")
 def seq_alias_dictionary(t: Tables) -> DataFrame:
     return so.best_alias(*so.knowledge(t.knowledge))
 
 
-@query("join_alias_candidates", "SELECT * FROM (VALUES ('space', 'location', 'Q2'), ('moon', 'location', 'Q3'), ('space', 'event', 'Q10'), ('cosmos', 'event', 'Q1')) v(surface, entity_type, qid)")
+@fixture("join_alias_candidates", "SELECT * FROM (VALUES ('space', 'location', 'Q2'), ('moon', 'location', 'Q3'), ('space', 'event', 'Q10'), ('cosmos', 'event', 'Q1')) v(surface, entity_type, qid)")
 def join_alias_candidates(t: Tables) -> DataFrame:
     """Of an alias's entities the one of the asked type with most confidence; a single confident one whatever its type."""
     entities, aliases = so.knowledge(t.knowledge)
@@ -152,19 +152,19 @@ def join_alias_candidates(t: Tables) -> DataFrame:
     return of.select("surface", F.col("wanted").alias("entity_type"), chosen.alias("qid")).filter("qid is not null")
 
 
-@query("scan_python_index", """SELECT * FROM (VALUES ('DEFINES', 'code::demo::a.py::Base'), ('DEFINES', 'code::demo::a.py::Child'), ('DEFINES', 'code::demo::a.py::run'), ('DEFINES', 'code::demo::b.py::helper'), ('DEFINES', 'code::demo::tests/test_b.py::test_helper'),
+@fixture("scan_python_index", """SELECT * FROM (VALUES ('DEFINES', 'code::demo::a.py::Base'), ('DEFINES', 'code::demo::a.py::Child'), ('DEFINES', 'code::demo::a.py::run'), ('DEFINES', 'code::demo::b.py::helper'), ('DEFINES', 'code::demo::tests/test_b.py::test_helper'),
  ('INHERITS', 'Base'), ('IMPORTS', 'os'), ('IMPORTS', 'b.helper'), ('CALLS', 'h'), ('CALLS', 'os.getcwd'), ('CALLS', 'len'), ('CALLS', 'helper')) v(kind, dst)""")
 def scan_python_index(t: Tables) -> DataFrame:
     return corpus.index_python(t.sources_py, "demo").select("kind", "dst").distinct()
 
 
-@query("join_import_resolution", """SELECT * FROM (VALUES ('code::demo::a.py::Child', 'h', 'b.helper'), ('code::demo::a.py::Child', 'os.getcwd', 'os.getcwd'), ('code::demo::a.py::run', 'h', 'b.helper'), ('code::demo::a.py::run', 'os.getcwd', 'os.getcwd'),
+@fixture("join_import_resolution", """SELECT * FROM (VALUES ('code::demo::a.py::Child', 'h', 'b.helper'), ('code::demo::a.py::Child', 'os.getcwd', 'os.getcwd'), ('code::demo::a.py::run', 'h', 'b.helper'), ('code::demo::a.py::run', 'os.getcwd', 'os.getcwd'),
  ('code::demo::b.py::helper', 'len', 'len'), ('code::demo::tests/test_b.py::test_helper', 'helper', 'b.helper')) v(src, dst, target)""")
 def join_import_resolution(t: Tables) -> DataFrame:
     return so.resolve_calls(corpus.index_python(t.sources_py, "demo"))
 
 
-@query("scan_script_index", "SELECT * FROM (VALUES ('IMPORTS', 'a.ts', './b'), ('CLASS', 'a.ts', 'A'), ('INHERITS', 'a.ts', 'Base'), ('FUNCTION', 'a.ts', 'go'), ('FUNCTION', 'b.js', 'double')) v(kind, path, name)")
+@fixture("scan_script_index", "SELECT * FROM (VALUES ('IMPORTS', 'a.ts', './b'), ('CLASS', 'a.ts', 'A'), ('INHERITS', 'a.ts', 'Base'), ('FUNCTION', 'a.ts', 'go'), ('FUNCTION', 'b.js', 'double')) v(kind, path, name)")
 def scan_script_index(t: Tables) -> DataFrame:
     return so.index_scripts(t.sources_ts)
 

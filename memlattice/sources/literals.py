@@ -101,7 +101,7 @@ LITERALS: dict[str, Literal] = {
         ),
     ),
     # texts for extractors
-    "notes": Literal(
+    "told_notes": Literal(
         "note_id long, content string",
         (
             (1, "I prefer tabs over spaces in every file. I decided to go with rust for the parser! Therefore the parser will be fast."), (2, "We should always write tests first. This is a very short rule"), (3, "Plain text without any of it."), (4, None), (5, ""),
@@ -146,7 +146,7 @@ LITERALS: dict[str, Literal] = {
     "current_tools": Literal("tool string, property string, type string, required boolean", (("search", "query", "string", True), ("search", "limit", "string", False), ("send", "to", "string", True), ("send", "cc", "string", False), ("noop", "x", "string", False))),
     "plans_made": Literal("plan_id long, steps array<string>, feedback array<string>", ((1, ["a", "b", "c"], ["good", "very BAD"]), (2, ["a", "b", "a"], []), (3, [], ["good"]), (4, [f"s{k}" for k in range(14)], ["good one", "ok"]), (5, ["x"], ["bad"]))),
     "folded": Literal("doc string, id long", (('{"a": 1, "b": {"c": "x", "d": {"e": true}}}', 1), ('{"b": {}, "z": null}', 2), ('{"k": [1, 2], "m": {"n": 0.5}}', 3))),
-    "linked_pages": Literal("page_id long, html string", (
+    "told_pages": Literal("page_id long, html string", (
         (1, '<html><head><title>Plain &amp; simple</title><meta name="description" content="About it"><link rel="canonical" href="https://a.example/c"></head></html>'),
         (2, '<html><head><meta property="og:title" content="OG title"><meta property="og:description" content="OG text"><meta name="twitter:title" content="T"><meta name="author" content="Ada"><script type="application/ld+json">{"@type": "Person", "name": "Ada", "author": {"@type": "Organization", "name": "Acme"}, "publisher": {"name": "Pub"}}</script></head></html>'),
         (3, '<html><head><meta name="twitter:title" content="Tweeted"><meta property="article:published_time" content="2024-01-01"><script type="application/ld+json">{"@type": "Thing", "author": "Bob"}</script></head></html>'),

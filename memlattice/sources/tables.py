@@ -125,6 +125,19 @@ class Tables:
         )
         return self.told_pairs.unionByName(made)
 
+    @cached_property
+    def notes(self) -> DataFrame:
+        """Texts for extractors: told ones, whose words the others never hold, then documents and turns of conversations."""
+        docs = self.documents.select((F.col("doc_id") + 1000).alias("note_id"), F.col("text").alias("content"))
+        turns = self.conversations.select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000).alias("note_id"), F.col("text").alias("content"))
+        return self.told_notes.union(docs).union(turns)
+
+    @cached_property
+    def linked_pages(self) -> DataFrame:
+        """Told pages, with metadata and linked data, and the given ones."""
+        told = self.told_pages.select("page_id", F.concat(F.lit("https://a.example/"), F.col("page_id").cast("string")).alias("url"), "html")
+        return told.union(self.pages.select((F.col("page_id") + 1000).alias("page_id"), "url", "html"))
+
     @cached_property
     def retrievals(self) -> DataFrame:
         return self.events.select("user_id", F.date_trunc("day", "ts").alias("day"), "event_type", "value", "ts", "event_id")
@@ -158,6 +171,8 @@ SELECT o_orderkey AS decision_id, o_custkey AS owner, o_orderpriority AS domain,
     "pairs": ("told_pairs", """
 SELECT * FROM told_pairs UNION ALL SELECT p.p_partkey + 1000, p.p_name, q.p_name, TIMESTAMP '2024-01-01' + p.p_size * INTERVAL 1 HOUR, TIMESTAMP '2024-01-01' + q.p_size * INTERVAL 1 HOUR, p.p_type, q.p_type,
   string_split(p.p_name, ' '), string_split(q.p_name, ' '), p.p_brand, q.p_brand, p.p_retailprice / 3000, q.p_retailprice / 3000, [p.p_brand], [q.p_brand] FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1"""),
+    "notes": ("told_notes", "SELECT * FROM told_notes UNION ALL SELECT doc_id + 1000, text FROM documents UNION ALL SELECT conv_id * 1000 + turn + 1000000000, text FROM conversations"),
+    "linked_pages": ("told_pages", "SELECT page_id, 'https://a.example/' || page_id AS url, html FROM told_pages UNION ALL SELECT page_id + 1000, url, html FROM pages"),
     "retrievals": ("", "SELECT user_id, date_trunc('day', ts) AS day, event_type, value, ts, event_id FROM events"),
 }
 

@@ -9,8 +9,9 @@ import pytest
 from memlattice.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-#: Every registered query; those without SQL must give rows.
-ALL = sorted(catalogue.QUERIES)
+RUNS, ORACLES = catalogue.QUERIES | catalogue.FIXTURES, catalogue.ORACLES | catalogue.FIXTURE_ORACLES
+#: Every registered query and fixture; those without SQL must give rows.
+ALL = sorted(RUNS)
 
 
 def tidy(columns, rows):
@@ -29,14 +30,14 @@ def con():
 
 @pytest.mark.parametrize("name", ALL)
 def test_query_matches_sql(spark, con, name):
-    out = catalogue.QUERIES[name](spark, SF)
-    if name not in catalogue.ORACLES:
+    out = RUNS[name](spark, SF)
+    if name not in ORACLES:
         assert out.count() > 0
         return
-    want = con.sql(catalogue.ORACLES[name])
+    want = con.sql(ORACLES[name])
     assert sorted(out.columns) == sorted(want.columns)
     assert tidy(out.columns, [tuple(r) for r in out.collect()]) == tidy(want.columns, want.fetchall())
 
 
 def test_every_oracle_has_a_query():
-    assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+    assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and set(catalogue.FIXTURE_ORACLES) <= set(catalogue.FIXTURES)
