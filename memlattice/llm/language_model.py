@@ -26,7 +26,7 @@ BLOCK = 1 << 21
 #: Bytes of text whose n-grams make one shard of the counts.
 SHARD = 1 << 22
 #: Tokens of the texts that share an automaton, and of one walk.
-_STRETCH, _WALK = 1 << 18, 1 << 10
+_STRETCH, _WALK = 1 << 16, 1 << 8
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 FOLDS, HELD_OUT = 5, 1
 _STEP = np.uint64(0x2545F4914F6CDD1D)
