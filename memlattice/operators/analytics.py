@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,3 +86,34 @@ def topic_divergence(rows: DataFrame, topics: int, seed: int = 7) -> DataFrame:
     middle = (F.col("pa") + F.col("pb")) / 2
     part = 0.5 * (F.col("pa") * F.log(F.col("pa") / middle) + F.col("pb") * F.log(F.col("pb") / middle))
     return pairs.groupBy("a", "b").agg(F.round(F.sum(part), 6).alias("divergence"))
+
+
+#: Items that a quantile sketch keeps about: exact up to that many values, then within about 0.1 % of the rank.
+SKETCH = 4096
+
+
+def stage_sketches(events: DataFrame, at: str, stage: str, value: str, error: Column, width: str = "5 minutes") -> DataFrame:
+    """(bucket, stage, n, total, most, errors, sketch): of each stretch of time and stage, with a quantile sketch of its values.
+
+    What later reports need of the rows, to be stored in their place.  Null values count as rows without one; null
+    times are in no bucket; a bucket without any value has no sketch.
+    """
+    bucket = F.window(at, width)["start"].alias("bucket")
+    known = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH))
+    return events.groupBy(bucket, F.col(stage).alias("stage")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"), F.count_if(error).alias("errors"), F.count(value).alias("n_values"), known.alias("sketch")
+    )
+
+
+def roll_up(sketches: DataFrame, width: str, quantiles: dict[str, float]) -> DataFrame:
+    """(bucket, stage, n, mean, most, error_rate, quantiles...) of wider stretches, from stored sketches alone, which merge.
+
+    A quantile is the least value whose share of values up to it is large enough.  Merging is a partial aggregate, so a
+    stage with most of the rows sends one sketch from each task.
+    """
+    bucket = F.window("bucket", width)["start"].alias("bucket")
+    merged = sketches.groupBy(bucket, "stage").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("errors").alias("errors"), F.sum("n_values").alias("n_values"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch")
+    )
+    some = lambda q: F.when(F.col("n_values") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))))
+    return merged.select("bucket", "stage", "n", (F.col("total") / F.col("n_values")).alias("mean"), "most", (F.col("errors") / F.col("n")).alias("error_rate"), *[some(q).alias(c) for c, q in quantiles.items()])

@@ -209,3 +209,27 @@ def test_tag_hubs_link_all_items_of_a_tag(spark, tmp_path):
     for r in catalogue.QUERIES["graph_tag_hubs"](spark, str(tmp_path)).collect():
         held.setdefault(r.tag, set()).add(r.item_id)
     assert held["hot"] == set(range(60)) and held["w3"] == {3, 43} and "own60" not in held and "w30" not in held
+
+
+def test_stage_sketches_roll_up_within_their_error(spark):
+    import datetime as dt
+    import random
+
+    from memlattice.operators.analytics import roll_up, stage_sketches
+
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(seconds=rng.randint(0, 86_399)), rng.choice("ab"), rng.expovariate(1.0)) for _ in range(30_000)]
+    rows += [(start, "c", None), (None, "a", 1.0), (start, "one", 5.0)]
+    events = spark.createDataFrame(rows, "at timestamp_ntz, stage string, ms double")
+    parts = stage_sketches(events, "at", "stage", "ms", F.col("ms") > 3)
+    assert parts.filter("stage = 'a'").count() > 200
+    found = {r.stage: r for r in roll_up(parts, "1 day", {"p50": 0.5, "p99": 0.99}).collect()}
+    for stage in "ab":
+        values = sorted(v for at, s, v in rows if s == stage and at)
+        r = found[stage]
+        assert r.n == len(values) and r.most == values[-1] and r.error_rate == sum(v > 3 for v in values) / len(values)
+        for q, got in ((0.5, r.p50), (0.99, r.p99)):
+            assert abs(sum(v <= got for v in values) / len(values) - q) < 0.005
+    assert found["c"].n == 1 and found["c"].p50 is None and found["one"].p99 == 5.0
+    assert roll_up(parts.limit(0), "1 day", {"p50": 0.5}).count() == 0
