@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import text as tx
 from memlattice.operators import search as s
+from memlattice.operators import store as so
+from memlattice.operators.textindex import TextIndex
 from memlattice.sources.tables import Tables
 
 from .registry import query
@@ -192,17 +194,39 @@ def search_hybrid_rrf(t: Tables) -> DataFrame:
     return s.rrf(v.select("item_id", "rank").union(x.select("item_id", "rank")), 10)
 
 
-@query("search_bm25", r"""
+_BM25 = r"""
 WITH d AS (SELECT item_id, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS w FROM items),
 s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), q AS (SELECT unnest(['and', 'thin', 'was']) AS q),
 df AS (SELECT q, count(*) AS df FROM d, q WHERE list_contains(w, q) GROUP BY 1),
 p AS (SELECT item_id, q.q, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean)) AS p FROM (SELECT item_id, w, q, len(list_filter(w, lambda x: x = q))::DOUBLE AS tf FROM d, q) q JOIN df ON df.q = q.q, s WHERE tf > 0),
 r AS (SELECT item_id, sum(p) AS raw FROM p GROUP BY 1)
-SELECT item_id, round(raw / (SELECT max(raw) FROM r), 6) AS score FROM r""", "items")
+SELECT item_id, round(raw / (SELECT max(raw) FROM r), 6) AS score FROM r"""
+
+
+@query("search_bm25", _BM25, "items")
 def search_bm25(t: Tables) -> DataFrame:
     return s.bm25(t.items, "was thin and")
 
 
+def _indexed(t: Tables) -> TextIndex:
+    """The documents in a stored index of two segments."""
+    index = TextIndex(t.spark, so.folder(t.spark, "text-index"), buckets=16)
+    for part in (0, 1):
+        index.add(t.items.filter(F.col("item_id") % 2 == part))
+    return index
+
+
+@query("search_bm25_indexed", _BM25, "items")
+def search_bm25_indexed(t: Tables) -> DataFrame:
+    """BM25 from the postings of a stored index alone."""
+    return _indexed(t).bm25("was thin and")
+
+
+@query("search_all_words_indexed", r"SELECT item_id FROM (SELECT item_id, regexp_split_to_array(lower(content), '\s+') AS w FROM items) WHERE list_contains(w, 'and') AND list_contains(w, 'the')", "items")
+def search_all_words_indexed(t: Tables) -> DataFrame:
+    return _indexed(t).holding_all("the And")
+
+
 @query("search_fallback_chain", f"""
 WITH a AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rank, 0 AS priority FROM (SELECT item_id FROM items WHERE len(list_intersect({TOKENS.format(repr('the of and'))}, {CONTENT})) = 3 ORDER BY item_id LIMIT 5)),
 b AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank, 1 AS priority FROM ({TEXT_LIST})),

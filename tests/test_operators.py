@@ -233,3 +233,26 @@ def test_stage_sketches_roll_up_within_their_error(spark):
             assert abs(sum(v <= got for v in values) / len(values) - q) < 0.005
     assert found["c"].n == 1 and found["c"].p50 is None and found["one"].p99 == 5.0
     assert roll_up(parts.limit(0), "1 day", {"p50": 0.5}).count() == 0
+
+
+def test_stored_index_searches_like_the_texts(spark, tmp_path):
+    import random
+
+    from memlattice.operators.textindex import TextIndex
+
+    rng = random.Random(6)
+    words = ["the", "The", "cat", "sat", "on", "mats", "école", *[f"w{k}" for k in range(60)]]
+    rows = [(k, " ".join(rng.choices(words, weights=[30, 9, 5, 4, 9, 2, 2, *[1] * 60], k=rng.randint(1, 40)))) for k in range(200)] + [(900, ""), (901, "cat " * 5000)]
+    items = spark.createDataFrame(rows, "item_id long, content string")
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(items.filter("item_id < 80"))
+    index.add(items.filter("item_id >= 80"))
+    index.add(items.limit(0))
+    for text in ("cat the", "École w3 w59", "w1", "unknown", ""):
+        want = {r.item_id: r.score for r in search.bm25(items, text).collect()}
+        got = {r.item_id: r.score for r in index.bm25(text).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    assert {r.item_id for r in index.holding_all("cat The").collect()} == {k for k, t in rows if {"cat", "the"} <= set(t.lower().split())}
+    plan = index.postings(["cat"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [" in plan and "EqualTo(term,cat)" in plan or "In(term, [cat])" in plan
