@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,6 +163,12 @@ class Rounds:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def drop(self, first: int, last: int) -> None:
+        """Delete tables, by the number of their save, that no later read needs."""
+        for n in range(first, last + 1):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 #: Labels that may travel to every task.
 LABELS = 1_000_000
@@ -175,6 +184,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ways = rounds.save(both_ways(edges).select("src", "dst").distinct())
     labels = rounds.save(nodes.select("item_id", F.col("item_id").alias("component")).distinct())
     while True:
+        held = rounds.n
         near = ways.join(labels.withColumnRenamed("item_id", "src"), "src").groupBy(F.col("dst").alias("item_id")).agg(F.min("component").alias("near"))
         hooked = rounds.save(labels.join(near, "item_id", "left").select("item_id", "component", F.least("component", F.coalesce("near", "component")).alias("next")))
         # the label's own label, so that chains shorten by half
@@ -183,7 +193,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = rounds.save(jumped.select("item_id", "component", F.least("next", F.coalesce("jump", "next")).alias("next")))
         changed = step.filter("component <> next").limit(1).count()
         labels = step.select("item_id", F.col("next").alias("component"))
+        rounds.drop(held, rounds.n - 1)
         if not changed:
+            rounds.drop(1, 1)
             return labels
 
 
@@ -263,7 +275,7 @@ def transitive_closure(edges: DataFrame, kind: str) -> DataFrame:
         join = lambda a, b: a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
         step = join(new, all_pairs).union(join(all_pairs, new)).distinct()
         new = rounds.save(step.join(all_pairs, ["src", "dst"], "left_anti"))
-        all_pairs = rounds.save(all_pairs.union(new))
+        all_pairs = all_pairs.union(new)
     return all_pairs.filter("src <> dst").join(e, ["src", "dst"], "left_anti")
 
 
@@ -286,77 +298,97 @@ def paths_from(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
     return out.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), (F.size("nodes") - 1).alias("depth"))
 
 
-#: Edges of an adjacency that may travel to every task.
+#: Edges of an adjacency that may travel to every task: 8 MB of numbers beside the names of their ends.
 ADJACENCY = 1_000_000
+#: Rows of a source and a node, at most, that a batch of sources holds where the adjacency is joined.
+REACHED = 1_000_000_000
 
 
-def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(item_id, part): Brandes' sums by a join a level for all sources at once; a row for each source and node it reaches."""
-    rounds = Rounds(pairs.sparkSession)
-    ways = rounds.save(pairs)
-    levels = [rounds.save(nodes.select(F.col("item_id").alias("s"), F.col("item_id").alias("v"), F.lit(1.0).alias("paths")).distinct())]
-    seen = levels[0].select("s", "v")
-    while True:
-        step = levels[-1].join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        new = rounds.save(step.join(seen, ["s", "v"], "left_anti"))
-        if new.isEmpty():
-            break
-        levels.append(new)
-        seen = seen.union(new.select("s", "v"))
-    lean = levels[-1].withColumn("lean", F.lit(0.0))
-    total = lean.select("v", "lean").limit(0)
-    for k in range(len(levels) - 1, 0, -1):
-        total = total.union(lean.select("v", "lean"))
-        share = lean.join(ways, F.col("v") == F.col("dst")).groupBy("s", F.col("src").alias("v")).agg(F.sum((1 + F.col("lean")) / F.col("paths")).alias("share"))
-        lean = rounds.save(levels[k - 1].join(share, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("share", F.lit(0.0)) * F.col("paths")).alias("lean")))
-    return total.groupBy(F.col("v").alias("item_id")).agg(F.sum("lean").alias("part"))
+def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """(item_id, part): Brandes' sums by a join a level, for a batch of sources at a time.
+
+    A row for each source of the batch and node it reaches; a batch's levels are deleted once its sums are written.
+    """
+    kept = Rounds(pairs.sparkSession)
+    ways, out = kept.save(pairs), None
+    batches = max(1, -(-count * count // REACHED))
+    for b in range(batches):
+        rounds = Rounds(pairs.sparkSession)
+        sources = nodes.filter(F.pmod(F.xxhash64("item_id"), F.lit(batches)) == b)
+        levels = [rounds.save(sources.select(F.col("item_id").alias("s"), F.col("item_id").alias("v"), F.lit(1.0).alias("paths")).distinct())]
+        seen = levels[0].select("s", "v")
+        while True:
+            step = levels[-1].join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            new = rounds.save(step.join(seen, ["s", "v"], "left_anti"))
+            if new.isEmpty():
+                break
+            levels.append(new)
+            seen = seen.union(new.select("s", "v"))
+        lean = levels[-1].withColumn("lean", F.lit(0.0))
+        total = lean.select("v", "lean").limit(0)
+        for k in range(len(levels) - 1, 0, -1):
+            total = total.union(lean.select("v", "lean"))
+            share = lean.join(ways, F.col("v") == F.col("dst")).groupBy("s", F.col("src").alias("v")).agg(F.sum((1 + F.col("lean")) / F.col("paths")).alias("share"))
+            lean = rounds.save(levels[k - 1].join(share, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("share", F.lit(0.0)) * F.col("paths")).alias("lean")))
+        sums = kept.save(total.groupBy(F.col("v").alias("item_id")).agg(F.sum("lean").alias("part")))
+        out = sums if out is None else out.union(sums)
+        rounds.drop(1, rounds.n)
+    return out.groupBy("item_id").agg(F.sum("part").alias("part"))
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(item_id, betweenness) of a directed graph, normalised: Brandes' method over partitions of the source nodes.
 
-    An adjacency of at most ADJACENCY edges travels to every task; a larger one is joined, level by level.
+    An adjacency of at most ADJACENCY edges travels to every task, as arrays; a larger one is joined, level by level, for
+    batches of sources.  Repeated edges and nodes count once; edges of a null end lie on no path.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = edges.select("src", "dst").dropna().distinct()
     small = pairs.limit(ADJACENCY + 1).count() <= ADJACENCY
     spark = edges.sparkSession
     n = nodes.count()
     scale = 1.0 / max(1, (n - 1) * (n - 2))
-    parts = _betweenness_in_tasks(spark, pairs, nodes) if small else _betweenness_by_joins(pairs, nodes)
+    parts = _betweenness_in_tasks(spark, pairs, nodes) if small else _betweenness_by_joins(pairs, nodes, n)
     return nodes.select("item_id").join(parts, "item_id", "left").select("item_id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def _betweenness_in_tasks(spark: SparkSession, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    out: dict = {}
-    for r in pairs.collect():
-        out.setdefault(r["src"], []).append(r["dst"])
-    shared = spark.sparkContext.broadcast(out)
+    ends = pairs.toPandas()
+    codes, names = pd.factorize(pd.concat([ends["src"], ends["dst"]], ignore_index=True))
+    src, dst = codes[: len(ends)], codes[len(ends) :].astype(np.int32)
+    starts = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=len(names))))).astype(np.int64)
+    shared = spark.sparkContext.broadcast((pd.Index(names), starts, dst[np.argsort(src, kind="stable")]))
     kind = pairs.schema["src"].dataType.simpleString()
 
-    def run(frames):
-        import pandas as pd
-
-        total: dict = {}
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, starts, heads = shared.value
+        depth, paths = np.full(len(names), -1), np.zeros(len(names))
+        lean, total = np.zeros(len(names)), np.zeros(len(names))
         for frame in frames:
-            for s in frame["item_id"]:
-                order, before, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in shared.value.get(v, ()):
-                        if w not in depth:
-                            depth[w], paths[w], before[w] = depth[v] + 1, 0.0, []
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                lean = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        lean[v] += paths[v] / paths[w] * (1 + lean[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + lean[w]
-        yield pd.DataFrame({"item_id": list(total), "part": list(total.values())})
+            for s in names.get_indexer(frame["item_id"]):
+                if s < 0:
+                    continue
+                depth[s], paths[s] = 0, 1.0
+                levels, arcs = [np.array([s])], []
+                while True:
+                    at = levels[-1]
+                    n = starts[at + 1] - starts[at]
+                    to = heads[np.arange(n.sum()) + np.repeat(starts[at] - np.cumsum(n) + n, n)]
+                    new = np.unique(to[depth[to] < 0])
+                    if not len(new):
+                        break
+                    depth[new] = len(levels)
+                    on = depth[to] == len(levels)
+                    before, to = np.repeat(at, n)[on], to[on]
+                    np.add.at(paths, to, paths[before])
+                    arcs.append((before, to))
+                    levels.append(new)
+                for before, to in reversed(arcs):
+                    np.add.at(lean, before, paths[before] / paths[to] * (1 + lean[to]))
+                touched = np.concatenate(levels)
+                total[touched[1:]] += lean[touched[1:]]
+                depth[touched], paths[touched], lean[touched] = -1, 0.0, 0.0
+        on = np.nonzero(total)[0]
+        yield pd.DataFrame({"item_id": names[on], "part": total[on]})
 
     return nodes.select("item_id").distinct().mapInPandas(run, f"item_id {kind}, part double").groupBy("item_id").agg(F.sum("part").alias("part"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -24,6 +25,32 @@ def normalise(relations: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.withColumn("match", F.when(F.col("canonical").isNotNull(), 1.0).otherwise(0.0)).withColumn("canonical", F.coalesce("canonical", F.lit(DEFAULT_RELATION))).drop("key")
 
 
+def normalise_by_vectors(relations: DataFrame, aliases: DataFrame, types: DataFrame, embed: Callable[[Column], Column], least: float = 0.75) -> DataFrame:
+    """normalise, and for labels that no alias covers the nearest of types (canonical, embedding): canonical with its cosine.
+
+    embed makes a vector of a label's key with spaces for underscores; only distinct labels are embedded.  types is the
+    ontology's list of relations, a short one, which travels to every task.  A cosine below `least`, a vector of another
+    length, or a null, empty or zero one, leave DEFAULT_RELATION and 0.0; of equally near types the smaller name counts.
+    """
+    if {"near", "label"} & set(relations.columns):
+        raise ValueError("near and label are columns of the operator's own")
+    known = normalise(relations, aliases)
+    labels = known.filter(F.col("match") == 0.0).select(predicate_key(F.col("predicate")).alias("label")).filter("label <> ''").distinct()
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    listed = types.agg(F.collect_list(F.struct("canonical", "embedding")).alias("types"))
+    vectors = labels.withColumn("v", embed(F.translate("label", "_", " "))).join(F.broadcast(listed), F.lit(True))
+    v = F.col("v")
+
+    def scored(t: Column) -> Column:
+        cosine = F.try_divide(dot(v, t["embedding"]), F.sqrt(dot(v, v) * dot(t["embedding"], t["embedding"])))
+        return F.struct(F.coalesce(-F.when(F.size(v) == F.size(t["embedding"]), cosine), F.lit(0.0)).alias("far"), t["canonical"].alias("canonical"))
+
+    best = vectors.select("label", F.array_min(F.transform("types", scored)).alias("near")).filter(F.col("near.far") <= -least)
+    joined = known.withColumn("_label", F.when(F.col("match") == 0.0, predicate_key(F.col("predicate")))).join(best, F.col("_label") == F.col("label"), "left")
+    out = joined.withColumns({"canonical": F.coalesce("near.canonical", "canonical"), "match": F.coalesce(-F.col("near.far"), "match")})
+    return out.drop("_label", "label", "near")
+
+
 def validate_pairs(relations: DataFrame, priors: DataFrame) -> DataFrame:
     """relations (source_type, canonical, target_type, ...) with pair_score from priors (source_type, canonical, target_type).
 
@@ -59,6 +86,15 @@ def plausibility(parts: dict[str, tuple[Column, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(total > 0, value / total).otherwise(0.0)))
 
 
+def candidates(seen: DataFrame) -> DataFrame:
+    """(name, kind, n, confidence, consistency) of sightings (name, kind, confidence): the most frequent kind (of equals the
+    greatest by name) and its share, the mean confidence.  Pre-aggregated by name and kind, so no task holds a name's rows;
+    a null kind is a kind of its own, null confidences don't count, a null name has no row."""
+    kinds = seen.filter("name is not null").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("k"), F.sum("confidence").alias("s"), F.count("confidence").alias("c"))
+    top = F.max_by("kind", F.struct("k", "kind")).alias("kind")
+    return kinds.groupBy("name").agg(top, F.sum("k").alias("n"), F.try_divide(F.sum("s"), F.sum("c")).alias("confidence"), (F.max("k") / F.sum("k")).alias("consistency"))
+
+
 def promotion_gate(name: Column, confidence: Column, frequency: Column, consistency: Column, blocked: list[str]) -> Column:
     """The first gate that a candidate type fails, or promoted."""
     return (

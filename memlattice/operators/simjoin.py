@@ -68,6 +68,36 @@ def jaccard_pairs(rows: DataFrame, key: str, tokens: str, threshold: float, bloc
     return judged.select(*[F.col(f"a_{c}").alias(c) for c in block], "a", "b", "score")
 
 
+def overlap_pairs(rows: DataFrame, key: str, tokens: str, above: float, block: list[str] | None = None) -> DataFrame:
+    """(block..., a, b, overlap): pairs a < b of one block that share more than `above` of the smaller set of distinct tokens.
+
+    A pair has more than above * n of the smaller set's n tokens in common, so one of its n - floor(above * n) rarest is
+    among them: those alone look for sets of the same size or larger, which stand under all their tokens.  A pair is
+    judged where it first meets.  Equal sets are pairs.  Empty and null sets overlap nothing; a null block is a block.
+    """
+    if not 0 <= above < 1:
+        raise ValueError("above is from 0 to less than 1")
+    block = block or []
+    if {"a", "b", "overlap"} & set(block):
+        raise ValueError("a, b and overlap are names of the result")
+    each = rows.select(*block, key, F.explode(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()))).alias("token"))
+    common = each.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("f")).withColumnsRenamed({c: f"f_{c}" for c in [*block, "token"]})
+    same = F.col("token") == F.col("f_token")
+    for c in block:
+        same = same & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    ordered = each.join(common, same).groupBy(*block, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"]).alias("s"))
+    n = F.size("s")
+    rare = (n - F.floor(F.lit(above) * n + 1e-9)).cast("int")
+    side = lambda x, s: ordered.select(*[F.col(c).alias(f"{x}_{c}") for c in block], F.col(key).alias(x), F.col("s").alias(f"s{x}"), n.alias(f"n{x}"), F.explode(s).alias(f"t{x}"))
+    met = (F.col("tp") == F.col("tq")) & ((F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q"))))
+    for c in block:
+        met = met & F.col(f"p_{c}").eqNullSafe(F.col(f"q_{c}"))
+    found = side("p", F.slice("s", 1, rare)).join(side("q", F.col("s")), met).withColumn("both", F.array_intersect("sp", "sq"))
+    overlap = F.size("both") / F.col("np")
+    judged = found.filter((F.element_at("both", 1) == F.col("tp")) & (overlap > above))
+    return judged.select(*[F.col(f"p_{c}").alias(c) for c in block], F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), overlap.alias("overlap"))
+
+
 #: Vectors of a block, and blocks of a group: a task holds two groups.
 VECTORS, GROUP = 2048, 4
 

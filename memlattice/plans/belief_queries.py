@@ -10,6 +10,8 @@ from memlattice.functions import scores as sc
 from memlattice.operators import analytics as an
 from memlattice.operators import dedup as dd
 from memlattice.operators import graph as g
+from memlattice.operators import relations as rl
+from memlattice.operators import simjoin as sj
 from memlattice.sources.tables import Tables, days_before
 
 from .registry import query
@@ -101,6 +103,25 @@ def belief_decision_conflicts(t: Tables) -> DataFrame:
     return a.join(a.withColumnRenamed("a", "b"), ["owner", "domain"]).filter("a < b").select("a", "b")
 
 
+_OVERLAPS = """
+WITH w AS (SELECT decision_id, owner, domain, list_distinct(list(word)) AS s FROM (SELECT decision_id, owner, domain, unnest(string_split(lower(domain || ' ' || p_name), ' ')) AS word
+  FROM decisions JOIN lineitem ON l_orderkey = decision_id JOIN part ON p_partkey = l_partkey WHERE status = 'active') GROUP BY 1, 2, 3)
+SELECT a.owner, a.decision_id AS a, b.decision_id AS b, a.domain = b.domain AS same_domain, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) AS overlap
+FROM w a JOIN w b ON a.owner = b.owner AND a.decision_id < b.decision_id WHERE 2 * len(list_intersect(a.s, b.s)) > least(len(a.s), len(b.s))"""
+
+
+@query("belief_decision_overlaps", _OVERLAPS, "decisions")
+def belief_decision_overlaps(t: Tables) -> DataFrame:
+    """Active decisions of one owner whose words (domain and names of the parts) overlap by more than half of the fewer ones."""
+    named = t.lineitem.select("l_orderkey", "l_partkey").join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    live = t.decisions.filter("status = 'active'").select("decision_id", "owner", "domain")
+    told = live.join(named, F.col("decision_id") == F.col("l_orderkey")).select("decision_id", "owner", "domain", F.explode(sj.words(F.concat_ws(" ", "domain", "p_name"))).alias("word"))
+    sets = told.groupBy("decision_id", "owner").agg(F.collect_set("word").alias("words"))
+    domain = lambda k: live.select(F.col("decision_id").alias(k), F.col("domain").alias(f"{k}_domain"))
+    pairs = sj.overlap_pairs(sets, "decision_id", "words", 0.5, ["owner"]).join(domain("a"), "a").join(domain("b"), "b")
+    return pairs.select("owner", "a", "b", (F.col("a_domain") == F.col("b_domain")).alias("same_domain"), F.round("overlap", 6).alias("overlap"))
+
+
 @query("belief_observation_synthesis", """
 SELECT c_custkey AS entity, CASE WHEN count(*) >= 2 THEN 'Summary of ' || c_custkey || ': ' || array_to_string(list_slice(list(o_orderpriority ORDER BY o_orderdate, o_orderkey), 1, 5), '; ') END AS observation, count(*) AS facts
 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) >= 2""")
@@ -245,6 +266,18 @@ def agg_promotion_gates(t: Tables) -> DataFrame:
     return n.select("p_brand", outcome.alias("outcome"))
 
 
+@query("agg_promotion_consistency", """
+WITH k AS (SELECT p_brand, CASE WHEN p_size < 40 THEN 'small' ELSE 'large' END AS kind, count(*) AS n, sum(p_retailprice) AS total FROM part GROUP BY 1, 2),
+c AS (SELECT p_brand, sum(n)::BIGINT AS n, sum(total) / sum(n) / 1000 AS confidence, max(n) / sum(n) AS consistency, arg_max(kind, (n, kind)) AS kind FROM k GROUP BY 1)
+SELECT p_brand, kind, n, round(consistency, 6) AS consistency, CASE WHEN p_brand = 'Brand#1' THEN 'blocklist' WHEN confidence < 0.7 THEN 'confidence' WHEN n < 2 THEN 'frequency' WHEN consistency < 0.8 THEN 'consistency' ELSE 'promoted' END AS outcome FROM c""")
+def agg_promotion_consistency(t: Tables) -> DataFrame:
+    """Brands as candidates: the share of their most frequent kind is the last gate."""
+    seen = t.part.select(F.col("p_brand").alias("name"), F.when(F.col("p_size") < 40, "small").otherwise("large").alias("kind"), (F.col("p_retailprice") / 1000).alias("confidence"))
+    c = rl.candidates(seen)
+    gate = rl.promotion_gate(F.col("name"), F.col("confidence"), F.col("n"), F.col("consistency"), ["brand#1"])
+    return c.select(F.col("name").alias("p_brand"), "kind", "n", F.round("consistency", 6).alias("consistency"), gate.alias("outcome"))
+
+
 # ---- set operations -------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,6 +117,32 @@ def relation_normalise(t: Tables) -> DataFrame:
     return out.groupBy("predicate", "canonical", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_TYPES = ["red ring", "blue bolt", "green gear", "small widget"]
+
+
+def _letter_counts(text: Column) -> Column:
+    """A label's counts of the letters: a vector that SQL can make too."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+
+
+_COUNTS = f"list_transform(string_split_regex('{_LETTERS}', ''), lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE)"
+
+
+@query("relation_normalise_vectors", f"""
+WITH p AS (SELECT p_name AS predicate, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS x, p_name LIKE 'red%' AS known, count(*) AS n FROM part GROUP BY 1),
+v AS (SELECT *, {_COUNTS} AS v FROM p), c AS (SELECT x AS canonical, {_COUNTS} AS c FROM (SELECT unnest({_TYPES}) AS x)),
+s AS (SELECT predicate, known, n, canonical, list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c)) AS cosine FROM v, c),
+b AS (SELECT predicate, known, n, max(cosine) AS cosine, arg_min(canonical, (-cosine, canonical)) AS canonical FROM s GROUP BY 1, 2, 3)
+SELECT predicate, CASE WHEN known THEN 'reddish' WHEN cosine >= 0.75 THEN canonical ELSE 'related_to' END AS canonical, CASE WHEN known THEN 1.0 WHEN cosine >= 0.75 THEN round(cosine, 6) ELSE 0.0 END::DOUBLE AS match, n FROM b""")
+def relation_normalise_vectors(t: Tables) -> DataFrame:
+    """Names of parts as labels: by alias, else by the nearest type's vector."""
+    aliases = t.part.filter("p_name like 'red%'").select(F.col("p_name").alias("alias"), F.lit("reddish").alias("canonical"))
+    types = t.spark.createDataFrame([(x,) for x in _TYPES], "canonical string").withColumn("embedding", _letter_counts(F.col("canonical")))
+    out = rl.normalise_by_vectors(t.part.select(F.col("p_name").alias("predicate")), aliases, types, _letter_counts)
+    return out.groupBy("predicate", "canonical", F.round("match", 6).alias("match")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("relation_pair_validation", "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' THEN 1.0 WHEN o_orderstatus = 'P' THEN 1.0 WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END::DOUBLE AS pair_score, count(*) AS n FROM orders GROUP BY 1")
 def relation_pair_validation(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderpriority").alias("source_type"), F.lit("has").alias("canonical"), F.col("o_orderstatus").alias("target_type"))

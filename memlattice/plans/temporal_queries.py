@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memlattice.operators import store as so
 from memlattice.operators import temporal as tp
+from memlattice.operators.timeindex import VersionIndex
 from memlattice.sources.tables import Tables
 
 from .registry import query
@@ -171,3 +175,40 @@ def temporal_tumbling_metrics(t: Tables) -> DataFrame:
 @query("temporal_retention_cleanup", "SELECT count(*) AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR * 3")
 def temporal_retention_cleanup(t: Tables) -> DataFrame:
     return t.events.filter(F.col("ts") >= at("2024-01-28")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+# ---- a stored index of versions -------------------------------------------------------------------------------------
+
+_KEYED = "(SELECT item_id || ':' || kind AS item_id, version, tx_start, tx_end FROM versions)"
+
+
+def _indexed(t: Tables) -> VersionIndex:
+    """The versions in a stored index of two segments; an item is a user's kind of event."""
+    index = VersionIndex(t.spark, so.folder(t.spark, "versions"), buckets=16)
+    rows = t.versions.select(F.concat(F.col("item_id").cast("string"), F.lit(":"), "kind").alias("item_id"), "version", F.col("tx_start").alias("valid_start"), F.col("tx_end").alias("valid_end"), "tx_start")
+    for early in (True, False):
+        index.add(rows.filter((F.col("tx_start") < at()) == early))
+    return index
+
+
+@query("temporal_stored_lookup", f"""
+SELECT item_id, arg_max(version, (tx_start, version)) FILTER (WHERE tx_end IS NULL OR TIMESTAMP '{T}' < tx_end) AS valid, arg_max(version, (tx_start, version)) AS known
+FROM {_KEYED} WHERE tx_start <= TIMESTAMP '{T}' AND item_id IN ('1:click', '2:click', '3:view', '4:error', '5:purchase') GROUP BY 1""", "versions")
+def temporal_stored_lookup(t: Tables) -> DataFrame:
+    """Versions of a few items at one time, by valid and by transaction time, from their buckets alone."""
+    items, index, when = ["1:click", "2:click", "3:view", "4:error", "5:purchase"], _indexed(t), datetime.fromisoformat(T)
+    valid = index.version_at(items, when).withColumnRenamed("version", "valid")
+    return valid.join(index.version_at(items, when, "transaction").withColumnRenamed("version", "known"), "item_id", "full")
+
+
+@query("temporal_stored_as_of", f"""
+SELECT event_id, arg_max(version, (tx_start, version)) AS version FROM events LEFT JOIN {_KEYED} v ON v.item_id = user_id || ':click' AND tx_start <= ts WHERE event_type = 'purchase' GROUP BY 1""", "versions")
+def temporal_stored_as_of(t: Tables) -> DataFrame:
+    """For every purchase the version of the buyer's clicks at its time."""
+    probes = t.events.filter("event_type = 'purchase'").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit(":click")).alias("item_id"), F.col("ts").alias("at"))
+    return _indexed(t).as_of(probes).select("event_id", F.col("version_at").alias("version"))
+
+
+@query("temporal_stored_range", f"SELECT DISTINCT item_id FROM {_KEYED} WHERE tx_start >= TIMESTAMP '2024-01-10' AND tx_start < TIMESTAMP '2024-01-13'", "versions")
+def temporal_stored_range(t: Tables) -> DataFrame:
+    return _indexed(t).items_starting(datetime(2024, 1, 10, 15), datetime(2024, 1, 12, 1))

@@ -168,10 +168,12 @@ def test_greedy_clusters_of_a_large_block(spark):
     assert all(r.cluster == r.id % 2100 for r in clusters.greedy(df, ["block"], "t", "id", 0.5).collect())
 
 
-@pytest.mark.parametrize("adjacency", [0, 1_000_000])
-def test_betweenness_of_any_size(spark, monkeypatch, adjacency):
-    """A>B>D, A>C>D, D>F and D>A: B and C lie on half of what passes them, with the adjacency in tasks and joined."""
-    monkeypatch.setattr(graph, "ADJACENCY", adjacency, raising=False)
+@pytest.mark.parametrize("adjacency, reached", [(0, 10**9), (0, 12), (1_000_000, 1)])
+def test_betweenness_of_any_size(spark, monkeypatch, adjacency, reached):
+    """A>B>D, A>C>D, D>F and D>A: B and C lie on half of what passes them, with the adjacency in tasks and joined, in one batch
+    of sources and in three."""
+    monkeypatch.setattr(graph, "ADJACENCY", adjacency)
+    monkeypatch.setattr(graph, "REACHED", reached)
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "F"), ("D", "A")], "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in "ABCDEF"], "item_id string")
     got = {r.item_id: r.betweenness * 20 for r in graph.betweenness(edges, nodes).collect()}
