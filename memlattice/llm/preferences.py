@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: The template of a turn: role, content.
 HEAD, MIDDLE, TAIL = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
+#: An opening turn that more than one in so many conversations share is dealt to several tasks; there are fewer such openings.
+SHARE = 200
 
 
 def conversations_of(turns: DataFrame) -> DataFrame:
@@ -70,7 +74,10 @@ def derive_pairs(turns: DataFrame) -> DataFrame:
 
     stale: a conversation up to its last reply, against the same with the assistant's reply before in its place.
     sibling: of the conversations that open with the same turn, the one with most assistant text (ties: the least
-    conv_id) against each other one; as many pairs as the others, never all pairs.
+    conv_id) against each other one; as many pairs as the others, never all pairs.  Conversations of a frequent opening
+    are dealt by their ids to as many tasks as its share of all asks for, and the best one goes to each of these.
+
+    No conversations give no pairs; a very long text is a text; other columns of turns are not read.
     """
     convs = conversations_of(turns).filter(F.size("turns") > 0)
     at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED_ROLE)
@@ -82,9 +89,19 @@ def derive_pairs(turns: DataFrame) -> DataFrame:
     said = F.aggregate(F.filter("turns", lambda x: x["role"] == TRAINED_ROLE), F.lit(0), lambda a, x: a + F.length(x["text"]))
     opened = convs.select("conv_id", "turns", F.sha2(render(F.slice("turns", 1, 1)), 256).alias("opening"), said.alias("said"))
     narrow = opened.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("said", (-F.col("conv_id")).alias("least"))).alias("best"))
+    narrow = Scratch(turns.sparkSession, "preferences").save(narrow, "openings")
+    total = narrow.agg(F.sum("n").alias("total"))
+    parts = F.ceil(F.col("n") * SHARE / F.col("total")).cast("long").alias("parts")
+    hot = narrow.join(F.broadcast(total), F.lit(True)).filter(F.col("n") * SHARE > F.col("total")).select(F.col("opening").alias("h_opening"), parts)
+
+    def dealt(rows: DataFrame, part: Column) -> DataFrame:
+        known = rows.join(F.broadcast(hot), F.col("opening") == F.col("h_opening"), "left")
+        return known.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", part).drop("h_opening", "parts")
+
     heads = narrow.filter("n > 1").select("opening", (-F.col("best.least")).alias("chosen_id"))
     best = opened.select(F.col("conv_id").alias("b_id"), F.col("turns").alias("chosen")).join(heads, F.col("b_id") == F.col("chosen_id")).select("opening", "chosen_id", "chosen")
-    sibling = opened.join(best, "opening").filter("conv_id <> chosen_id").select(F.lit("sibling").alias("kind"), "chosen_id", F.col("conv_id").alias("rejected_id"), "chosen", F.col("turns").alias("rejected"))
+    every = dealt(best, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sibling = dealt(opened, F.pmod(F.xxhash64("conv_id"), F.col("parts"))).join(every, ["opening", "part"]).filter("conv_id <> chosen_id").select(F.lit("sibling").alias("kind"), "chosen_id", F.col("conv_id").alias("rejected_id"), "chosen", F.col("turns").alias("rejected"))
     return stale.union(sibling)
 
 

@@ -295,6 +295,25 @@ def test_preferences(spark):
     assert preferences.derive_pairs(frame.limit(0)).count() == 0
 
 
+def test_a_common_opening_is_dealt_to_many_tasks(spark):
+    """900 of 2,400 conversations open alike: each but the best is paired with the best, once, and no task gets many of them."""
+    rows = []
+    for k in range(2400):
+        rows += [(k, 0, "user", "hi" if k < 900 else f"q{k // 2}"), (k, 1, "assistant", "x" * (k * 7 % 1000))]
+    pairs = preferences.derive_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = sorted((r.chosen_id, r.rejected_id) for r in pairs.filter("kind = 'sibling'").select("chosen_id", "rejected_id").collect())
+    groups = {}
+    for k in range(2400):
+        groups.setdefault("hi" if k < 900 else k // 2, []).append(k)
+    want = []
+    for ids in groups.values():
+        best = max(ids, key=lambda k: (k * 7 % 1000, -k))
+        want += [(best, k) for k in ids if k != best]
+    assert got == sorted(want)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(opening" in plan and "part#" in plan.split("hashpartitioning(opening")[-1].split(")")[0]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
