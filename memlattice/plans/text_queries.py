@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlattice.functions import text as tx
+from memlattice.operators import dictionary as dc
 from memlattice.operators import search as s
 from memlattice.operators import store as so
 from memlattice.operators.textindex import TextIndex
@@ -143,6 +144,20 @@ def text_ngram_dictionary(t: Tables) -> DataFrame:
     return t.items.select("item_id", F.array_join(found, ",").alias("found"))
 
 
+@query("text_dictionary_matches", r"""
+WITH k AS (SELECT unnest([1, 2, 3, 4]) AS n), b AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT array_to_string(list_slice(w, 1, n), ' ') AS phrase, min('k' || n) AS kind FROM b, k WHERE len(w) >= n GROUP BY 1),
+t AS (SELECT item_id, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS w FROM items),
+g AS (SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'i': i, 's': array_to_string(list_slice(w, i, i + n - 1), ' ')})) AS g FROM t, k),
+h AS (SELECT item_id, phrase, kind, n, arg_min(g.s, g.i) AS span, min(g.i) - 1 AS place, count(*) AS times FROM g JOIN d ON lower(g.s) = phrase GROUP BY 1, 2, 3, 4)
+SELECT item_id, span, kind, place::INTEGER AS place, times FROM h WHERE n > 1 OR (item_id, phrase) NOT IN (SELECT item_id, unnest(string_split(phrase, ' ')) FROM h WHERE n > 1)""", "items")
+def text_dictionary_matches(t: Tables) -> DataFrame:
+    """Documents by a dictionary of the first one to four words of each benchmark item."""
+    w = t.benchmark.select(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).filter("size(w) >= n")
+    names = w.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), F.concat(F.lit("k"), F.col("n").cast("string")).alias("kind"))
+    return dc.dictionary_matches(t.items, names)
+
+
 @query("search_keyword", f"SELECT item_id, score FROM (SELECT item_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS score FROM (SELECT item_id, {ASKED} AS a, {CONTENT} AS b FROM items)) WHERE score > 0.1 ORDER BY score DESC, item_id LIMIT 10", "items")
 def search_keyword(t: Tables) -> DataFrame:
     return s.keyword_search(t.items, ASK)
