@@ -102,19 +102,26 @@ def overlap_pairs(rows: DataFrame, key: str, tokens: str, above: float, block: l
 VECTORS, GROUP = 2048, 4
 
 
-def _cells(vectors: DataFrame, each: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """each(ids, units, other ids, other units) over all pairs of blocks, a block with itself included.
+def _cells(vectors: DataFrame, each: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, by: list[str] | None = None) -> DataFrame:
+    """each(ids, units, other ids, other units) over all pairs of blocks, a block with itself (the same ids) included.
 
     Blocks are dealt into groups, and a cell is a pair of groups: a block goes to as many cells as there are groups.
+    With `by` only blocks of equal values there meet, nulls being equal; a value has as many blocks as its rows ask for.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // VECTORS))
-    groups = -(-parts // GROUP)
+    by = by or []
+    if by:
+        sizes = vectors.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("parts"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        sized = vectors.join(sizes, same)
+    else:
+        sized = vectors.withColumn("parts", F.lit(max(1, -(-vectors.count() // VECTORS))))
     unit = F.transform("embedding", lambda x: x.cast("double"))
-    ranked = vectors.select("vec_id", unit.alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    packed = ranked.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).withColumn("g", F.floor(F.col("block") / GROUP).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")
-    dealt = packed.select("block", "g", "rows", other).select("block", "g", "rows", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"))
+    ranked = sized.select(*by, "parts", "vec_id", unit.alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    packed = ranked.groupBy(*by, "parts", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).withColumn("g", F.floor(F.col("block") / GROUP).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / GROUP).cast("int"))).alias("h")
+    dealt = packed.select(*by, "block", "g", "rows", other).select(*by, "block", "g", "rows", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"))
 
     def matrix(rows: object) -> tuple[np.ndarray, np.ndarray]:
         ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], float)
@@ -128,7 +135,30 @@ def _cells(vectors: DataFrame, each: Callable[[np.ndarray, np.ndarray, np.ndarra
         parts = [each(*x[2], *y[2]) for x, y in pairs]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    return dealt.groupBy("low", "high").applyInPandas(run, schema)
+    return dealt.groupBy(*by, "low", "high").applyInPandas(run, schema)
+
+
+def interference(vectors: DataFrame, kind: str, above: float = 0.3, rate: float = 0.05) -> DataFrame:
+    """(vec_id, n, factor) of (vec_id, embedding, kind): how many others of the kind have a cosine over `above`, and the
+    product of 1 - rate * cosine over them.
+
+    Blocks of a kind meet in matrix products and give a row for each vector, not for each pair; a kind of any size is
+    many cells.  A null kind is a kind.  Null, empty and zero vectors, those of another length and those with components
+    that aren't finite are near none, and have 0 and 1.  Rows of one vec_id don't weaken each other and are one row.
+    """
+
+    def near(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        cosine = x @ y.T
+        on = (cosine > above) & (i[:, None] != j[None, :])
+        logs = np.where(on, np.log1p(-rate * np.where(on, cosine, 0.0)), 0.0)
+        one = pd.DataFrame({"vec_id": i, "n": on.sum(axis=1), "logs": logs.sum(axis=1)})
+        return one if i is j else pd.concat([one, pd.DataFrame({"vec_id": j, "n": on.sum(axis=0), "logs": logs.sum(axis=0)})])
+
+    finite = F.forall("embedding", lambda v: F.abs(v.cast("double")) < float("inf"))
+    rows = vectors.select("vec_id", "embedding", kind, F.size("embedding").alias("length")).filter("length > 0").filter(finite)
+    found = _cells(rows, near, "vec_id long, n long, logs double", [kind, "length"]).groupBy("vec_id").agg(F.sum("n").alias("n"), F.sum("logs").alias("logs"))
+    out = vectors.select("vec_id").distinct().join(found, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.exp(F.coalesce("logs", F.lit(0.0))).alias("factor"))
 
 
 def cosine_pairs(vectors: DataFrame, cosine: float) -> DataFrame:

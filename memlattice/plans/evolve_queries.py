@@ -10,6 +10,7 @@ from memlattice.functions import plugins as pl
 from memlattice.functions import scores as sc
 from memlattice.functions import text as tx
 from memlattice.operators import graph as g
+from memlattice.operators import simjoin as sj
 from memlattice.operators import store as so
 from memlattice.operators import temporal as tp
 from memlattice.sources.tables import Tables, as_of, days_before
@@ -26,12 +27,8 @@ WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, {_COS} AS c FROM embeddings a JO
 ends AS (SELECT x AS vec_id, c FROM p UNION ALL SELECT y, c FROM p)
 SELECT vec_id, count(c) AS n, round(coalesce(exp(sum(ln(1 - 0.05 * c))), 1.0), 6) AS factor FROM (SELECT vec_id FROM embeddings) LEFT JOIN ends USING (vec_id) GROUP BY 1""")
 def belief_interference(t: Tables) -> DataFrame:
-    """Memories that are alike within a kind weaken each other: a product over pairs, whatever their order.  Pairs are
-    formed within a label only, whose sizes AQE can split."""
-    a, b = (t.embeddings.select("label", F.col("vec_id").alias(k), F.col("embedding").alias(f"e{k}")) for k in "xy")
-    p = a.join(b, "label").filter("x < y").select("x", "y", sc.cosine(F.col("ex"), F.col("ey")).alias("c")).filter("c > 0.3")
-    ends = p.select(F.col("x").alias("vec_id"), "c").union(p.select("y", "c")).groupBy("vec_id").agg(F.count("c").alias("n"), F.exp(F.sum(F.log(1 - 0.05 * F.col("c")))).alias("factor"))
-    return t.embeddings.select("vec_id").join(ends, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.coalesce("factor", F.lit(1.0)), 6).alias("factor"))
+    """Memories that are alike within a kind weaken each other: a product over the near ones, whatever their order."""
+    return sj.interference(t.embeddings, "label").select("vec_id", "n", F.round("factor", 6).alias("factor"))
 
 
 @query("evolve_semantic_decay", "SELECT c_custkey, c_acctbal / 10000 < 0.2 AS archived FROM customer")

@@ -126,3 +126,19 @@ def test_communities_of_planted_groups(spark):
     m, degree = len(edges), Counter(x for e in edges for x in e)
     want = sum(1 for a, b in edges if a // 12 == b // 12) / m - sum((sum(degree[k] for k in range(12 * g, 12 * g + 12)) / (2 * m)) ** 2 for g in range(4))
     assert co.modularity(ways, spark.createDataFrame([(k, c) for k, c in labels.items()], "node long, c long")) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("size", [3, 2048])
+def test_interference_is_a_product_over_near_pairs_of_a_kind(spark, monkeypatch, size):
+    monkeypatch.setattr(sj, "VECTORS", size)
+    rng = np.random.default_rng(4)
+    rows = [(k, ["hot", "hot", None, "b"][k % 4], [float(v) for v in rng.normal(size=4)]) for k in range(70)]
+    rows += [(100, "hot", None), (101, "hot", []), (102, "hot", [0.0] * 4), (103, "hot", [1.0, 2.0]), (104, "hot", [float("nan"), 1.0, 1.0, 1.0]), (105, "hot", [float("inf"), 1.0, 1.0, 1.0]), (106, "hot", [1.0, None, 1.0, 1.0]), (107, "alone", [1.0] * 4)]
+    got = {r.vec_id: (r.n, r.factor) for r in sj.interference(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"), "label").collect()}
+    want = {k: [0, 1.0] for k, _, _ in rows}
+    for a, g, x in rows[:70]:
+        for b, h, y in rows[:70]:
+            c = np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+            if a != b and g == h and c > 0.3:
+                want[a] = [want[a][0] + 1, want[a][1] * (1 - 0.05 * c)]
+    assert got.keys() == want.keys() and all(got[k] == (n, pytest.approx(f)) for k, (n, f) in want.items())
