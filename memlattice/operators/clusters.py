@@ -1,4 +1,4 @@
-"""Clusters: greedy seeds in parallel rounds, k-means with a capacity, near neighbours by locality-sensitive hashing."""
+"""Clusters: greedy seeds in parallel rounds, k-means with a capacity, near neighbours by cells of blocks."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Rounds
-from .simjoin import capacity_clusters, cosine_pairs, first_fit, jaccard_pairs, near_vectors, set_classes, words
+from .simjoin import capacity_clusters, close_vectors, cosine_pairs, first_fit, jaccard_pairs, near_vectors, set_classes, words
 
-__all__ = ["close_pairs", "greedy", "greedy_vectors", "kmeans", "list_changes", "near_vectors", "semantic_temporal"]
+__all__ = ["close_vectors", "greedy", "greedy_vectors", "kmeans", "list_changes", "near_vectors", "semantic_temporal"]
 
 
 def greedy(rows: DataFrame, block: list[str], text: str, order: str, threshold: float) -> DataFrame:
@@ -50,14 +49,6 @@ def kmeans(vectors: DataFrame, size: int, seed: int = 7, most: int = 1024) -> Da
     return capacity_clusters(known, centroids, size, Rounds(vectors.sparkSession).save).select("vec_id", F.coalesce("cluster", F.lit(len(centroids)).cast("long")).alias("cluster"))
 
 
-def close_pairs(vectors: DataFrame, distance: float, width: float = 0.5, seed: int = 7) -> DataFrame:
-    """(a, b, distance) of vectors within a Euclidean distance, by random projections; approximate."""
-    rows = vectors.select("vec_id", array_to_vector("embedding").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=4, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, distance, distCol="distance")
-    return pairs.select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), F.round("distance", 6).alias("distance")).filter("a < b")
-
-
 def list_changes(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, op, old_from, old_to, new_from, new_to): edits that turn one ordered list into another."""
     kind = dict(rows.dtypes)[key]
