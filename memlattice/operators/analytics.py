@@ -105,6 +105,18 @@ def stage_sketches(events: DataFrame, at: str, stage: str, value: str, error: Co
     )
 
 
+def exact_quantiles(events: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys..., quantiles...): the least value whose share of values up to it is large enough, of any number of rows.
+
+    Equal values are counted before they are ordered, so only a group's distinct values meet.  Null values don't count;
+    groups of nothing else have no row.
+    """
+    c = events.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*keys).orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    ranked = c.withColumns({"upto": upto, "n": F.sum("c").over(W.partitionBy(*keys))})
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(float(q))), F.col("x"))).alias(name) for name, q in quantiles.items()])
+
+
 def roll_up(sketches: DataFrame, width: str, quantiles: dict[str, float]) -> DataFrame:
     """(bucket, stage, n, mean, most, error_rate, quantiles...) of wider stretches, from stored sketches alone, which merge.
 

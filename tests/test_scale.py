@@ -5,8 +5,11 @@ import random
 import numpy as np
 import pytest
 
+from memlattice.functions import pages
+from memlattice.operators import analytics as an
 from memlattice.operators import clusters as cl
 from memlattice.operators import simjoin as sj
+from memlattice.plans import catalogue
 
 
 @pytest.mark.parametrize("block", [7, 2048])
@@ -26,3 +29,11 @@ def test_close_vectors_are_all_found(spark, monkeypatch, block):
         assert (got[k].first, got[k].n_close, got[k].nearest) == (3 if 10 <= k < 20 else k, len(near), best[1])
         assert got[k].distance == (pytest.approx(best[0]) if other else None)
     assert (got[99].first, got[99].n_close, got[99].nearest) == (99, 0, None) and len(got) == 61
+
+
+def test_days_of_many_values_have_exact_quantiles(spark):
+    rng = random.Random(5)
+    values = [rng.random() for _ in range(20_000)]
+    rows = spark.createDataFrame([("d", v) for v in values] + [("e", None), ("d", None), ("f", 2.0)], "day string, ms double")
+    got = {r.day: (r.p50, r.p95) for r in an.exact_quantiles(rows, ["day"], "ms", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"d": (sorted(values)[9_999], sorted(values)[18_999]), "f": (2.0, 2.0)}
