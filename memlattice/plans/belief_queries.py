@@ -94,7 +94,9 @@ def belief_pending_decisions(t: Tables) -> DataFrame:
 
 @query("belief_low_confidence", "SELECT decision_id, round(confidence, 6) AS confidence FROM decisions WHERE coalesce(confidence, 1) < 0.3 ORDER BY confidence, decision_id LIMIT 50", "decisions")
 def belief_low_confidence(t: Tables) -> DataFrame:
-    return t.decisions.filter(F.coalesce("confidence", F.lit(1.0)) < 0.3).orderBy("confidence", "decision_id").limit(50).select("decision_id", F.round("confidence", 6).alias("confidence"))
+    """By the confidence as it is shown: those that round to the same one come by their ids."""
+    low = t.decisions.filter(F.coalesce("confidence", F.lit(1.0)) < 0.3).select("decision_id", F.round("confidence", 6).alias("confidence"))
+    return low.orderBy("confidence", "decision_id").limit(50)
 
 
 @query("belief_decision_conflicts", "SELECT a.decision_id AS a, b.decision_id AS b FROM decisions a JOIN decisions b ON a.owner = b.owner AND a.domain = b.domain AND a.decision_id < b.decision_id WHERE a.status = 'active' AND b.status = 'active'", "decisions")

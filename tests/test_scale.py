@@ -37,3 +37,11 @@ def test_days_of_many_values_have_exact_quantiles(spark):
     rows = spark.createDataFrame([("d", v) for v in values] + [("e", None), ("d", None), ("f", 2.0)], "day string, ms double")
     got = {r.day: (r.p50, r.p95) for r in an.exact_quantiles(rows, ["day"], "ms", {"p50": 0.5, "p95": 0.95}).collect()}
     assert got == {"d": (sorted(values)[9_999], sorted(values)[18_999]), "f": (2.0, 2.0)}
+
+
+def test_low_confidence_is_ordered_as_shown(spark, tmp_path):
+    prices = {9: 50_000.0, 3: 50_000.1, 5: 40_000.0}  # 0.1 and 0.1000002 are shown alike
+    rows = [(k, 1, "O", v, "1-URGENT", None) for k, v in prices.items()]
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate timestamp_ntz"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.decision_id for r in catalogue.QUERIES["belief_low_confidence"](spark, str(tmp_path)).collect()] == [5, 3, 9]
