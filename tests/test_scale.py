@@ -8,6 +8,7 @@ import pytest
 from memlattice.functions import pages
 from memlattice.operators import analytics as an
 from memlattice.operators import clusters as cl
+from memlattice.operators import graph
 from memlattice.operators import simjoin as sj
 from memlattice.operators.graph import Rounds
 from memlattice.plans import catalogue
@@ -74,3 +75,13 @@ def test_capacity_passes_do_not_grow_the_plan(spark, ranks):
     got = sj.capacity_clusters(df, centroids, 9, lambda x: saved.append(1) or Rounds(spark).save(x), ranks).collect()
     assert [r.cluster for r in sorted(got)] == want
     assert len(saved) < 24  # a table for each list and the result, none for a pass
+
+
+def test_simple_paths_read_stored_hops(spark, tmp_path):
+    """Parallel edges and either direction; every length reads what the hops before wrote, not the edges again."""
+    kinds = "src string, dst string, edge_type string"
+    rows = [("A", "B", "X"), ("A", "B", "Y"), ("C", "B", "X"), ("C", "D", "X"), ("A", "D", "X"), ("D", "D", "X")]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/edges")
+    out = graph.simple_paths(spark.read.parquet(f"{tmp_path}/edges"), "A", "D", 3)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A>D"), (3, "A>B>C>D")]
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
