@@ -28,6 +28,16 @@ def days_before(ts: Column) -> Column:
     return (F.lit(1706659200.0) - F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)) / F.lit(86400.0)
 
 
+#: Rows that a task of a shuffle gets, about: their number asks for the tasks, as a task's memory grows with its rows.
+ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to a task for each ROWS of its `rows`, to the session's number of tasks at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // ROWS)), *keys)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -64,6 +74,9 @@ class Tables:
             side = lambda x: F.concat(F.lit(f"{x[0]}:"), F.col(x[2:]).cast("string"))
             return df.select(side(a).alias("src"), side(b).alias("dst"), F.lit(kind).alias("edge_type"), (none if start is None else start).alias("valid_from"), (none if end is None else end).alias("valid_to"))
 
+        # counted by the files' footers
+        items = self.lineitem.count()
+        pairs = lambda a, b: spread(self.lineitem.select(a, b), items, a, b).distinct()
         shipped = self.lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
         placed = self.orders.join(shipped, self.orders.o_orderkey == shipped.l_orderkey, "left")
         ntz = lambda c: F.col(c).cast("timestamp_ntz")
@@ -72,8 +85,8 @@ class Tables:
             edge(self.customer, "c.c_custkey", "n.c_nationkey", "LOCATED_IN"),
             edge(self.supplier, "s.s_suppkey", "n.s_nationkey", "LOCATED_IN"),
             edge(placed, "o.o_orderkey", "c.o_custkey", "PLACED_BY", ntz("o_orderdate"), ntz("shipped")),
-            edge(self.lineitem.select("l_orderkey", "l_partkey").distinct(), "o.l_orderkey", "p.l_partkey", "CONTAINS"),
-            edge(self.lineitem.select("l_partkey", "l_suppkey").distinct(), "p.l_partkey", "s.l_suppkey", "SUPPLIED_BY"),
+            edge(pairs("l_orderkey", "l_partkey"), "o.l_orderkey", "p.l_partkey", "CONTAINS"),
+            edge(pairs("l_partkey", "l_suppkey"), "p.l_partkey", "s.l_suppkey", "SUPPLIED_BY"),
         ]
         out = parts[0]
         for more in parts[1:]:

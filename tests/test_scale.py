@@ -13,6 +13,7 @@ from memlattice.operators import graph
 from memlattice.operators import simjoin as sj
 from memlattice.operators.graph import Rounds
 from memlattice.plans import catalogue
+from memlattice.sources import tables
 
 
 @pytest.mark.parametrize("block", [7, 2048])
@@ -97,3 +98,13 @@ def test_texts_are_cut_a_few_at_a_time(spark, monkeypatch, strategy):
     cut = chunks.chunked(rows, "text", strategy, 60, 10)
     assert {r.doc_id: r.chunks for r in cut.collect()} == want and len(want) == 22 and any(want.values())
     assert cut.columns == ["doc_id", "chunks"]
+
+
+def test_edge_pairs_get_tasks_by_their_number(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(str, tables.Tables(spark, sf).edges.collect()))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(tables, "ROWS", -(-items // 7))
+    edges = tables.Tables(spark, sf).edges
+    assert sorted(map(str, edges.collect())) == want
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count(", 7\n") + edges._jdf.queryExecution().executedPlan().toString().count(", 7)") >= 2
