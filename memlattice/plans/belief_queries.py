@@ -12,7 +12,7 @@ from memlattice.operators import dedup as dd
 from memlattice.operators import graph as g
 from memlattice.operators import relations as rl
 from memlattice.operators import simjoin as sj
-from memlattice.sources.tables import Tables, days_before
+from memlattice.sources.tables import Tables, days_before, spread
 
 from .registry import query
 
@@ -308,7 +308,9 @@ def set_union_neighbours(t: Tables) -> DataFrame:
 
 @query("set_relation_dedup", "SELECT lower(src) AS s, lower(edge_type) AS p, lower(dst) AS o, count(*) AS n FROM edges GROUP BY 1, 2, 3", "edges")
 def set_relation_dedup(t: Tables) -> DataFrame:
-    return t.edges.groupBy(F.lower("src").alias("s"), F.lower("edge_type").alias("p"), F.lower("dst").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    # hardly any triple repeats, so counts before the shuffle would hold them all
+    triples = t.edges.select(F.lower("src").alias("s"), F.lower("edge_type").alias("p"), F.lower("dst").alias("o"))
+    return spread(triples, t.edge_rows, "s", "p", "o").groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("set_layer_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'base_only' WHEN a.k IS NULL THEN 'overlay_only' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'overridden' END AS state FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) a FULL JOIN (SELECT s_suppkey + 50 AS k, s_nationkey AS v FROM supplier) b ON a.k = b.k")

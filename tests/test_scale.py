@@ -108,3 +108,12 @@ def test_edge_pairs_get_tasks_by_their_number(spark, monkeypatch):
     edges = tables.Tables(spark, sf).edges
     assert sorted(map(str, edges.collect())) == want
     assert edges._jdf.queryExecution().optimizedPlan().toString().count(", 7\n") + edges._jdf.queryExecution().executedPlan().toString().count(", 7)") >= 2
+
+
+def test_hops_and_triples_get_tasks_by_their_number(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    rows = tables.Tables(spark, sf).edge_rows
+    assert rows >= tables.Tables(spark, sf).edges.count()
+    monkeypatch.setattr(tables, "ROWS", -(-rows // 9))
+    plan = catalogue.QUERIES["set_relation_dedup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert ", 9)" in plan
