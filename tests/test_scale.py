@@ -117,3 +117,12 @@ def test_hops_and_triples_get_tasks_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", -(-rows // 9))
     plan = catalogue.QUERIES["set_relation_dedup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert ", 9)" in plan
+
+
+def test_hops_gather_only_edges_at_the_frontier(spark, monkeypatch):
+    plans = []
+    save = Rounds.save
+    monkeypatch.setattr(Rounds, "save", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df))
+    edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "Y"), ("b", "c", "X"), ("c", "a", "X")], "src string, dst string, edge_type string")
+    assert sorted(tuple(r) for r in graph.reach(edges, "a", 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert plans and all(p.count("Aggregate") == 1 for p in plans)
