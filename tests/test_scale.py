@@ -126,3 +126,29 @@ def test_hops_gather_only_edges_at_the_frontier(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "Y"), ("b", "c", "X"), ("c", "a", "X")], "src string, dst string, edge_type string")
     assert sorted(tuple(r) for r in graph.reach(edges, "a", 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
     assert plans and all(p.count("Aggregate") == 1 for p in plans)
+
+
+@pytest.mark.parametrize("arcs", [3, 8_000_000])
+def test_betweenness_walks_many_sources_at_once(spark, monkeypatch, arcs):
+    """Sources that no edge enters keep their own edges: only those beyond a path's first count for what may travel."""
+    rng = random.Random(2)
+    pairs = {(f"o{k}", f"p{rng.randrange(6)}") for k in range(40) for _ in range(3)} | {(f"p{rng.randrange(6)}", f"s{rng.randrange(4)}") for _ in range(12)} | {("s0", "p1"), ("s1", "s1"), ("s2", "r"), ("s3", "r"), ("o1", "r")}
+    monkeypatch.setattr(graph, "ADJACENCY", sum(not a.startswith("o") for a, _ in pairs))
+    monkeypatch.setattr(graph, "ARCS", arcs)
+    monkeypatch.setattr(graph, "_betweenness_by_joins", None)  # too many edges to travel, if those of o0 to o39 did
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    ends = sorted({x for pair in pairs for x in pair})
+    far = {x: {x: (0, 1)} for x in ends}  # from x: hops and shortest paths
+    for x in ends:
+        level = [x]
+        for hops in range(1, len(ends)):
+            met = {}
+            for a, b in pairs:
+                if a in level and b not in far[x]:
+                    met[b] = met.get(b, 0) + far[x][a][1]
+            far[x] |= {b: (hops, k) for b, k in met.items()}
+            level = list(met)
+    through = lambda a, v, b: far[a][v][1] * far[v][b][1] / far[a][b][1] if v in far[a] and b in far[v] and far[a][v][0] + far[v][b][0] == far[a][b][0] else 0.0
+    want = {v: sum(through(a, v, b) for a in ends for b in far[a] if len({a, v, b}) == 3) / ((len(ends) - 1) * (len(ends) - 2)) for v in ends}
+    nodes = spark.createDataFrame([(x,) for x in ends], "item_id string")
+    assert {r.item_id: r.betweenness for r in graph.betweenness(edges, nodes).collect()} == pytest.approx(want)
