@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import LABELS
+
 
 def valid_at(start: Column, end: Column, t: Column) -> Column:
     return (start <= t) & (end.isNull() | (t < end))
@@ -50,26 +52,36 @@ def audit(versions: DataFrame, keys: list[str]) -> DataFrame:
     return versions.withColumn("action", action)
 
 
+#: Rows of a key on both sides that are compared in one go; keys with more are dealt to buckets of time.
+CROWD = 2_000
+
+
 def interval_join(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, width_days: int = 30) -> DataFrame:
     """Pairs of rows with equal keys whose intervals overlap, with the overlap; b's columns have the suffix _b.
 
-    Rows are dealt to buckets of width_days, so the join is an equi-join; a pair counts in the bucket of the later start.
-    Unbounded ends reach to the last start of either side.
+    Rows are joined by their keys.  Those of a key with more than CROWD rows are repeated in each bucket of width_days
+    that they reach, and a pair counts in the bucket of the later start; unbounded ends reach to the last start of either
+    side.  Rows without a start overlap none.
     """
-    last = a.agg(F.max(start)).union(b.agg(F.max(start))).agg(F.max(F.col(a.agg(F.max(start)).columns[0])).alias("last"))
+    last = a.agg(F.max(start).alias("last")).union(b.agg(F.max(start))).agg(F.max("last").alias("last"))
+    rows = a.select(*keys).union(b.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    crowded = rows.filter(F.col("n") > CROWD).select(*keys, F.lit(True).alias("_crowded"))
+    crowded = F.broadcast(crowded) if crowded.limit(LABELS + 1).count() <= LABELS else crowded
     bucket = lambda c: F.floor(F.unix_date(c.cast("date")) / width_days)
 
-    def dealt(df: DataFrame) -> DataFrame:
-        top = df.join(F.broadcast(last), F.lit(True))
+    def dealt(df: DataFrame, suffix: str = "") -> DataFrame:
+        top = df.filter(F.col(start).isNotNull()).join(crowded, keys, "left").join(F.broadcast(last), F.lit(True))
         upto = F.greatest(F.col(start), F.coalesce(F.col(end), F.col("last")))
-        return top.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(upto)))).drop("last")
+        at = F.when(F.col("_crowded"), F.sequence(bucket(F.col(start)), bucket(upto))).otherwise(F.array(F.lit(None).cast("bigint")))
+        # all columns in one order, so that a table joined with itself is shuffled once
+        out = top.select(*df.columns, F.explode(at).alias("_at")).select("*", F.coalesce("_at", F.lit(0).cast("bigint")).alias("_bucket"))
+        return out.select(*[F.col(c).alias(c if c in keys or c == "_bucket" else f"{c}{suffix}") for c in out.columns])
 
-    right = dealt(b).select(*keys, "_bucket", *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys])
-    joined = dealt(a).join(right, [*keys, "_bucket"])
+    joined = dealt(a).join(dealt(b, "_b"), [*keys, "_bucket"])
     s, e, s2, e2 = F.col(start), F.col(end), F.col(f"{start}_b"), F.col(f"{end}_b")
-    once = F.col("_bucket") == bucket(F.greatest(s, s2))
+    once = F.col("_at").isNull() | (F.col("_bucket") == bucket(F.greatest(s, s2)))
     both_end = F.when(e.isNotNull() & e2.isNotNull(), F.least(e, e2))
-    return joined.filter(overlaps((s, e), (s2, e2)) & once).drop("_bucket").withColumns({"overlap_start": F.greatest(s, s2), "overlap_end": both_end})
+    return joined.filter(overlaps((s, e), (s2, e2)) & once).drop("_bucket", "_at", "_at_b").withColumns({"overlap_start": F.greatest(s, s2), "overlap_end": both_end})
 
 
 def sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int, tie: str) -> DataFrame:

@@ -10,7 +10,9 @@ from memlattice.functions import chunks, pages
 from memlattice.operators import analytics as an
 from memlattice.operators import clusters as cl
 from memlattice.operators import graph
+from memlattice.operators import relations as rl
 from memlattice.operators import simjoin as sj
+from memlattice.operators import temporal as tp
 from memlattice.operators.graph import Rounds
 from memlattice.plans import catalogue
 from memlattice.sources import tables
@@ -152,3 +154,32 @@ def test_betweenness_walks_many_sources_at_once(spark, monkeypatch, arcs):
     want = {v: sum(through(a, v, b) for a in ends for b in far[a] if len({a, v, b}) == 3) / ((len(ends) - 1) * (len(ends) - 2)) for v in ends}
     nodes = spark.createDataFrame([(x,) for x in ends], "item_id string")
     assert {r.item_id: r.betweenness for r in graph.betweenness(edges, nodes).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("crowd", [3, 2_000])
+def test_intervals_of_few_rows_are_not_repeated(spark, monkeypatch, crowd):
+    monkeypatch.setattr(tp, "CROWD", crowd)
+    rng = random.Random(4)
+    rows = [(k, k % 5 if k < 20 else 9, s, None if rng.random() < 0.2 else s + rng.randrange(-20, 900)) for k in range(60) for s in (rng.randrange(2000),)] + [(60, None, 5, 9), (61, 9, None, None)]
+    day = lambda c: F.date_add(F.lit("2020-01-01").cast("date"), F.col(c)).cast("timestamp_ntz")
+    df = spark.createDataFrame(rows, "id int, k int, s int, e int").select("id", "k", day("s").alias("s"), day("e").alias("e"))
+    if crowd == 2_000:
+        monkeypatch.setattr(F, "sequence", lambda *_: F.raise_error(F.lit("a row was repeated")).cast("array<bigint>"))
+    out = tp.interval_join(df, df, ["k"], "s", "e", 7).filter("id < id_b")
+    meets = lambda a, b: a[1] is not None and a[1] == b[1] and None not in (a[2], b[2]) and (b[3] is None or a[2] < b[3]) and (a[3] is None or b[2] < a[3])
+    assert sorted((r.id, r.id_b) for r in out.collect()) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and meets(a, b)]
+
+
+def test_edge_joins_get_tasks_by_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 10)
+    edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("b", "z", "X"), ("b", " ", "X"), ("c", "b", "Y"), ("c", "a", "Y")], "src string, dst string, edge_type string")
+    nodes = spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "s")], "item_id string, memory_type string")
+    schemas = spark.createDataFrame([("X", "s", "t"), ("Y", "s", "t")], "edge_type string, source_type string, target_type string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    known, problems = graph.insert_edges(edges, nodes, 90), rl.edge_problems(edges, nodes, schemas, 90)
+    merged = graph.merge_nodes(edges, spark.createDataFrame([("b", "a")], "old_id string, new_id string"), 90)
+    assert all("(item_id" in plan(x) and ", 9)" in plan(x) for x in (known, problems)) and ", 9)" in plan(merged)
+    assert "BroadcastHashJoin" in plan(merged) and "SortMergeJoin" not in plan(merged)
+    assert sorted(tuple(r) for r in known.collect()) == [("a", "b", "X"), ("a", "b", "X"), ("c", "a", "Y"), ("c", "b", "Y")]
+    assert sorted((r.src, r.dst, r.problem or "") for r in problems.collect()) == [("a", "b", ""), ("a", "b", ""), ("b", " ", "blank id"), ("b", "z", "missing end"), ("c", "a", "not allowed"), ("c", "b", "")]
+    assert sorted(tuple(r) for r in merged.collect()) == [("a", " ", "X"), ("a", "z", "X"), ("c", "a", "Y")]
