@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from memlattice.functions.text import predicate_key
 
+from .graph import dealt
+
 #: What a label becomes that no alias covers.
 DEFAULT_RELATION = "related_to"
 
@@ -112,15 +114,18 @@ def constraint_violations(entities: DataFrame, constraints: DataFrame) -> DataFr
     return rows.withColumn("problem", problem).filter("problem is not null").select("entity_id", "property", "problem", "hard")
 
 
-def edge_problems(edges: DataFrame, nodes: DataFrame, schemas: DataFrame) -> DataFrame:
-    """edges with problem (null if none): blank ids or type, ends that don't exist, or a pair of types that
+def edge_problems(edges: DataFrame, nodes: DataFrame, schemas: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges, `rows` at most, with problem (null if none): blank ids or type, ends that don't exist, or a pair of types that
     schemas (edge_type, source_type, target_type) doesn't allow for a type that it knows."""
-    end = lambda k: nodes.select(F.col("item_id").alias(k), F.col("memory_type").alias(f"{k}_type"))
+    kinds = dealt(nodes.select("item_id", "memory_type"), rows, "item_id")
+    end = lambda k: kinds.select(F.col("item_id").alias(k), F.col("memory_type").alias(f"{k}_type"))
     known = schemas.select(F.col("edge_type").alias("k_type")).distinct().withColumn("known", F.lit(True))
     allowed = schemas.select("edge_type", F.col("source_type").alias("src_type"), F.col("target_type").alias("dst_type")).distinct().withColumn("allowed", F.lit(True))
-    rows = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(known, F.col("edge_type") == F.col("k_type"), "left").join(allowed, ["edge_type", "src_type", "dst_type"], "left")
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    problem = F.when(blank("src") | blank("dst"), "blank id").when(blank("edge_type"), "blank type").when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "missing end").when(F.col("known") & F.col("allowed").isNull(), "not allowed")
+    # blank ids are told before the joins, which need not carry the other end then where no column asks for it
+    told = edges.withColumn("blank", blank("src") | blank("dst"))
+    rows = told.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(known, F.col("edge_type") == F.col("k_type"), "left").join(allowed, ["edge_type", "src_type", "dst_type"], "left")
+    problem = F.when(F.col("blank"), "blank id").when(blank("edge_type"), "blank type").when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "missing end").when(F.col("known") & F.col("allowed").isNull(), "not allowed")
     return rows.select(*edges.columns, problem.alias("problem"))
 
 

@@ -74,7 +74,7 @@ def write_upsert_edge(t: Tables) -> DataFrame:
 
 @query("write_bulk_edges", "SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT item_id FROM nodes WHERE memory_type <> 'part') AND dst IN (SELECT item_id FROM nodes WHERE memory_type <> 'part')", "nodes edges")
 def write_bulk_edges(t: Tables) -> DataFrame:
-    return g.insert_edges(t.edges, t.nodes.filter("memory_type <> 'part'")).select("src", "dst", "edge_type")
+    return g.insert_edges(t.edges, t.nodes.filter("memory_type <> 'part'"), t.edge_rows).select("src", "dst", "edge_type")
 
 
 @query("write_delete_node", "SELECT src, dst, edge_type FROM edges WHERE src NOT IN (SELECT item_id FROM nodes WHERE memory_type = 'supplier') AND dst NOT IN (SELECT item_id FROM nodes WHERE memory_type = 'supplier')", "nodes edges")
@@ -95,7 +95,7 @@ moved AS (SELECT coalesce(a.new_id, src) AS src, coalesce(b.new_id, dst) AS dst,
 SELECT DISTINCT src, dst, edge_type FROM moved WHERE NOT (touched AND src = dst)""", "nodes edges")
 def write_merge_nodes(t: Tables) -> DataFrame:
     mapping = t.nodes.filter("memory_type = 'nation' and item_id <> 'n:0'").select(F.col("item_id").alias("old_id"), F.lit("n:0").alias("new_id"))
-    return g.merge_nodes(t.edges, mapping)
+    return g.merge_nodes(t.edges, mapping, t.edge_rows)
 
 
 @query("write_rename_type", "SELECT CASE memory_type WHEN 'part' THEN 'product' ELSE memory_type END AS memory_type, count(*) AS n FROM nodes GROUP BY 1", "nodes")
