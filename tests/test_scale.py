@@ -183,3 +183,21 @@ def test_edge_joins_get_tasks_by_the_edges(spark, monkeypatch):
     assert sorted(tuple(r) for r in known.collect()) == [("a", "b", "X"), ("a", "b", "X"), ("c", "a", "Y"), ("c", "b", "Y")]
     assert sorted((r.src, r.dst, r.problem or "") for r in problems.collect()) == [("a", "b", ""), ("a", "b", ""), ("b", " ", "blank id"), ("b", "z", "missing end"), ("c", "a", "not allowed"), ("c", "b", "")]
     assert sorted(tuple(r) for r in merged.collect()) == [("a", " ", "X"), ("a", "z", "X"), ("c", "a", "Y")]
+
+
+@pytest.mark.parametrize("labels", [0, 1_000_000])
+def test_components_contract_their_edges(spark, monkeypatch, labels):
+    """Chains in and out of order, a star, copies, loops, ends without nodes: each round has fewer edges, few rounds in all."""
+    monkeypatch.setattr(graph, "LABELS", labels)
+    saved = []
+    save = Rounds.save
+    monkeypatch.setattr(Rounds, "save", lambda self, df: saved.append(1) or save(self, df))
+    rng = random.Random(6)
+    ids = list(range(100, 140))
+    rng.shuffle(ids)
+    pairs = [(k, k + 1) for k in range(40)] + list(zip(ids, ids[1:])) + [(299, k) for k in range(200, 230)] + [(299, 299), (299, 200), (400, 401), (500, None)]
+    edges = spark.createDataFrame([(a, b, "X") for a, b in pairs], "src long, dst long, edge_type string")
+    nodes = [*range(41), *range(100, 140), *range(200, 230), 299, 300, 400, 500]
+    got = {r.item_id: r.component for r in graph.connected_components(spark.createDataFrame([(k,) for k in nodes], "item_id long"), edges).collect()}
+    assert got == {k: 0 if k < 41 else 100 if k < 140 else 200 if k < 300 else k for k in nodes}
+    assert len(saved) <= 32
