@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from memlattice.functions import chunks, pages
 from memlattice.operators import analytics as an
 from memlattice.operators import clusters as cl
+from memlattice.operators import communities as co
 from memlattice.operators import graph
 from memlattice.operators import relations as rl
 from memlattice.operators import simjoin as sj
@@ -201,3 +202,27 @@ def test_components_contract_their_edges(spark, monkeypatch, labels):
     got = {r.item_id: r.component for r in graph.connected_components(spark.createDataFrame([(k,) for k in nodes], "item_id long"), edges).collect()}
     assert got == {k: 0 if k < 41 else 100 if k < 140 else 200 if k < 300 else k for k in nodes}
     assert len(saved) <= 32
+
+
+def test_communities_do_not_shuffle_ways_to_few_labels(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = spark.createDataFrame([(a + k, b + k) for k in (0, 10, 20) for a in range(4) for b in range(a)] + [(0, 10), (10, 20)], "src long, dst long")
+        labels = co.louvain(links)
+        assert {r.item_id: r.community for r in labels.collect()} == {k + a: k for k in (0, 10, 20) for a in range(4)}
+        plan = co.community_metrics(links, labels)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_propagation_gets_tasks_by_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 1)
+    used = []
+    save = Rounds.save
+    monkeypatch.setattr(Rounds, "save", lambda self, df: used.append(spark.conf.get("spark.sql.shuffle.partitions")) or save(self, df))
+    edges = spark.createDataFrame([("a", "b", "X"), ("c", "b", "X"), ("d", "e", "X")], "src string, dst string, edge_type string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "item_id string")
+    got = {r.item_id: r.community for r in graph.label_communities(nodes, edges, 1).collect()}
+    assert got == {"a": "b", "b": "a", "c": "b", "d": "e", "e": "d", "f": "f"}
+    assert used == ["4", "6", "6"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
