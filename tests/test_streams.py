@@ -1,6 +1,7 @@
 """Streams with keyed state: against plain machines, over restarts and other cuts into batches."""
 
 import random
+import sys
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -115,6 +116,34 @@ def test_bursts_are_flushed_once_and_idle_keys_get_a_cycle(spark, tmp_path, cuts
         sf.debounced(spark.createDataFrame([], MESSAGES), wait_ms=5, idle_ms=5)
 
 
+@pytest.mark.parametrize("slots", [1, 1024])
+def test_keys_that_share_a_slot_keep_their_own_states(spark, tmp_path, monkeypatch, slots):
+    monkeypatch.setattr(sf, "SLOTS", slots)
+    monkeypatch.setattr(sys.modules[__name__], "MESSAGES", MESSAGES.replace("key string", "key long"))
+    keys = {"a": 2**60 + 1, "b": 2**60 + 2, "c": 7, "only": 8, "acks": 9}  # beside a null key, longs are no doubles
+    rows = [(keys.get(k), *r) for k, *r in messages(random.Random(11), 200)]
+    parts = [rows[:70], rows[70:140], rows[140:]]
+    until = max(ms(r[1]) for r in rows if r[1])
+    got = run(spark, f"{tmp_path}/bursts", parts, lambda m: sf.debounced(m, wait_ms=5 * MINUTE, idle_ms=20 * MINUTE, late="0 seconds"), ["key", "action", "at"])
+    assert got == bursts(rows, 5 * MINUTE, 20 * MINUTE, until) and len({r[0] for r in got}) == 6
+    until = max(ms(r[1]) for r in rows if r[1] and r[3])
+    got = run(spark, f"{tmp_path}/queue", parts, lambda m: sf.job_queue(m, attempts=2, visible_ms=10 * MINUTE, late="0 seconds"), ["key", "job", "attempt", "state"])
+    assert got == machine(rows, 2, 10 * MINUTE, until)
+
+
+def test_many_keys_take_few_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sf, "SLOTS", 2, raising=False)
+    rows = [(f"k{k}", T0 + timedelta(minutes=k % 7 + 300 * j), 2 * k + j, None) for k in range(60) for j in range(2)]
+    spark.createDataFrame(rows, MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(MESSAGES).parquet(f"{tmp_path}/in")
+    with sf.keyed_state(spark):
+        q = sf.debounced(stream, wait_ms=5 * MINUTE, idle_ms=20 * MINUTE, late="0 seconds").writeStream.format("memory").queryName("few_timers").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((tuple(r) for r in spark.table("few_timers").collect()), key=str) == bursts(rows, 5 * MINUTE, 20 * MINUTE, max(ms(r[1]) for r in rows))
+    set_timers = [int(dict(o.customMetrics)["numRegisteredTimers"]) for p in q.recentProgress for o in p.stateOperators]
+    assert 2 <= sum(set_timers) <= 2 * len(set_timers)
+
+
 def test_no_messages_give_no_rows(spark, tmp_path):
     assert run(spark, str(tmp_path), [[]], lambda m: sf.job_queue(m), ["key", "job", "attempt", "state"]) == []
 
