@@ -10,6 +10,7 @@ left to right, carries each text's state over them and adds up the weights of th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -234,22 +235,21 @@ def _read_block(size: list[int], skip: list[int], held_out: list[bool], words: b
     return Block(unpack(words, np.int64), unpack(codes, np.int32), np.array(size), np.array(skip), np.array(held_out))
 
 
-def _ask(shards: int) -> Callable:
-    """Blocks to (shard, block, keys, n): distinct n-grams, sorted, and how often each occurs in training texts."""
+def _ask(shards: int, order: int) -> Callable:
+    """Blocks to (shard, block, keys, n): distinct n-grams of order + 1 tokens, sorted, and how often each occurs in training texts."""
     edges = (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
                 block = _read_block(x["size"], x["skip"], x["held_out"], x["words"], x["codes"])
-                out: list[tuple] = []
-                for order, (key, there) in enumerate(block.n_grams()):
-                    if not there.any():
-                        continue
-                    rank, keys, starts = _distinct(key[there])
-                    n = np.add.reduceat(block.trained[there][rank], starts, dtype=np.uint32)
-                    bounds = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
-                    out += [(s * ORDER + order, x["block"], pack_sorted(keys[a:b]), pack(n[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+                key, there = next(islice(block.n_grams(), order, None))
+                if not there.any():
+                    continue
+                rank, keys, starts = _distinct(key[there])
+                n = np.add.reduceat(block.trained[there][rank], starts, dtype=np.uint32)
+                bounds = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+                out = [(s * ORDER + order, x["block"], pack_sorted(keys[a:b]), pack(n[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
                 shard, name, keys, n = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(name, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["shard", "block", "keys", "n"])
 
@@ -317,8 +317,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     blocks = scratch.save(rows.mapInArrow(_to_blocks, _BLOCKS), "blocks")
     sizes = blocks.select(F.explode("size").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-8 * sizes // SHARD))
-    asked = blocks.select("block", "size", "skip", "held_out", "words", "codes").mapInArrow(_ask(shards), "shard long, block long, keys binary, n binary")
-    answers = scratch.save(asked.groupBy("shard").applyInArrow(_sum_shard, "shard long, block long, totals binary, total long, distinct long"), "answers")
+    asking = blocks.select("block", "size", "skip", "held_out", "words", "codes")
+    for order in range(ORDER):  # one at a time, so that no more than one order's questions are on disk
+        asked = asking.mapInArrow(_ask(shards, order), "shard long, block long, keys binary, n binary")
+        answers = scratch.append(asked.groupBy("shard").applyInArrow(_sum_shard, "shard long, block long, totals binary, total long, distinct long"), "answers")
     total, distinct = (int(x or 0) for x in answers.filter(f"block is null and shard % {ORDER} = 0").agg(F.sum("total"), F.sum("distinct")).first())
     answers = answers.filter("block is not null").select("block", "shard", "totals")
     scored = scratch.save(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_walk(total, distinct), _SCORED), "scored")

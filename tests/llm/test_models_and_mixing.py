@@ -157,6 +157,39 @@ def test_language_model_matches_a_walked_automaton(spark, monkeypatch, block, sh
     assert brute.n[state] and brute.arc(state, "unheard of") + sum(brute.arc(state, x[0]) for x in brute.n if len(x) == 1) == pytest.approx(1)
 
 
+def test_language_model_asks_one_order_at_a_time(spark, monkeypatch):
+    """A pass has the n-grams of one order only, and its shuffle files are gone before the next one begins."""
+    import time
+
+    from memlattice.llm.common import Scratch
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles().iterator()
+        return {f.getName() for f in iter(lambda: files.next() if files.hasNext() else None, None) if f.getName().startswith("shuffle_")}
+
+    def none_since(before):
+        end = time.time() + 10
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.1)
+        return not shuffles() - before
+
+    passes, asked, append = [], [], Scratch.append
+
+    def noted(self, df, name):
+        before = shuffles()
+        out = append(self, df, name)
+        passes.append(none_since(before))
+        asked.append({r[0] for r in out.selectExpr(f"shard % {language_model.ORDER}").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(Scratch, "append", noted)
+    docs = spark.createDataFrame([(k, "the cat sat on the mat " * 20) for k in range(40)], "doc_id long, text string").repartition(4)
+    assert score_texts(docs).count() == 40
+    assert passes == [True] * language_model.ORDER and asked == [{0}, {0, 1}, {0, 1, 2}]
+
+
 def test_language_model_base_columns_match_sql(spark):
     sf = "/root/testdata/sf0.001"
     sql = f"""
