@@ -10,8 +10,8 @@ from .common import Scratch, ascii_lower, broadcast_if_small, text_key
 
 #: What separates words: every ASCII character but digits and a-z, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in text that is not lower-cased yet.
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in text that is not lower-cased yet.
+_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEY = ["doc_id", "text_hash"]
 
 
@@ -19,6 +19,12 @@ def _tokens(text: Column) -> Column:
     return F.split(ascii_lower(text), SEPARATORS)
 
 
+def _n_words(text: Column) -> Column:
+    """Words of a text, 0 if it is null.  Splitting is several times cheaper than matching every word by a regular expression."""
+    framed = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))  # so that the first and last part are empty
+    return (F.size(F.split(framed, _ANY_CASE)) - 2).cast("long")
+
+
 def benchmark_terms(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, n, k, term): the words of each item at their offsets.  Items without words have no row."""
     items = benchmark.select("item_id", F.filter(_tokens(F.col("text")), lambda x: x != "").alias("words"), F.xxhash64("item_id", "text").alias("item"))
@@ -123,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keyed
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     found = hit.join(items, same(hit, items)).select(hit["doc_id"].alias("f_doc"), hit["text_hash"].alias("f_text"), "n_hit", "items")
     found = broadcast_if_small(scratch.save(found, "found"), 100_000)
-    words = docs.select(*text_key(), F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    words = docs.select(*text_key(), _n_words(F.col("text")).alias("n_words"))
     out = words.join(found, words["doc_id"].eqNullSafe(F.col("f_doc")) & (words["text_hash"] == F.col("f_text")), "left")
     if near:
         close = proximity_matches(docs, benchmark, scratch=scratch).select(*_KEY, "item").distinct().groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_near"))

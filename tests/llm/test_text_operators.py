@@ -186,6 +186,16 @@ def test_contamination_matches_brute_force(spark):
     assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got.collect()} == brute_contamination(docs, items)
 
 
+def test_contamination_counts_words_by_splitting(spark):
+    """Any ends, ASCII's borders and beyond it; no word is matched by a regular expression."""
+    texts = [None, "", " ", "...", "a", " a", "a ", ".A1b.", "x\ny\t\tz", "É é-ü", "\u00a0", "a\x7fb", "`a{Z[", "/0:9@", "\x00q\x00", "😀 ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = contamination(docs, spark.createDataFrame([(1, "nothing of it")], "item_id long, text string"))
+    want = {k: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_words for r in out.collect()} == want
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contamination_of_awkward_tables(spark):
     rows = awkward(random.Random(4))
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("source", "item_id")
