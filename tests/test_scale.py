@@ -157,6 +157,18 @@ def test_betweenness_walks_many_sources_at_once(spark, monkeypatch, arcs):
     assert {r.item_id: r.betweenness for r in graph.betweenness(edges, nodes).collect()} == pytest.approx(want)
 
 
+def test_betweenness_brings_no_rows_to_the_driver(spark, monkeypatch):
+    """Names and edges come as Arrow: as rows they were Python objects, which the driver's memory did not hold."""
+    edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "F"), ("D", "A"), ("E", "A")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "ABCDEF"], "item_id string")
+    with monkeypatch.context() as m:
+        for name in ("toPandas", "collect", "toLocalIterator"):
+            m.setattr(type(edges), name, None)
+        m.setattr(graph, "_betweenness_by_joins", None)
+        found = graph.betweenness(edges, nodes)
+    assert {r.item_id: r.betweenness * 20 for r in found.collect()} == pytest.approx({"A": 8.0, "B": 2.0, "C": 2.0, "D": 8.0, "E": 0.0, "F": 0.0})
+
+
 @pytest.mark.parametrize("crowd", [3, 2_000])
 def test_intervals_of_few_rows_are_not_repeated(spark, monkeypatch, crowd):
     monkeypatch.setattr(tp, "CROWD", crowd)
