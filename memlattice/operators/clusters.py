@@ -74,7 +74,7 @@ def greedy_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
     known = rounds.save(vectors.filter(~zero).select("vec_id", "embedding"))
     least = known.groupBy("embedding").agg(F.min("vec_id").alias("key"))
     classes = rounds.save(known.join(least, "embedding").select("vec_id", "key"))
-    seeds = first_fit(classes.select("key").distinct(), cosine_pairs(known, cosine), rounds.save)
+    seeds = first_fit(classes.select("key").distinct(), cosine_pairs(least.withColumnRenamed("key", "vec_id"), cosine), rounds.save)
     return classes.join(seeds, "key").select("vec_id", "cluster").union(vectors.filter(zero).select("vec_id", F.col("vec_id").alias("cluster")))
 
 

@@ -81,8 +81,8 @@ def set_global_clusters(t: Tables) -> DataFrame:
     names = _names(t)
     classes = sj.set_classes(names, "doc_id", "s", []).filter(F.size("tokens") > 0).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
     known = names.select("doc_id")
-    near = sj.cosine_pairs(t.embeddings, 0.4).join(known.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(known.withColumnRenamed("doc_id", "b"), "b", "left_semi")
-    pairs = classes.union(sj.jaccard_pairs(names, "doc_id", "s", 0.6).select("a", "b")).union(near.select("a", "b"))
+    near = sj.cosine_pairs(t.embeddings.join(known.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi"), 0.4)
+    pairs = classes.union(sj.jaccard_pairs(names, "doc_id", "s", 0.6).select("a", "b")).union(near)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("NEAR").alias("edge_type"))
     found = g.connected_components(known.withColumnRenamed("doc_id", "item_id"), edges).select(F.col("item_id").alias("doc_id"), F.col("component").alias("cluster"))
     rows = found.join(names.select("doc_id", "name"), "doc_id")

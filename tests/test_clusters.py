@@ -85,6 +85,35 @@ def test_vector_clusters_match_loops(spark, monkeypatch, block):
     assert {r.vec_id: r.kept for r in sj.near_vectors(df.filter("embedding is not null"), 0.6).collect()} == least
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_links_of_near_vectors_keep_their_copies(spark, monkeypatch, block):
+    """Copies are linked to the least of them, zero, null and infinite vectors to none: components as by all pairs."""
+    monkeypatch.setattr(sj, "VECTORS", block)
+    rows = [*vectors_of(np.random.default_rng(5), 60), (504, [float("nan")] * 6), (505, [float("nan")] * 6), (506, [0.0] * 6), (507, [2 * x for x in vectors_of(np.random.default_rng(5), 60)[3][1]])]
+    got = {(r.a, r.b) for r in sj.cosine_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.6).collect()}
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and any(x) and any(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.6}
+    copies = {500, 501}
+    assert got == {(a, b) for a, b in near if not {a, b} & copies} | {(3, 500), (3, 501)}
+
+
+def test_global_clusters_link_copies_of_vectors(spark, tmp_path):
+    """Document 1, the least of four with one vector, has no text; those with text are one cluster all the same."""
+    import duckdb
+
+    from memlattice.plans import catalogue
+
+    texts = [(1, None), (2, "red. x"), (3, "blue. x"), (4, "green. x"), (5, "grey. x"), (6, "red. y"), (7, "")]
+    vectors = [(k, [1.0, 0.0, 0.0]) for k in (1, 2, 3, 4)] + [(5, [0.0, 1.0, 0.0]), (6, [0.0, 0.0, 1.0]), (7, [-1.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(db.sql(catalogue.ORACLES["set_global_clusters"]).fetchall())
+    assert sorted(tuple(r) for r in catalogue.QUERIES["set_global_clusters"](spark, str(tmp_path)).collect()) == want
+    assert [r[1] for r in want] == [2, 2, 2, 5, 2, 7]
+
+
 @pytest.mark.parametrize(("size", "ranks"), [(10, 32), (25, 2), (40, 3)])
 def test_capacity_is_the_loop_over_ranks_and_ids(spark, size, ranks):
     rows = [(k, v) for k, v in vectors_of(np.random.default_rng(8)) if v is not None]
