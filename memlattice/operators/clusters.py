@@ -33,20 +33,22 @@ def greedy(rows: DataFrame, block: list[str], text: str, order: str, threshold:
     return tokens.join(found, F.col(order) == F.col("o")).select(*block, order, "cluster")
 
 
-def kmeans(vectors: DataFrame, size: int, seed: int = 7, most: int = 1024) -> DataFrame:
-    """(vec_id, cluster) by k-means, seeded, with n // size clusters (`most` at most) of `size` members each at most.
+def kmeans(vectors: DataFrame, size: int, seed: int = 7) -> DataFrame:
+    """(vec_id, cluster) by k-means, seeded, with n // size clusters of `size` members each at most.
 
-    Vectors bid for their nearest centroids in rounds, see capacity_clusters; those that none had room for share one
-    more cluster.  Null vectors are left out; fewer than two clusters are one.
+    Vectors bid for their nearest centroids in rounds, see capacity_clusters; those that none had room for, fewer than
+    `size`, share one more cluster.  Vectors of fewer different values than clusters have their centroids several times.
+    Null vectors are left out; fewer than two clusters are one.  The centroids reach the driver: one for `size` vectors.
     """
     known = vectors.filter("embedding is not null").select("vec_id", "embedding")
     n = known.count()
-    k = min(n // size, most)
+    k = n // size
     if k < 2:
         return known.select("vec_id", F.lit(0).cast("long").alias("cluster"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(known.select(array_to_vector("embedding").alias("features")))
-    centroids = {c: [float(x) for x in v] for c, v in enumerate(model.clusterCenters())}
-    return capacity_clusters(known, centroids, size, Rounds(vectors.sparkSession).save).select("vec_id", F.coalesce("cluster", F.lit(len(centroids)).cast("long")).alias("cluster"))
+    centres = model.clusterCenters()
+    centroids = {c: [float(x) for x in centres[c % len(centres)]] for c in range(k)}
+    return capacity_clusters(known, centroids, size, Rounds(vectors.sparkSession).save).select("vec_id", F.coalesce("cluster", F.lit(k).cast("long")).alias("cluster"))
 
 
 def list_changes(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:

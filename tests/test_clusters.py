@@ -138,6 +138,32 @@ def test_kmeans_clusters_hold_their_capacity(spark):
     assert sum(sizes.values()) == 153 and all(n <= 20 for c, n in sizes.items() if c < 7) and len(sizes) >= 7
 
 
+@pytest.mark.parametrize(("places", "size", "ranks"), [(0, 9, 1), (0, 12, 3), (150, 9, 2), (600, 3, 1), (0, 0, 2)])
+def test_capacity_by_stretches_is_the_loop(spark, monkeypatch, places, size, ranks):
+    """Stretches of ranks alone, and a loop in one task over what they leave."""
+    monkeypatch.setattr(sj, "PLACES", places)
+    points = np.random.default_rng(12).normal(size=(130, 3)).round(2)
+    points[40:60] = points[3]
+    far = ((points[:, None] - points[None, :12]) ** 2).sum(axis=2)
+    order, want = np.argsort(far, axis=1, kind="stable"), [None] * 130
+    for rank in range(12):
+        for k in range(130):
+            if want[k] is None and want.count(10 * order[k, rank]) < size:
+                want[k] = 10 * int(order[k, rank])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    got = sj.capacity_clusters(df, {10 * k: v for k, v in enumerate(points[:12].tolist())}, size, Rounds(spark).save, ranks).collect()
+    assert [r.cluster for r in sorted(got)] == want
+
+
+def test_kmeans_has_a_cluster_for_every_size_vectors(spark):
+    """No number of clusters is the most, and copies of one vector fill as many: fewer than a cluster's size are left over."""
+    many = spark.range(2100).selectExpr("id AS vec_id", "array(double(id % 7), double(id)) AS embedding")
+    sizes = Counter(r.cluster for r in cl.kmeans(many, 2).collect())
+    assert len(sizes) == 1050 and set(sizes.values()) == {2}
+    copies = spark.range(103).selectExpr("id AS vec_id", "array(1.0D, 2.0D) AS embedding")
+    assert Counter(r.cluster for r in cl.kmeans(copies, 20).collect()) == {0: 20, 1: 20, 2: 20, 3: 20, 4: 20, 5: 3}
+
+
 def test_communities_of_planted_groups(spark):
     """Four dense groups of twelve, joined by a few edges."""
     rng = random.Random(2)
