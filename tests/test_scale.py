@@ -238,3 +238,28 @@ def test_propagation_gets_tasks_by_the_edges(spark, monkeypatch):
     got = {r.item_id: r.community for r in graph.label_communities(nodes, edges, 1).collect()}
     assert got == {"a": "b", "b": "a", "c": "b", "d": "e", "e": "d", "f": "f"}
     assert used == ["4", "6", "6"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 4])
+def test_propagation_shuffles_messages_once_a_round(spark, monkeypatch, rounds):
+    """Edges to and from nodes that don't exist, null ends, loops, parallel and reverse edges, a node twice: as by loops; a table
+    has one shuffle of messages, and one of nodes."""
+    rng = random.Random(rounds)
+    pairs = [(rng.choice("abcdefghijklmnoxyz"), rng.choice("abcdefghijklmnoxyz")) for _ in range(45)] + [("a", "a"), ("b", "a"), ("a", "b"), ("p", "x"), ("q", None), (None, "b")]
+    nodes = [*"abcdefghijklmnopq", "c", "c", "h"]
+    ways = {w for a, b in pairs for w in ((a, b), (b, a)) if a and b}
+    want = {x: x for x in nodes}
+    for _ in range(rounds):
+        votes = {x: {} for x in nodes}
+        for a, b in ways:
+            if a in want and b in want:
+                votes[b][want[a]] = votes[b].get(want[a], 0) + nodes.count(a)
+        want = {x: min(v, key=lambda c: (-v[c], c)) if v else want[x] for x, v in votes.items()}
+    plans = []
+    save = Rounds.save
+    monkeypatch.setattr(Rounds, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    edges = spark.createDataFrame([(a, b, "X") for a, b in pairs], "src string, dst string, edge_type string")
+    got = graph.label_communities(spark.createDataFrame([(x,) for x in nodes], "item_id string"), edges, rounds)
+    assert sorted((r.item_id, r.community) for r in got.collect()) == sorted((x, want[x]) for x in nodes)
+    assert all(p.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2 for p in plans)
+    assert len(plans) == rounds + 2
